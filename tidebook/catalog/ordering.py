@@ -1 +1,56 @@
-"""."""
+"""Sorting, limits and repeatable sampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidebook.catalog.registry import as_double, dbl, query
+from tidebook.operators import sampling
+from tidebook.plans import rejects
+
+
+@query("order_multi", "SELECT o_orderpriority, o_custkey, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_custkey")
+def _(t):
+    return t.orders.select("o_orderpriority", "o_custkey", "o_totalprice").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_custkey")
+
+
+@query("nulls_last", "SELECT order_id, close_time FROM fx_orders_mt4 ORDER BY close_time DESC NULLS LAST, order_id")
+def _(t):
+    return t.fx_orders_mt4.select("order_id", "close_time").orderBy(F.desc_nulls_last("close_time"), "order_id")
+
+
+@query("limit_n", "SELECT event_id, ts, event_type FROM events ORDER BY event_id LIMIT 100")
+def _(t):
+    return t.events.select("event_id", "ts", "event_type").orderBy("event_id").limit(100)
+
+
+@query("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def _(t):
+    return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+
+
+@query("sort_values", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey")
+def _(t):
+    return t.customer.select("c_custkey", "c_acctbal").orderBy("c_acctbal", "c_custkey")
+
+
+@query("shuffle_rows", "SELECT c_custkey, c_acctbal FROM customer")
+def _(t):
+    return sampling.shuffle_rows(t.customer.select("c_custkey", "c_acctbal"), 42, "c_custkey")
+
+
+@query("sample_one_per_group")
+def _(t):
+    days = t.fx_prices.select(F.trunc("date", "month").alias("month"), "date").distinct()
+    return sampling.sample_one_per_group(days, ["month"], ["date"], 7)
+
+
+@query("sample_papers")
+def _(t):
+    return sampling.sample_k(t.fx_prices.select("paper").distinct(), 12, 7, "paper")
+
+
+@query("train_test_split")
+def _(t):
+    train, test = sampling.split(t.documents.select("doc_id", "lang"), 0.2, 42, "doc_id")
+    return train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test"))).groupBy("part", "lang").agg(F.count(F.lit(1)).alias("cnt"))
