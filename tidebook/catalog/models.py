@@ -1 +1,265 @@
-"""."""
+"""Features, models and their evaluation."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from tidebook.catalog.registry import as_double, as_long, dbl, query
+from tidebook.catalog.reports import IRIS, TAX, iris
+from tidebook.models import classifiers, regression
+from tidebook.models import text as text_models
+from tidebook.operators import aggregates, clean, sampling
+from tidebook.plans import churn
+from tidebook.session import materialize, shared_dir
+
+LINE = ["l_quantity", "l_discount", "l_tax"]
+CHURN = ["worker_count", "fss_count", "pfr_count", "fns_count", "documents_count", "cnt_users", "has_certificate", *churn.TAX_CLASSES]
+
+
+def _churn(t):
+    return materialize(churn.churn_features(t.fx_companies, TAX), "churn")
+
+
+@query("assemble_features", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS f0, CAST(embedding[2] AS DOUBLE) AS f1, 1.0::DOUBLE AS one FROM embeddings")
+def _(t):
+    vectors = regression.assemble(iris(t).withColumn("one", F.lit(1.0)), [*IRIS, "one"])
+    cells = vector_to_array("features")
+    return vectors.select("vec_id", cells[0].alias("f0"), cells[1].alias("f1"), cells[4].alias("one"))
+
+
+@query("factorize", """
+WITH f AS (SELECT o_orderpriority AS c, MIN(o_orderkey) AS k FROM orders GROUP BY 1), n AS (SELECT c, row_number() OVER (ORDER BY k) - 1 AS code FROM f)
+SELECT o_orderkey, CAST(code AS INT) AS code FROM orders JOIN n ON c = o_orderpriority""")
+def _(t):
+    return clean.factorize(t.orders, "o_orderpriority", "o_orderkey", "code").select("o_orderkey", "code")
+
+
+@query("one_hot", """
+SELECT c_custkey, CAST(c_mktsegment = 'BUILDING' AS INT) AS building, CAST(c_mktsegment = 'MACHINERY' AS INT) AS machinery, CAST(c_mktsegment = 'FURNITURE' AS INT) AS furniture FROM customer""")
+def _(t):
+    return clean.one_hot(t.customer, "c_mktsegment", {v.lower(): v for v in ("BUILDING", "MACHINERY", "FURNITURE")}).select(
+        "c_custkey", "building", "machinery", "furniture")
+
+
+@query("minmax_scale", """
+WITH s AS (SELECT MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi FROM orders WHERE o_orderstatus = 'F')
+SELECT o_orderkey, ROUND((o_totalprice - lo) / (hi - lo), 6) AS o_totalprice FROM orders CROSS JOIN s""")
+def _(t):
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    return as_double(clean.minmax(rows, ["o_totalprice"], fitted_on=t.orders.where("o_orderstatus = 'F'")))
+
+
+@query("standardize", """
+WITH s AS (SELECT AVG(o_totalprice) AS m, STDDEV_POP(o_totalprice) AS s FROM orders) SELECT o_orderkey, ROUND((o_totalprice - m) / s, 6) AS o_totalprice FROM orders CROSS JOIN s""")
+def _(t):
+    return as_double(clean.standardize(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice"]))
+
+
+@query("poly_features", """
+SELECT vec_id, ROUND(a * b, 6) AS p3, ROUND(a * a, 6) AS p4, ROUND(b * b, 6) AS p5 FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)""")
+def _(t):
+    a, b = F.col("x0"), F.col("x1")
+    return as_double(iris(t).select("vec_id", (a * b).alias("p3"), (a * a).alias("p4"), (b * b).alias("p5")))
+
+
+# Two-feature least squares solved from the covariances; {pen} is added to the diagonal.
+TWO_FEATURE_SQL = """
+WITH d AS ({rows}),
+s AS (SELECT COUNT(*) AS n, AVG(a) AS ma, AVG(b) AS mb, AVG(y) AS my, covar_pop(a, a) * COUNT(*) + {pen} AS aa, covar_pop(b, b) * COUNT(*) + {pen} AS bb,
+  covar_pop(a, b) * COUNT(*) AS ab, covar_pop(a, y) * COUNT(*) AS ay, covar_pop(b, y) * COUNT(*) AS by_ FROM d),
+w AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS wa, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS wb FROM s)
+SELECT '{fa}' AS feature, ROUND(wa, 4) AS weight FROM w UNION ALL SELECT '{fb}', ROUND(wb, 4) FROM w UNION ALL SELECT 'intercept', ROUND(my - wa * ma - wb * mb, 4) FROM w"""
+
+
+@query("linear_regression", TWO_FEATURE_SQL.format(
+    rows="SELECT l_quantity AS a, l_tax AS b, l_extendedprice / 1000 AS y FROM lineitem", pen=0, fa="l_quantity", fb="l_tax"))
+def _(t):
+    rows = t.lineitem.withColumn("target", F.col("l_extendedprice") / 1000)
+    return as_double(regression.coefficients(regression.linear(rows, ["l_quantity", "l_tax"], "target"), ["l_quantity", "l_tax"], rows), 4)
+
+
+@query("lasso")
+def _(t):
+    rows = t.lineitem.withColumn("target", F.col("l_extendedprice") / 1000)
+    return as_double(regression.coefficients(regression.lasso(rows, LINE, "target", 0.001), LINE, rows), 6)
+
+
+@query("ridge_classifier", TWO_FEATURE_SQL.format(
+    rows="SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, CASE WHEN label < 5 THEN 1.0 ELSE -1.0 END::DOUBLE AS y FROM embeddings", pen="1.0", fa="x0", fb="x1"))
+def _(t):
+    rows = iris(t).withColumn("low", (F.col("label") < 5).cast("int"))
+    return as_double(regression.coefficients(regression.ridge_classifier(rows, ["x0", "x1"], "low"), ["x0", "x1"], rows), 4)
+
+
+def _iris_split(t):
+    cells = t.embeddings.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
+    rows = materialize(cells, "iris")
+    return sampling.split(regression.assemble(rows, [f"x{i}" for i in range(64)]), 0.3, 7, "vec_id")
+
+
+def _scored(model, train, test, label):
+    def part(name, df):
+        return model.transform(df).agg(F.lit(name).alias("part"), F.round(classifiers.accuracy(df, label), 6).alias("accuracy"), F.count(F.lit(1)).alias("cnt"))
+
+    return part("train", train).union(part("test", test))
+
+
+@query("logistic")
+def _(t):
+    train, test = _iris_split(t)
+    return _scored(classifiers.logistic("label", train.count()).fit(train), train, test, "label")
+
+
+@query("decision_tree")
+def _(t):
+    train, test = _iris_split(t)
+    return _scored(classifiers.decision_tree("label").fit(train), train, test, "label")
+
+
+@query("bagging_trees")
+def _(t):
+    train, test = sampling.split(regression.assemble(_churn(t), CHURN), 0.3, 7, "id")
+    return _scored(classifiers.bagged_trees("is_prolong", depth=15).fit(train), train, test, "is_prolong")
+
+
+@query("random_forest")
+def _(t):
+    train, test = sampling.split(regression.assemble(_churn(t), CHURN), 0.3, 7, "id")
+    return _scored(classifiers.random_forest("is_prolong").fit(train), train, test, "is_prolong")
+
+
+@query("kmeans")
+def _(t):
+    columns = ["worker_count", "fss_count", "pfr_count", "fns_count", "has_certificate", "documents_count", "cnt_users"]
+    groups = classifiers.kmeans_groups(_churn(t).where("is_prolong = 0"), columns)
+    return as_double(groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("cnt"), *[F.avg(c).alias(c) for c in columns]))
+
+
+@query("k_fold_cv")
+def _(t):
+    rows = materialize(t.lineitem.select("l_orderkey", *LINE, (F.col("l_extendedprice") / 1000).alias("target")), "lines")
+    return as_double(regression.cross_validate(rows, LINE, "target", "l_orderkey", 7))
+
+
+@query("churn_cv")
+def _(t):
+    rows = regression.assemble(_churn(t), CHURN)
+    score = classifiers.cross_validate(rows, classifiers.logistic("is_prolong", 1000), "is_prolong", "id", 5)
+    return t.spark.createDataFrame([("logistic", 5, score)], "model string, folds int, accuracy double")
+
+
+@query("grid_search")
+def _(t):
+    rows = materialize(t.lineitem.select("l_orderkey", *LINE, (F.col("l_extendedprice") / 1000).alias("target")), "lines")
+    alphas = [0.0001 + i * (0.01 - 0.0001) / 9 for i in range(10)]
+    return as_double(regression.grid_search(rows, LINE, "target", "l_orderkey", alphas, splits=3))
+
+
+PRED_SQL = "SELECT o_orderkey, o_totalprice AS label, 1000.0 * CAST(o_orderkey % 500 AS DOUBLE) AS prediction FROM orders"
+
+
+@query("metrics", f"""
+SELECT ROUND(AVG(ABS(label - prediction)), 4) AS mae, ROUND(AVG((label - prediction) * (label - prediction)), 0) AS mse, ROUND(SQRT(AVG((label - prediction) * (label - prediction))), 4) AS rmse
+FROM ({PRED_SQL})""")
+def _(t):
+    rows = t.orders.select(F.col("o_totalprice").alias("label"), (1000.0 * (F.col("o_orderkey") % 500)).alias("prediction"))
+    out = as_double(classifiers.regression_errors(rows, "label", "prediction"), 4)
+    return out.withColumn("mse", F.round("mse", 0))
+
+
+@query("class_report", """
+WITH p AS (SELECT o_orderstatus AS l, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'F' WHEN o_orderpriority = '5-LOW' THEN 'P' ELSE 'O' END AS p FROM orders),
+c AS (SELECT l AS class, COUNT(*) AS support, SUM(CASE WHEN l = p THEN 1 ELSE 0 END) AS hits FROM p GROUP BY l), s AS (SELECT p AS class, COUNT(*) AS said FROM p GROUP BY p),
+m AS (SELECT c.class, hits / said AS precision, hits / support AS recall, support FROM c JOIN s ON s.class = c.class)
+SELECT class, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall, ROUND(2 * precision * recall / (precision + recall), 6) AS f1, support FROM m""")
+def _(t):
+    said = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "F").when(F.col("o_orderpriority") == "5-LOW", "P").otherwise("O")
+    return as_double(classifiers.class_report(t.orders.withColumn("said", said), "o_orderstatus", "said"))
+
+
+VOTES_SQL = """
+SELECT id, CAST(documents_count >= 6 AS INT) AS a, CAST(documents_count >= 5 AS INT) AS b, CAST(has_certificate + cnt_users > 0 AS INT) AS c, CAST(worker_count > 9 AS INT) AS d,
+  documents_count, worker_count FROM fx_companies"""
+
+
+def _votes(t):
+    docs = F.col("documents_count")
+    rules = {"a": docs >= 6, "b": docs >= 5, "c": F.col("has_certificate") + F.col("cnt_users") > 0, "d": F.col("worker_count") > 9}
+    return t.fx_companies.withColumns({k: v.cast("int") for k, v in rules.items()})
+
+
+@query("model_agreement", f"WITH v AS ({VOTES_SQL}) " + " UNION ALL ".join(
+    f"SELECT '{x}' AS model_a, '{y}' AS model_b, ROUND(AVG(CAST({x} = {y} AS INT)), 6) AS agreement FROM v" for x, y in ("ab", "ac", "ad", "bc", "bd", "cd")))
+def _(t):
+    return as_double(aggregates.agree_share(_votes(t), {c: c for c in "abcd"}))
+
+
+@query("vote_risk_groups", f"""
+WITH v AS ({VOTES_SQL}) SELECT (a + b + c + d) / 4.0::DOUBLE AS mean_vote, COUNT(*) AS cnt, ROUND(AVG(documents_count), 6) AS avg_documents_count, ROUND(AVG(worker_count), 6) AS avg_worker_count
+FROM v GROUP BY 1""")
+def _(t):
+    return as_double(classifiers.risk_groups(classifiers.add_votes(_votes(t), "abcd"), ["documents_count", "worker_count"]))
+
+
+@query("vote_risk_counts", f"""
+WITH v AS ({VOTES_SQL}), m AS (SELECT a * b * c * d AS vote, (a + b + c + d) / 4.0 AS mean_vote FROM v)
+SELECT COUNT(*) FILTER (vote = 0) AS any_model, COUNT(*) FILTER (mean_vote <= 0.5) AS half_or_more, COUNT(*) FILTER (mean_vote < 0.3) AS below_0_3, COUNT(*) FILTER (mean_vote < 0.6) AS below_0_6 FROM m""")
+def _(t):
+    return classifiers.risk_counts(classifiers.add_votes(_votes(t), "abcd"))
+
+
+@query("tfidf", """
+WITH train AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+n AS (SELECT COUNT(*) AS n FROM train),
+df AS (SELECT term, COUNT(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM train) GROUP BY term HAVING COUNT(*) >= 2),
+idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM df CROSS JOIN n),
+tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents) GROUP BY 1, 2),
+w AS (SELECT doc_id, tf.term, tf * idf AS w FROM tf JOIN idf ON idf.term = tf.term),
+len AS (SELECT doc_id, sqrt(SUM(w * w)) AS len FROM w GROUP BY doc_id)
+SELECT w.term, COUNT(*) AS docs, ROUND(SUM(w / len), 6) AS weight FROM w JOIN len ON len.doc_id = w.doc_id GROUP BY w.term""")
+def _(t):
+    train = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    weights = text_models.tfidf(t.documents, text_models.fit_idf(train, "doc_id", "text"), "doc_id", "text")
+    return as_double(weights.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("weight").alias("weight")))
+
+
+@query("text_classifier")
+def _(t):
+    train, test = sampling.split(t.documents.select("doc_id", "text", "lang"), 0.33, 42, "doc_id")
+    score = text_models.fit_text_classifier(train, "text", "lang")
+    return as_double(classifiers.class_report(score(test), "lang", "predicted"))
+
+
+HOUSE = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query("gd_regression")
+def _(t):
+    rows = t.lineitem.withColumn("target", F.col("l_extendedprice") / 1000)
+    model = regression.linear(rows, HOUSE, "target")
+    return as_double(classifiers.regression_errors(rows.withColumn("prediction", regression.predicted(model, HOUSE)), "target", "prediction"))
+
+
+@query("feature_rmse", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, ROUND(SQRT((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / COUNT(*)), 4) AS rmse FROM (SELECT {c}::DOUBLE AS x, l_extendedprice / 1000 AS y FROM lineitem)"
+    for c in HOUSE))
+def _(t):
+    rows = t.lineitem.select(*[F.col(c).cast("double").alias(c) for c in HOUSE], (F.col("l_extendedprice") / 1000).alias("target"))
+    return as_double(regression.feature_rmse(rows, HOUSE, "target"), 4)
+
+
+@query("score_new_data")
+def _(t):
+    train, new = sampling.split(_churn(t), 0.3, 7, "id")
+    stages = classifiers.category_pipeline(["tax_class"], CHURN[:7], classifiers.random_forest("is_prolong", trees=20))
+    model = classifiers.fit_and_save(stages, train, shared_dir(t.spark, "churn-model"))
+    return model.transform(new).groupBy("is_prolong", F.col("prediction").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query("churn_votes")
+def _(t):
+    train, new = sampling.split(_churn(t), 0.3, 7, "id")
+    rows = [c for c in CHURN]
+    voted = classifiers.churn_votes(train.withColumns({c: F.col(c).cast("double") for c in rows}), new.withColumns({c: F.col(c).cast("double") for c in rows}), rows, "is_prolong", 20, 30)
+    return voted.groupBy("mean_vote", "vote").agg(F.count(F.lit(1)).alias("cnt"), F.round(F.avg("is_prolong"), 6).alias("kept_share"))

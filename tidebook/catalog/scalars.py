@@ -31,7 +31,7 @@ def _(t):
 
 
 @query("epoch_millis", """
-SELECT event_id, make_timestamp(epoch_ms(ts) * 1000) AS request_time, make_timestamp(epoch_ms(ts) * 1000) - INTERVAL 60 SECOND AS minute_before FROM events""")
+SELECT event_id, make_timestamp(epoch_us(ts) // 1000 * 1000) AS request_time, make_timestamp(epoch_us(ts) // 1000 * 1000) - INTERVAL 60 SECOND AS minute_before FROM events""")
 def _(t):
     millis = F.unix_millis(F.col("ts").cast("timestamp"))
     at = scalars.from_epoch_millis(millis)
