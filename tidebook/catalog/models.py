@@ -30,7 +30,7 @@ def _(t):
 
 @query("factorize", """
 WITH f AS (SELECT o_orderpriority AS c, MIN(o_orderkey) AS k FROM orders GROUP BY 1), n AS (SELECT c, row_number() OVER (ORDER BY k) - 1 AS code FROM f)
-SELECT o_orderkey, CAST(code AS INT) AS code FROM orders JOIN n ON c = o_orderpriority""")
+SELECT o_orderkey, code FROM orders JOIN n ON c = o_orderpriority""")
 def _(t):
     return clean.factorize(t.orders, "o_orderpriority", "o_orderkey", "code").select("o_orderkey", "code")
 
@@ -79,6 +79,18 @@ def _(t):
     return as_double(regression.coefficients(regression.linear(rows, ["l_quantity", "l_tax"], "target"), ["l_quantity", "l_tax"], rows), 4)
 
 
+# One feature: the weight is the covariance shrunk by alpha, over the variance.
+LASSO_FIT = "sign(covar_pop(x, y)) * greatest(abs(covar_pop(x, y)) - {alpha}, 0) / var_pop(x)"
+
+
+@query("lasso_one_feature", f"""
+WITH d AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem), w AS (SELECT {LASSO_FIT.format(alpha=5.0)} AS w, AVG(x) AS mx, AVG(y) AS my FROM d)
+SELECT 'l_quantity' AS feature, ROUND(w, 4) AS weight FROM w UNION ALL SELECT 'intercept', ROUND(my - w * mx, 4) FROM w""")
+def _(t):
+    rows = t.lineitem.withColumn("target", F.col("l_extendedprice") / 1000)
+    return as_double(regression.coefficients(regression.lasso(rows, ["l_quantity"], "target", 5.0), ["l_quantity"], rows), 4)
+
+
 @query("lasso")
 def _(t):
     rows = t.lineitem.withColumn("target", F.col("l_extendedprice") / 1000)
@@ -136,10 +148,20 @@ def _(t):
     return as_double(groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("cnt"), *[F.avg(c).alias(c) for c in columns]))
 
 
-@query("k_fold_cv")
+FOLD_SQL = "('0x' || substr(md5('{seed}|' || l_orderkey), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query("k_fold_cv", f"""
+WITH d AS (SELECT CAST(floor({FOLD_SQL.format(seed=1)} * 7) AS INT) AS fold, l_quantity AS a, l_tax AS b, l_extendedprice / 1000 AS y FROM lineitem),
+s AS (SELECT f.fold, AVG(a) AS ma, AVG(b) AS mb, AVG(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_
+      FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold != f.fold GROUP BY f.fold),
+w AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS wa, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS wb FROM s),
+e AS (SELECT d.fold, y - (my + wa * (a - ma) + wb * (b - mb)) AS gap FROM d JOIN w ON w.fold = d.fold)
+SELECT fold, ROUND(AVG(ABS(gap)), 4) AS mae, ROUND(AVG(gap * gap), 3) AS mse FROM e GROUP BY fold""")
 def _(t):
     rows = materialize(t.lineitem.select("l_orderkey", *LINE, (F.col("l_extendedprice") / 1000).alias("target")), "lines")
-    return as_double(regression.cross_validate(rows, LINE, "target", "l_orderkey", 7))
+    out = regression.cross_validate(rows, ["l_quantity", "l_tax"], "target", "l_orderkey", 7)
+    return out.select("fold", dbl("mae", 4).alias("mae"), dbl("mse", 3).alias("mse"))
 
 
 @query("churn_cv")
@@ -149,11 +171,27 @@ def _(t):
     return t.spark.createDataFrame([("logistic", 5, score)], "model string, folds int, accuracy double")
 
 
+ALPHAS = [0.0001 + i * (0.01 - 0.0001) / 9 for i in range(10)]
+
+
+def _lines(t):
+    return materialize(t.lineitem.select("l_orderkey", *LINE, (F.col("l_extendedprice") / 1000).alias("target")), "lines")
+
+
 @query("grid_search")
 def _(t):
-    rows = materialize(t.lineitem.select("l_orderkey", *LINE, (F.col("l_extendedprice") / 1000).alias("target")), "lines")
-    alphas = [0.0001 + i * (0.01 - 0.0001) / 9 for i in range(10)]
-    return as_double(regression.grid_search(rows, LINE, "target", "l_orderkey", alphas, splits=3))
+    return as_double(regression.grid_search(_lines(t), LINE, "target", "l_orderkey", ALPHAS, splits=3))
+
+
+@query("grid_search_one_feature", " UNION ALL ".join(f"""
+SELECT {100 * i}.0::DOUBLE AS alpha, ROUND((SELECT AVG(m) FROM ({' UNION ALL '.join(f"""
+  SELECT (SELECT AVG(ABS(y - (my + w * (x - mx)))) FROM d{s} WHERE u < 0.2) AS m
+  FROM (SELECT {LASSO_FIT.format(alpha=f'{100 * i}.0')} AS w, AVG(x) AS mx, AVG(y) AS my FROM d{s} WHERE u >= 0.2)""" for s in (12, 13))})), 3) AS mae, 2::BIGINT AS splits"""
+    for i in (0, 1, 2, 4)).join(["WITH " + ", ".join(
+        f"d{s} AS (SELECT {FOLD_SQL.format(seed=s)} AS u, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem)" for s in (12, 13)), ""]))
+def _(t):
+    out = regression.grid_search(_lines(t), ["l_quantity"], "target", "l_orderkey", [0.0, 100.0, 200.0, 400.0], splits=2)
+    return out.withColumn("mae", dbl("mae", 3))
 
 
 PRED_SQL = "SELECT o_orderkey, o_totalprice AS label, 1000.0 * CAST(o_orderkey % 500 AS DOUBLE) AS prediction FROM orders"

@@ -41,7 +41,7 @@ SELECT replace(paper, '#', '-') AS paper, date, CAST(close * stock_in_lot AS DOU
 def _(t):
     path = shared_dir(t.spark, "price-files")
     rows = t.fx_prices.select("date", F.lit("18:45").alias("time"), "close", F.translate("paper", "#", "-").alias("ticker"))
-    rows.repartition("ticker").write.partitionBy("ticker").csv(path, header=True)
+    rows.write.partitionBy("ticker").csv(path, header=True)
     lots = t.fx_lots.withColumn("stock", F.translate("stock", "#", "-"))
     prices = files.read_price_files(t.spark, path, "date date, time string, close decimal(18,2)", lots, r"ticker=([^/]+)/")
     return as_double(prices.select("paper", "date", "close"), 4)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.operators.windows import row_index
+
 
 def masked_assign(assignments: Sequence[tuple[Column, Column]], default: Column) -> Column:
     """Ordered conditional overwrite: a later assignment wins, so the CASE runs backwards."""
@@ -67,11 +69,8 @@ def one_hot(df: DataFrame, column: str, values: Mapping[str, object]) -> DataFra
 
 
 def factorize(df: DataFrame, column: str, order: str, out: str) -> DataFrame:
-    """Number the categories 0, 1, .. by their first appearance in ``order``; NULL becomes -1."""
-    from pyspark.sql import Window
-
-    first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("__first"))
-    # Only one row per category reaches this window.
-    codes = first.select(F.col(column).alias("__cat"), (F.row_number().over(Window.orderBy("__first", column)) - 1).alias(out))
+    """Number the categories 0, 1, .. by their first appearance in the unique ``order``; NULL becomes -1."""
+    first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__cat")).agg(F.min(order).alias("__first"))
+    codes = row_index(first, "__first", out).select("__cat", out)
     joined = df.join(codes, F.col(column) == F.col("__cat"), "left").drop("__cat")
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(-1)))

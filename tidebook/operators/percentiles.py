@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.operators.windows import running_sums
+
 # Groups up to this size are ordered whole; larger ones only inside the sketch's bracket.
 SMALL_GROUP = 100_000
 ACCURACY = 10_000
+SLICES = 256
 
 
 def approx_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
@@ -47,20 +50,27 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequen
             (F.lit(float(q)) * (F.col("__n") - 1)).alias("rank"),
             F.when(edge_low, F.col("__min")).otherwise(F.col("__lows")[i]).alias("lo"),
             F.when(edge_high, F.col("__max")).otherwise(F.col("__highs")[i]).alias("hi"),
+            (~small).alias("large"),
         )
 
     brackets = stats.select(*keys, F.array(*[wanted(i, q) for i, q in enumerate(qs)]).alias("__want"))
-    joined = _attach(rows, brackets, keys).select(*keys, "__v", F.explode("__want").alias("w"))
+    width = F.col("w.hi") - F.col("w.lo")
+    sliced = F.floor((F.col("__v") - F.col("w.lo")) / width * SLICES)
+    joined = (
+        _attach(rows, brackets, keys).select(*keys, "__v", F.explode("__want").alias("w"))
+        .withColumn("w", F.col("w").withField("slice", F.when(F.col("w.large") & (width > 0), sliced).otherwise(F.lit(0))))
+    )
     # One row per distinct value inside a bracket; everything below it collapses to one row.
     counted = (
         joined.where(F.col("__v") <= F.col("w.hi"))
         .select(*keys, F.col("w.i").alias("i"), F.col("w.rank").alias("rank"),
-                F.when(F.col("__v") >= F.col("w.lo"), F.col("__v")).alias("__v"))
-        .groupBy(*keys, "i", "rank", "__v")
+                F.when(F.col("__v") >= F.col("w.lo"), F.col("__v")).alias("__v"),
+                F.when(F.col("__v") >= F.col("w.lo"), F.col("w.slice")).alias("__slice"))
+        .groupBy(*keys, "i", "rank", "__slice", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    upto = Window.partitionBy(*keys, "i").orderBy(F.col("__v").asc_nulls_first())
-    ranked = counted.withColumn("__end", F.sum("__c").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # A large bracket is ordered in value slices, so no task holds a whole one.
+    ranked = running_sums(counted, {"__end": ([*keys, "i"], F.col("__c"))}, ["__v"], F.coalesce("__slice", F.lit(-1)))
     start = F.col("__end") - F.col("__c")
 
     def at(position: Column) -> Column:

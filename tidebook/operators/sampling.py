@@ -1,6 +1,7 @@
 """Repeatable sampling: a seeded hash of the row key replaces a random generator.
 
-The outcome does not depend on partitioning or on a task being run again.
+The outcome does not depend on partitioning or on a task being run again. MD5 is used
+because every SQL engine computes it alike, so a split can be reproduced anywhere.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from pyspark.sql import functions as F
 
 
 def hash_order(seed: int, *keys: str) -> Column:
-    return F.xxhash64(F.lit(seed), *keys)
+    """Hex digest of ``seed|key|..``: a fixed random order of the keys."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
 def hash_share(seed: int, *keys: str) -> Column:
-    """A number in [0, 1) per key."""
-    return F.pmod(hash_order(seed, *keys), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    """A number in [0, 1) per key: the first 32 bits of the digest."""
+    return F.conv(F.substring(hash_order(seed, *keys), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
 
 
 def shuffle_rows(df: DataFrame, seed: int, *keys: str) -> DataFrame:

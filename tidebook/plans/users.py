@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import scalars
 from tidebook.operators import joins
-from tidebook.operators.aggregates import top_with_ties
+from tidebook.operators.aggregates import top_with_ties, unpivot
 from tidebook.operators.percentiles import exact_percentiles
 from tidebook.operators.windows import first_row
 
@@ -107,8 +107,10 @@ def funnel_ratios(funnel: DataFrame) -> DataFrame:
 
 def drop_outlier_users(df: DataFrame, metrics: Sequence[str], q: float = 0.975) -> DataFrame:
     """Remove every user above the ``q`` percentile in any metric. ``df`` is read several times."""
+    edges = exact_percentiles(unpivot(df, [], metrics), ["variable"], "value", [q])
+    row = edges.agg(*[F.max(F.when(F.col("variable") == m, F.col("p0"))).alias(m) for m in metrics])
+    marked = df.select("user_id", *metrics).withColumn("__edge", row.select(F.struct(*metrics)).scalar())
     above = F.lit(False)
-    for metric in metrics:
-        edge = exact_percentiles(df, [], metric, [q]).scalar()
-        above = above | F.coalesce(F.col(metric).cast("double") > edge, F.lit(False))
-    return df.join(df.where(above).select("user_id"), "user_id", "left_anti")
+    for m in metrics:
+        above = above | F.coalesce(F.col(m).cast("double") > F.col(f"__edge.{m}"), F.lit(False))
+    return df.join(marked.where(above).select("user_id"), "user_id", "left_anti")
