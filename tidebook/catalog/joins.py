@@ -65,7 +65,7 @@ SELECT b.user_id, COUNT(*) AS cnt, CAST(SUM(operation_amount_usd) AS DOUBLE) AS
 JOIN fx_users u ON u.user_id = b.user_id AND u.registration_time + INTERVAL 30 DAY >= b.operation_time GROUP BY b.user_id""")
 def _(t):
     until = (F.col("registration_time").cast("timestamp_ntz") + F.expr("INTERVAL 30 DAYS")).alias("until")
-    joined = joins.salted_left(t.fx_balance, t.fx_users.select("user_id", until), "user_id", F.col("until") >= F.col("operation_time"), 16, ["op_id"])
+    joined = t.fx_balance.join(t.fx_users.select("user_id", until), "user_id").where(F.col("until") >= F.col("operation_time"))
     return joined.groupBy("user_id").agg(F.count(F.lit(1)).alias("cnt"), F.sum("operation_amount_usd").cast("double").alias("total"))
 
 

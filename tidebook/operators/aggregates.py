@@ -11,9 +11,14 @@ from tidebook.operators.percentiles import exact_percentiles
 
 
 def newest(value: str | Column, *order: str) -> Column:
-    """The non-NULL ``value`` of the highest ``order``; rows with a NULL value are skipped."""
+    """The non-NULL ``value`` of the highest ``order``; rows with a NULL value are skipped.
+
+    Give a second order column only where versions can tie: a single number or time keeps
+    the aggregation hashed.
+    """
     v = F.col(value) if isinstance(value, str) else value
-    return F.max_by(v, F.when(v.isNotNull(), F.struct(*order)))
+    rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    return F.max_by(v, F.when(v.isNotNull(), rank))
 
 
 def latest_per_day(df: DataFrame, key: str, updated: str, tie: str, values: Sequence[str]) -> DataFrame:

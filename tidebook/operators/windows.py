@@ -40,10 +40,13 @@ def running_sums(
     for out, (_, value) in sums.items():
         body = body.withColumn(values[out], value)
 
+    # One map-side-combined pass gives the totals of every sum; coarser keys re-add the finer ones.
+    all_keys = list(dict.fromkeys(k for keys, _ in sums.values() for k in keys))
+    fine = body.groupBy(*all_keys, _BUCKET).agg(*[F.sum(v).alias(v) for v in values.values()])
     openings = []
     for out, (keys, _) in sums.items():
         before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        totals = body.groupBy(*keys, _BUCKET).agg(F.sum(values[out]).alias("__t"))
+        totals = fine.groupBy(*keys, _BUCKET).agg(F.sum(values[out]).alias("__t"))
         openings.append(
             totals.select(*keys, _BUCKET, F.lit(0).alias(_BODY), F.sum("__t").over(before).alias("__t"))
             .where(F.col("__t").isNotNull())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidebook import constants
 from tidebook.functions import scalars
 from tidebook.operators import joins, windows
-from tidebook.operators.aggregates import newest
+from tidebook.operators.aggregates import newest, unpivot
 from tidebook.operators.percentiles import approx_percentiles, exact_percentiles
 
 
@@ -254,8 +254,10 @@ def spread_by_instrument(deals: DataFrame, orders: DataFrame, start: str, end: s
     rows = spread_rows(deals, orders, start, end, symbols).withColumn("type_account", account)
     out = rows.groupBy(*keys).agg(
         F.sum("volume_usd").alias("tv_sum"), F.avg("spread_pips").alias("avg_spread_pip"), F.avg("spread_usd").alias("avg_spread_usd"))
+    # Both spreads go through one percentile pass, as (key, variable, value) rows.
     percentiles = exact_percentiles if exact else approx_percentiles
-    for column, name in (("spread_pips", "spread_pip"), ("spread_usd", "spread_usd")):
-        found = percentiles(rows, keys, column, [0.80, 0.95]).toDF(*keys, f"{name}_80_perc", f"{name}_95_perc")
-        out = out.join(found, keys, "left")
-    return out.orderBy("tv_sum")
+    found = percentiles(unpivot(rows, keys, ["spread_pips", "spread_usd"]), [*keys, "variable"], "value", [0.80, 0.95])
+    names = {("spread_pips", "p0"): "spread_pip_80_perc", ("spread_pips", "p1"): "spread_pip_95_perc",
+             ("spread_usd", "p0"): "spread_usd_80_perc", ("spread_usd", "p1"): "spread_usd_95_perc"}
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("variable") == v, F.col(p))).alias(n) for (v, p), n in names.items()])
+    return out.join(wide, keys, "left").orderBy("tv_sum")

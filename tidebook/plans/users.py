@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalars
-from tidebook.operators import joins
 from tidebook.operators.aggregates import top_with_ties, unpivot
 from tidebook.operators.percentiles import exact_percentiles
 from tidebook.operators.windows import first_row
@@ -64,7 +63,8 @@ def user_funnel(users: DataFrame, trades: DataFrame, balance: DataFrame, days: i
     """Per user: first trade, first deposit, totals of the first ``days`` days, lifetime profit.
 
     First rows are aggregates rather than windows, and facts are pre-summed per user and time
-    before they meet the registrations, so a hot user shrinks before each shuffle. As given,
+    before they meet the registrations, so a hot user shrinks before each shuffle; what is left
+    of one is split by AQE, which ``session.tune`` lets do so before the group-by. As given,
     the early totals have no lower bound and count once per registration of the user.
     """
     first = F.min_by(F.struct("profit_usd", "open_time"), F.struct(*TRADE_ORDER))
@@ -77,14 +77,14 @@ def user_funnel(users: DataFrame, trades: DataFrame, balance: DataFrame, days: i
     limit = F.col("registration_time").cast("timestamp_ntz") + F.make_dt_interval(F.lit(days))
     seen = users.groupBy("user_id", limit.alias("until")).agg(F.count(F.lit(1)).alias("times"))
     early_trades = trades.groupBy("user_id", F.col("close_time").alias("at")).agg(F.sum("profit_usd").alias("profit"))
-    profit = joins.salted_left(early_trades, seen, "user_id", F.col("until") >= F.col("at"), 32, ["at"]).groupBy("user_id").agg(
+    profit = early_trades.join(seen, "user_id").where(F.col("until") >= F.col("at")).groupBy("user_id").agg(
         F.sum(F.col("profit") * F.col("times")).alias("profit_30_days"))
 
     def of(kind: str):
         return F.sum(F.when(F.col("operation_type") == kind, F.col("operation_amount_usd")).otherwise(0))
 
     early_balance = balance.groupBy("user_id", F.col("operation_time").alias("at")).agg(of("deposit").alias("dep"), of("withdrawal").alias("wd"))
-    money = joins.salted_left(early_balance, seen, "user_id", F.col("until") >= F.col("at"), 32, ["at"]).groupBy("user_id").agg(
+    money = early_balance.join(seen, "user_id").where(F.col("until") >= F.col("at")).groupBy("user_id").agg(
         F.sum(F.col("dep") * F.col("times")).alias("deposit_30_days"), F.sum(F.col("wd") * F.col("times")).alias("withdrawal_30_days"))
 
     joined = registrations(users)
