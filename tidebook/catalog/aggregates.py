@@ -13,7 +13,8 @@ from tidebook.operators.percentiles import approx_percentiles, exact_percentiles
 from tidebook.plans import loans, portfolio, risk, users
 from tidebook.session import materialize
 
-N = F.count(F.lit(1))
+def n_rows():
+    return F.count(F.lit(1))
 
 
 @query("group_sum", "SELECT user_id, CAST(SUM(profit_usd) AS DOUBLE) AS total_profit FROM fx_trades GROUP BY user_id")
@@ -134,18 +135,18 @@ SELECT user_uid, ROUND(CAST(SUM(v) AS DOUBLE), 2) AS v, MAX(m) AS m, CAST(SUM(n)
 def _(t):
     rows = t.fx_orders_mt4.select("user_uid", "volume_closed_usd", F.col("volume").cast("double").alias("m")).union(
         t.fx_deals_mt5.select("user_uid", "volume_closed_usd", F.col("volume_closed").cast("double")))
-    return rows.groupBy("user_uid").agg(dbl(F.sum("volume_closed_usd"), 2).alias("v"), F.max("m").alias("m"), N.alias("n"))
+    return rows.groupBy("user_uid").agg(dbl(F.sum("volume_closed_usd"), 2).alias("v"), F.max("m").alias("m"), n_rows().alias("n"))
 
 
 @query("global_agg", "SELECT COUNT(*) AS cnt, CAST(SUM(amount) AS DOUBLE) AS total FROM fx_loans")
 def _(t):
-    return t.fx_loans.agg(N.alias("cnt"), F.sum("amount").cast("double").alias("total"))
+    return t.fx_loans.agg(n_rows().alias("cnt"), F.sum("amount").cast("double").alias("total"))
 
 
 @query("agg_ratio", """
 SELECT login, ROUND(SUM(CASE WHEN response_result = 2 THEN 1 ELSE 0 END)::DOUBLE / SUM(1), 6) AS share FROM fx_responses GROUP BY login""")
 def _(t):
-    return t.fx_responses.groupBy("login").agg(dbl(scalars.ratio(F.count_if(F.col("response_result") == 2), N)).alias("share"))
+    return t.fx_responses.groupBy("login").agg(dbl(scalars.ratio(F.count_if(F.col("response_result") == 2), n_rows())).alias("share"))
 
 
 @query("value_counts", "SELECT tax_system, COUNT(*) AS cnt FROM fx_companies GROUP BY tax_system")

@@ -265,7 +265,7 @@ def _(t):
 @query("text_classifier")
 def _(t):
     train, test = sampling.split(t.documents.select("doc_id", "text", "lang"), 0.33, 42, "doc_id")
-    score = text_models.fit_text_classifier(train, "text", "lang")
+    score = text_models.fit_text_classifier(train, "text", "lang", buckets=1 << 16)
     return as_double(classifiers.class_report(score(test), "lang", "predicted"))
 
 

@@ -361,11 +361,11 @@ def _(t):
 
 
 @query("top_rejected_profit", """
-WITH woody AS (
+WITH leaders AS (
   SELECT uuid, COUNT(1) AS cnt, row_number() OVER (ORDER BY COUNT(1) DESC, uuid) AS rn FROM fx_responses
   WHERE comment = 'margin no money (precheck)' GROUP BY uuid)
 SELECT user_uid, rn, CAST(SUM(profit) AS DOUBLE) AS profit
-FROM fx_trades_extra JOIN woody w ON user_uid = CAST(w.uuid AS BIGINT) AND w.rn < 20
+FROM fx_trades_extra JOIN leaders w ON user_uid = CAST(w.uuid AS BIGINT) AND w.rn < 20
 WHERE cmd IN (0,1) AND open_time >= TIMESTAMP '1995-01-01' GROUP BY user_uid, rn""")
 def _(t):
     return as_double(rejects.top_rejected_profit(t.fx_trades_extra, t.fx_responses, "1995-01-01"), 4)

@@ -29,11 +29,12 @@ def _(t):
     return jobs.run_to_files(jobs.quotes(rows, "ts", "price"), "stream-quotes")
 
 
-# A window is out when its end is not after the newest event time less the allowed lateness.
+# A window is out when its end is not after the newest event time less the allowed lateness;
+# Spark filters before it reads the event time, so only counted responses move the watermark.
 @query("stream_reject_minutes", """
-WITH kept AS (SELECT * FROM fx_responses), top AS (SELECT MAX(request_ts) AS top FROM kept)
+WITH kept AS (SELECT * FROM fx_responses WHERE response_result IN (1, 2, 3) AND uuid != ''), top AS (SELECT MAX(request_ts) AS top FROM kept)
 SELECT date_trunc('hour', request_ts) AS scoring_time, login, COUNT(*) FILTER (response_result = 2) AS cnt_reset_req, COUNT(*) AS cnt_req
-FROM kept CROSS JOIN top WHERE response_result IN (1, 2, 3) AND uuid != '' AND date_trunc('hour', request_ts) + INTERVAL 1 HOUR <= top - INTERVAL 10 MINUTE
+FROM kept CROSS JOIN top WHERE date_trunc('hour', request_ts) + INTERVAL 1 HOUR <= top - INTERVAL 10 MINUTE
 GROUP BY 1, 2 HAVING COUNT(*) FILTER (response_result = 2) > 1""")
 def _(t):
     found = jobs.reject_minutes(projected(t, "fx_responses", "events"), size="1 hour")

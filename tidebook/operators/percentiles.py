@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebook.operators.windows import running_sums
 
 # Groups up to this size are ordered whole; larger ones only inside the sketch's bracket.
+# Keep it at ten times ACCURACY or more, so that the bracket spans whole ranks.
 SMALL_GROUP = 100_000
 ACCURACY = 10_000
 SLICES = 256

@@ -12,14 +12,19 @@ from tidebook.functions import scalars, text
 from tidebook.operators import windows
 
 
-def reject_leaders(responses: DataFrame, comment: str = constants.REJECT_COMMENT) -> DataFrame:
-    hits = responses.where(F.col("comment") == comment)
+def on_day(events: DataFrame, day: str | None) -> DataFrame:
+    """Events of one day (all days when None). A plain filter on ``date``, so partitions are pruned."""
+    return events.where(F.col("date") == F.lit(day).cast("date")) if day else events
+
+
+def reject_leaders(responses: DataFrame, comment: str = constants.REJECT_COMMENT, day: str | None = None) -> DataFrame:
+    hits = on_day(responses, day).where(F.col("comment") == comment)
     return hits.groupBy("uuid").agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.desc("cnt"), "uuid")
 
 
-def top_rejected(responses: DataFrame, k: int, comment: str = constants.REJECT_COMMENT) -> DataFrame:
+def top_rejected(responses: DataFrame, k: int, comment: str = constants.REJECT_COMMENT, day: str | None = None) -> DataFrame:
     """The ``k`` most rejected users and their rank; the window sees only these ``k`` rows."""
-    top = reject_leaders(responses, comment).limit(k)
+    top = reject_leaders(responses, comment, day).limit(k)
     return top.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("cnt"), "uuid")))
 
 
@@ -47,20 +52,20 @@ def top_rejected_profit(trades: DataFrame, responses: DataFrame, since: str, bel
     return sums.join(top, "user_uid").select("user_uid", "rn", "profit").orderBy("rn")
 
 
-def response_breakdown(responses: DataFrame, results: Sequence[int] = (2,)) -> DataFrame:
-    kept = responses.where(F.col("response_result").isin(*results))
+def response_breakdown(responses: DataFrame, results: Sequence[int] = (2,), day: str | None = None) -> DataFrame:
+    kept = on_day(responses, day).where(F.col("response_result").isin(*results))
     return kept.groupBy("response_result", "comment").agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.desc("cnt"), "comment")
 
 
-def reject_streaks(responses: DataFrame, more_than: int = 100, comment: str = constants.REJECT_COMMENT) -> DataFrame:
+def reject_streaks(responses: DataFrame, more_than: int = 100, comment: str = constants.REJECT_COMMENT, day: str | None = None) -> DataFrame:
     """Accounts whose rejects directly follow one another more than ``more_than`` times."""
     found = windows.repeated_value_streaks(
-        responses, ["uuid", "login"], ["request_ts", "event_id"], "comment", comment, F.date_trunc("hour", "request_ts"))
+        on_day(responses, day), ["uuid", "login"], ["request_ts", "event_id"], "comment", comment, F.date_trunc("hour", "request_ts"))
     return found.where(F.col("max_incidents") > more_than).orderBy(F.desc("max_incidents"), "uuid", "login")
 
 
-def reject_share(responses: DataFrame, more_than: int = 10) -> DataFrame:
-    counts = responses.where(F.col("uuid") != "").groupBy("login").agg(
+def reject_share(responses: DataFrame, more_than: int = 10, day: str | None = None) -> DataFrame:
+    counts = on_day(responses, day).where(F.col("uuid") != "").groupBy("login").agg(
         F.count_if(F.col("response_result") == 2).alias("cnt_reset_req"), F.count(F.lit(1)).alias("cnt_req"))
     kept = counts.where(F.col("cnt_reset_req") > more_than)
     return kept.withColumn("part_reset_req", scalars.ratio(F.col("cnt_reset_req"), F.col("cnt_req"))).orderBy(
@@ -74,17 +79,18 @@ def busy_logins(responses: DataFrame, at: Column, more_than: int = 1) -> DataFra
     ).where(F.col("cnt_reset_req") > more_than)
 
 
-def reject_minutes(responses: DataFrame, bucket: str = "minute", more_than: int = 1) -> DataFrame:
+def reject_minutes(responses: DataFrame, bucket: str = "minute", more_than: int = 1, day: str | None = None) -> DataFrame:
     """Per time bucket: accounts rejected more than ``more_than`` times in it."""
-    logins = busy_logins(responses, F.date_trunc(bucket, "request_ts").cast("timestamp_ntz"), more_than)
+    logins = busy_logins(on_day(responses, day), F.date_trunc(bucket, "request_ts").cast("timestamp_ntz"), more_than)
     return logins.groupBy("scoring_time").agg(F.count("login").alias("cnt_logins")).orderBy("scoring_time")
 
 
-def toxicity_counts(events: DataFrame, payload: str, start: int = 28, length: int = 5, drop: Sequence[str] = (",", '"'), limit: int | None = None) -> DataFrame:
+def toxicity_counts(events: DataFrame, payload: str, start: int = 28, length: int = 5, drop: Sequence[str] = (",", '"'), limit: int | None = None, day: str | None = None) -> DataFrame:
     """Deals per toxicity value; the value is cut out of the payload by position.
 
     ``limit`` restricts the job to a preview of that many rows.
     """
-    rows = events.limit(limit) if limit else events
+    rows = on_day(events, day)
+    rows = rows.limit(limit) if limit else rows
     value = text.number_from_substring(F.col(payload), start, length, drop)
     return rows.groupBy(value.alias("toxicity")).agg(F.count(F.lit(1)).alias("cnt_deal")).orderBy(F.desc("cnt_deal"), "toxicity")

@@ -37,18 +37,22 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_root: str | None = None
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder all executors see (``spark.checkpoint.dir``).
 
     Only a local master, where driver and executors share one disk, may fall back to a
     temporary folder.
     """
+    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="tidebook-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _local_root = _local_root or tempfile.mkdtemp(prefix="tidebook-")
+        root = _local_root
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
