@@ -75,3 +75,9 @@ def test_histogram_sums_to_the_non_null_count(spark, groups):
 def test_histogram_of_a_constant(spark):
     got = histogram(spark.createDataFrame([(3.0,)] * 4, "v double"), "v", 10).collect()
     assert [(r.bin, r.cnt) for r in got] == [(0, 4)]
+
+
+def test_null_group_is_kept(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), (None, 90.0), (None, 3.0), (None, 2.5), ("a", 1.0)], "g string, v double")
+    got = {r.g: r.outliers for r in box_stats(df, "v", ["g"]).collect()}
+    assert got == {None: 1, "a": 0}

@@ -218,3 +218,15 @@ def test_swap_cost_on_two_quotes(spark):
     profiles = spark.createDataFrame([(1, 1, ts(3), 1, "a"), (1, 2, ts(3, 5), None, "b")], "uid long, seq long, updated timestamp_ntz, muslim int, status string")
     got = swaps.swap_free_cost(charged, quotes_, profiles, "2024-01-01", "2025-01-01", None).collect()
     assert [(r.year_month, r.symbol, r.muslim, r.swap_charged, r.swap_loss_usd) for r in got] == [(202401, "EURUSDm", 1, 12.0, 2)]
+
+
+def test_spread_sketch_and_exact_have_the_same_rows(tables):
+    def report(exact):
+        out = risk.spread_by_instrument(tables.fx_deals_mt5, tables.fx_orders_mt4, "1995-01-01", "2000-01-01", None, exact=exact)
+        return {(r.symbol_reg, r.type_account, r.contract_size): r for r in out.collect()}
+
+    sketch, exact = report(False), report(True)
+    assert sketch.keys() == exact.keys() and len(exact) > 5
+    for key, row in exact.items():
+        other = sketch[key].asDict()
+        assert set(other) == set(row.asDict()) and other["tv_sum"] == row.tv_sum and other["avg_spread_usd"] == row.avg_spread_usd

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.operators.joins import null_safe
 from tidebook.operators.percentiles import exact_percentiles
 
 
@@ -55,7 +56,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     names = ["q1", "median", "q3", "low_fence", "high_fence"]
     rows = df.select(*by, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
     if by:
-        joined = rows.join(fences, by)
+        joined = null_safe(rows, fences, by)
     else:
         joined = rows.withColumn("__f", fences.select(F.struct(*names)).scalar()).select("__v", "__f.*")
     outside = (F.col("__v") < F.col("low_fence")) | (F.col("__v") > F.col("high_fence"))
@@ -99,7 +100,7 @@ def class_stats(df: DataFrame, columns: Sequence[str], label: str, all_label: st
     both = long.select(F.explode(F.array(F.lit(all_label), F.col("class"))).alias("class"), "variable", "value")
     stats = both.groupBy("class", "variable").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     median = exact_percentiles(both, ["class", "variable"], "value", [0.5]).withColumnRenamed("p0", "median")
-    wide = stats.join(median, ["class", "variable"])
+    wide = null_safe(stats, median, ["class", "variable"])
     cells = F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in ("mean", "median", "std")])
     return wide.select("class", "variable", F.inline(cells))
 

@@ -14,6 +14,13 @@ def expand_suffixes(df: DataFrame, column: str, suffixes: Sequence[str], out: st
     return df.select("*", F.explode(names).alias(out))
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on same-named keys in which NULL matches NULL, as groups do."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def day_spine(df: DataFrame, column: str, out: str = "day") -> DataFrame:
     """Every day between the first and the last date of ``column``."""
     ends = df.agg(F.min(column).cast("date").alias("lo"), F.max(column).cast("date").alias("hi"))

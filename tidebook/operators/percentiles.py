@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.operators.joins import null_safe
 from tidebook.operators.windows import running_sums
 
 # Groups up to this size are ordered whole; larger ones only inside the sketch's bracket.
@@ -90,6 +91,4 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequen
 def _attach(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
         return rows.withColumn("__want", stats.select("__want").scalar())
-    right = stats.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__want")
-    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    return rows.join(right, same).drop(*[f"__k{i}" for i in range(len(keys))])
+    return null_safe(rows, stats, keys)

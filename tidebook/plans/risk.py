@@ -11,7 +11,7 @@ from tidebook import constants
 from tidebook.functions import scalars
 from tidebook.operators import joins, windows
 from tidebook.operators.aggregates import newest, unpivot
-from tidebook.operators.percentiles import approx_percentiles, exact_percentiles
+from tidebook.operators.percentiles import exact_percentiles
 
 
 def _ts(text: str) -> Column:
@@ -247,17 +247,17 @@ def spread_by_instrument(deals: DataFrame, orders: DataFrame, start: str, end: s
                          symbols: Sequence[str] | None = constants.SPREAD_SYMBOLS, exact: bool = False) -> DataFrame:
     """Volume, mean and high percentiles of the spread per symbol and account type.
 
-    The percentiles are sketches unless ``exact``.
+    The percentiles are sketches, built in the same pass, unless ``exact``.
     """
     account = F.when((F.col("contract_size") == 1000) & (F.col("symbol_reg") != "USOIL"), F.lit("cent")).otherwise(F.lit("standart"))
-    keys = ["symbol_reg", "type_account", "contract_size"]
+    keys, spreads, qs = ["symbol_reg", "type_account", "contract_size"], {"spread_pips": "spread_pip", "spread_usd": "spread_usd"}, (0.80, 0.95)
     rows = spread_rows(deals, orders, start, end, symbols).withColumn("type_account", account)
-    out = rows.groupBy(*keys).agg(
-        F.sum("volume_usd").alias("tv_sum"), F.avg("spread_pips").alias("avg_spread_pip"), F.avg("spread_usd").alias("avg_spread_usd"))
+    sums = [F.sum("volume_usd").alias("tv_sum"), *[F.avg(c).alias(f"avg_{n}") for c, n in spreads.items()]]
+    names = {(c, i): f"{n}_{round(q * 100)}_perc" for c, n in spreads.items() for i, q in enumerate(qs)}
+    if not exact:
+        sketches = {c: F.percentile_approx(c, list(qs), 10_000) for c in spreads}
+        return rows.groupBy(*keys).agg(*sums, *[sketches[c][i].alias(n) for (c, i), n in names.items()]).orderBy("tv_sum")
     # Both spreads go through one percentile pass, as (key, variable, value) rows.
-    percentiles = exact_percentiles if exact else approx_percentiles
-    found = percentiles(unpivot(rows, keys, ["spread_pips", "spread_usd"]), [*keys, "variable"], "value", [0.80, 0.95])
-    names = {("spread_pips", "p0"): "spread_pip_80_perc", ("spread_pips", "p1"): "spread_pip_95_perc",
-             ("spread_usd", "p0"): "spread_usd_80_perc", ("spread_usd", "p1"): "spread_usd_95_perc"}
-    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("variable") == v, F.col(p))).alias(n) for (v, p), n in names.items()])
-    return out.join(wide, keys, "left").orderBy("tv_sum")
+    found = exact_percentiles(unpivot(rows, keys, list(spreads)), [*keys, "variable"], "value", qs)
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("variable") == c, F.col(f"p{i}"))).alias(n) for (c, i), n in names.items()])
+    return joins.null_safe(rows.groupBy(*keys).agg(*sums), wide, keys, "left").orderBy("tv_sum")
