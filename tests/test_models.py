@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidebook.models import classifiers, regression
+from tidebook.models import classifiers, moments, regression
 from tidebook.models import text as text_models
 
 X = ["a", "b", "c"]
@@ -51,6 +51,27 @@ def test_lasso_satisfies_its_optimality_conditions(sample):
     assert w[2] == 0.0
 
 
+def test_cross_validation_against_numpy(sample):
+    df, x, y, _ = sample
+    fold = dict(df.select("id", F.floor(regression.hash_share(1, "id") * 5)).collect())
+    f = np.array([fold[i] for i in range(len(y))])
+    for row in regression.cross_validate(df, X, "y", "id", 5).collect():
+        train, test = f != row.fold, f == row.fold
+        w = np.linalg.lstsq(np.c_[x, np.ones(len(x))][train], y[train], rcond=None)[0]
+        gap = y[test] - np.c_[x, np.ones(len(x))][test] @ w
+        assert (row.mae, row.mse) == (pytest.approx(np.abs(gap).mean()), pytest.approx((gap**2).mean()))
+
+
+def test_grid_weights_match_single_fits(sample):
+    df, *_ = sample
+    shift = moments.means(df, [*X, "y"])
+    got = moments.moments_by(df, [*X, "y"], shift, F.lit(0))[0]
+    for alpha in (0.0, 0.05, 0.5):
+        weights, _ = got.fit(alpha)
+        model = regression.lasso(df, X, "y", alpha) if alpha else regression.linear(df, X, "y")
+        np.testing.assert_allclose(weights, list(model.coefficients), atol=1e-4)
+
+
 def test_feature_rmse(sample):
     df, x, y, _ = sample
     got = {r.feature: r.rmse for r in regression.feature_rmse(df, X, "y").collect()}

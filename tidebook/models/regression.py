@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.operators.sampling import hash_share
+from tidebook.models import moments
+from tidebook.operators.sampling import hash_below, hash_order, hash_share
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -67,31 +69,63 @@ def feature_rmse(df: DataFrame, features: Sequence[str], target: str) -> DataFra
     return one.select(F.inline(cells))
 
 
+def _gap(features: Sequence[str], shift: Sequence[float], label: str, prefix: str) -> Column:
+    """Label minus the line whose weights lie in columns ``{prefix}_0, ..`` (intercept last)."""
+    line = F.col(f"{prefix}_{len(features)}")
+    for i, (c, s) in enumerate(zip(features, shift)):
+        line = line + F.col(f"{prefix}_{i}") * (F.col(c) - F.lit(s))
+    return F.col(label) - F.lit(shift[-1]) - line
+
+
+def _weight_table(df: DataFrame, key: str, rows: dict[int, list[float]], names: Sequence[str]) -> DataFrame:
+    """One row of fitted weights per fold or split (a few dozen), to join on ``key``."""
+    schema = ", ".join([f"{key} int", *[f"{n} double" for n in names]])
+    table = df.sparkSession.createDataFrame([(k, *map(float, values)) for k, values in rows.items()], schema)
+    return F.broadcast(table)
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 7, seed: int = 1) -> DataFrame:
-    """Mean absolute and squared error of least squares per fold; folds come from a hash of ``key``."""
-    folds = df.withColumn("__fold", F.floor(hash_share(seed, key) * k).cast("int"))
-    errors = []
-    for fold in range(k):
-        model = linear(folds.where(F.col("__fold") != fold), features, label)
-        gap = F.col(label) - predicted(model, features)
-        errors.append(F.when(F.col("__fold") == fold, gap))
-    gap = F.coalesce(*errors)
-    return folds.groupBy(F.col("__fold").alias("fold")).agg(F.avg(F.abs(gap)).alias("mae"), F.avg(gap * gap).alias("mse"))
+    """Mean absolute and squared error of least squares per fold; folds come from a hash of ``key``.
+
+    Three passes whatever ``k``: means, sums of products per fold, errors.
+    """
+    fold = F.floor(hash_share(seed, key) * k).cast("int")
+    columns = [*features, label]
+    shift = moments.means(df, columns)
+    folds = moments.moments_by(df, columns, shift, fold)
+    total = sum(folds.values(), moments.Moments(0.0, np.zeros(len(columns)), np.zeros((len(columns), len(columns)))))
+    fitted = {}
+    for f, held_out in folds.items():
+        weights, intercept = (total - held_out).fit()
+        fitted[f] = [*weights, intercept]
+    table = _weight_table(df, "fold", fitted, [f"w_{i}" for i in range(len(columns))])
+    gap = _gap(features, shift, label, "w")
+    return df.withColumn("fold", fold).join(table, "fold").groupBy("fold").agg(F.avg(F.abs(gap)).alias("mae"), F.avg(gap * gap).alias("mse"))
 
 
 def grid_search(df: DataFrame, features: Sequence[str], label: str, key: str, alphas: Sequence[float], splits: int = 30, test_share: float = 0.2, seed: int = 12) -> DataFrame:
     """Mean absolute error of the lasso for every alpha over repeated hash-seeded splits.
 
-    All alphas of a split are scored in one pass over its test rows.
+    Four passes for all splits and alphas. A row is repeated only for the splits that test
+    on it; the training sums of a split are the total less its test rows.
     """
-    rows = []
-    for i in range(splits):
-        share = hash_share(seed + i, key)
-        vectors = assemble(df.where(share >= test_share), features)
-        estimator = LinearRegression(labelCol=label, elasticNetParam=1.0, standardization=False, solver="normal", maxIter=500)
-        models = estimator.fit(vectors, [{estimator.regParam: a} for a in alphas])
-        errors = [F.avg(F.abs(F.col(label) - predicted(m, features))) for m in models]
-        scored = df.where(share < test_share).agg(*errors).first()
-        rows += [(i, float(a), float(e)) for a, e in zip(alphas, scored)]
-    table = df.sparkSession.createDataFrame(rows, "split int, alpha double, mae double")
-    return table.groupBy("alpha").agg(F.avg("mae").alias("mae"), F.count(F.lit(1)).alias("splits"))
+    columns = [*features, label]
+    shift = moments.means(df, columns)
+    total = moments.moments_by(df, columns, shift, F.lit(0))[0]
+    # A digest decides four splits; exploding the digests computes each once.
+    digests = F.array(*[hash_order(seed + d, key) for d in range((splits + 3) // 4)])
+    words = F.array(*[F.when(hash_below(test_share, F.col("digest"), w), F.col("d") * 4 + w) for w in range(4)])
+    tested = (
+        df.select(*columns, F.posexplode(digests).alias("d", "digest"))
+        .select(*columns, F.explode(F.array_compact(words)).alias("split"))
+        .where(F.col("split") < splits)
+    )
+    fitted = {}
+    for i, held_out in moments.moments_by(tested, columns, shift, F.col("split")).items():
+        fits = [(total - held_out).fit(a) for a in alphas]
+        fitted[i] = [v for weights, intercept in fits for v in (*weights, intercept)]
+    names = [f"a{a}_{i}" for a in range(len(alphas)) for i in range(len(columns))]
+    scored = tested.join(_weight_table(df, "split", fitted, names), "split")
+    errors = scored.groupBy("split").agg(*[F.avg(F.abs(_gap(features, shift, label, f"a{a}"))).alias(f"e{a}") for a in range(len(alphas))])
+    cells = F.array(*[F.struct(F.lit(float(alpha)).alias("alpha"), F.col(f"e{a}").alias("mae")) for a, alpha in enumerate(alphas)])
+    return errors.select(F.inline(cells)).groupBy("alpha").agg(F.avg("mae").alias("mae"), F.count(F.lit(1)).alias("splits"))

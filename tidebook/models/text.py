@@ -44,7 +44,7 @@ def fit_text_classifier(train: DataFrame, text: str, label: str, buckets: int =
     scale = Vectors.dense([0.0 if df < min_df else math.log((1 + idf.numDocs) / (1 + df)) + 1 for df in idf.docFreq])
     to_features = [ElementwiseProduct(scalingVec=scale, inputCol="tf", outputCol="weighted"), Normalizer(p=2.0, inputCol="weighted", outputCol="features")]
     index = StringIndexer(inputCol=label, outputCol="label_ix", stringOrderType="alphabetAsc")
-    svm = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=1e-4), labelCol="label_ix", featuresCol="features")
+    svm = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=1e-4), labelCol="label_ix", featuresCol="features", parallelism=4)
     model = Pipeline(stages=[index, *to_features, svm]).fit(rows)
     names = model.stages[0].labels
 

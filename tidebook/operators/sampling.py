@@ -6,6 +6,7 @@ because every SQL engine computes it alike, so a split can be reproduced anywher
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,16 @@ def hash_share(seed: int, *keys: str) -> Column:
     return F.conv(F.substring(hash_order(seed, *keys), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
 
 
+def hash_below(share: float, digest: Column, word: int = 0) -> Column:
+    """True for that share of the digests. Hex words compare like numbers, so nothing is converted.
+
+    A digest holds four independent words (0..3).
+    """
+    if share >= 1:
+        return F.lit(True)
+    return F.substring(digest, 1 + 8 * word, 8) < F.lit(f"{math.ceil(share * (1 << 32)):08x}")
+
+
 def shuffle_rows(df: DataFrame, seed: int, *keys: str) -> DataFrame:
     return df.orderBy(hash_order(seed, *keys), *keys)
 
@@ -38,5 +49,5 @@ def sample_k(df: DataFrame, k: int, seed: int, *keys: str) -> DataFrame:
 
 
 def split(df: DataFrame, test_share: float, seed: int, *keys: str) -> tuple[DataFrame, DataFrame]:
-    share = hash_share(seed, *keys)
-    return df.where(share >= test_share), df.where(share < test_share)
+    tested = hash_below(test_share, hash_order(seed, *keys))
+    return df.where(~tested), df.where(tested)
