@@ -11,6 +11,13 @@ from tidebook.operators import windows
 START = datetime.datetime(2024, 1, 1)
 
 
+@pytest.fixture(params=["split", "whole"], autouse=True)
+def hot_keys(request, monkeypatch):
+    """Each case once with hot keys split and once with none."""
+    if request.param == "split":
+        monkeypatch.setattr(windows, "MIN_HOT_ROWS", 100)
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     """Hot key 7, a NULL key, ties in time, NULL values."""

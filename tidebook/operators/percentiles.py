@@ -65,14 +65,14 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequen
     # One row per distinct value inside a bracket; everything below it collapses to one row.
     counted = (
         joined.where(F.col("__v") <= F.col("w.hi"))
-        .select(*keys, F.col("w.i").alias("i"), F.col("w.rank").alias("rank"),
+        .select(*keys, F.col("w.i").alias("i"), F.col("w.rank").alias("rank"), F.col("w.large").alias("large"),
                 F.when(F.col("__v") >= F.col("w.lo"), F.col("__v")).alias("__v"),
                 F.when(F.col("__v") >= F.col("w.lo"), F.col("w.slice")).alias("__slice"))
-        .groupBy(*keys, "i", "rank", "__slice", "__v")
+        .groupBy(*keys, "i", "rank", "large", "__slice", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     # A large bracket is ordered in value slices, so no task holds a whole one.
-    ranked = running_sums(counted, {"__end": ([*keys, "i"], F.col("__c"))}, ["__v"], F.coalesce("__slice", F.lit(-1)))
+    ranked = running_sums(counted, {"__end": ([*keys, "i"], F.col("__c"))}, ["__v"], F.coalesce("__slice", F.lit(-1)), hot=F.col("large"))
     start = F.col("__end") - F.col("__c")
 
     def at(position: Column) -> Column:

@@ -1,9 +1,9 @@
 """Ordered computations that stay distributed when one key holds much of the data.
 
-A plain window sends every row of a key to one task. Here each key is cut into ordered
+A plain window sends every row of a key to one task. Here a hot key is cut into ordered
 buckets (a day, an id range): only one summary row per bucket goes through the per-key
 window, and comes back as an "opening" row at the head of its bucket. The rows themselves
-are shuffled once, on (keys, bucket).
+are shuffled once, on (keys, bucket). All other keys stay whole, in one bucket.
 """
 
 from __future__ import annotations
@@ -14,35 +14,55 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET, _BODY = "__bucket", "__body"
+from tidebook.operators.joins import null_safe
+
+_BUCKET, _BODY, _HOT = "__bucket", "__body", "__hot"
+
+# A key is hot when it has this many rows and more than one in HOT_SHARE of all rows. There
+# are fewer than HOT_SHARE such keys, which bounds the broadcast of their list.
+MIN_HOT_ROWS = 200_000
+HOT_SHARE = 100_000
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column, hot: Column | None = None) -> DataFrame:
+    """Mark the rows of hot keys (found by counting unless ``hot`` tells) and give them their bucket."""
+    if hot is not None:
+        return df.withColumn(_HOT, hot).withColumn(_BUCKET, F.when(F.col(_HOT), bucket)).withColumn(_BODY, F.lit(1))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n")).scalar()
+    found = counts.where((F.col("__n") >= MIN_HOT_ROWS) & (F.col("__n") * HOT_SHARE > total)).select(*keys, F.lit(True).alias(_HOT))
+    return null_safe(df, F.broadcast(found), keys, "left").withColumn(_BUCKET, F.when(F.col(_HOT), bucket)).withColumn(_BODY, F.lit(1))
+
+
 def running_sums(
     df: DataFrame,
     sums: Mapping[str, tuple[Sequence[str], Column]],
     order: Sequence[str],
     bucket: Column,
     frame: str = "rows",
+    hot: Column | None = None,
 ) -> DataFrame:
     """Add running sums: ``{output: (partition keys, value)}``.
 
     ``bucket`` must grow with the leading ``order`` column. ``frame="range"`` lets rows with
     equal order values share the total; ``"rows"`` does not, so end ``order`` in a unique key.
+    ``hot`` may tell which rows belong to hot keys, which saves counting the keys.
     When the partition keys of one sum are contained in those of the others, all windows
     share one shuffle.
     """
     values = {out: f"__v{i}" for i, out in enumerate(sums)}
-    body = df.withColumn(_BUCKET, bucket).withColumn(_BODY, F.lit(1))
+    all_keys = list(dict.fromkeys(k for keys, _ in sums.values() for k in keys))
+    shared = [k for k in all_keys if all(k in keys for keys, _ in sums.values())]
+    body = _bucketed(df, shared, bucket, hot)
     for out, (_, value) in sums.items():
         body = body.withColumn(values[out], value)
 
     # One map-side-combined pass gives the totals of every sum; coarser keys re-add the finer ones.
-    all_keys = list(dict.fromkeys(k for keys, _ in sums.values() for k in keys))
-    fine = body.groupBy(*all_keys, _BUCKET).agg(*[F.sum(v).alias(v) for v in values.values()])
+    fine = body.where(_HOT).groupBy(*all_keys, _BUCKET).agg(*[F.sum(v).alias(v) for v in values.values()])
     openings = []
     for out, (keys, _) in sums.items():
         before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -58,7 +78,7 @@ def running_sums(
         if frame == "rows":
             window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         result = result.withColumn(out, F.sum(values[out]).over(window))
-    return result.where(F.col(_BODY) == 1).drop(_BUCKET, _BODY, *values.values())
+    return result.where(F.col(_BODY) == 1).drop(_BUCKET, _BODY, _HOT, *values.values())
 
 
 def conditional_event_counter(
@@ -73,8 +93,8 @@ def previous_value(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, bucket: Column, out: str
 ) -> DataFrame:
     """``lag(value)`` per key; the last value of a bucket is handed to the next one."""
-    body = df.withColumn(_BUCKET, bucket).withColumn(_BODY, F.lit(1))
-    last = body.groupBy(*keys, _BUCKET).agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    body = _bucketed(df, keys, bucket)
+    last = body.where(_HOT).groupBy(*keys, _BUCKET).agg(F.max_by(value, F.struct(*order)).alias("__last"))
     by_bucket = Window.partitionBy(*keys).orderBy(_BUCKET)
     opening = (
         last.withColumn(value, F.lag("__last").over(by_bucket))
@@ -86,7 +106,7 @@ def previous_value(
         _stack([body, opening])
         .withColumn(out, F.lag(value).over(window))
         .where(F.col(_BODY) == 1)
-        .drop(_BUCKET, _BODY)
+        .drop(_BUCKET, _BODY, _HOT)
     )
 
 
