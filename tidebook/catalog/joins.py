@@ -91,7 +91,7 @@ def _(t):
 
 @query("inner_rank_limit", """
 WITH w AS (SELECT uuid, row_number() OVER (ORDER BY COUNT(*) DESC, uuid) AS rn FROM fx_responses WHERE comment = 'margin no money (precheck)' GROUP BY uuid)
-SELECT r.event_id, w.rn FROM fx_responses r JOIN w ON w.uuid = r.uuid AND w.rn < 20""")
+SELECT r.event_id, CAST(w.rn AS INT) AS rn FROM fx_responses r JOIN w ON w.uuid = r.uuid AND w.rn < 20""")
 def _(t):
     top = rejects.top_rejected(t.fx_responses, 19).select("uuid", "rn")
     return t.fx_responses.join(F.broadcast(top), "uuid").select("event_id", "rn")

@@ -179,7 +179,7 @@ rows_ AS (
   FROM fx_charged_swaps
   WHERE rollover_mt_time >= TIMESTAMP '1995-01-01' AND rollover_mt_time < TIMESTAMP '2000-01-01'
     AND rollover_default_value_usd = 0 AND lower(server_name) LIKE '%real%')
-SELECT year(roll_date) * 100 + month(roll_date) AS year_month, r.symbol, muslim,
+SELECT CAST(year(roll_date) * 100 + month(roll_date) AS INT) AS year_month, r.symbol, muslim,
   ROUND(SUM(CAST(ABS(q.value) AS DOUBLE) * CAST(volume_lots AS DOUBLE) * CAST(to_usd AS DOUBLE)), 4) AS swap_charged,
   CAST(SUM(rollover_default_value_usd) AS BIGINT) AS default_sum_usd,
   CAST(SUM(rollover_actual_value_usd) AS DOUBLE) AS actual_sum_usd,
@@ -364,7 +364,7 @@ def _(t):
 WITH leaders AS (
   SELECT uuid, COUNT(1) AS cnt, row_number() OVER (ORDER BY COUNT(1) DESC, uuid) AS rn FROM fx_responses
   WHERE comment = 'margin no money (precheck)' GROUP BY uuid)
-SELECT user_uid, rn, CAST(SUM(profit) AS DOUBLE) AS profit
+SELECT user_uid, CAST(rn AS INT) AS rn, CAST(SUM(profit) AS DOUBLE) AS profit
 FROM fx_trades_extra JOIN leaders w ON user_uid = CAST(w.uuid AS BIGINT) AND w.rn < 20
 WHERE cmd IN (0,1) AND open_time >= TIMESTAMP '1995-01-01' GROUP BY user_uid, rn""")
 def _(t):

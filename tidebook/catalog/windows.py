@@ -55,7 +55,7 @@ def _(t):
 
 
 @query("row_number_by_count", """
-SELECT uuid, cnt, rn FROM (
+SELECT uuid, cnt, CAST(rn AS INT) AS rn FROM (
   SELECT uuid, COUNT(*) AS cnt, row_number() OVER (ORDER BY COUNT(*) DESC, uuid) AS rn FROM fx_responses
   WHERE comment = 'margin no money (precheck)' GROUP BY uuid) WHERE rn <= 20""")
 def _(t):
