@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import fingerprints, jaccard, packing, quality, toxicity
+from tidebook.llm import fingerprints, jaccard, packing, quality, toxicity, vectors
 from tidebook.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.describe(table(spark, sf_dir, "documents"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_fingerprints, op5_jaccard, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op3_fingerprints, op4_vectors, op5_jaccard, op8_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
