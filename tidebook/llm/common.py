@@ -27,14 +27,15 @@ def crc_fold(doc_id: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, buckets: int = 1024, weight: Column | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, buckets: int = 1024, weight: Column | None = None, bucket: Column | None = None) -> DataFrame:
     """Position 0.. (or running weight before the row) per key, in the order (bucket, ``order``).
 
-    The bucket is a hash of ``order``, so a key that holds much of the table is spread over
+    The bucket is a hash of ``order`` unless given, so a key that holds much of the table is spread over
     ``buckets`` tasks; only one row per (key, bucket) goes through the per-key window. Rows
     that agree in every order column are interchangeable.
     """
-    body = df.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn("__w", F.lit(1) if weight is None else weight)
+    spread = F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int") if bucket is None else bucket
+    body = df.withColumn("__b", spread).withColumn("__w", F.lit(1) if weight is None else weight)
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = body.groupBy(*keys, "__b").agg(F.sum("__w").alias("__t")).withColumn("__s", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
     inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import fingerprints, jaccard, packing, quality, toxicity, vectors
+from tidebook.llm import fingerprints, jaccard, lines, mixing, packing, quality, sql, toxicity, vectors
 from tidebook.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.describe(table(spark, sf_dir, "documents"))
 
@@ -36,9 +40,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_fingerprints, op4_vectors, op5_jaccard, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_fingerprints, op4_vectors, op5_jaccard, op8_packing, op9_toxicity, op10_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": sql.MIXING, "op10_lines": sql.LINES}
