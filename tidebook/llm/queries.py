@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import fingerprints, jaccard, lines, mixing, packing, quality, sql, toxicity, vectors
+from tidebook.llm import fingerprints, jaccard, lines, mixing, packing, quality, sql, suffixes, toxicity, vectors
 from tidebook.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_fingerprints, op4_vectors, op5_jaccard, op8_packing, op9_toxicity, op10_lines)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_fingerprints, op4_vectors, op5_jaccard, op7_suffixes, op8_packing, op9_toxicity, op10_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
