@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import fingerprints, jaccard, lines, mixing, packing, quality, sql, suffixes, toxicity, vectors
-from tidebook.llm.common import table
+from tidebook.llm import fingerprints, jaccard, lines, mixing, packing, quality, rollups, sql, suffixes, toxicity, vectors
+from tidebook.llm.common import shared_dir, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = rollups.TokenRollup(spark, shared_dir(spark, "rollup"))
+    return rollups.history(table(spark, sf_dir, "documents"), rollup, sql.REMARK).totals()
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -49,8 +54,8 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_fingerprints, op4_vectors, op5_jaccard, op7_suffixes, op8_packing, op9_toxicity, op10_lines)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_fingerprints, op4_vectors, op5_jaccard, op6_token_counts, op7_suffixes, op8_packing, op9_toxicity, op10_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": sql.MIXING, "op10_lines": sql.LINES}
+    return {"op2_mixing": sql.MIXING, "op6_token_counts": sql.ROLLUP, "op10_lines": sql.LINES}

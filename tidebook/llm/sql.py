@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidebook.llm import lines, mixing
+from tidebook.llm import lines, mixing, rollups
 
 MIXING = f"""
 WITH RECURSIVE rows_ AS (
@@ -75,3 +75,16 @@ SELECT d.doc_id, k.n::BIGINT AS n_lines, (k.n - len(k.k))::BIGINT AS n_dropped,
   length(coalesce(array_to_string(k.k, chr(10)), ''))::BIGINT AS kept_chars, md5(coalesce(array_to_string(k.k, chr(10)), '')) AS kept_md5
 FROM documents d JOIN kept k ON k.text = coalesce(d.text, '')
 """
+
+REMARK = "Released under the MIT License."
+
+ROLLUP = f"""
+WITH kept AS (
+  SELECT source, lang, replace(coalesce(text, ''), '{REMARK}', '') AS t FROM documents
+  QUALIFY coalesce(doc_id, 9223372036854775807) = min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY coalesce(text, ''))
+), counted AS (
+  SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(t, '{rollups.WORDS}')) AS n FROM kept
+  UNION ALL SELECT source, lang, 'pieces-1', len(regexp_extract_all(t, '{rollups.PIECES}')) FROM kept
+)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM counted GROUP BY ALL
+"""
