@@ -125,7 +125,7 @@ def nnls(a: np.ndarray, h: np.ndarray, rounds: int = 600) -> np.ndarray:
         active[best] = True
         while True:
             at = np.flatnonzero(active)
-            z = np.linalg.lstsq(gram[np.ix_(at, at)], target[at], rcond=None)[0]
+            z = np.linalg.solve(gram[np.ix_(at, at)] + 1e-10 * np.eye(len(at)), target[at])
             if (z > 0).all():
                 x[:] = 0
                 x[at] = z
