@@ -22,11 +22,11 @@ SAMPLE_ROWS = 10_000  # most labelled documents that a model is fitted on
 PREFIXES = (4, 5, 6, 7)  # lengths of word beginnings that are features next to the word
 MIN_DOCS = 3  # features in fewer documents of the sample are not learned
 PENALTY = 2e-5
-ROUNDS = 250
+ROUNDS = 200
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
-MEMORY = 1_000_000
+MEMORY = 300_000
 
 
 def features(word: str) -> list[str]:
@@ -41,44 +41,46 @@ def sentences(text: str) -> list[tuple[int, str]]:
 def fit_bags(texts: list[str], labels: np.ndarray) -> tuple[float, dict[str, float]]:
     """(bias, feature weights) by proximal Adam on the noisy-or likelihood."""
     word_no: dict[str, int] = {}
-    word_ids, sentence_of, doc_of = [], [], []
+    word_ids, counts, doc_of = [], [], []
     for d, text in enumerate(texts):
         for _, s in sentences(text):
             ids = {word_no.setdefault(w, len(word_no)) for w in WORD.findall(s.lower())}
-            word_ids.append(np.fromiter(ids, np.int64, len(ids)))
-            sentence_of.append(np.full(len(ids), len(doc_of)))
+            word_ids.append(np.fromiter(ids, np.int32, len(ids)))
+            counts.append(len(ids))
             doc_of.append(d)
     n_docs, n_sentences = len(texts), len(doc_of)
     if not word_no or len(set(labels.tolist())) < 2:
         share = float(np.clip(labels.mean() if n_docs else 0.5, 1e-3, 1 - 1e-3))
         return float(np.log(share / (1 - share))) if n_sentences == 0 else -6.0, {}
-    w, s, d = np.concatenate(word_ids), np.concatenate(sentence_of), np.array(doc_of)
-    # Documents per feature; words and features as two aligned lists.
+    w, s, d = np.concatenate(word_ids), np.repeat(np.arange(n_sentences, dtype=np.int32), counts), np.array(doc_of)
+    del word_ids
+    # Words and features as two aligned lists, and the documents of each feature.
     feature_no: dict[str, int] = {}
-    pairs = [(i, feature_no.setdefault(f, len(feature_no))) for word, i in word_no.items() for f in features(word)]
-    fw, ff = np.array(pairs).T
-    word_docs = np.unique(w * n_docs + d[s])
-    at = np.argsort(fw, kind="stable")
-    first = np.searchsorted(fw[at], np.arange(len(word_no) + 1))
-    wd, dd = word_docs // n_docs, word_docs % n_docs
-    size = first[wd + 1] - first[wd]
-    rows = np.repeat(first[wd], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    seen = np.unique(ff[at][rows] * n_docs + np.repeat(dd, size)) // n_docs
-    enough = np.bincount(seen, minlength=len(feature_no)) >= MIN_DOCS
-    use = enough[ff]
+    own = [np.array([feature_no.setdefault(f, len(feature_no)) for f in features(word)], np.int32) for word in word_no]
+    n_words, seen_in = len(word_no), np.zeros(len(feature_no), np.int64)
+    bounds = np.searchsorted(d[s], np.arange(n_docs + 1))
+    for i in range(n_docs):
+        if bounds[i] < bounds[i + 1]:
+            seen_in[np.unique(np.concatenate([own[x] for x in np.unique(w[bounds[i] : bounds[i + 1]])]))] += 1
+    fw, ff = np.repeat(np.arange(n_words), [len(x) for x in own]), np.concatenate(own)
+    del own, word_no
+    use = (seen_in >= MIN_DOCS)[ff]
     fw, ff = fw[use], ff[use]
+    known = np.zeros(n_words, bool)
+    known[fw] = True
+    w, s = w[known[w]], s[known[w]]
 
     theta, bias = np.zeros(len(feature_no)), -6.0
     m1, m2, b1, b2 = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
     positive = labels[d] > 0
     for t in range(1, ROUNDS + 1):
-        per_word = np.bincount(fw, theta[ff], minlength=len(word_no))
+        per_word = np.bincount(fw, theta[ff], minlength=n_words)
         z = bias + np.bincount(s, per_word[w], minlength=n_sentences)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         log_none = np.bincount(d, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_docs)
         none = np.exp(log_none)
         slope = np.where(positive, -p * (none / np.maximum(1 - none, 1e-9))[d], p) / n_docs
-        g = np.bincount(ff, np.bincount(w, slope[s], minlength=len(word_no))[fw], minlength=len(feature_no))
+        g = np.bincount(ff, np.bincount(w, slope[s], minlength=n_words)[fw], minlength=len(feature_no))
         gb, rate = slope.sum(), 0.15
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
