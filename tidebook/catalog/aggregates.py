@@ -88,11 +88,12 @@ def _(t):
 
 
 @query("arg_max", """
-SELECT login, position_id, entry, CAST(arg_max(profit, updated) AS DOUBLE) AS profit, arg_max(time_msc, updated) AS time_msc, arg_max(version, updated) AS version
+SELECT login, position_id, entry, CAST(max_by(profit, (updated, version)) FILTER (profit IS NOT NULL) AS DOUBLE) AS profit,
+  max_by(time_msc, (updated, version)) FILTER (time_msc IS NOT NULL) AS time_msc, max_by(version, (updated, version)) AS version
 FROM fx_deals_extra GROUP BY 1, 2, 3""")
 def _(t):
     return as_double(t.fx_deals_extra.groupBy("login", "position_id", "entry").agg(
-        *[newest(c, "updated").alias(c) for c in ("profit", "time_msc", "version")]))
+        *[newest(c, "updated", "version").alias(c) for c in ("profit", "time_msc", "version")]))
 
 
 @query("approx_percentile")

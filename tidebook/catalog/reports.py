@@ -14,70 +14,50 @@ FLOWS = [f"{k}_{s}_{m}" for k in ("deposit", "withdrawal") for s in ("ext", "int
 
 
 @query("hedge_stopout", """
-WITH base AS (
-  SELECT user_uid, CAST(date_trunc('month', time) AS DATE) AS date, comment, symbol,
-         SUM(CASE WHEN comment LIKE 'D-NULL' THEN 1 ELSE 0 END) OVER (
-           PARTITION BY login ORDER BY time, CASE WHEN comment LIKE 'D-NULL' THEN 1 ELSE 0 END
-           ROWS UNBOUNDED PRECEDING) AS stopout_group,
-         CASE WHEN action = 0 THEN volume WHEN action = 1 THEN -volume END AS volume_dif
-  FROM fx_deals_mt5
-  WHERE time >= TIMESTAMP '1995-01-01' AND time < TIMESTAMP '2002-01-01'
-    AND (comment LIKE '[so%' OR comment LIKE 'D-NULL') AND lower(server_name) LIKE '%real%'
-    AND login NOT IN (46000004, 45002204, 46000006)
-    AND (login IN (SELECT code FROM fx_account_dim) OR login IN (12, 25))),
-t2 AS (
-  SELECT user_uid, date, symbol, stopout_group, SUM(ABS(volume_dif)) AS sum_abs, ABS(SUM(volume_dif)) AS abs_sum
-  FROM base WHERE comment NOT LIKE 'D-NULL' GROUP BY user_uid, date, stopout_group, symbol)
-SELECT date, COUNT(DISTINCT CASE WHEN sum_abs != abs_sum THEN user_uid || '-' || stopout_group END) AS cnt_hedge_so,
-       COUNT(DISTINCT user_uid || '-' || stopout_group) AS cnt_total_so
-FROM t2 GROUP BY date""")
+WITH real_deals AS (
+  FROM fx_deals_mt5 SELECT *, comment = 'D-NULL' AS reset
+  WHERE year(time) BETWEEN 1995 AND 2001 AND contains(lower(server_name), 'real') AND (starts_with(comment, '[so') OR comment = 'D-NULL')
+    AND NOT list_contains([46000004, 45002204, 46000006], login)),
+legs AS (
+  FROM real_deals d
+  SELECT d.user_uid, date_trunc('month', d.time)::DATE AS month, d.symbol, if(d.action = 0, 1, if(d.action = 1, -1, NULL)) * d.volume AS amount,
+    (SELECT COUNT(*) FROM real_deals r WHERE r.reset AND r.login = d.login AND r.time < d.time) AS resets
+  WHERE NOT d.reset AND (d.login IN (12, 25) OR EXISTS (FROM fx_account_dim a WHERE a.code = d.login))),
+sides AS (
+  FROM legs SELECT month, {'user': user_uid, 'resets': resets} AS stopout, bool_or(amount > 0) AND bool_or(amount < 0) AS hedged
+  GROUP BY month, user_uid, resets, symbol)
+FROM sides SELECT month AS date, COUNT(DISTINCT stopout) FILTER (hedged) AS cnt_hedge_so, COUNT(DISTINCT stopout) AS cnt_total_so GROUP BY month""")
 def _(t):
     return risk.hedge_stopout(t.fx_deals_mt5, t.fx_account_dim, "1995-01-01", "2002-01-01", extra=(12, 25))
 
 
 EXPOSURE_SQL = """
-WITH moves AS (
-  SELECT user_uid, TIMESTAMP '1996-12-31 23:59:00' AS date_deal, symbol,
-         CASE WHEN cmd IN (0,2,4) THEN 'buy' ELSE 'sell' END AS first_deal_way,
-         CAST(SUM(CASE WHEN cmd IN (0,2,4) THEN volume_opened_usd ELSE -volume_opened_usd END) AS DECIMAL(24,4)) AS volume_usd,
-         CAST(0 AS DECIMAL(24,4)) AS profit
-  FROM fx_orders_mt4
-  WHERE open_time >= TIMESTAMP '1995-01-01' AND open_time < TIMESTAMP '1997-01-01'
-    AND cmd IN (0,1,2,3,4,5,6) AND close_time >= TIMESTAMP '1997-01-01'
-  GROUP BY ALL
-  UNION ALL
-  SELECT user_uid, TIMESTAMP '1996-12-31 23:59:00', symbol,
-         CASE WHEN entry = 0 AND action = 0 THEN 'buy' WHEN entry = 0 AND action = 1 THEN 'sell'
-              WHEN entry = 1 AND action = 0 THEN 'sell' WHEN entry = 1 AND action = 1 THEN 'buy' END AS w,
-         CAST(SUM(CASE WHEN entry = 0 THEN volume_usd ELSE -volume_usd - profit_usd END) AS DECIMAL(24,4)), 0
-  FROM fx_deals_mt5
-  WHERE time >= TIMESTAMP '1995-01-01' AND time < TIMESTAMP '1997-01-01' AND action IN (0,1) AND entry IN (0,1)
-  GROUP BY user_uid, symbol, w
-  UNION ALL
-  SELECT user_uid, open_time, symbol, CASE WHEN cmd IN (0,2,4) THEN 'buy' ELSE 'sell' END,
-         CASE WHEN cmd IN (0,2,4) THEN volume_opened_usd ELSE -volume_opened_usd END, 0
-  FROM fx_orders_mt4 WHERE open_time >= TIMESTAMP '1997-01-01' AND cmd IN (0,1,2,3,4,5,6)
-  UNION ALL
-  SELECT user_uid, close_time, symbol, CASE WHEN cmd IN (0,2,4) THEN 'buy' ELSE 'sell' END,
-         CASE WHEN cmd IN (0,2,4) THEN -volume_opened_usd ELSE volume_opened_usd END, profit_usd
-  FROM fx_orders_mt4 WHERE open_time >= TIMESTAMP '1997-01-01' AND close_time IS NOT NULL AND cmd IN (0,1,2,3,4,5,6)
-  UNION ALL
-  SELECT user_uid, time, symbol,
-         CASE WHEN entry = 0 AND action = 0 THEN 'buy' WHEN entry = 0 AND action = 1 THEN 'sell'
-              WHEN entry = 1 AND action = 0 THEN 'sell' WHEN entry = 1 AND action = 1 THEN 'buy' END,
-         CASE WHEN entry = 0 THEN volume_usd ELSE -volume_usd - profit_usd END, 0
-  FROM fx_deals_mt5 WHERE time >= TIMESTAMP '1997-01-01' AND action IN (0,1) AND entry IN (0,1)),
-seg AS (
-  SELECT user_uid, trading_date, MAX(client_value_segment_ccode) AS segment FROM fx_segments
-  WHERE trading_date >= DATE '1995-01-01' AND client_value_segment_ccode IN ('0','1','2','3','4','5')
-  GROUP BY user_uid, trading_date)
-SELECT m.user_uid, m.date_deal, m.symbol, m.first_deal_way, CAST(volume_usd AS DOUBLE) AS volume_usd, CAST(profit AS DOUBLE) AS profit,
-  CAST(SUM(volume_usd) OVER (PARTITION BY m.user_uid, symbol
-    ORDER BY date_deal, first_deal_way, volume_usd, profit ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cumsum,
-  CAST(SUM(volume_usd) OVER (PARTITION BY m.user_uid, symbol, first_deal_way
-    ORDER BY date_deal, volume_usd, profit ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cumsum_way,
-  seg.segment
-FROM moves m LEFT JOIN seg ON seg.user_uid = m.user_uid AND seg.trading_date = CAST(m.date_deal AS DATE)"""
+WITH orders_ AS (
+  FROM fx_orders_mt4 SELECT user_uid, symbol, open_time, close_time, profit_usd, if(cmd IN (0, 2, 4), 'buy', 'sell') AS way,
+    if(cmd IN (0, 2, 4), 1, -1) * volume_opened_usd AS size
+  WHERE cmd BETWEEN 0 AND 6 AND open_time >= DATE '1995-01-01'),
+deals_ AS (
+  FROM fx_deals_mt5 SELECT user_uid, symbol, time, if(entry = action, 'buy', 'sell') AS way, if(entry = 0, volume_usd, -(volume_usd + profit_usd)) AS size
+  WHERE entry IN (0, 1) AND action IN (0, 1) AND time >= DATE '1995-01-01'),
+held AS (
+  FROM orders_ SELECT 'order' AS kind, user_uid, symbol, way, size WHERE open_time < DATE '1997-01-01' AND close_time >= DATE '1997-01-01'
+  UNION ALL FROM deals_ SELECT 'deal', user_uid, symbol, way, size WHERE time < DATE '1997-01-01'),
+steps AS (
+  FROM (FROM orders_ SELECT user_uid, symbol, way,
+          unnest([{'at': open_time, 'size': size, 'profit': 0}, {'at': close_time, 'size': -size, 'profit': profit_usd}], recursive := true)
+        WHERE open_time >= DATE '1997-01-01') SELECT user_uid, symbol, way, "at", size, profit WHERE "at" IS NOT NULL
+  UNION ALL FROM deals_ SELECT user_uid, symbol, way, time, size, 0 WHERE time >= DATE '1997-01-01'
+  UNION ALL FROM held SELECT user_uid, symbol, way, TIMESTAMP '1997-01-01' - INTERVAL 1 MINUTE, SUM(size), 0 GROUP BY kind, user_uid, symbol, way),
+exact_ AS (
+  FROM steps SELECT user_uid, symbol, way, "at", size::DECIMAL(24,4) AS size, profit::DECIMAL(24,4) AS profit),
+day_segment AS (
+  FROM fx_segments SELECT user_uid, trading_date, MAX(client_value_segment_ccode) AS segment
+  WHERE trading_date >= DATE '1995-01-01' AND client_value_segment_ccode BETWEEN '0' AND '5' AND length(client_value_segment_ccode) = 1 GROUP BY ALL)
+SELECT e.user_uid, e.symbol, e."at" AS date_deal, e.way AS first_deal_way, e.size::DOUBLE AS volume_usd, e.profit::DOUBLE AS profit, g.segment,
+  (SUM(e.size) OVER total)::DOUBLE AS cumsum, (SUM(e.size) OVER side)::DOUBLE AS cumsum_way
+FROM exact_ e LEFT JOIN day_segment g ON (g.user_uid, g.trading_date) = (e.user_uid, e."at"::DATE)
+WINDOW total AS (PARTITION BY e.user_uid, e.symbol ORDER BY e."at", e.way, e.size, e.profit ROWS UNBOUNDED PRECEDING),
+  side AS (PARTITION BY e.user_uid, e.symbol, e.way ORDER BY e."at", e.size, e.profit ROWS UNBOUNDED PRECEDING)"""
 
 
 @query("exposure_timeline", EXPOSURE_SQL)
@@ -87,26 +67,16 @@ def _(t):
 
 
 LOCKER_CTES = """
-money AS (
-  SELECT user_uid, {flows} FROM fx_balance_daily
-  WHERE fact_date >= DATE '1995-01-01' AND fact_date <= DATE '1999-12-31' GROUP BY user_uid),
-trades AS (
-  SELECT user_uid, SUM(volume_closed_usd) AS vol, CAST(SUM(profit_usd) AS DECIMAL(30,4)) AS profit, SUM(CAST(volume AS DECIMAL(18,2))) AS lot,
-         MAX(CAST(volume AS DECIMAL(18,2))) AS max_lot, COUNT(volume_closed_usd) AS n, COUNT(CASE WHEN volume <= 100 THEN 1 END) AS small
-  FROM fx_orders_mt4
-  WHERE close_time >= TIMESTAMP '1995-01-01' AND close_time < TIMESTAMP '2000-01-01' AND cmd IN (0,1,2,3,4,5,6)
-    AND volume_closed_usd IS NOT NULL GROUP BY user_uid
-  UNION ALL
-  SELECT user_uid, SUM(volume_closed_usd), CAST(SUM(profit_usd) AS DECIMAL(30,4)), SUM(volume_closed), MAX(volume_closed), COUNT(volume_closed_usd),
-         COUNT(CASE WHEN volume_closed >= 100 THEN 1 END)
-  FROM fx_deals_mt5
-  WHERE time >= TIMESTAMP '1995-01-01' AND time < TIMESTAMP '2000-01-01' AND action IN (0,1) AND entry IN (1) GROUP BY user_uid),
-total AS (
-  SELECT user_uid, ROUND(SUM(vol), 2) AS sum_volume_closed_usd, ROUND(SUM(profit), 2) AS profit_usd, SUM(lot) AS sum_volume_closed_lot,
-         MAX(max_lot) AS max_volume_closed_lot, SUM(n) AS cnt_orders_closed, SUM(small) AS cnt_closed_orders_less_1_lot
-  FROM trades GROUP BY user_uid),
+closed AS (
+  FROM fx_orders_mt4 SELECT user_uid, volume_closed_usd AS usd, profit_usd AS gain, volume::DECIMAL(18,2) AS lot, volume <= 100 AS small
+  WHERE volume_closed_usd IS NOT NULL AND cmd BETWEEN 0 AND 6 AND year(close_time) BETWEEN 1995 AND 1999
+  UNION ALL FROM fx_deals_mt5 SELECT user_uid, volume_closed_usd, profit_usd, volume_closed, volume_closed >= 100
+  WHERE entry = 1 AND action IN (0, 1) AND year(time) BETWEEN 1995 AND 1999),
 features AS (
-  SELECT total.*, money.* EXCLUDE (user_uid) FROM total LEFT JOIN money ON money.user_uid = total.user_uid)
+  FROM (FROM closed SELECT user_uid, ROUND(SUM(usd), 2) AS sum_volume_closed_usd, ROUND(SUM(gain)::DECIMAL(30,4), 2) AS profit_usd,
+      SUM(lot) AS sum_volume_closed_lot, MAX(lot) AS max_volume_closed_lot, COUNT(usd) AS cnt_orders_closed,
+      COUNT(*) FILTER (small) AS cnt_closed_orders_less_1_lot GROUP BY user_uid)
+  LEFT JOIN (FROM fx_balance_daily SELECT user_uid, {flows} WHERE year(fact_date) BETWEEN 1995 AND 1999 GROUP BY user_uid) USING (user_uid))
 """.format(flows=", ".join(f"SUM({c}) AS {c}" for c in FLOWS))
 LOCKER_COLUMNS = ", ".join(
     ["user_uid", "CAST(sum_volume_closed_usd AS DOUBLE) AS sum_volume_closed_usd", "CAST(profit_usd AS DOUBLE) AS profit_usd",
@@ -125,70 +95,64 @@ def _(t):
     return as_double(_lockers(t), 4)
 
 
+RISK_CTES = f"""{LOCKER_CTES},
+limits(name, place, lot, above, below, small) AS (VALUES ('high', 1, 31, 0.79, -0.49, 6), ('medium', 2, 11, 0.49, -0.39, 9)),
+measured AS (
+  FROM features SELECT *, greatest(sum_volume_closed_lot::DOUBLE / nullif(cnt_orders_closed, 0), max_volume_closed_lot::DOUBLE) AS peak,
+    coalesce(profit_usd::DOUBLE / nullif(deposit_ext_sum_usd_amt + deposit_int_sum_usd_amt, 0)::DOUBLE, 0) AS gain),
+classed AS (
+  FROM measured m SELECT *, coalesce((SELECT arg_min(name, place) FROM limits l
+    WHERE m.peak >= l.lot AND NOT (m.gain < l.above AND m.gain > l.below) AND m.cnt_closed_orders_less_1_lot <= l.small), 'low') AS possibility_error)
+"""
+
+
 @query("mirror_locker_risk", f"""
-WITH {LOCKER_CTES},
-mid AS (
-  SELECT CASE WHEN cnt_orders_closed != 0 AND CAST(sum_volume_closed_lot AS DOUBLE) / cnt_orders_closed > max_volume_closed_lot
-              THEN CAST(sum_volume_closed_lot AS DOUBLE) / cnt_orders_closed ELSE CAST(max_volume_closed_lot AS DOUBLE) END AS past_24_hr_max,
-         CASE WHEN deposit_ext_sum_usd_amt + deposit_int_sum_usd_amt != 0
-              THEN CAST(profit_usd AS DOUBLE) / CAST(deposit_ext_sum_usd_amt + deposit_int_sum_usd_amt AS DOUBLE) ELSE 0 END AS profit_coef,
-         cnt_closed_orders_less_1_lot AS over_1_coef, * FROM features)
-SELECT CASE WHEN past_24_hr_max >= 31 AND (profit_coef >= 0.79 OR profit_coef <= -0.49) AND over_1_coef <= 6 THEN 'high'
-            WHEN past_24_hr_max >= 11 AND (profit_coef >= 0.49 OR profit_coef <= -0.39) AND over_1_coef <= 9 THEN 'medium'
-            ELSE 'low' END AS possibility_error,
-       ROUND(past_24_hr_max, 4) AS past_24_hr_max, ROUND(profit_coef, 4) AS profit_coef, CAST(over_1_coef AS BIGINT) AS over_1_coef,
-       {LOCKER_COLUMNS}
-FROM mid""")
+WITH {RISK_CTES}
+SELECT possibility_error, ROUND(peak, 4) AS past_24_hr_max, ROUND(gain, 4) AS profit_coef, CAST(cnt_closed_orders_less_1_lot AS BIGINT) AS over_1_coef, {LOCKER_COLUMNS}
+FROM classed""")
 def _(t):
     return as_double(risk.mirror_locker_risk(_lockers(t)), 4)
 
 
 @query("rounders", """
-WITH kept AS (
-  SELECT * FROM fx_deals_extra
-  WHERE action IN (0,1) AND lower(server_name) LIKE '%real%' AND (comment NOT LIKE 'close hedge by%' OR comment IS NULL)
-    AND date >= DATE '2000-01-01' - INTERVAL 3000 DAY AND date < DATE '2000-01-01' AND login NOT IN (46000004, 45002204, 46000006)),
-c AS (
-  SELECT date, user_uid, login, position_id, arg_max(profit, updated) AS profit, arg_max(spread_revenue_usd, updated) AS spread_revenue_usd,
-         arg_max(xr_account_currency_to_usd, updated) AS xr FROM kept WHERE entry = 1 AND time_msc IS NOT NULL GROUP BY ALL),
-o AS (SELECT login, reason, position_id, arg_max(time_msc, updated) AS at FROM kept WHERE entry = 0 GROUP BY ALL),
-trades AS (
-  SELECT 'mt4' AS mt, user_uid, profit, CAST(spread_revenue_usd AS DOUBLE) / open_xr_account_currency_to_usd AS spread
-  FROM fx_trades_extra
-  WHERE open_time IS NOT NULL AND close_time IS NOT NULL AND cmd IN (0,1) AND lower(server) LIKE '%real%'
-    AND (comment NOT LIKE 'close hedge by%' OR comment IS NULL)
-    AND CAST(open_time AS DATE) >= DATE '2000-01-01' - INTERVAL 3000 DAY AND CAST(open_time AS DATE) < DATE '2000-01-01'
-  UNION ALL
-  SELECT 'mt5', user_uid, profit, CAST(spread_revenue_usd AS DOUBLE) / xr FROM c JOIN o ON o.login = c.login AND o.position_id = c.position_id),
-agg AS (
-  SELECT mt, user_uid, COUNT(user_uid) AS n, SUM(CASE WHEN profit BETWEEN -0.01 AND 0 THEN 1 ELSE 0 END) AS p0,
-         SUM(CASE WHEN spread < 0.005 THEN 1 ELSE 0 END) AS s0 FROM trades GROUP BY mt, user_uid)
-SELECT DISTINCT TIMESTAMP '2000-01-01 00:00:00' AS fact_timest, user_uid FROM agg
-WHERE (p0 > 2 OR s0 > 2) AND p0 / n > 0.05 AND s0 / n > 0.4""")
+WITH latest AS (
+  FROM fx_deals_extra SELECT entry, login, position_id, if(entry = 1, date, NULL) AS day, if(entry = 1, user_uid, NULL) AS who, if(entry = 0, reason, NULL) AS why,
+    max_by(profit, (updated, version)) FILTER (profit IS NOT NULL) AS gain, max_by(spread_revenue_usd, (updated, version)) FILTER (spread_revenue_usd IS NOT NULL) AS revenue,
+    max_by(xr_account_currency_to_usd, (updated, version)) FILTER (xr_account_currency_to_usd IS NOT NULL) AS rate
+  WHERE action < 2 AND contains(lower(server_name), 'real') AND NOT starts_with(coalesce(comment, ''), 'close hedge by')
+    AND date_diff('day', date, DATE '2000-01-01') BETWEEN 1 AND 3000 AND NOT list_contains([46000004, 45002204, 46000006], login)
+    AND (entry = 0 OR (entry = 1 AND time_msc IS NOT NULL)) GROUP BY ALL),
+trips AS (
+  FROM latest c JOIN latest o ON (c.entry, o.entry) = (1, 0) AND (c.login, c.position_id) = (o.login, o.position_id)
+  SELECT 5 AS platform, c.who AS user_uid, c.gain, c.revenue::DOUBLE / c.rate AS spread
+  UNION ALL FROM fx_trades_extra SELECT 4, user_uid, profit, spread_revenue_usd::DOUBLE / open_xr_account_currency_to_usd
+  WHERE cmd < 2 AND contains(lower(server), 'real') AND NOT starts_with(coalesce(comment, ''), 'close hedge by') AND close_time IS NOT NULL
+    AND date_diff('day', open_time::DATE, DATE '2000-01-01') BETWEEN 1 AND 3000)
+SELECT DISTINCT TIMESTAMP '2000-01-01 00:00:00' AS fact_timest, user_uid FROM trips GROUP BY platform, user_uid
+HAVING greatest(count_if(gain BETWEEN -0.01 AND 0), count_if(spread < 0.005)) > 2
+  AND count_if(gain BETWEEN -0.01 AND 0) > 0.05 * COUNT(user_uid) AND count_if(spread < 0.005) > 0.4 * COUNT(user_uid)""")
 def _(t):
     return risk.rounders(t.fx_deals_extra, t.fx_trades_extra, "2000-01-01", 3000, min_count=2, profit_share=0.05, spread_share=0.4)
 
 
 @query("swap_free_cost", """
-WITH quoted AS (
-  SELECT symbol || s AS full_symbol, dt, side, value FROM fx_swap_quotes CROSS JOIN (VALUES ('m'),('c'),('z'),('r'),('p'),('e'),('')) x(s)),
-prof AS (
-  SELECT uid, CAST(updated AS DATE) AS day, arg_max(muslim, (updated, seq)) AS muslim FROM fx_swap_profiles GROUP BY 1, 2),
-rows_ AS (
-  SELECT CAST(rollover_mt_time AS DATE) AS roll_date, CASE WHEN action = 0 THEN 'Ask' WHEN action = 1 THEN 'Bid' END AS side, *
-  FROM fx_charged_swaps
-  WHERE rollover_mt_time >= TIMESTAMP '1995-01-01' AND rollover_mt_time < TIMESTAMP '2000-01-01'
-    AND rollover_default_value_usd = 0 AND lower(server_name) LIKE '%real%')
-SELECT CAST(year(roll_date) * 100 + month(roll_date) AS INT) AS year_month, r.symbol, muslim,
-  ROUND(SUM(CAST(ABS(q.value) AS DOUBLE) * CAST(volume_lots AS DOUBLE) * CAST(to_usd AS DOUBLE)), 4) AS swap_charged,
-  CAST(SUM(rollover_default_value_usd) AS BIGINT) AS default_sum_usd,
-  CAST(SUM(rollover_actual_value_usd) AS DOUBLE) AS actual_sum_usd,
-  CAST(SUM(rollover_actual_value_usd) - SUM(rollover_default_value_usd) AS DOUBLE) AS swap_loss_usd
-FROM rows_ r LEFT JOIN prof ON r.user_uid = prof.uid AND r.date = prof.day
-LEFT JOIN quoted q ON q.dt = r.roll_date AND q.full_symbol = r.symbol AND q.side = r.side
-WHERE q.dt IS NOT NULL GROUP BY 1, 2, 3""")
-def _(t):
-    return as_double(swaps.swap_free_cost(t.fx_charged_swaps, t.fx_swap_quotes, t.fx_swap_profiles, "1995-01-01", "2000-01-01", None), 4)
+WITH flags AS (
+  FROM fx_swap_profiles SELECT uid, updated::DATE AS day, muslim
+  WHERE updated >= DATE '1996-01-01' AND updated < DATE '1999-01-01'
+  QUALIFY row_number() OVER (PARTITION BY uid, updated::DATE ORDER BY updated DESC, seq DESC) = 1),
+charges AS (
+  FROM fx_charged_swaps c JOIN fx_swap_quotes q
+    ON q.dt = c.rollover_mt_time::DATE AND q.side = ['Ask', 'Bid'][c.action + 1]
+    AND starts_with(c.symbol, q.symbol) AND list_contains(['', 'm', 'c', 'z', 'r', 'p', 'e'], substr(c.symbol, length(q.symbol) + 1))
+  SELECT c.*, abs(q.value)::DOUBLE * c.volume_lots::DOUBLE * c.to_usd::DOUBLE AS would_cost
+  WHERE c.rollover_default_value_usd = 0 AND contains(lower(c.server_name), 'real') AND year(c.rollover_mt_time) BETWEEN 1995 AND 1999)
+SELECT strftime(c.rollover_mt_time, '%Y%m')::INT AS year_month, c.symbol, f.muslim, ROUND(SUM(c.would_cost), 4) AS swap_charged,
+  SUM(c.rollover_default_value_usd)::BIGINT AS default_sum_usd, SUM(c.rollover_actual_value_usd)::DOUBLE AS actual_sum_usd,
+  SUM(c.rollover_actual_value_usd - c.rollover_default_value_usd)::DOUBLE AS swap_loss_usd
+FROM charges c LEFT JOIN flags f ON f.uid = c.user_uid AND f.day = c.date GROUP BY ALL""")
+def _(t):
+    return as_double(swaps.swap_free_cost(
+        t.fx_charged_swaps, t.fx_swap_quotes, t.fx_swap_profiles, "1995-01-01", "2000-01-01", None, profiles_between=("1996-01-01", "1999-01-01")), 4)
 
 
 SWAP_SYMBOLS = ("ECONOMYm", "ECONOMYc", "STANDARDm", "PROMO", "SMALLc", "LARGE")
@@ -222,57 +186,48 @@ def _(t):
 
 
 @query("country_stats", """
-WITH b AS (
-  SELECT user_id, CASE WHEN operation_type = 'deposit' THEN operation_amount_usd END AS deposit,
-         CASE WHEN operation_type = 'withdrawal' THEN operation_amount_usd END AS withdrawal FROM fx_balance)
-SELECT u.country_code, COUNT(DISTINCT u.user_id) AS cnt_users, COUNT(DISTINCT b.user_id) AS cnt_users_with_money,
-       ROUND(AVG(deposit), 4) AS avg_deposit, ROUND(AVG(withdrawal), 4) AS avg_withdrawal
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY registration_time) AS rn FROM fx_users) u
-LEFT JOIN b ON b.user_id = u.user_id WHERE u.rn = 1 GROUP BY u.country_code""")
+WITH home AS (FROM fx_users SELECT user_id, min_by(country_code, (registration_time, country_code)) AS country_code GROUP BY user_id)
+FROM home h LEFT JOIN fx_balance b USING (user_id)
+SELECT h.country_code, COUNT(DISTINCT h.user_id) AS cnt_users, COUNT(DISTINCT h.user_id) FILTER (b.operation_type IS NOT NULL) AS cnt_users_with_money,
+  ROUND(AVG(b.operation_amount_usd) FILTER (b.operation_type = 'deposit'), 4) AS avg_deposit,
+  ROUND(AVG(b.operation_amount_usd) FILTER (b.operation_type = 'withdrawal'), 4) AS avg_withdrawal
+GROUP BY ALL""")
 def _(t):
     return as_double(users.country_stats(t.fx_users, t.fx_balance), 4)
 
 
 @query("top_trader_profile", """
-WITH best AS (
-  SELECT user_id FROM (SELECT user_id, rank() OVER (ORDER BY SUM(profit_usd) DESC) AS r FROM fx_trades GROUP BY user_id) WHERE r = 1),
-per AS (
-  SELECT user_id, symbol, COUNT(profit_usd) AS n, COUNT(CASE WHEN profit_usd > 0 THEN 1 END) AS wins, SUM(profit_usd) AS s,
-    first_value(symbol) OVER (PARTITION BY user_id ORDER BY SUM(profit_usd), symbol) AS symbol_loss,
-    first_value(symbol) OVER (PARTITION BY user_id ORDER BY SUM(profit_usd) DESC, symbol) AS symbol_profit,
-    first_value(symbol) OVER (PARTITION BY user_id ORDER BY COUNT(profit_usd) DESC, symbol) AS symbol_populare
-  FROM fx_trades WHERE user_id IN (SELECT user_id FROM best) GROUP BY user_id, symbol)
-SELECT per.user_id, u.country_code AS country, CAST(SUM(s) AS DOUBLE) AS sum_profit, CAST(SUM(n) AS BIGINT) AS cnt_deals,
-  CAST(SUM(wins) AS BIGINT) AS cnt_profit_deals, symbol_populare, symbol_profit, symbol_loss
-FROM per JOIN fx_users u ON u.user_id = per.user_id
-GROUP BY per.user_id, u.country_code, symbol_populare, symbol_profit, symbol_loss""")
+WITH by_symbol AS (
+  FROM fx_trades SELECT user_id, symbol, COUNT(profit_usd) AS deals, count_if(profit_usd > 0) AS won, SUM(profit_usd) AS gain GROUP BY ALL),
+by_user AS (
+  FROM by_symbol SELECT user_id, SUM(gain) AS gain, SUM(deals)::BIGINT AS deals, SUM(won)::BIGINT AS won, list({'symbol': symbol, 'deals': deals, 'gain': gain} ORDER BY symbol) AS s
+  GROUP BY user_id QUALIFY SUM(gain) = MAX(SUM(gain)) OVER ())
+FROM by_user b JOIN (FROM fx_users SELECT user_id, country_code, COUNT(*) AS times GROUP BY ALL) u USING (user_id)
+SELECT b.user_id, u.country_code AS country, (b.gain * u.times)::DOUBLE AS sum_profit, (b.deals * u.times)::BIGINT AS cnt_deals, (b.won * u.times)::BIGINT AS cnt_profit_deals,
+  list_filter(b.s, lambda x: x.deals = list_max([y.deals FOR y IN b.s]))[1].symbol AS symbol_populare,
+  list_filter(b.s, lambda x: x.gain = list_max([y.gain FOR y IN b.s]))[1].symbol AS symbol_profit,
+  list_filter(b.s, lambda x: x.gain = list_min([y.gain FOR y IN b.s]))[1].symbol AS symbol_loss""")
 def _(t):
     return as_double(users.top_trader_profile(t.fx_trades, t.fx_users), 4)
 
 
 FUNNEL_CTES = """
-ft AS (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY open_time, close_time, order_id, line_no, profit_usd) AS rn FROM fx_trades),
-fd AS (
-  SELECT user_id, operation_time, SUM(operation_amount_usd) AS amount, rank() OVER (PARTITION BY user_id ORDER BY operation_time) AS r
-  FROM fx_balance WHERE operation_type = 'deposit' GROUP BY user_id, operation_time),
-p30 AS (
-  SELECT o.user_id, SUM(profit_usd) AS profit_30_days FROM fx_trades o
-  JOIN fx_users u ON u.user_id = o.user_id AND u.registration_time + INTERVAL 30 DAY >= o.close_time GROUP BY o.user_id),
-b30 AS (
-  SELECT b.user_id, SUM(CASE WHEN operation_type = 'deposit' THEN operation_amount_usd ELSE 0 END) AS deposit_30_days,
-         SUM(CASE WHEN operation_type = 'withdrawal' THEN operation_amount_usd ELSE 0 END) AS withdrawal_30_days
-  FROM fx_balance b JOIN fx_users u ON u.user_id = b.user_id AND u.registration_time + INTERVAL 30 DAY >= b.operation_time GROUP BY b.user_id),
-tp AS (SELECT user_id, SUM(profit_usd) AS total_profit FROM fx_trades GROUP BY user_id),
+registered AS (FROM fx_users SELECT user_id, unnest(min_by({'country': country_code, 'registration_time': registration_time}, (registration_time, country_code))) GROUP BY user_id),
+traded AS (
+  FROM fx_trades SELECT user_id, SUM(profit_usd)::DOUBLE AS total_profit,
+    min_by({'profit': profit_usd, 'open': open_time}, (open_time, close_time, order_id, line_no, profit_usd)) AS opening GROUP BY user_id),
+paid_in AS (
+  FROM fx_balance b JOIN (FROM fx_balance SELECT user_id, MIN(operation_time) AS at_ WHERE operation_type = 'deposit' GROUP BY user_id) f USING (user_id)
+  SELECT user_id, f.at_, SUM(b.operation_amount_usd)::DOUBLE AS amount WHERE b.operation_type = 'deposit' AND b.operation_time = f.at_ GROUP BY user_id, f.at_),
+early AS (
+  FROM (FROM fx_trades SELECT user_id, close_time AS at_, profit_usd AS profit, NULL AS paid, NULL AS taken
+        UNION ALL FROM fx_balance SELECT user_id, operation_time, NULL, if(operation_type = 'deposit', operation_amount_usd, 0), if(operation_type = 'withdrawal', operation_amount_usd, 0)) x
+  JOIN fx_users u USING (user_id) SELECT user_id, SUM(profit)::DOUBLE AS profit_30_days, SUM(paid)::DOUBLE AS deposit_30_days, SUM(taken)::DOUBLE AS withdrawal_30_days
+  WHERE x.at_ - INTERVAL 30 DAY <= u.registration_time GROUP BY user_id),
 funnel AS (
-  SELECT u.user_id, u.country_code AS country, u.registration_time, CAST(ft.profit_usd AS DOUBLE) AS first_deal_profit,
-    ft.open_time AS first_deal_open_time, CAST(fd.amount AS DOUBLE) AS sum_first_deposit, fd.operation_time AS dt_first_deposit,
-    CAST(profit_30_days AS DOUBLE) AS profit_30_days, CAST(deposit_30_days AS DOUBLE) AS deposit_30_days,
-    CAST(withdrawal_30_days AS DOUBLE) AS withdrawal_30_days, CAST(total_profit AS DOUBLE) AS total_profit
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY registration_time) AS rn FROM fx_users) u
-  LEFT JOIN ft ON u.user_id = ft.user_id AND ft.rn = 1 LEFT JOIN fd ON u.user_id = fd.user_id AND fd.r = 1
-  LEFT JOIN p30 ON u.user_id = p30.user_id LEFT JOIN b30 ON u.user_id = b30.user_id LEFT JOIN tp ON u.user_id = tp.user_id
-  WHERE u.rn = 1)
+  FROM registered LEFT JOIN traded USING (user_id) LEFT JOIN paid_in USING (user_id) LEFT JOIN early USING (user_id)
+  SELECT user_id, country, registration_time, opening.profit::DOUBLE AS first_deal_profit, opening.open AS first_deal_open_time, amount AS sum_first_deposit,
+    at_ AS dt_first_deposit, profit_30_days, deposit_30_days, withdrawal_30_days, total_profit)
 """
 
 
@@ -313,19 +268,16 @@ def _(t):
 
 
 SPREAD_CTES = """
+ticks AS (
+  FROM fx_deals_mt5 SELECT symbol, contract_size, digits, entry = 0 AS counts, symbol_ask AS ask, symbol_bid AS bid, xr_quote_currency_to_usd AS rate, volume_usd AS money
+  WHERE action IN (0, 1) AND entry IN (0, 1, 3) AND year(time) BETWEEN 1995 AND 1999
+  UNION ALL BY NAME FROM fx_orders_mt4 SELECT symbol, contract_size, digits, true AS counts, open_symbol_ask AS ask, open_symbol_bid AS bid,
+    open_xr_quote_currency_to_usd AS rate, volume_opened_usd + volume_closed_usd AS money
+  WHERE cmd IN (0, 1) AND year(open_time) BETWEEN 1995 AND 1999),
 raw AS (
-  SELECT regexp_replace(symbol, '[empkfzc]$', '') AS symbol_reg, contract_size,
-    CASE WHEN entry = 0 THEN (symbol_ask - symbol_bid) / power(CAST(0.1 AS DOUBLE), digits - 1) END AS spread_pips,
-    CASE WHEN entry = 0 THEN ROUND((symbol_ask - symbol_bid) * (contract_size * xr_quote_currency_to_usd), 2) END AS spread_usd,
-    CAST(volume_usd AS DECIMAL(20,2)) AS volume_usd
-  FROM fx_deals_mt5
-  WHERE time >= TIMESTAMP '1995-01-01' AND time < TIMESTAMP '2000-01-01' AND action IN (0,1) AND symbol_ask != symbol_bid AND entry IN (0,1,3)
-  UNION ALL
-  SELECT regexp_replace(symbol, '[empkfzc]$', ''), contract_size,
-    (open_symbol_ask - open_symbol_bid) / power(CAST(0.1 AS DOUBLE), digits - 1),
-    ROUND((open_symbol_ask - open_symbol_bid) * (contract_size * open_xr_quote_currency_to_usd), 2), volume_opened_usd + volume_closed_usd
-  FROM fx_orders_mt4
-  WHERE open_time >= TIMESTAMP '1995-01-01' AND open_time < TIMESTAMP '2000-01-01' AND cmd IN (0,1) AND open_symbol_ask != open_symbol_bid)
+  FROM ticks SELECT if(contains('empkfzc', right(symbol, 1)), left(symbol, -1), symbol) AS symbol_reg, contract_size, money::DECIMAL(20,2) AS volume_usd,
+    if(counts, (ask - bid) / power(0.1::DOUBLE, digits - 1), NULL) AS spread_pips, if(counts, ROUND((ask - bid) * (contract_size * rate), 2), NULL) AS spread_usd
+  WHERE ask <> bid)
 """
 
 

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from tidebook.catalog.registry import as_double, dbl, query
-from tidebook.catalog.reports import LOCKER_COLUMNS, LOCKER_CTES, _lockers
+from tidebook.catalog.reports import LOCKER_COLUMNS, LOCKER_CTES, RISK_CTES, _lockers
 from tidebook.plans import portfolio, risk
 from tidebook.session import shared_dir
 from tidebook.sources import files, quotes, sinks
@@ -143,13 +143,11 @@ def _(t):
     return as_double(sinks.replace_table(_lockers(t), name, shared_dir(t.spark, name)), 4)
 
 
-@query("view_layer", f"""
-WITH {LOCKER_CTES}
-SELECT user_uid, CASE WHEN max_volume_closed_lot >= 31 THEN 1 ELSE 0 END AS big FROM features""")
+@query("view_layer", f"WITH {RISK_CTES} SELECT user_uid, ROUND(gain, 4) AS profit_coef FROM classed WHERE possibility_error = 'high'")
 def _(t):
     name = f"v_mirror_lockers_{uuid.uuid4().hex[:12]}"
     risk.mirror_locker_risk(_lockers(t)).createOrReplaceTempView(name)
-    return t.spark.sql(f"SELECT user_uid, CASE WHEN max_volume_closed_lot >= 31 THEN 1 ELSE 0 END AS big FROM {name}")
+    return as_double(t.spark.sql(f"SELECT user_uid, profit_coef FROM {name} WHERE possibility_error = 'high'"), 4)
 
 
 @query("gated_load", """

@@ -14,8 +14,9 @@ from tidebook.operators.percentiles import exact_percentiles
 def newest(value: str | Column, *order: str) -> Column:
     """The non-NULL ``value`` of the highest ``order``; rows with a NULL value are skipped.
 
-    Give a second order column only where versions can tie: a single number or time keeps
-    the aggregation hashed.
+    End ``order`` in a column that tells versions of one time apart, the same for all values
+    of a row: otherwise tied versions are picked at random, and each value on its own. A single
+    number or time keeps the aggregation hashed.
     """
     v = F.col(value) if isinstance(value, str) else value
     rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
@@ -36,7 +37,8 @@ def histogram(df: DataFrame, value: str, bins: int = 10, by: Sequence[str] = ())
 
     One pass finds the range, one map-side-combined pass counts. Empty bins are left out.
     """
-    rows = df.select(*by, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
+    # NaN counts as missing, as NULL does; infinite values have no bin either.
+    rows = df.select(*by, F.col(value).cast("double").alias("__v")).where("abs(__v) < double('inf')")
     bounds = rows.agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
     width = (hi - lo) / F.lit(float(bins))
@@ -111,13 +113,12 @@ def pivot_sum(df: DataFrame, index: str, column: str, value: str, names: Sequenc
 
 
 def top_with_ties(df: DataFrame, score: str) -> DataFrame:
-    """All rows whose ``score`` equals the maximum.
+    """All rows whose ``score`` equals the maximum (none if every score is NULL).
 
-    Filtering a rank lets Spark keep only each task's leaders, so the one final task sees
-    little more than the answer.
+    The maximum is one number, and a filter on it keeps tied rows where they are, however many.
     """
-    ranked = df.withColumn("__rank", F.rank().over(Window.orderBy(F.desc(score))))
-    return ranked.where("__rank = 1").drop("__rank")
+    top = df.agg(F.max(score).alias(score)).select(score).scalar()
+    return df.where(F.col(score) == top)
 
 
 def agree_share(df: DataFrame, models: Mapping[str, str]) -> DataFrame:

@@ -170,8 +170,11 @@ def _not_hedge_close(column: str) -> Column:
 
 
 def round_trips(deals: DataFrame, orders: DataFrame, scoring_date: str, lookback_days: int = 1,
-                excluded: Sequence[int] = constants.PROVIDER_LOGINS) -> DataFrame:
-    """Closed trades of both platforms; versions of a deal are reduced to the newest values."""
+                excluded: Sequence[int] = constants.PROVIDER_LOGINS, versions: Sequence[str] = ("updated", "version")) -> DataFrame:
+    """Closed trades of both platforms; versions of a deal are reduced to the newest values.
+
+    ``versions`` orders the versions of a deal: end it in a column that tells equal times apart.
+    """
     day = F.lit(scoring_date).cast("date")
     first = F.date_sub(day, lookback_days)
     kept = deals.where(
@@ -179,11 +182,11 @@ def round_trips(deals: DataFrame, orders: DataFrame, scoring_date: str, lookback
         & (F.col("date") >= first) & (F.col("date") < day) & ~F.col("login").isin(*excluded)
     )
     def last(c: str) -> Column:
-        return newest(c, "updated").alias(c)
+        return newest(c, *versions).alias(c)
 
     close = kept.where((F.col("entry") == 1) & F.col("time_msc").isNotNull()).groupBy("date", "login", "position_id", "user_uid").agg(
-        last("profit"), last("spread_revenue_usd"), last("xr_account_currency_to_usd"), newest("time_msc", "updated").alias("closed_at"))
-    opened = kept.where(F.col("entry") == 0).groupBy("login", "position_id", "reason").agg(newest("time_msc", "updated").alias("opened_at"))
+        last("profit"), last("spread_revenue_usd"), last("xr_account_currency_to_usd"), newest("time_msc", *versions).alias("closed_at"))
+    opened = kept.where(F.col("entry") == 0).groupBy("login", "position_id", "reason").agg(newest("time_msc", *versions).alias("opened_at"))
     spread = scalars.ratio(F.col("spread_revenue_usd"), F.col("xr_account_currency_to_usd")).alias("spread_in_account_cur")
     mt5 = close.join(opened, ["login", "position_id"]).select(
         F.lit("mt5").alias("mt"), "user_uid", "reason", "profit", "spread_revenue_usd", spread,

@@ -23,12 +23,15 @@ def zero_swaps(charged: DataFrame, start: str, end: str, symbols: Sequence[str]
 
 
 def swap_free_cost(charged: DataFrame, quotes: DataFrame, profiles: DataFrame, start: str, end: str,
-                   symbols: Sequence[str] | None = constants.SWAP_SYMBOLS) -> DataFrame:
+                   symbols: Sequence[str] | None = constants.SWAP_SYMBOLS, profiles_between: tuple[str, str] | None = None) -> DataFrame:
     """Per month, symbol and flag: what the swap would have cost, the default, the actual charge and the loss.
 
-    Charges are summed per day, symbol and side before they meet the quotes.
+    Charges are summed per day, symbol and side before they meet the quotes. Flags come from
+    profile versions updated in ``profiles_between`` (half-open), or in ``start`` to ``end``.
     """
     rows = zero_swaps(charged, start, end, symbols)
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in profiles_between or (start, end))
+    profiles = profiles.where((F.col("updated") >= first) & (F.col("updated") < last))
     flags = latest_per_day(profiles, "uid", "updated", "seq", ["muslim", "status"])
     flagged = rows.join(flags, (F.col("user_uid") == F.col("uid")) & (F.col("date") == F.col("updated_day")), "left")
     side = F.when(F.col("action") == 0, F.lit("Ask")).when(F.col("action") == 1, F.lit("Bid"))
