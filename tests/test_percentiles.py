@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.operators import percentiles
+from tidebook.operators import percentiles, windows
 from tidebook.operators.aggregates import box_stats, histogram
 
 QS = [0.0, 0.25, 0.5, 0.8, 0.975, 1.0]
@@ -28,11 +28,13 @@ def groups():
     }
 
 
-@pytest.mark.parametrize("small_group, accuracy", [(100_000, 10_000), (1_000, 100), (1_900, 190)])
-def test_exact_percentiles(spark, groups, monkeypatch, small_group, accuracy):
-    # With low limits the larger groups take the sketch-and-bracket way.
-    monkeypatch.setattr(percentiles, "SMALL_GROUP", small_group)
+@pytest.mark.parametrize("marks, accuracy, rows_per_range, groups_sent", [(400, 10_000, 2_000_000, 20_000), (20, 100, 50, 20_000), (5, 60, 300, 1), (1, 100, 100, 0)])
+def test_exact_percentiles(spark, groups, monkeypatch, marks, accuracy, rows_per_range, groups_sent):
+    # Coarse sketches, many ranges, joined brackets: the same numbers each time.
+    monkeypatch.setattr(percentiles, "MARKS", marks)
     monkeypatch.setattr(percentiles, "ACCURACY", accuracy)
+    monkeypatch.setattr(windows, "ROWS_PER_RANGE", rows_per_range)
+    monkeypatch.setattr(percentiles, "BROADCAST_GROUPS", groups_sent)
     got = {r.g: list(r)[1:] for r in percentiles.exact_percentiles(frame(spark, groups), ["g"], "v", QS).collect()}
     assert set(got) == {*groups, None}
     for g, values in [*groups.items(), (None, [4.0, 6.0])]:
@@ -72,6 +74,11 @@ def test_histogram_sums_to_the_non_null_count(spark, groups):
     assert [got.get(i, 0) for i in range(20)] == list(want)
 
 
+def test_histogram_leaves_out_nan(spark):
+    got = histogram(spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (float("inf"),), (None,)], "v double"), "v", 2).collect()
+    assert sorted((r.bin, r.cnt) for r in got) == [(0, 1), (1, 1)]
+
+
 def test_histogram_of_a_constant(spark):
     got = histogram(spark.createDataFrame([(3.0,)] * 4, "v double"), "v", 10).collect()
     assert [(r.bin, r.cnt) for r in got] == [(0, 4)]

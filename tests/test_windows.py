@@ -1,4 +1,4 @@
-"""Bucketed windows against plain ones, on data where one key holds a third of the rows."""
+"""Windows over ranges against plain ones, on data where one key holds a third of the rows."""
 
 import datetime
 
@@ -11,11 +11,11 @@ from tidebook.operators import windows
 START = datetime.datetime(2024, 1, 1)
 
 
-@pytest.fixture(params=["split", "whole"], autouse=True)
-def hot_keys(request, monkeypatch):
-    """Each case once with hot keys split and once with none."""
-    if request.param == "split":
-        monkeypatch.setattr(windows, "MIN_HOT_ROWS", 100)
+@pytest.fixture(params=[40, 700, 10**9], autouse=True)
+def ranges(request, monkeypatch):
+    """Each case with many ranges, a few, and one."""
+    monkeypatch.setattr(windows, "ROWS_PER_RANGE", request.param)
+    return request.param
 
 
 @pytest.fixture(scope="module")
@@ -36,10 +36,9 @@ def same(a, b, columns):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("unit", ["minute", "hour", "day", "year"])
-def test_running_sums_rows(rows, unit):
+def test_running_sums_rows(rows):
     got = windows.running_sums(
-        rows, {"t": (["k"], F.col("v")), "ts": (["k", "side"], F.col("v"))}, ["at", "id"], F.date_trunc(unit, "at"))
+        rows, {"t": (["k"], F.col("v")), "ts": (["k", "side"], F.col("v"))}, ["at", "id"])
     w = Window.partitionBy("k").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
     ws = Window.partitionBy("k", "side").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = rows.withColumns({"t": F.sum("v").over(w), "ts": F.sum("v").over(ws)})
@@ -47,25 +46,25 @@ def test_running_sums_rows(rows, unit):
 
 
 def test_running_sum_range_shares_peers(rows):
-    got = windows.running_sums(rows, {"t": (["k"], F.col("v"))}, ["at"], F.date_trunc("hour", "at"), "range")
+    got = windows.running_sums(rows, {"t": (["k"], F.col("v"))}, ["at"], "range")
     want = rows.withColumn("t", F.sum("v").over(Window.partitionBy("k").orderBy("at")))
     same(got, want, ["k", "id", "t"])
 
 
 def test_last_running_sum_is_the_total(rows):
-    got = windows.running_sums(rows, {"t": (["k"], F.coalesce("v", F.lit(0.0)))}, ["at", "id"], F.date_trunc("hour", "at"))
+    got = windows.running_sums(rows, {"t": (["k"], F.coalesce("v", F.lit(0.0)))}, ["at", "id"])
     last = got.groupBy("k").agg(F.max_by("t", F.struct("at", "id")).alias("t"))
     same(last, rows.groupBy("k").agg(F.sum(F.coalesce("v", F.lit(0.0))).alias("t")), ["k", "t"])
 
 
 def test_previous_value(rows):
-    got = windows.previous_value(rows, ["k"], ["at", "id"], "word", F.date_trunc("hour", "at"), "prev")
+    got = windows.previous_value(rows, ["k"], ["at", "id"], "word", "prev")
     want = rows.withColumn("prev", F.lag("word").over(Window.partitionBy("k").orderBy("at", "id")))
     same(got, want, ["k", "id", "word", "prev"])
 
 
 def test_streaks(rows):
-    got = windows.repeated_value_streaks(rows, ["k"], ["at", "id"], "word", "a", F.date_trunc("hour", "at"))
+    got = windows.repeated_value_streaks(rows, ["k"], ["at", "id"], "word", "a")
     w = Window.partitionBy("k").orderBy("at", "id")
     hit = F.coalesce((F.col("word") == "a") & (F.lag("word").over(w) == "a"), F.lit(False)).cast("bigint")
     want = rows.withColumn("h", hit).groupBy("k").agg(F.sum("h").alias("max_incidents"))
@@ -75,15 +74,15 @@ def test_streaks(rows):
 def test_event_counter_steps_on_condition(spark):
     data = [(1, i, c) for i, c in enumerate(["x", "R", "x", None, "R", "x"])]
     df = spark.createDataFrame(data, "login int, at int, c string")
-    got = windows.conditional_event_counter(df, ["login"], ["at"], F.col("c") == "R", F.floor(F.col("at") / 2), "g")
+    got = windows.conditional_event_counter(df, ["login"], ["at"], F.col("c") == "R", "g")
     assert [r.g for r in got.orderBy("at").collect()] == [0, 1, 1, 1, 2, 2]
 
 
 def test_row_index_is_dense_and_ordered(spark):
-    ids = [i * i for i in range(500)] + [-5, 10**12]
-    df = spark.createDataFrame([(i,) for i in ids], "key bigint").repartition(7)
-    got = windows.row_index(df, "key", buckets=16).orderBy("key").collect()
-    assert [r.id for r in got] == list(range(len(ids))) and [r.key for r in got] == sorted(ids)
+    ids = [i * i for i in range(500)] + [-5, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(i,) for i in [*ids, None]], "key bigint").repartition(7)
+    got = {r.key: r.id for r in windows.row_index(df, "key").collect()}
+    assert got.pop(None) == len(ids) and [got[i] for i in sorted(ids)] == list(range(len(ids)))
 
 
 def test_first_row_keeps_a_null_payload(spark):
@@ -92,9 +91,14 @@ def test_first_row_keeps_a_null_payload(spark):
     assert [(r.u, r.c, r["at"]) for r in got] == [(1, None, 1), (2, "c", 5)]
 
 
-def test_no_task_holds_a_whole_key(rows):
-    """The windows over rows are partitioned by key and bucket."""
-    got = windows.running_sums(rows, {"t": (["k"], F.col("v"))}, ["at", "id"], F.date_trunc("hour", "at"))
+def test_no_task_holds_a_hot_key(spark, monkeypatch):
+    """Half of all rows have one key; no (key, range) has more than a small share of them."""
+    monkeypatch.setattr(windows, "ROWS_PER_RANGE", 500)
+    df = spark.range(20_000).selectExpr("if(id % 2 = 0, 7, id) AS k", "id * id AS at", "id")
+    ranged, many = windows._ranged(df, "at")
+    sizes = [r["count"] for r in ranged.groupBy("k", windows._RANGE).count().collect()]
+    assert many and max(sizes) <= 600
+    got = windows.running_sums(df, {"t": (["k"], F.col("id"))}, ["at"])
     plan = got._jdf.queryExecution().executedPlan().toString()
     body = [line for line in plan.splitlines() if "Window [" in line and "__body" in line]
-    assert body and all("__bucket" in line for line in body)
+    assert body and all("__range" in line for line in body)

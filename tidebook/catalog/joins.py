@@ -94,7 +94,7 @@ WITH w AS (SELECT uuid, row_number() OVER (ORDER BY COUNT(*) DESC, uuid) AS rn F
 SELECT r.event_id, CAST(w.rn AS INT) AS rn FROM fx_responses r JOIN w ON w.uuid = r.uuid AND w.rn < 20""")
 def _(t):
     top = rejects.top_rejected(t.fx_responses, 19).select("uuid", "rn")
-    return t.fx_responses.join(F.broadcast(top), "uuid").select("event_id", "rn")
+    return t.fx_responses.join(top, "uuid").select("event_id", "rn")
 
 
 @query("semi_in", "SELECT login, COUNT(*) AS cnt FROM fx_deals_extra WHERE login IN (SELECT code FROM fx_account_dim) GROUP BY login")

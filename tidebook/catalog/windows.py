@@ -70,7 +70,7 @@ def _(t):
     amount = F.col("operation_amount_usd")
     out = windows.running_sums(
         t.fx_balance, {"total": (["user_id"], amount), "total_of_type": (["user_id", "operation_type"], amount)},
-        ["operation_time", "op_id"], F.trunc("operation_time", "month"))
+        ["operation_time", "op_id"])
     return as_double(out.select("op_id", "user_id", "total", "total_of_type"), 2)
 
 
@@ -78,7 +78,7 @@ def _(t):
 SELECT op_id, user_id, CAST(SUM(operation_amount_usd) OVER (PARTITION BY user_id ORDER BY operation_time) AS DOUBLE) AS total FROM fx_balance""")
 def _(t):
     out = windows.running_sums(
-        t.fx_balance, {"total": (["user_id"], F.col("operation_amount_usd"))}, ["operation_time"], F.trunc("operation_time", "month"), "range")
+        t.fx_balance, {"total": (["user_id"], F.col("operation_amount_usd"))}, ["operation_time"], "range")
     return as_double(out.select("op_id", "user_id", "total"), 2)
 
 
@@ -86,7 +86,7 @@ def _(t):
 SELECT event_id, lag(comment) OVER (PARTITION BY uuid, login ORDER BY request_ts, event_id) AS prev_comment FROM fx_responses""")
 def _(t):
     return windows.previous_value(
-        t.fx_responses, ["uuid", "login"], ["request_ts", "event_id"], "comment", F.to_date("request_ts"), "prev_comment"
+        t.fx_responses, ["uuid", "login"], ["request_ts", "event_id"], "comment", "prev_comment"
     ).select("event_id", "prev_comment")
 
 
@@ -95,7 +95,7 @@ SELECT event_id, CAST(SUM(CASE WHEN response_result = 2 THEN 1 ELSE 0 END) OVER
 FROM fx_responses""")
 def _(t):
     return windows.conditional_event_counter(
-        t.fx_responses, ["login"], ["request_ts", "event_id"], F.col("response_result") == 2, F.to_date("request_ts"), "step").select("event_id", "step")
+        t.fx_responses, ["login"], ["request_ts", "event_id"], F.col("response_result") == 2, "step").select("event_id", "step")
 
 
 @query("repeat_incidents", """
@@ -103,11 +103,11 @@ WITH b AS (SELECT *, lag(comment) OVER (PARTITION BY uuid, login ORDER BY reques
 SELECT event_id, CAST(SUM(CASE WHEN comment = prev AND comment = 'margin no money (precheck)' THEN 1 ELSE 0 END)
   OVER (PARTITION BY uuid, login ORDER BY request_ts) AS BIGINT) AS incidents FROM b""")
 def _(t):
-    keys, order, day = ["uuid", "login"], ["request_ts", "event_id"], F.to_date("request_ts")
-    rows = windows.previous_value(t.fx_responses, keys, order, "comment", day, "prev")
+    keys, order = ["uuid", "login"], ["request_ts", "event_id"]
+    rows = windows.previous_value(t.fx_responses, keys, order, "comment", "prev")
     hit = (F.col("comment") == F.col("prev")) & (F.col("comment") == REJECT)
     step = F.coalesce(hit, F.lit(False)).cast("bigint")
-    return windows.running_sums(rows, {"incidents": (keys, step)}, ["request_ts"], day, "range").select("event_id", "incidents")
+    return windows.running_sums(rows, {"incidents": (keys, step)}, ["request_ts"], "range").select("event_id", "incidents")
 
 
 @query("cum_investment", f"""

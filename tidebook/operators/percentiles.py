@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tidebook.operators.joins import null_safe
 from tidebook.operators.windows import running_sums
+from tidebook.session import materialize
 
-# Groups up to this size are ordered whole; larger ones only inside the sketch's bracket.
-# Keep it at ten times ACCURACY or more, so that the bracket spans whole ranks.
-SMALL_GROUP = 100_000
 ACCURACY = 10_000
-SLICES = 256
+# A group's sketch gives this many marks; a wanted rank lies between two of them, a few marks apart.
+MARKS = 400
+# Groups whose brackets (some 100 bytes per percentile) are sent to all tasks; more are joined.
+BROADCAST_GROUPS = 20_000
 
 
 def approx_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
@@ -26,53 +27,40 @@ def approx_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Seque
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
     """Linear-interpolated percentiles per group, columns ``p0, p1, ..`` (NULL skipped).
 
-    ``percentile`` holds every distinct value of a group in one task. Here a sketch gives for
-    each wanted rank a bracket that surely holds it; the rows below the bracket are only
-    counted, and only the distinct values inside it (about 1/2500 of a large group) are ordered.
+    ``percentile`` holds every distinct value of a group in one task. Here a sketch per group,
+    whose rank error is bounded, gives a bracket that holds each wanted rank. Rows below the
+    bracket are only counted, where they lie; the distinct values inside it (about four marks
+    in ``MARKS``) are ordered in ranges. Groups of every size go this way.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
-    slack = 2.0 / ACCURACY
-    lows = F.percentile_approx("__v", [max(0.0, q - slack) for q in qs], ACCURACY)
-    highs = F.percentile_approx("__v", [min(1.0, q + slack) for q in qs], ACCURACY)
+    n = F.col("__n")
     stats = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-        lows.alias("__lows"), highs.alias("__highs"),
+        F.percentile_approx("__v", [i / MARKS for i in range(MARKS + 1)], ACCURACY).alias("__marks"),
     )
-    small = F.col("__n") <= SMALL_GROUP
+    slack = 2.0 * MARKS / ACCURACY
 
     def wanted(i: int, q: float) -> Column:
-        edge_low, edge_high = small, small
-        if q - slack <= 0:
-            edge_low = F.lit(True)
-        if q + slack >= 1:
-            edge_high = F.lit(True)
+        rank = F.lit(float(q)) * (n - 1)
+        low = F.floor((F.floor(rank) + 1) / n * MARKS - slack).cast("int") - 1
+        high = F.ceil((F.ceil(rank) + 1) / n * MARKS + slack).cast("int") + 1
         return F.struct(
-            F.lit(i).alias("i"),
-            (F.lit(float(q)) * (F.col("__n") - 1)).alias("rank"),
-            F.when(edge_low, F.col("__min")).otherwise(F.col("__lows")[i]).alias("lo"),
-            F.when(edge_high, F.col("__max")).otherwise(F.col("__highs")[i]).alias("hi"),
-            (~small).alias("large"),
+            F.lit(i).alias("i"), rank.alias("rank"),
+            F.when(low < 0, F.col("__min")).otherwise(F.get("__marks", low)).alias("lo"),
+            F.when(high > MARKS, F.col("__max")).otherwise(F.get("__marks", high)).alias("hi"),
         )
 
-    brackets = stats.select(*keys, F.array(*[wanted(i, q) for i, q in enumerate(qs)]).alias("__want"))
-    width = F.col("w.hi") - F.col("w.lo")
-    sliced = F.floor((F.col("__v") - F.col("w.lo")) / width * SLICES)
-    joined = (
-        _attach(rows, brackets, keys).select(*keys, "__v", F.explode("__want").alias("w"))
-        .withColumn("w", F.col("w").withField("slice", F.when(F.col("w.large") & (width > 0), sliced).otherwise(F.lit(0))))
-    )
+    brackets = stats.select(*keys, F.array(*[wanted(i, q) for i, q in enumerate(qs)]).alias("__want")).where(n > 0)
+    joined = _attach(rows, brackets, keys).select(*keys, "__v", F.explode("__want").alias("w"))
     # One row per distinct value inside a bracket; everything below it collapses to one row.
     counted = (
         joined.where(F.col("__v") <= F.col("w.hi"))
-        .select(*keys, F.col("w.i").alias("i"), F.col("w.rank").alias("rank"), F.col("w.large").alias("large"),
-                F.when(F.col("__v") >= F.col("w.lo"), F.col("__v")).alias("__v"),
-                F.when(F.col("__v") >= F.col("w.lo"), F.col("w.slice")).alias("__slice"))
-        .groupBy(*keys, "i", "rank", "large", "__slice", "__v")
+        .select(*keys, F.col("w.i").alias("i"), F.col("w.rank").alias("rank"), F.when(F.col("__v") >= F.col("w.lo"), F.col("__v")).alias("__v"))
+        .groupBy(*keys, "i", "rank", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    # A large bracket is ordered in value slices, so no task holds a whole one.
-    ranked = running_sums(counted, {"__end": ([*keys, "i"], F.col("__c"))}, ["__v"], F.coalesce("__slice", F.lit(-1)), hot=F.col("large"))
+    ranked = running_sums(counted, {"__end": ([*keys, "i"], F.col("__c"))}, ["__v"])
     start = F.col("__end") - F.col("__c")
 
     def at(position: Column) -> Column:
@@ -83,12 +71,12 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequen
         F.max(F.col("rank") - F.floor("rank")).alias("part"),
     )
     answer = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + F.col("part") * (F.col("b") - F.col("a")))
-    # Fail rather than answer wrongly should a bracket ever miss its rank.
-    answer = F.coalesce(answer, F.raise_error(F.lit("percentile bracket missed its rank")).cast("double"))
     return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, answer)).alias(f"p{i}") for i in range(len(qs))])
 
 
-def _attach(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+def _attach(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
-        return rows.withColumn("__want", stats.select("__want").scalar())
-    return null_safe(rows, stats, keys)
+        return rows.withColumn("__want", brackets.select("__want").scalar())
+    brackets = materialize(brackets, "brackets")
+    few = brackets.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    return null_safe(rows, F.broadcast(brackets) if few else brackets, keys)

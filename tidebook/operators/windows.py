@@ -1,9 +1,10 @@
 """Ordered computations that stay distributed when one key holds much of the data.
 
-A plain window sends every row of a key to one task. Here a hot key is cut into ordered
-buckets (a day, an id range): only one summary row per bucket goes through the per-key
-window, and comes back as an "opening" row at the head of its bucket. The rows themselves
-are shuffled once, on (keys, bucket). All other keys stay whole, in one bucket.
+A plain window sends every row of a key to one task. Here all rows are cut into ranges of the
+leading order column that hold about equally many rows (``ROWS_PER_RANGE``), so no key has more
+rows than that in one range, and rows are shuffled on (keys, range). One summary row per key
+and range goes through the per-key window, and comes back as an "opening" row at the head of
+its range. The way is the same for every key; a small table is a single range.
 """
 
 from __future__ import annotations
@@ -14,125 +15,97 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.operators.joins import null_safe
+from tidebook.operators.ranges import quantile_ranges
 
-_BUCKET, _BODY, _HOT = "__bucket", "__body", "__hot"
-
-# A key is hot when it has this many rows and more than one in HOT_SHARE of all rows. There
-# are fewer than HOT_SHARE such keys, which bounds the broadcast of their list.
-MIN_HOT_ROWS = 200_000
-HOT_SHARE = 100_000
+_RANGE, _BODY = "__range", "__body"
+ROWS_PER_RANGE = 2_000_000
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column, hot: Column | None = None) -> DataFrame:
-    """Mark the rows of hot keys (found by counting unless ``hot`` tells) and give them their bucket."""
-    if hot is not None:
-        return df.withColumn(_HOT, hot).withColumn(_BUCKET, F.when(F.col(_HOT), bucket)).withColumn(_BODY, F.lit(1))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).scalar()
-    found = counts.where((F.col("__n") >= MIN_HOT_ROWS) & (F.col("__n") * HOT_SHARE > total)).select(*keys, F.lit(True).alias(_HOT))
-    return null_safe(df, F.broadcast(found), keys, "left").withColumn(_BUCKET, F.when(F.col(_HOT), bucket)).withColumn(_BODY, F.lit(1))
+def _ranged(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
+    """Rows with their range, and whether there is more than one."""
+    number, count = quantile_ranges(df, column, ROWS_PER_RANGE)
+    return df.withColumns({_RANGE: number, _BODY: F.lit(1)}), count > 1
 
 
 def running_sums(
-    df: DataFrame,
-    sums: Mapping[str, tuple[Sequence[str], Column]],
-    order: Sequence[str],
-    bucket: Column,
-    frame: str = "rows",
-    hot: Column | None = None,
+    df: DataFrame, sums: Mapping[str, tuple[Sequence[str], Column]], order: Sequence[str], frame: str = "rows"
 ) -> DataFrame:
     """Add running sums: ``{output: (partition keys, value)}``.
 
-    ``bucket`` must grow with the leading ``order`` column. ``frame="range"`` lets rows with
-    equal order values share the total; ``"rows"`` does not, so end ``order`` in a unique key.
-    ``hot`` may tell which rows belong to hot keys, which saves counting the keys.
-    When the partition keys of one sum are contained in those of the others, all windows
-    share one shuffle.
+    ``frame="range"`` lets rows with equal order values share the total; ``"rows"`` does not,
+    so end ``order`` in a unique key. Sums of DOUBLE depend on the order of addition, as
+    always; use decimals where last digits matter. When the partition keys of one sum are
+    contained in those of the others, all windows share one shuffle.
     """
     values = {out: f"__v{i}" for i, out in enumerate(sums)}
     all_keys = list(dict.fromkeys(k for keys, _ in sums.values() for k in keys))
-    shared = [k for k in all_keys if all(k in keys for keys, _ in sums.values())]
-    body = _bucketed(df, shared, bucket, hot)
+    result, many = _ranged(df, order[0])
     for out, (_, value) in sums.items():
-        body = body.withColumn(values[out], value)
-
-    # One map-side-combined pass gives the totals of every sum; coarser keys re-add the finer ones.
-    fine = body.where(_HOT).groupBy(*all_keys, _BUCKET).agg(*[F.sum(v).alias(v) for v in values.values()])
-    openings = []
-    for out, (keys, _) in sums.items():
-        before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        totals = fine.groupBy(*keys, _BUCKET).agg(F.sum(values[out]).alias("__t"))
-        openings.append(
-            totals.select(*keys, _BUCKET, F.lit(0).alias(_BODY), F.sum("__t").over(before).alias("__t"))
-            .where(F.col("__t").isNotNull())
-            .withColumnRenamed("__t", values[out])
-        )
-    result = _stack([body, *openings])
+        result = result.withColumn(values[out], value)
+    if many:
+        # One map-side-combined pass gives the totals of every sum; coarser keys re-add the finer ones.
+        fine = result.groupBy(*all_keys, _RANGE).agg(*[F.sum(v).alias(v) for v in values.values()])
+        openings = []
+        for out, (keys, _) in sums.items():
+            before = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+            totals = fine.groupBy(*keys, _RANGE).agg(F.sum(values[out]).alias("__t"))
+            openings.append(
+                totals.select(*keys, _RANGE, F.lit(0).alias(_BODY), F.sum("__t").over(before).alias("__t"))
+                .where(F.col("__t").isNotNull())
+                .withColumnRenamed("__t", values[out])
+            )
+        result = _stack([result, *openings])
     for out, (keys, _) in sums.items():
-        window = Window.partitionBy(*keys, _BUCKET).orderBy(_BODY, *order)
+        window = Window.partitionBy(*keys, *([_RANGE] if many else [])).orderBy(_BODY, *order)
         if frame == "rows":
             window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         result = result.withColumn(out, F.sum(values[out]).over(window))
-    return result.where(F.col(_BODY) == 1).drop(_BUCKET, _BODY, _HOT, *values.values())
+    return result.where(F.col(_BODY) == 1).drop(_RANGE, _BODY, *values.values())
 
 
-def conditional_event_counter(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column, bucket: Column, out: str
-) -> DataFrame:
+def conditional_event_counter(df: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column, out: str) -> DataFrame:
     """A counter per key that steps up by one on every row where ``condition`` holds."""
     step = F.coalesce(condition, F.lit(False)).cast("bigint")
-    return running_sums(df, {out: (keys, step)}, order, bucket)
+    return running_sums(df, {out: (keys, step)}, order)
 
 
-def previous_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, bucket: Column, out: str
-) -> DataFrame:
-    """``lag(value)`` per key; the last value of a bucket is handed to the next one."""
-    body = _bucketed(df, keys, bucket)
-    last = body.where(_HOT).groupBy(*keys, _BUCKET).agg(F.max_by(value, F.struct(*order)).alias("__last"))
-    by_bucket = Window.partitionBy(*keys).orderBy(_BUCKET)
-    opening = (
-        last.withColumn(value, F.lag("__last").over(by_bucket))
-        .withColumn(_BODY, F.lit(0))
-        .drop("__last")
-    )
-    window = Window.partitionBy(*keys, _BUCKET).orderBy(_BODY, *order)
-    return (
-        _stack([body, opening])
-        .withColumn(out, F.lag(value).over(window))
-        .where(F.col(_BODY) == 1)
-        .drop(_BUCKET, _BODY, _HOT)
-    )
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """``lag(value)`` per key; the last value of a range is handed to the next one."""
+    body, many = _ranged(df, order[0])
+    if many:
+        last = body.groupBy(*keys, _RANGE).agg(F.max_by(value, F.struct(*order)).alias("__last"))
+        by_range = Window.partitionBy(*keys).orderBy(_RANGE)
+        opening = last.withColumn(value, F.lag("__last").over(by_range)).withColumn(_BODY, F.lit(0)).drop("__last")
+        body = _stack([body, opening])
+    window = Window.partitionBy(*keys, *([_RANGE] if many else [])).orderBy(_BODY, *order)
+    return body.withColumn(out, F.lag(value).over(window)).where(F.col(_BODY) == 1).drop(_RANGE, _BODY)
 
 
-def repeated_value_streaks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, wanted: str, bucket: Column
-) -> DataFrame:
+def repeated_value_streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, wanted: str) -> DataFrame:
     """Per key: how often ``wanted`` follows directly on ``wanted`` (``max_incidents``).
 
-    The running count of such rows never falls, so its maximum is the total; inside a bucket
-    it needs a lag, across buckets only the first and last value of each.
+    The running count of such rows never falls, so its maximum is the total; inside a range
+    it needs a lag, across ranges only the first and last value of each.
     """
-    window = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
+    body, _ = _ranged(df, order[0])
+    window = Window.partitionBy(*keys, _RANGE).orderBy(*order)
     hit = (F.col(value) == F.lit(wanted)) & (F.col("__prev") == F.lit(wanted))
-    per_bucket = (
-        df.withColumn(_BUCKET, bucket)
-        .withColumn("__prev", F.lag(value).over(window))
-        .groupBy(*keys, _BUCKET)
+    per_range = (
+        body.withColumn("__prev", F.lag(value).over(window))
+        .groupBy(*keys, _RANGE)
         .agg(
             F.count_if(hit).alias("inside"),
             F.min_by(value, F.struct(*order)).alias("first"),
             F.max_by(value, F.struct(*order)).alias("last"),
         )
     )
-    seam = (F.col("first") == F.lit(wanted)) & (F.lag("last").over(Window.partitionBy(*keys).orderBy(_BUCKET)) == F.lit(wanted))
+    seam = (F.col("first") == F.lit(wanted)) & (F.lag("last").over(Window.partitionBy(*keys).orderBy(_RANGE)) == F.lit(wanted))
     return (
-        per_bucket.withColumn("seam", F.coalesce(seam, F.lit(False)).cast("bigint"))
+        per_range.withColumn("seam", F.coalesce(seam, F.lit(False)).cast("bigint"))
         .groupBy(*keys)
         .agg(F.sum(F.col("inside") + F.col("seam")).alias("max_incidents"))
     )
@@ -144,22 +117,16 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     return picked.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in columns])
 
 
-def row_index(df: DataFrame, key: str, out: str = "id", buckets: int = 4096) -> DataFrame:
-    """Dense position 0..n-1 in the order of a unique numeric ``key``, without one global sort task."""
-    bounds = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    low = bounds.select("lo").scalar().cast("double")
-    span = (bounds.select("hi").scalar() - bounds.select("lo").scalar() + 1).cast("double")
-    body = df.withColumn(_BUCKET, F.floor((F.col(key).cast("double") - low) * buckets / span))
-    # At most `buckets` rows reach this unpartitioned window.
-    before = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        body.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-        .select(F.col(_BUCKET).alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    )
-    local = F.row_number().over(Window.partitionBy(_BUCKET).orderBy(key))
+def row_index(df: DataFrame, key: str, out: str = "id") -> DataFrame:
+    """Dense position 0..n-1 in the order of a unique ``key`` (NULL last), without one global sort task."""
+    number, _ = quantile_ranges(df, key, ROWS_PER_RANGE, nulls_last=True)
+    body = df.withColumn(_RANGE, number)
+    before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = body.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("__n")).select(_RANGE, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(_RANGE).orderBy(F.col(key).asc_nulls_last()))
     return (
-        body.withColumn("__local", local)
-        .join(F.broadcast(starts), F.col(_BUCKET) == F.col("__b"))
+        body.withColumn("__local", inside)
+        .join(F.broadcast(starts), _RANGE)  # at most MAX_RANGES + 1 rows
         .withColumn(out, F.col("__start") + F.col("__local") - 1)
-        .drop(_BUCKET, "__b", "__local", "__start")
+        .drop(_RANGE, "__local", "__start")
     )

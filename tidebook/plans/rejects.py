@@ -48,7 +48,7 @@ def top_rejected_profit(trades: DataFrame, responses: DataFrame, since: str, bel
     """
     top = top_rejected(responses, below_rank - 1, **kw).select(F.col("uuid").cast("bigint").alias("user_uid"), "rn")
     kept = trades.where(F.col("cmd").isin(0, 1) & (F.col("open_time") >= F.lit(since).cast("timestamp_ntz")))
-    sums = kept.join(F.broadcast(top.select("user_uid")), "user_uid", "left_semi").groupBy("user_uid").agg(F.sum("profit").alias("profit"))
+    sums = kept.join(top.select("user_uid"), "user_uid", "left_semi").groupBy("user_uid").agg(F.sum("profit").alias("profit"))
     return sums.join(top, "user_uid").select("user_uid", "rn", "profit").orderBy("rn")
 
 
@@ -60,7 +60,7 @@ def response_breakdown(responses: DataFrame, results: Sequence[int] = (2,), day:
 def reject_streaks(responses: DataFrame, more_than: int = 100, comment: str = constants.REJECT_COMMENT, day: str | None = None) -> DataFrame:
     """Accounts whose rejects directly follow one another more than ``more_than`` times."""
     found = windows.repeated_value_streaks(
-        on_day(responses, day), ["uuid", "login"], ["request_ts", "event_id"], "comment", comment, F.date_trunc("hour", "request_ts"))
+        on_day(responses, day), ["uuid", "login"], ["request_ts", "event_id"], "comment", comment)
     return found.where(F.col("max_incidents") > more_than).orderBy(F.desc("max_incidents"), "uuid", "login")
 
 
@@ -88,9 +88,9 @@ def reject_minutes(responses: DataFrame, bucket: str = "minute", more_than: int
 def toxicity_counts(events: DataFrame, payload: str, start: int = 28, length: int = 5, drop: Sequence[str] = (",", '"'), limit: int | None = None, day: str | None = None) -> DataFrame:
     """Deals per toxicity value; the value is cut out of the payload by position.
 
-    ``limit`` restricts the job to a preview of that many rows.
+    ``limit`` restricts the job to a preview of that many rows, the first by all columns.
     """
     rows = on_day(events, day)
-    rows = rows.limit(limit) if limit else rows
+    rows = rows.orderBy(*rows.columns).limit(limit) if limit else rows
     value = text.number_from_substring(F.col(payload), start, length, drop)
     return rows.groupBy(value.alias("toxicity")).agg(F.count(F.lit(1)).alias("cnt_deal")).orderBy(F.desc("cnt_deal"), "toxicity")

@@ -12,6 +12,7 @@ from tidebook.functions import scalars
 from tidebook.operators import joins, windows
 from tidebook.operators.aggregates import newest, unpivot
 from tidebook.operators.percentiles import exact_percentiles
+from tidebook.session import materialize
 
 
 def _ts(text: str) -> Column:
@@ -39,7 +40,7 @@ def stopout_groups(deals: DataFrame, accounts: DataFrame, start: str, end: str,
         reset.cast("int").alias("is_reset"),
     )
     return windows.conditional_event_counter(
-        rows, ["login"], ["time", "is_reset"], F.col("is_reset") == 1, F.to_date("time"), "stopout_group"
+        materialize(rows, "stopouts"), ["login"], ["time", "is_reset"], F.col("is_reset") == 1, "stopout_group"
     )
 
 
@@ -104,13 +105,13 @@ def daily_segments(segments: DataFrame, since: str, codes: Sequence[str] = ("0",
 def exposure_timeline(orders: DataFrame, deals: DataFrame, segments: DataFrame, start: str, cut: str,
                       symbols: Sequence[str] | None = constants.EXPOSURE_SYMBOLS) -> DataFrame:
     """Running exposure per user and symbol, in total and by side, with the user's segment of the day."""
-    moves = exposure_moves(orders, deals, start, cut, symbols)
+    moves = materialize(exposure_moves(orders, deals, start, cut, symbols), "moves")  # read for the ranges, their totals and the sums
     order = ["date_deal", "first_deal_way", "volume_usd", "profit"]
     running = windows.running_sums(
         moves,
         {"cumsum": (["user_uid", "symbol"], F.col("volume_usd")),
          "cumsum_way": (["user_uid", "symbol", "first_deal_way"], F.col("volume_usd"))},
-        order, F.to_date("date_deal"),
+        order,
     )
     seg = daily_segments(segments, start).select(F.col("user_uid").alias("seg_user"), "trading_date", "segment")
     same_day = (F.col("seg_user") == F.col("user_uid")) & (F.col("trading_date") == F.to_date("date_deal"))
