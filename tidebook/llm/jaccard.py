@@ -7,8 +7,8 @@ the same prefix and size are one group. Groups that share a prefix element are c
 
 1. Per (element, size class) every group is paired with the smallest one, and every class
    with the first of its group. These pairs are few, and join most of what belongs together.
-2. Pairs of groups whose members lie in different components after that, and pass the size
-   and position filters, are expanded to members and verified as well.
+2. Pairs of groups that do not lie in one component after that, and share enough of their
+   prefixes for their sizes, are expanded to members and verified as well.
 
 So no link between components is lost, and groups of thousands of near copies need no pairs
 among themselves.
@@ -164,6 +164,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     return materialize(dealt.mapInArrow(verify, "a long, b long"), f"{name}-links")
 
 
+def _renamed(df: DataFrame) -> DataFrame:
+    return df.toDF(*[f"{c}0" for c in df.columns])
+
+
+def _enough(pairs: DataFrame) -> DataFrame:
+    """Pairs of groups (g, n, g0, n0) whose ``c`` shared prefix elements leave similarity possible.
+
+    Of the prefixes, take the one that ends first in the order: shared elements are in both
+    prefixes, or behind that one. So their number is at most c plus what is behind a prefix.
+    """
+    n, n0 = F.col("n"), F.col("n0")
+    behind = F.ceil(F.greatest(n, n0) * NUMERATOR / DENOMINATOR) - 1
+    need = F.ceil((n + n0) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    similar_size = (n * NUMERATOR <= n0 * DENOMINATOR) & (n0 * NUMERATOR <= n * DENOMINATOR)
+    return pairs.where(similar_size & (F.col("c") + behind >= need)).select("g", "n", "g0", "n0")
+
+
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -183,14 +200,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     groups = classes.groupBy("g", "n").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members"))
 
     # Elements of prefixes that two or more groups share.
-    elements = described.where("prefix IS NOT NULL").select(
-        F.posexplode("prefix").alias("pos", "element"), "g", F.col("n")
-    ).select("element", "g", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
+    elements = described.where("prefix IS NOT NULL").select(F.explode("prefix").alias("element"), "g", "n")
     per_element = Window.partitionBy("element")
-    shared = elements.withColumn("lo", F.min("g").over(per_element)).withColumn("hi", F.max("g").over(per_element)).where("lo <> hi").select("element", "g", "np")
-    shared = materialize(
-        shared.distinct().select("element", "g", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit(2**32 - 1)).alias("pos")), "shared"
-    )
+    shared = elements.withColumn("lo", F.min("g").over(per_element)).withColumn("hi", F.max("g").over(per_element)).where("lo <> hi")
+    shared = materialize(shared.select("element", "g", "n").distinct(), "shared")
 
     busy = shared.select("g", "n").distinct().unionByName(groups.where("members > 1").select("g", "n")).distinct()
     members = materialize(classes.join(busy, ["g", "n"]).select("g", "n", "rep"), "members")
@@ -202,34 +215,31 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     for shift in (0.0, 0.5):
         by = shared.withColumn("s", F.floor(log_size + shift))
         low = by.groupBy("element", "s").agg(F.min(F.struct("n", "g")).alias("low"))
-        pairs = by.join(low, ["element", "s"]).select("g", "n", F.col("low.g").alias("g0"), F.col("low.n").alias("n0")).where("g <> g0 OR n <> n0").distinct()
+        both = by.join(low, ["element", "s"]).select("g", "n", F.col("low.g").alias("g0"), F.col("low.n").alias("n0")).where("g <> g0 OR n <> n0")
+        pairs = _enough(both.groupBy("g", "n", "g0", "n0").agg(F.count(F.lit(1)).alias("c")))
         stars = pairs if stars is None else stars.unionByName(pairs).distinct()
     heads = groups.select("g", "n", "head")
-    near_size = (F.col("n") * NUMERATOR <= F.col("n0") * DENOMINATOR) & (F.col("n0") * NUMERATOR <= F.col("n") * DENOMINATOR)
-    between = (
-        stars.where(near_size).join(heads, ["g", "n"])
-        .join(heads.select(F.col("g").alias("g0"), F.col("n").alias("n0"), F.col("head").alias("head0")), ["g0", "n0"])
-        .select(*_ordered(F.col("head"), F.col("head0")))
-    )
+    between = stars.join(heads, ["g", "n"]).join(_renamed(heads), ["g0", "n0"]).select(*_ordered(F.col("head"), F.col("head0")))
     within = members.join(heads, ["g", "n"]).select(F.col("head").alias("a"), F.col("rep").alias("b"))
     links = _verified(between.unionByName(within).where("a <> b").distinct(), texts, "star")
 
-    # Step 2: members of different components whose groups share an element, or that share a group.
+    # Step 2: groups that share elements and do not lie in one component, and members of one group in several.
     found = components(links)
     placed = materialize(
         members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("g", "n", "rep", F.coalesce("component", "rep").alias("component")), "placed"
     )
-    spread = shared.join(placed, ["g", "n"])
-    both = spread.groupBy("element").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("element")
-    rest = materialize(spread.join(both, "element").select("element", "n", "pos", "rep", "component"), "rest")
+    spread = shared.join(placed.groupBy("g", "n").agg(F.min("component").alias("c0"), F.max("component").alias("c1")), ["g", "n"])
+    open_ = spread.groupBy("element").agg(F.min("c0").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("element")
+    rest = materialize(spread.join(open_, "element").select("element", "g", "n", "c0", "c1"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
-    fits = (
-        (F.col("x.component") < F.col("y.component"))
-        & (F.col("x.n") * NUMERATOR <= F.col("y.n") * DENOMINATOR) & (F.col("y.n") * NUMERATOR <= F.col("x.n") * DENOMINATOR)
-        & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need)
+    first = F.struct("x.n", "x.g") < F.struct("y.n", "y.g")
+    apart = (F.col("x.c0") != F.col("y.c0")) | (F.col("x.c0") != F.col("x.c1")) | (F.col("y.c0") != F.col("y.c1"))
+    size = F.col("y.n") * NUMERATOR <= F.col("x.n") * DENOMINATOR  # x is not larger than y
+    shares = x.join(y, (F.col("x.element") == F.col("y.element")) & first & apart & size).select(
+        F.col("x.g").alias("g"), F.col("x.n").alias("n"), F.col("y.g").alias("g0"), F.col("y.n").alias("n0")
     )
-    across = x.join(y, (F.col("x.element") == F.col("y.element")) & fits).select(*_ordered(F.col("x.rep"), F.col("y.rep")))
+    near = _enough(shares.groupBy("g", "n", "g0", "n0").agg(F.count(F.lit(1)).alias("c")))
+    across = near.join(placed, ["g", "n"]).join(_renamed(placed), ["g0", "n0"]).where("component <> component0").select(*_ordered(F.col("rep"), F.col("rep0")))
     p, q = placed.alias("p"), placed.alias("q")
     inside = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.n") == F.col("q.n")) & (F.col("p.component") < F.col("q.component"))).select(
         *_ordered(F.col("p.rep"), F.col("q.rep"))
