@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -41,19 +44,24 @@ _local_root: str | None = None
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below the folder all executors see (``spark.checkpoint.dir``).
+    """A fresh path below the folder all executors see (``spark.checkpoint.dir``), removed when the session's JVM ends.
 
-    Only a local master, where driver and executors share one disk, may fall back to a
-    temporary folder.
+    Without the setting only a plain local master is served, whose driver and executor are one
+    process: by a temporary folder of that process. Every other master must set it.
     """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        _local_root = _local_root or tempfile.mkdtemp(prefix="tidebook-")
-        root = _local_root
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        if not _local_root:
+            _local_root = tempfile.mkdtemp(prefix="tidebook-")
+            atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
+        root = f"file://{_local_root}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
