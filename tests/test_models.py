@@ -141,7 +141,7 @@ def test_tfidf_against_brute_force(spark):
 def test_text_classifier(spark):
     data = [(i, "кот пёс кошка собака" if i % 2 else "river lake sea water", "ru" if i % 2 else "en") for i in range(40)]
     docs = spark.createDataFrame(data, "id int, t string, lang string")
-    scored = text_models.fit_text_classifier(docs, "t", "lang", buckets=1 << 10)(docs)
+    scored = text_models.fit_text_classifier(docs, "t", "lang")(docs)
     assert scored.where("lang != predicted").count() == 0
 
 

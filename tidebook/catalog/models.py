@@ -132,7 +132,7 @@ def _(t):
 @query("bagging_trees")
 def _(t):
     train, test = sampling.split(regression.assemble(_churn(t), CHURN), 0.3, 7, "id")
-    return _scored(classifiers.bagged_trees("is_prolong", depth=15).fit(train), train, test, "is_prolong")
+    return _scored(classifiers.bagged_trees("is_prolong").fit(train), train, test, "is_prolong")
 
 
 @query("random_forest")
@@ -167,8 +167,8 @@ def _(t):
 @query("churn_cv")
 def _(t):
     rows = regression.assemble(_churn(t), CHURN)
-    score = classifiers.cross_validate(rows, classifiers.logistic("is_prolong", 1000), "is_prolong", "id", 5)
-    return t.spark.createDataFrame([("logistic", 5, score)], "model string, folds int, accuracy double")
+    score = classifiers.cross_validate(rows, classifiers.logistic("is_prolong", rows.count()), "is_prolong", "id", 20)
+    return t.spark.createDataFrame([("logistic", 20, score)], "model string, folds int, accuracy double")
 
 
 ALPHAS = [0.0001 + i * (0.01 - 0.0001) / 9 for i in range(10)]
@@ -268,7 +268,7 @@ def _(t):
 @query("text_classifier")
 def _(t):
     train, test = sampling.split(t.documents.select("doc_id", "text", "lang"), 0.33, 42, "doc_id")
-    score = text_models.fit_text_classifier(train, "text", "lang", buckets=1 << 16)
+    score = text_models.fit_text_classifier(train, "text", "lang")
     return as_double(classifiers.class_report(score(test), "lang", "predicted"))
 
 
@@ -293,7 +293,7 @@ def _(t):
 @query("score_new_data")
 def _(t):
     train, new = sampling.split(_churn(t), 0.3, 7, "id")
-    stages = classifiers.category_pipeline(["tax_class"], CHURN[:7], classifiers.random_forest("is_prolong", trees=20))
+    stages = classifiers.category_pipeline(["tax_class"], CHURN[:7], classifiers.random_forest("is_prolong"))
     model = classifiers.fit_and_save(stages, train, shared_dir(t.spark, "churn-model"))
     return model.transform(new).groupBy("is_prolong", F.col("prediction").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -302,5 +302,5 @@ def _(t):
 def _(t):
     train, new = sampling.split(_churn(t), 0.3, 7, "id")
     rows = [c for c in CHURN]
-    voted = classifiers.churn_votes(train.withColumns({c: F.col(c).cast("double") for c in rows}), new.withColumns({c: F.col(c).cast("double") for c in rows}), rows, "is_prolong", 20, 30)
+    voted = classifiers.churn_votes(train.withColumns({c: F.col(c).cast("double") for c in rows}), new.withColumns({c: F.col(c).cast("double") for c in rows}), rows, "is_prolong")
     return voted.groupBy("mean_vote", "vote").agg(F.count(F.lit(1)).alias("cnt"), F.round(F.avg("is_prolong"), 6).alias("kept_share"))

@@ -559,12 +559,18 @@ def _(t):
     return as_double(stores.target_correlations(cleaned, ["quantity", "tax", "discount", "line"], "price"))
 
 
-LINKS_SQL = """
+# Nested replacements of the character references that the stored pages have, and of inline tags.
+def decoded_sql(text: str) -> str:
+    tags = f"regexp_replace(regexp_replace({text}, '</?(a|abbr|b|code|em|font|i|mark|s|small|span|strong|sub|sup|u)(\\s[^>]*)?>', '', 'gi'), '<[^>]+>', ' ', 'g')"
+    return f"replace(replace(replace(replace(replace(replace({tags}, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+LINKS_SQL = f"""
 WITH a AS (
   SELECT page_id, unnest(list_zip(range(len(x)), x)) AS z FROM (
-    SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="[^"]*"[^>]*>[^<]*') AS x FROM pages)),
+    SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=.*?</a>') AS x FROM pages)),
 links AS (
-  SELECT page_id, CAST(z[1] AS INT) AS pos, regexp_extract(z[2], 'href="([^"]*)"', 1) AS href, trim(regexp_extract(z[2], '>([^<]*)$', 1)) AS text FROM a)
+  SELECT page_id, CAST(z[1] AS INT) AS pos, replace(regexp_extract(z[2], 'href="([^"]*)"', 1), '&amp;', '&') AS href, trim({decoded_sql("z[2]")}) AS text FROM a)
 """
 
 
@@ -579,12 +585,12 @@ def _(t):
     return web.path_numbers(web.bank_links(t.pages), 1)
 
 
-@query("article_extract", """
+@query("article_extract", f"""
 WITH x AS (
   SELECT page_id, url AS link, regexp_extract(html, '(?s)<h1(?:\\s[^>]*)?>(.*?)</h1>', 1) AS h, regexp_extract(html, '(?s)<article(?:\\s[^>]*)?>(.*?)</article>', 1) AS b FROM pages),
 y AS (
-  SELECT page_id, link, NULLIF(trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS title,
-         NULLIF(trim(regexp_replace(regexp_replace(b, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS body FROM x)
+  SELECT page_id, link, NULLIF(trim(regexp_replace({decoded_sql("h")}, '\\s+', ' ', 'g')), '') AS title,
+         NULLIF(trim(regexp_replace({decoded_sql("b")}, '\\s+', ' ', 'g')), '') AS body FROM x)
 SELECT * FROM y WHERE title IS NOT NULL AND body IS NOT NULL""")
 def _(t):
     return web.articles(t.pages)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebook.catalog.registry import query
-from tidebook.catalog.reports import LINKS_SQL
+from tidebook.catalog.reports import LINKS_SQL, decoded_sql
 from tidebook.functions import html, text
 from tidebook.plans import web
 
@@ -23,8 +23,8 @@ def _(t):
     return web.absolute_links(links, web.site_of(F.col("url")), ("tion",)).select("page_id", "pos", "link")
 
 
-@query("html_field", """
-SELECT page_id, NULLIF(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1(?:\\s[^>]*)?>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS title FROM pages""")
+@query("html_field", f"""
+SELECT page_id, NULLIF(trim(regexp_replace({decoded_sql("h")}, '\\s+', ' ', 'g')), '') AS title FROM (SELECT page_id, regexp_extract(html, '(?s)<h1(?:\\s[^>]*)?>(.*?)</h1>', 1) AS h FROM pages)""")
 def _(t):
     return t.pages.select("page_id", html.plain(html.inner(F.col("html"), "h1")).alias("title"))
 

@@ -7,12 +7,39 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.text import squeeze_spaces
 
-ANCHOR = r'<a\s[^>]*href="[^"]*"[^>]*>[^<]*'
+ANCHOR = r"(?is)<a\s[^>]*?href\s*=.*?</a>"
+HREF = (r'(?i)href\s*=\s*"([^"]*)"', r"(?i)href\s*=\s*'([^']*)'", r"(?i)href\s*=\s*([^\s\"'>]+)")
+INLINE = r"(?i)</?(?:a|abbr|b|code|em|font|i|mark|s|small|span|strong|sub|sup|u)(?:\s[^>]*)?>"
 SCRIPT = r"(?s)<script[^>]*>.*?</script>"
 
 
+# The named character references that are decoded; the ampersand comes last.
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122", "middot": "\u00b7", "bull": "\u2022",
+    "hellip": "\u2026", "ndash": "\u2013", "mdash": "\u2014", "laquo": "\u00ab", "raquo": "\u00bb", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c",
+    "rdquo": "\u201d", "euro": "\u20ac", "deg": "\u00b0", "times": "\u00d7", "amp": "&",
+}
+
+
 def strip_tags(column: Column) -> Column:
-    return F.regexp_replace(column, "<[^>]+>", " ")
+    """Text without tags: inline tags vanish, others become a blank."""
+    return F.regexp_replace(F.regexp_replace(column, INLINE, ""), "<[^>]+>", " ")
+
+
+def decode(column: Column) -> Column:
+    """Named (``ENTITIES``) and numeric character references as characters."""
+    def character(number: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+
+    def in_base(text: Column, pattern: str, prefix: str, base: int) -> Column:
+        return F.aggregate(
+            F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), text,
+            lambda acc, n: F.replace(acc, F.concat(F.lit(prefix), n, F.lit(";")), character(F.conv(n, base, 10).cast("long"))))
+
+    out = in_base(in_base(column, r"&#(\d{1,6});", "&#", 10), r"&#x([0-9A-Fa-f]{1,5});", "&#x", 16)
+    for name, sign in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return out
 
 
 def inner(column: Column, tag: str) -> Column:
@@ -22,16 +49,16 @@ def inner(column: Column, tag: str) -> Column:
 
 
 def plain(column: Column) -> Column:
-    return F.nullif(squeeze_spaces(strip_tags(column)), F.lit(""))
+    return F.nullif(squeeze_spaces(decode(strip_tags(column))), F.lit(""))
 
 
 def links(pages: DataFrame, html: str = "html", *keep: str) -> DataFrame:
-    """One row per anchor: its position on the page, target and leading text."""
+    """One row per closed anchor with a target: its position on the page, target and text, decoded."""
     anchors = F.regexp_extract_all(F.col(html), F.lit(f"({ANCHOR})"), F.lit(1))
     return pages.select(*keep, F.posexplode(anchors).alias("pos", "anchor")).select(
         *keep, "pos",
-        F.regexp_extract("anchor", r'href="([^"]*)"', 1).alias("href"),
-        F.trim(F.regexp_extract("anchor", r">([^<]*)$", 1)).alias("text"),
+        decode(F.coalesce(*[F.nullif(F.regexp_extract("anchor", h, 1), F.lit("")) for h in HREF], F.lit(""))).alias("href"),
+        F.trim(decode(strip_tags(F.col("anchor")))).alias("text"),
     )
 
 
@@ -47,6 +74,6 @@ def table_rows(pages: DataFrame, number: int, html: str = "html", *keep: str) ->
     cells = F.regexp_extract_all(F.col("row"), F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1))
     return (
         pages.select(*keep, F.posexplode(rows).alias("pos", "row"))
-        .select(*keep, "pos", F.transform(cells, lambda c: F.trim(strip_tags(c))).alias("cells"))
+        .select(*keep, "pos", F.transform(cells, lambda c: F.trim(decode(strip_tags(c)))).alias("cells"))
         .where(F.size("cells") > 0)
     )

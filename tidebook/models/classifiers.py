@@ -124,7 +124,7 @@ def churn_votes(train: DataFrame, score: DataFrame, features: Sequence[str], lab
     out = regression.assemble(score_rows, columns).withColumn("ridge", (regression.predicted(side, columns) > 0).cast("int"))
     fitted = {
         "log_reg": logistic(label, train.count()).fit(fit_vectors),
-        "bagging": bagged_trees(label, trees, depth=15).fit(fit_vectors),
+        "bagging": bagged_trees(label, trees).fit(fit_vectors),
         "rf": random_forest(label, forest).fit(fit_vectors),
     }
     for name, model in fitted.items():

@@ -6,7 +6,7 @@ import math
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StringIndexer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,14 +34,21 @@ def tfidf(docs: DataFrame, idf: DataFrame, key: str, text: str) -> DataFrame:
     return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
-def fit_text_classifier(train: DataFrame, text: str, label: str, buckets: int = 1 << 18, min_df: int = 2, iterations: int = 20):
-    """One-vs-rest linear SVM on hashed TF-IDF vectors; returns a function that scores documents."""
+def fit_text_classifier(train: DataFrame, text: str, label: str, min_df: int = 2, iterations: int = 20):
+    """One-vs-rest linear SVM on TF-IDF vectors; returns a function that scores documents.
+
+    The vocabulary is exact: every term in at least ``min_df`` documents. It passes through the
+    driver, as the model's weights, one per term and class, do.
+    """
+    with_tokens = train.withColumn("tokens", tokens(F.col(text)))
+    vocabulary = CountVectorizer(inputCol="tokens", outputCol="tf", minDF=float(min_df), vocabSize=2**31 - 1).fit(with_tokens)
+
     def counted(df: DataFrame) -> DataFrame:
-        return HashingTF(inputCol="tokens", outputCol="tf", numFeatures=buckets).transform(df.withColumn("tokens", tokens(F.col(text))))
+        return vocabulary.transform(df.withColumn("tokens", tokens(F.col(text))))
 
     rows = counted(train)
-    idf = IDF(inputCol="tf", outputCol="unused", minDocFreq=min_df).fit(rows)
-    scale = Vectors.dense([0.0 if df < min_df else math.log((1 + idf.numDocs) / (1 + df)) + 1 for df in idf.docFreq])
+    idf = IDF(inputCol="tf", outputCol="unused").fit(rows)
+    scale = Vectors.dense([math.log((1 + idf.numDocs) / (1 + df)) + 1 for df in idf.docFreq])
     to_features = [ElementwiseProduct(scalingVec=scale, inputCol="tf", outputCol="weighted"), Normalizer(p=2.0, inputCol="weighted", outputCol="features")]
     index = StringIndexer(inputCol=label, outputCol="label_ix", stringOrderType="alphabetAsc")
     svm = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=1e-4), labelCol="label_ix", featuresCol="features", parallelism=4)

@@ -108,7 +108,13 @@ def class_stats(df: DataFrame, columns: Sequence[str], label: str, all_label: st
 
 
 def pivot_sum(df: DataFrame, index: str, column: str, value: str, names: Sequence[str]) -> DataFrame:
-    """``names`` are the wanted columns; giving them saves Spark a pass to find the distinct values."""
+    """``names`` are the wanted columns; giving them saves Spark a pass to find the distinct values.
+
+    A value that is not among them is an error, not a lost column.
+    """
+    known = F.col(column).isNull() | F.col(column).isin(*names)
+    unknown = F.raise_error(F.concat(F.lit("not among the pivot columns: "), F.col(column).cast("string"))).cast(df.schema[column].dataType)
+    df = df.withColumn(column, F.when(known, F.col(column)).otherwise(unknown))
     return df.groupBy(index).pivot(column, list(names)).agg(F.sum(value)).fillna(0)
 
 

@@ -152,7 +152,7 @@ WHERE l_returnflag = 'A' GROUP BY p_brand, CAST(o_orderdate AS DATE)""",
 SELECT o_orderkey AS loan_id, CAST(o_orderdate AS DATE) AS date_begin,
        CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CAST(5.0 + o_orderkey % 10 AS DOUBLE) AS interest_rate_effect,
        CAST(6 + o_orderkey % 55 AS INT) AS term_months
-FROM {orders} WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00'""",
+FROM {orders}""",
     "fx_companies": """
 SELECT c_custkey AS id,
        CASE c_mktsegment WHEN 'BUILDING' THEN 'OSNO' WHEN 'MACHINERY' THEN 'ENVD'
