@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidebook import constants
 from tidebook.catalog.registry import as_double, as_long, dbl, query
 from tidebook.operators.aggregates import class_stats, corr_with, histogram
 from tidebook.plans import churn, loans, portfolio, rejects, risk, stores, swaps, users, web
@@ -28,7 +29,7 @@ sides AS (
   GROUP BY month, user_uid, resets, symbol)
 FROM sides SELECT month AS date, COUNT(DISTINCT stopout) FILTER (hedged) AS cnt_hedge_so, COUNT(DISTINCT stopout) AS cnt_total_so GROUP BY month""")
 def _(t):
-    return risk.hedge_stopout(t.fx_deals_mt5, t.fx_account_dim, "1995-01-01", "2002-01-01", extra=(12, 25))
+    return risk.hedge_stopout(t.fx_deals_mt5, t.fx_account_dim, "1995-01-01", "2002-01-01", excluded=constants.PROVIDER_LOGINS, extra=(12, 25))
 
 
 EXPOSURE_SQL = """
@@ -132,7 +133,7 @@ SELECT DISTINCT TIMESTAMP '2000-01-01 00:00:00' AS fact_timest, user_uid FROM tr
 HAVING greatest(count_if(gain BETWEEN -0.01 AND 0), count_if(spread < 0.005)) > 2
   AND count_if(gain BETWEEN -0.01 AND 0) > 0.05 * COUNT(user_uid) AND count_if(spread < 0.005) > 0.4 * COUNT(user_uid)""")
 def _(t):
-    return risk.rounders(t.fx_deals_extra, t.fx_trades_extra, "2000-01-01", 3000, min_count=2, profit_share=0.05, spread_share=0.4)
+    return risk.rounders(t.fx_deals_extra, t.fx_trades_extra, "2000-01-01", 3000, excluded=constants.PROVIDER_LOGINS, min_count=2, profit_share=0.05, spread_share=0.4)
 
 
 @query("swap_free_cost", """

@@ -24,9 +24,11 @@ def _window(column: str, start: str, end: str) -> Column:
     return (F.col(column) >= _ts(start)) & (F.col(column) < _ts(end))
 
 
-def stopout_groups(deals: DataFrame, accounts: DataFrame, start: str, end: str,
-                   excluded: Sequence[int] = constants.PROVIDER_LOGINS, extra: Sequence[int] = constants.BUSINESS_LOGINS) -> DataFrame:
-    """Stop-out deals of real accounts, numbered by the balance resets before them."""
+def stopout_groups(deals: DataFrame, accounts: DataFrame, start: str, end: str, *, excluded: Sequence[int], extra: Sequence[int]) -> DataFrame:
+    """Stop-out deals of real accounts, numbered by the balance resets before them.
+
+    ``excluded`` are accounts of liquidity providers, ``extra`` business accounts that count beside ``accounts``.
+    """
     reset = F.col("comment").like(constants.STOPOUT_MARK)
     rows = deals.where(
         _window("time", start, end)
@@ -171,7 +173,7 @@ def _not_hedge_close(column: str) -> Column:
 
 
 def round_trips(deals: DataFrame, orders: DataFrame, scoring_date: str, lookback_days: int = 1,
-                excluded: Sequence[int] = constants.PROVIDER_LOGINS, versions: Sequence[str] = ("updated", "version")) -> DataFrame:
+                *, excluded: Sequence[int], versions: Sequence[str] = ("updated", "version")) -> DataFrame:
     """Closed trades of both platforms; versions of a deal are reduced to the newest values.
 
     ``versions`` orders the versions of a deal: end it in a column that tells equal times apart.
@@ -217,9 +219,9 @@ def rounder_metrics(trades: DataFrame, min_count: int = 10, profit_share: float
     )
 
 
-def rounders(deals: DataFrame, orders: DataFrame, scoring_date: str, lookback_days: int = 1, **limits) -> DataFrame:
+def rounders(deals: DataFrame, orders: DataFrame, scoring_date: str, lookback_days: int = 1, *, excluded: Sequence[int], **limits) -> DataFrame:
     """Users with many trades of no profit and no spread, stamped with the scoring date."""
-    metrics = rounder_metrics(round_trips(deals, orders, scoring_date, lookback_days), **limits)
+    metrics = rounder_metrics(round_trips(deals, orders, scoring_date, lookback_days, excluded=excluded), **limits)
     return metrics.select(F.lit(scoring_date).cast("timestamp_ntz").alias("fact_timest"), "user_uid").distinct()
 
 

@@ -29,11 +29,22 @@ def read_price_files(spark: SparkSession, path: str | Sequence[str], schema: str
 
 
 def run_sql_file(spark: SparkSession, path: str, views: Mapping[str, DataFrame] | None = None, args: Mapping[str, object] | None = None) -> DataFrame:
-    """Run the query in a file over named frames; ``:name`` markers are bound from ``args``."""
-    for name, frame in (views or {}).items():
-        frame.createOrReplaceTempView(name)
+    """Run the query in a file over named frames; ``:name`` markers are bound from ``args``.
+
+    The names are views only while the query is analysed; views that the session had come back.
+    """
     text = Path(path).read_text(encoding="utf-8").strip().rstrip(";")
-    return spark.sql(text, args=dict(args)) if args else spark.sql(text)
+    views = views or {}
+    before = {name: spark.table(name) for name in views if spark.catalog.tableExists(name)}
+    for name, frame in views.items():
+        frame.createOrReplaceTempView(name)
+    try:
+        return spark.sql(text, args=dict(args)) if args else spark.sql(text)
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
+            if name in before:
+                before[name].createOrReplaceTempView(name)
 
 
 def named_dataset(df: DataFrame, features: Sequence[str], target: str, names: Mapping[int, str] | None = None) -> DataFrame:

@@ -38,6 +38,7 @@ def latest_per_day(profiles: DataFrame, key: str, updated: str, tie: str, values
 def run_to_files(stream: DataFrame, label: str) -> DataFrame:
     """Process what is there, append it to files in the shared folder, and return the files as a frame."""
     spark = stream.sparkSession
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
     for key, value in STATE_STORE.items():
         spark.conf.set(key, value)
     path, checkpoint = shared_dir(spark, label), shared_dir(spark, f"{label}-checkpoint")
@@ -45,5 +46,7 @@ def run_to_files(stream: DataFrame, label: str) -> DataFrame:
         stream.writeStream.format("parquet").outputMode("append").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+    for key, value in before.items():  # the running query keeps the settings it started with
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
