@@ -126,7 +126,9 @@ def brute_repeats(texts, length=400):
     return out
 
 
-def test_suffixes(spark, awkward, empty):
+@pytest.mark.parametrize("hot_texts", [20_000, 2])
+def test_suffixes(spark, awkward, empty, monkeypatch, hot_texts):
+    monkeypatch.setattr(suffixes, "HOT_TEXTS", hot_texts)
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert rows(suffixes.remove_repeats(awkward), *columns) == brute_repeats(TEXTS)
     assert suffixes.remove_repeats(empty).count() == 0
