@@ -5,10 +5,11 @@ n - ceil(t n) + 1 of each, whatever the order of elements; shingles that many do
 share come last in the order, so prefixes are rare. Equal sets are one class; classes with
 the same prefix and size are one group. Groups that share a prefix element are candidates:
 
-1. Per (element, size class) every group is paired with the smallest one, and every class
-   with the first of its group. These pairs are few, and join most of what belongs together.
-2. Pairs of groups that do not lie in one component after that, and share enough of their
-   prefixes for their sizes, are expanded to members and verified as well.
+1. Per (element, size class) one group leads; every group is paired with its main leader, and
+   every class with the first of its group. These pairs are few, and join most of what belongs
+   together.
+2. Pairs of groups that do not lie in one component after that, and pass the size and position
+   filters, are expanded to members and verified as well.
 
 So no link between components is lost, and groups of thousands of near copies need no pairs
 among themselves.
@@ -168,17 +169,15 @@ def _renamed(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"{c}0" for c in df.columns])
 
 
-def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs of groups (g, n, g0, n0) whose ``c`` shared prefix elements leave similarity possible.
+def _fits(x: str, y: str) -> Column:
+    """Whether sets of these sizes can be similar, if this is the first element that they share.
 
-    Of the prefixes, take the one that ends first in the order: shared elements are in both
-    prefixes, or behind that one. So their number is at most c plus what is behind a prefix.
+    What they share is then at or behind its position in both, and must be 6/7 of the mean size.
     """
-    n, n0 = F.col("n"), F.col("n0")
-    behind = F.ceil(F.greatest(n, n0) * NUMERATOR / DENOMINATOR) - 1
-    need = F.ceil((n + n0) * NUMERATOR / (NUMERATOR + DENOMINATOR))
-    similar_size = (n * NUMERATOR <= n0 * DENOMINATOR) & (n0 * NUMERATOR <= n * DENOMINATOR)
-    return pairs.where(similar_size & (F.col("c") + behind >= need)).select("g", "n", "g0", "n0")
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    need = F.ceil((n + m) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    similar_size = (n * NUMERATOR <= m * DENOMINATOR) & (m * NUMERATOR <= n * DENOMINATOR)
+    return similar_size & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= need)
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -200,24 +199,28 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     groups = classes.groupBy("g", "n").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members"))
 
     # Elements of prefixes that two or more groups share.
-    elements = described.where("prefix IS NOT NULL").select(F.explode("prefix").alias("element"), "g", "n")
+    elements = described.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "element"), "g", "n").select(
+        "element", "g", F.struct(F.col("n").cast("int").alias("n"), "pos").alias("np"))
     per_element = Window.partitionBy("element")
     shared = elements.withColumn("lo", F.min("g").over(per_element)).withColumn("hi", F.max("g").over(per_element)).where("lo <> hi")
-    shared = materialize(shared.select("element", "g", "n").distinct(), "shared")
+    shared = materialize(shared.select("element", "g", F.col("np.n").cast("long").alias("n"), F.col("np.pos").cast("long").alias("pos")).distinct(), "shared")
 
     busy = shared.select("g", "n").distinct().unionByName(groups.where("members > 1").select("g", "n")).distinct()
     members = materialize(classes.join(busy, ["g", "n"]).select("g", "n", "rep"), "members")
     texts = materialize(rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text"), "texts")
 
-    # Step 1: everything with the smallest of its (element, size class), twice with shifted classes.
+    # Step 1: every group with the one that leads most of its (element, size class) lists, twice
+    # with shifted classes. A list is led by the group in which the element comes first: it has
+    # the fewest rare elements, as the origin of edited copies does.
     log_size = F.log(F.col("n").cast("double")) / math.log(DENOMINATOR / NUMERATOR)
     stars = None
     for shift in (0.0, 0.5):
         by = shared.withColumn("s", F.floor(log_size + shift))
-        low = by.groupBy("element", "s").agg(F.min(F.struct("n", "g")).alias("low"))
-        both = by.join(low, ["element", "s"]).select("g", "n", F.col("low.g").alias("g0"), F.col("low.n").alias("n0")).where("g <> g0 OR n <> n0")
-        pairs = _enough(both.groupBy("g", "n", "g0", "n0").agg(F.count(F.lit(1)).alias("c")))
-        stars = pairs if stars is None else stars.unionByName(pairs).distinct()
+        lead = by.groupBy("element", "s").agg(F.min(F.struct("pos", "g", "n")).alias("y"))
+        led = by.alias("x").join(lead, ["element", "s"]).where(_fits("x", "y") & ((F.col("x.g") != F.col("y.g")) | (F.col("x.n") != F.col("y.n"))))
+        pairs = led.groupBy(F.col("x.g").alias("g"), F.col("x.n").alias("n"), F.col("y.g").alias("g0"), F.col("y.n").alias("n0")).agg(F.count(F.lit(1)).alias("c"))
+        best = pairs.groupBy("g", "n").agg(F.max(F.struct("c", "g0", "n0")).alias("b")).select("g", "n", "b.g0", "b.n0")
+        stars = best if stars is None else stars.unionByName(best).distinct()
     heads = groups.select("g", "n", "head")
     between = stars.join(heads, ["g", "n"]).join(_renamed(heads), ["g0", "n0"]).select(*_ordered(F.col("head"), F.col("head0")))
     within = members.join(heads, ["g", "n"]).select(F.col("head").alias("a"), F.col("rep").alias("b"))
@@ -230,15 +233,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     )
     spread = shared.join(placed.groupBy("g", "n").agg(F.min("component").alias("c0"), F.max("component").alias("c1")), ["g", "n"])
     open_ = spread.groupBy("element").agg(F.min("c0").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("element")
-    rest = materialize(spread.join(open_, "element").select("element", "g", "n", "c0", "c1"), "rest")
+    rest = materialize(spread.join(open_, "element").select("element", "g", "n", "pos", "c0", "c1"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     first = F.struct("x.n", "x.g") < F.struct("y.n", "y.g")
     apart = (F.col("x.c0") != F.col("y.c0")) | (F.col("x.c0") != F.col("x.c1")) | (F.col("y.c0") != F.col("y.c1"))
-    size = F.col("y.n") * NUMERATOR <= F.col("x.n") * DENOMINATOR  # x is not larger than y
-    shares = x.join(y, (F.col("x.element") == F.col("y.element")) & first & apart & size).select(
+    near = x.join(y, (F.col("x.element") == F.col("y.element")) & first & apart & _fits("x", "y")).select(
         F.col("x.g").alias("g"), F.col("x.n").alias("n"), F.col("y.g").alias("g0"), F.col("y.n").alias("n0")
-    )
-    near = _enough(shares.groupBy("g", "n", "g0", "n0").agg(F.count(F.lit(1)).alias("c")))
+    ).distinct()
     across = near.join(placed, ["g", "n"]).join(_renamed(placed), ["g0", "n0"]).where("component <> component0").select(*_ordered(F.col("rep"), F.col("rep0")))
     p, q = placed.alias("p"), placed.alias("q")
     inside = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.n") == F.col("q.n")) & (F.col("p.component") < F.col("q.component"))).select(
