@@ -30,8 +30,8 @@ from tidebook.llm.common import materialize
 from tidebook.llm.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
-# Most shingles that are moved to the end of the order (12 bytes each, sent to every task).
-COMMON = 50_000
+# Most shingles that are moved to the end of the order (16 bytes each, sent to every task).
+COMMON = 200_000
 # Members of one verification step; a group of more is spread over several.
 MEMBERS = 512
 MEMORY = 1_000_000
@@ -95,7 +95,7 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     seen.add(key)
                     sets.append(s)
             values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = counts >= max(3, batch.num_rows // 1000)
+            often = counts >= 3
             yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["h", "c"])
 
     counted = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
