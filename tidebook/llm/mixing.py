@@ -80,10 +80,10 @@ def one_frame(quota: DataFrame) -> DataFrame:
     )
 
 
-def _placed(docs: DataFrame, weights: Mapping[str | None, float] | None, block_chars: int, frame: int, power: float) -> DataFrame:
-    """The rows as a struct ``row``, with key, id, block, slot and start (characters of the source before the row)."""
+def _placed(docs: DataFrame, carried: list[str], weights: Mapping[str | None, float] | None, block_chars: int, frame: int, power: float) -> DataFrame:
+    """The ``carried`` columns as a struct ``row``, with key, id, block, slot and start (characters of the source before the row)."""
     rows = docs.select(
-        F.struct("*").alias("row"), source_key(F.col("source")).alias("key"), F.col("doc_id").cast("long").alias("id"),
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), source_key(F.col("source")).alias("key"), F.col("doc_id").cast("long").alias("id"),
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"),
     ).withColumn("order", F.coalesce(F.md5(F.col("id").cast("string").cast("binary")), F.lit("")))
     totals = rows.groupBy("key").agg(F.sum("size").alias("chars"))
@@ -105,13 +105,12 @@ def mix(
     the next document starts. Rows that agree in id and size are interchangeable. An empty
     table gives no rows; extra columns are ignored.
     """
-    narrow = docs.select("doc_id", "source", "text")
-    return _placed(narrow, weights, block_chars, frame, power).select(F.col("id").alias("doc_id"), F.col("row.source").alias("source"), "block", "slot", "start")
+    return _placed(docs, ["source"], weights, block_chars, frame, power).select(F.col("id").alias("doc_id"), F.col("row.source").alias("source"), "block", "slot", "start")
 
 
 def mixed(
     docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, frame: int = FRAME, power: float = POWER
 ) -> DataFrame:
     """The rows of ``docs`` with their columns, dealt and sorted in the order of the mix."""
-    placed = _placed(docs, weights, block_chars, frame, power)
+    placed = _placed(docs, docs.columns, weights, block_chars, frame, power)
     return placed.repartitionByRange("slot", "start", "id").sortWithinPartitions("slot", "start", "id").select("row.*")
