@@ -29,8 +29,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every id of every document in a sequence of at most 2048."""
-    return packing.pack_documents(docs)
+    """Places every id of every document in a sequence of at most 2048, in the order of the mix."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [("quality classifier", classify), ("line dedup", line_dedup), ("n-gram Jaccard join", near_dedup), ("mixing", mix), ("packing", pack)]

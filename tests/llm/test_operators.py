@@ -81,6 +81,22 @@ def test_packing_round_trip(awkward, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_in_order(spark, awkward, empty):
+    assert packing.pack_in_order(empty).count() == 0
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert rows(packing.pack_in_order(awkward, run_rows=4), *columns) == rows(packing.pack_documents(awkward), *columns)
+    docs = spark.createDataFrame([(i, prose(int(rng.integers(1, 400))), "en", "s", 1) for i in range(600)], SCHEMA).repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id")
+    got = packing.pack_in_order(docs, run_rows=100).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length, r.doc_id))
+    assert sorted(by) == list(range(len(by)))
+    first = [min(d for *_, d in by[s]) for s in sorted(by)]
+    assert first == sorted(first) and all(len({d // 100 for *_, d in parts}) == 1 for parts in by.values())
+    for parts in by.values():
+        assert [o for o, *_ in sorted(parts)] == list(np.cumsum([0, *(n for _, n, _ in sorted(parts))])[:-1]) and sum(n for _, n, _ in parts) <= 2048
+
+
 def test_encoder_equals_library():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -6,6 +6,10 @@ data) goes to the driver: shallow combinations of bins that fill a window are en
 their repeat counts are the non-negative least-squares solution against the histogram,
 rounded down, and the rest is packed greedily, still as (combination, repeat count). Each
 piece then finds its place from its rank within its bin.
+
+Where the order of the documents matters (after a mix), they are cut in that order into runs
+of ``RUN_ROWS``; each run is planned for itself, and sequences are numbered run by run, within
+a run by their first piece.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ END_ID = 1
 STEP = 8
 # Words whose ids a worker remembers (some 150 bytes each).
 MEMORY = 700_000
+# Documents of a run, where the order matters.
+RUN_ROWS = 8192
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -83,24 +89,25 @@ class Encoder:
         return np.array(first, "<u4").tobytes() + b"".join([known(w) or word(w) for w in [" " + w for w in words[1:]]])
 
 
-def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k") -> DataFrame:
-    """Pieces of at most ``window`` tokens; only documents longer than that are cut.
+def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k", carried: tuple[str, ...] = ()) -> DataFrame:
+    """Pieces of at most ``window`` tokens, with the ``carried`` long columns; only documents longer than that are cut.
 
     A NULL or empty text has the end id alone. Rows with equal or NULL ids stay separate.
     """
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *carried]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.get(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, *more in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = (encoder.encode(text) if text else b"") + end
                 n = len(ids) // 4
-                out += [(doc_id, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                out += [(doc_id, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n, *more) for s in range(0, n, window)]
+            columns = list(zip(*out)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(cut, ", ".join([PIECES, *(f"{c} long" for c in carried)]))
 
 
 def combinations(bins: list[int], total: int) -> list[tuple[int, ...]]:
@@ -213,3 +220,60 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID,
     texts are one piece with the end id; an empty table gives no rows; extra columns are ignored.
     """
     return pack(materialize(pieces(docs, window, end_id, tokenizer), "pieces"), window)
+
+
+def positions(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``position``, from 0 in the order in which the rows lie: by part file, then by row in the file."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":  # not files as they were written
+        docs = materialize(docs.select("doc_id", "text"), "ordered")
+    rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = rows.groupBy("__file").agg((F.max("__row") + 1).alias("__n"))
+    number = F.regexp_extract("__file", r"part-(\d+)[^/]*$", 1)
+    order = Window.orderBy(F.when(number != "", number.cast("long")), "__file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    starts = files.select("__file", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__first"))
+    return rows.join(F.broadcast(starts), "__file").select("doc_id", "text", (F.col("__first") + F.col("__row")).alias("position"))
+
+
+def pack_run(bins: np.ndarray, lengths: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of each piece of a run; pieces of a bin are used in their order, sequences are numbered by their first piece."""
+    n = len(bins)
+    of_bin = {int(b): np.flatnonzero(bins == b) for b in np.unique(bins)}
+    used, sequence, base = dict.fromkeys(of_bin, 0), np.zeros(n, np.int64), 0
+    for parts, times in plan({b: len(at) for b, at in of_bin.items()}, units):
+        for b in parts:
+            sequence[of_bin[b][used[b] : used[b] + times]] = base + np.arange(times)
+            used[b] += times
+        base += times
+    first = np.full(base, n, np.int64)
+    np.minimum.at(first, sequence, np.arange(n))
+    number = np.empty(base, np.int64)
+    number[np.argsort(first)] = np.arange(base)
+    sequence = number[sequence]
+    by = np.argsort(sequence, kind="stable")
+    before = np.cumsum(lengths[by]) - lengths[by]
+    offset = np.empty(n, np.int64)
+    offset[by] = before - before[np.searchsorted(sequence[by], sequence[by])]
+    return sequence, offset
+
+
+def pack_in_order(
+    docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k", run_rows: int = RUN_ROWS, step: int = STEP
+) -> DataFrame:
+    """As ``pack_documents``, with sequences that follow the order in which the rows of ``docs`` lie.
+
+    Every ``run_rows`` documents share no sequence with the ones before and after them.
+    """
+    cut = materialize(pieces(positions(docs), window, end_id, tokenizer, ("position",)), "pieces")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "run"]
+
+    def place(run: pa.Table) -> pa.Table:
+        run = run.sort_by([("position", "ascending"), ("start", "ascending")])
+        lengths = run.column("length").to_numpy()
+        found = pack_run(-(-lengths // step), lengths, window // step)
+        return pa.Table.from_arrays([*(run.column(c) for c in names[:5]), *map(pa.array, found), run.column("run")], names=names)
+
+    runs = cut.withColumn("run", F.floor(F.col("position") / run_rows))
+    placed = materialize(runs.groupBy("run").applyInArrow(place, f"{PIECES}, sequence_id long, offset long, run long"), "runs")
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # one row per run
+    bases = placed.groupBy("run").agg((F.max("sequence_id") + 1).alias("n")).select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return placed.join(bases, "run").withColumn("sequence_id", F.col("sequence_id") + F.col("base")).select(*names[:-1])
