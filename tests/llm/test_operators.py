@@ -306,6 +306,20 @@ def test_lines(spark, awkward, empty):
     assert changed.count() == 0
 
 
+def test_blocks_of_recurring_lines(spark):
+    block, foot = "Some Licence of the coast\nGranted to all who sail by\nWithout any warranty at all", "Printed at the harbour office"
+    docs = [(i, f"{block}\n{prose(12)} a{i}\n\n{foot}\n\n{prose(12)} b{i}") for i in range(40)]
+    common = [f"{prose(10)} line{n}" for n in range(20)]
+    copies = [(100 + i, "\n".join(f"{x} edit{i}" if n == i % 20 else x for n, x in enumerate(common))) for i in range(60)]
+    works = ["\n".join(f"{prose(10)}" for _ in range(12)) for _ in range(2)]
+    few = [(200 + i, f"A line of only two works\n{works[i // 5]}\nedit{i}") for i in range(10)]
+    kept = {r.doc_id: r.text for r in lines.drop_recurring(frame(spark, docs + copies + few)).collect()}
+    for i, text in docs:
+        rows_ = text.split("\n")
+        assert kept[i] == "\n".join([rows_[3], "", "", rows_[7]])
+    assert [i for i, text in copies + few if kept[i] != text] == []
+
+
 # ---- token counts
 
 
