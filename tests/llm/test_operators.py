@@ -320,6 +320,13 @@ def test_blocks_of_recurring_lines(spark):
     assert [i for i, text in copies + few if kept[i] != text] == []
 
 
+def test_short_lines(spark):
+    docs = [(i, f"{prose(9)} first{i}\nAll rights reserved.\n{prose(9)} mid{i}\nPage {i}\n{prose(9)} last{i}") for i in range(30)]
+    kept = {r.doc_id: r.text for r in lines.drop_recurring(frame(spark, docs)).collect()}
+    for i, text in docs:
+        assert kept[i] == text.replace("\nAll rights reserved.", "")
+
+
 # ---- token counts
 
 

@@ -50,7 +50,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The rule of the comparison SQL; the pipeline counts documents too.
+    # The rule of the comparison SQL; the pipeline counts documents and takes short lines too.
     return lines.line_report(table(spark, sf_dir, "documents"), places_only=True)
 
 
