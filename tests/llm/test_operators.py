@@ -288,6 +288,33 @@ def test_less_than_one_block_off(spark):
             assert abs(quota - share[source]) < 1.5 / 97
 
 
+def off_by(taken, share):
+    """The largest distance of a source's blocks from its share, after any number of slots."""
+    taken, nth = np.sort(np.array(taken)), np.arange(len(taken))
+    return max(np.abs(nth - taken * share).max(), np.abs(nth + 1 - (taken + 1) * share).max())
+
+
+def test_target_weights_are_followed(spark):
+    sizes = {"a": 10_000, "b": 6_000, "c": 4_000, "none": 5}
+    texts = [(i, "x" * 10, "en", s, 10) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.mix(spark.createDataFrame(texts, SCHEMA), {"a": 0.5, "b": 0.3, "c": 0.2, "none": 0}, block_chars=10).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.source].append(r.slot)
+    assert len({r.slot for r in got}) == len(got) == 20_005
+    assert all(off_by(slots[s], share) < 1 + 1e-9 for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    assert min(slots["none"]) > max(max(slots[s]) for s in "abc")
+
+
+def test_many_sources():
+    n = 10_000
+    weights, slots = [0.5, *[0.5 / (n - 1)] * (n - 1)], collections.defaultdict(list)
+    for s, _, slot in mixing.schedule(weights, [n, *[1] * (n - 1)]):
+        slots[s].append(slot)
+    assert len(slots) == n and all(off_by(taken, weights[s]) < 1 + 1e-9 for s, taken in slots.items())
+    assert len(list(mixing.schedule([0.0, 0.0], [2, 3]))) == 5 and list(mixing.schedule([], [])) == []
+
+
 # ---- lines
 
 

@@ -16,7 +16,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    # In frames, as in the comparison SQL; the pipeline follows the exact weights.
+    return mixing.mix(table(spark, sf_dir, "documents"), frame=mixing.FRAME)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
