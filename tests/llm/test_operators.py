@@ -435,6 +435,13 @@ def test_noisy_or_finds_the_sentence(spark):
             assert "vilething" in text[r.worst_start : r.worst_start + r.worst_length] and r.n_offending >= 1
 
 
+def test_a_repeated_document_counts_once(spark):
+    texts = [(i, f"A calm line here. {'Some vile thing' if i % 3 == 0 else 'More of the sea'}. {prose(5)}") for i in range(60)]
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    many = frame(spark, texts + [t for t in texts if t[0] < 5] * 30)
+    assert toxicity.fit(many, marks) == toxicity.fit(frame(spark, texts), marks)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     for module, label, least in ((quality, "quality", 0.95), (toxicity, "toxic", 0.9)):

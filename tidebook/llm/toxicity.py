@@ -96,11 +96,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     """Fit on at most ``sample_rows`` labelled documents outside the held-out fold, picked by a hash of the id.
 
     The sample is fitted in one task; its weights (bounded by the sample's words) come back.
-    Rows with a NULL id or label are not used; an id that repeats counts once.
+    Rows with a NULL id or label are not used; an id that repeats counts once, with one of its texts (by hash).
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_fold("doc_id", FOLDS) != HELD_OUT))
     picked = usable.groupBy("doc_id").agg(F.max(label).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((i, y, t or "") for b in batches for i, y, t in zip(*(c.to_pylist() for c in b.columns)))
