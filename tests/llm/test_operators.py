@@ -177,6 +177,14 @@ def test_fingerprints(awkward, empty):
     assert fingerprints.describe(empty).count() == 0
 
 
+def test_pieces_realign_after_an_insertion():
+    words = prose(400).split()
+    a = fingerprints.digests(" ".join(words))
+    for at in (3, 150):
+        b = fingerprints.digests(" ".join([*words[:at], "inserted", *words[at:]]))
+        assert len(np.intersect1d(a, b)) > 0.9 * len(np.union1d(a, b))
+
+
 def test_peeling_recovers_any_difference():
     for n in (0, 1, 5, 60, 3000):
         a, b = (np.unique(rng.integers(1, 2**62, n).astype(np.uint64)) for _ in range(2))

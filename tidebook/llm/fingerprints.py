@@ -1,7 +1,8 @@
 """Document fingerprints as invertible Bloom lookup tables of paragraph digests.
 
-Lines are paragraphs; long ones count as several, of at most ``PIECE_WORDS`` words, so that a
-text without line breaks has parts too. Each distinct digest is added to three cells (count,
+Lines are paragraphs; long ones count as several, so that a text without line breaks has parts
+too. A piece ends with a word whose last character is one of a fixed quarter of all, or after
+``MOST_WORDS`` words: what follows an inserted or deleted word is cut as before. Each distinct digest is added to three cells (count,
 xor of digests, xor of check values). The tables of two versions subtract cell by cell, and
 peeling cells that hold a single digest recovers the digests that only one version has. Where
 peeling gets stuck, both tables are built again at twice the size.
@@ -21,11 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-PIECE_WORDS = 4
+MOST_WORDS = 16
 CELLS = 12  # cells of the stored fingerprint: decodes some eight differences
 HASHES = 3
 
-_PIECE = re.compile(r"\S+(?:[^\S\n]+\S+){0,%d}" % (PIECE_WORDS - 1))
+# A fixed quarter of the characters of the basic plane, by a hash of the code point.
+_END = re.escape("".join(c for c in map(chr, range(33, 0xD800)) if (ord(c) * 0x9E3779B1 >> 20) & 3 == 0 and not c.isspace()))
+_PIECE = re.compile(rf"(?:\S++[^\S\n]++){{0,{MOST_WORDS - 1}}}?\S++(?<=[{_END}])|\S++(?:[^\S\n]++\S++){{0,{MOST_WORDS - 1}}}")
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
