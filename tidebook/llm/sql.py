@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidebook.llm import lines, mixing, rollups
+from tidebook.llm import lines, merkle, mixing, rollups
 
 MIXING = f"""
 WITH RECURSIVE rows_ AS (
@@ -88,3 +88,47 @@ WITH kept AS (
 )
 SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM counted GROUP BY ALL
 """
+
+# The checksum of an id is folded bit by bit: a byte enters by xor, then eight shifts (-1).
+CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END), 4294967295)"""
+
+
+def _fields(n_chars: str) -> str:
+    return " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text"))
+
+
+def _tree(name: str, start: str) -> str:
+    """Nodes of every level, and each bottom node's siblings as L, R or N (none) and the hash, bottom up."""
+    return f"""
+{name} AS (
+  SELECT grp, 0 AS lvl, pos, n, h FROM {start}
+  UNION ALL
+  SELECT grp, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY grp, lvl, pos // 2, n
+), {name}_top AS (
+  SELECT grp, h AS top FROM {name} WHERE n = 1
+), {name}_path AS (
+  SELECT s.grp, s.pos, list(CASE WHEN b.h IS NULL THEN 'N' WHEN b.pos < (s.pos >> a.lvl) THEN 'L' || b.h ELSE 'R' || b.h END ORDER BY a.lvl) AS path
+  FROM {start} s JOIN {name} a ON a.grp = s.grp AND a.pos = s.pos >> a.lvl AND a.n > 1
+  LEFT JOIN {name} b ON b.grp = a.grp AND b.lvl = a.lvl AND b.pos = xor(a.pos, 1) GROUP BY s.grp, s.pos
+)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS grp, sha256({_fields('n_chars')}) AS h,
+    CASE WHEN doc_id IS NOT NULL AND {CRC32} % {merkle.EVERY} = 0 THEN sha256({_fields('(n_chars + 1)')}) END AS tampered
+  FROM documents
+), bottom AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaves
+), {_tree('low', 'bottom')}, langs AS (
+  SELECT '' AS grp, grp AS member, top AS h, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM low_top
+), {_tree('high', 'langs')}, whole AS (
+  SELECT b.doc_id, b.h AS leaf, coalesce(b.tampered, b.h) AS start, l.h AS subroot, (SELECT top FROM high_top) AS root,
+    list_concat(coalesce(p.path, []), coalesce(q.path, [])) AS path
+  FROM bottom b JOIN langs l ON l.member = b.grp LEFT JOIN low_path p ON p.grp = b.grp AND p.pos = b.pos LEFT JOIN high_path q ON q.pos = l.pos
+), folded AS (
+  SELECT *, list_reduce(list_prepend(start, path), lambda h, s: CASE s[1] WHEN 'L' THEN sha256(s[2:] || h) WHEN 'R' THEN sha256(h || s[2:]) ELSE sha256(h) END) AS folded_root FROM whole
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_aggregate(list_transform(path, lambda s: s[2:]), 'string_agg', ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
