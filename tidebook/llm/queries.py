@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import fingerprints, jaccard, lines, merkle, mixing, packing, quality, rollups, sql, suffixes, toxicity, vectors
+from tidebook.llm import bpe, fingerprints, jaccard, lines, merkle, mixing, packing, quality, rollups, sql, suffixes, toxicity, vectors
 from tidebook.llm.common import shared_dir, table
 
 
@@ -55,12 +55,16 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"), places_only=True)
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.checksums(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_fingerprints, op4_vectors, op5_jaccard, op6_token_counts, op7_suffixes, op8_packing, op9_toxicity, op10_lines, op13_merkle)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_fingerprints, op4_vectors, op5_jaccard, op6_token_counts, op7_suffixes, op8_packing, op9_toxicity, op10_lines, op12_bpe, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
