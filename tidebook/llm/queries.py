@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import bpe, fingerprints, jaccard, lines, merkle, mixing, packing, quality, rollups, sql, suffixes, toxicity, vectors
+from tidebook.llm import bpe, collocations, fingerprints, jaccard, lines, merkle, mixing, packing, quality, rollups, sql, suffixes, toxicity, vectors
 from tidebook.llm.common import shared_dir, table
 
 
@@ -55,6 +55,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"), places_only=True)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.checksums(table(spark, sf_dir, "documents"))
 
@@ -64,8 +68,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_fingerprints, op4_vectors, op5_jaccard, op6_token_counts, op7_suffixes, op8_packing, op9_toxicity, op10_lines, op12_bpe, op13_merkle)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_fingerprints, op4_vectors, op5_jaccard, op6_token_counts, op7_suffixes, op8_packing, op9_toxicity, op10_lines, op11_collocations, op12_bpe, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": sql.MIXING, "op6_token_counts": sql.ROLLUP, "op10_lines": sql.LINES, "op13_merkle": sql.MERKLE}
+    return {"op2_mixing": sql.MIXING, "op6_token_counts": sql.ROLLUP, "op10_lines": sql.LINES, "op11_collocations": sql.COLLOCATIONS, "op13_merkle": sql.MERKLE}

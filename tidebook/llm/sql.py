@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidebook.llm import lines, merkle, mixing, rollups
+from tidebook.llm import collocations, lines, merkle, mixing, rollups
 
 MIXING = f"""
 WITH RECURSIVE rows_ AS (
@@ -132,3 +132,36 @@ WITH RECURSIVE leaves AS (
 )
 SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_aggregate(list_transform(path, lambda s: s[2:]), 'string_agg', ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
 """
+
+
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{collocations.NO_LANG}') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), lists AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces
+), places AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM lists
+), f AS (
+  SELECT lang, words, list_aggregate(ws[i : i + words - 1], 'string_agg', ' ') AS phrase, count(*) AS f
+  FROM places, (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS words) WHERE i + words - 1 <= len(ws) GROUP BY ALL
+), total AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND f >= {collocations.LEAST}
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, ((1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM candidates) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = list_aggregate(c.ws[1 : k], 'string_agg', ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = list_aggregate(c.ws[k + 1 :], 'string_agg', ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, list_aggregate(ws[i : i + size - 1], 'string_agg', ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, words - size + 2)) AS i FROM (SELECT *, unnest(range(2, words)) AS size FROM candidates)) GROUP BY ALL
+), kept AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR 100 * i.longer < {collocations.SHARE} * a
+)
+SELECT k.lang, rank, phrase, a, l, r, n, score FROM kept k JOIN total t ON t.lang = k.lang WHERE rank <= {collocations.TOP}
+"""
