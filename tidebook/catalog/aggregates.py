@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidebook.catalog.registry import as_double, as_long, dbl, query
 from tidebook.catalog.reports import IRIS, IRIS_SQL, PLAN_CTES, _ledger, iris
 from tidebook.functions import scalars
-from tidebook.operators import aggregates, joins
+from tidebook.operators import aggregates, joins, sketches
 from tidebook.operators.aggregates import newest
 from tidebook.operators.percentiles import approx_percentiles, exact_percentiles
 from tidebook.plans import loans, portfolio, risk, users
@@ -96,7 +96,24 @@ def _(t):
         *[newest(c, "updated", "version").alias(c) for c in ("profit", "time_msc", "version")]))
 
 
-@query("approx_percentile")
+@query("approx_percentile", """
+SELECT symbol, COUNT(*) AS n, true AS within, true AS merged_within, true AS span_counts FROM fx_trades WHERE profit_usd IS NOT NULL GROUP BY symbol""")
+def _(t):
+    """Rank errors of sketches, made in one pass and merged from stored days, are within the bound; the days of a span add up."""
+    qs, keys = [0.0, 0.2, 0.5, 0.8, 0.95, 1.0], ["symbol"]
+    rows = materialize(t.fx_trades.select("symbol", "open_time", "profit_usd"), "trades")
+    stored = materialize(sketches.day_sketches(rows, keys, "open_time", "profit_usd"), "sketches")
+    once = sketches.percentiles(sketches.day_sketches(rows.withColumn("open_time", F.lit("2000-01-01")), keys, "open_time", "profit_usd"), keys, qs)
+    days = sketches.percentiles(sketches.span_sketches(stored, keys), keys, qs)
+    late = sketches.span_sketches(stored, keys, "1995-01-01", "1997-07-01").select("symbol", F.col("cnt").alias("late"))
+    counted = rows.where("open_time >= '1995-01-01' AND open_time < '1997-07-01' AND profit_usd IS NOT NULL").groupBy("symbol").agg(n_rows().alias("true_late"))
+    a, b = (sketches.rank_errors(rows, keys, "profit_usd", answers, qs) for answers in (once, days))
+    joined = a.join(b.select("symbol", F.col("error").alias("merged_error")), "symbol").join(late, "symbol", "left").join(counted, "symbol", "left")
+    bound = sketches.RANK_ERROR
+    return joined.select("symbol", "n", (F.col("error") <= bound).alias("within"), (F.col("merged_error") <= bound).alias("merged_within"), F.col("late").eqNullSafe(F.col("true_late")).alias("span_counts"))
+
+
+@query("approx_percentile_values")
 def _(t):
     return approx_percentiles(t.fx_trades.select("symbol", F.col("profit_usd").cast("double").alias("v")), ["symbol"], "v", [0.80, 0.95])
 

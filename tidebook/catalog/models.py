@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidebook.catalog.registry import as_double, as_long, dbl, query
 from tidebook.catalog.reports import IRIS, TAX, iris
-from tidebook.models import classifiers, regression
+from tidebook.models import classifiers, lloyd, logit, regression
 from tidebook.models import text as text_models
+from tidebook.models import trees as tree_models
 from tidebook.operators import aggregates, clean, sampling
 from tidebook.plans import churn
 from tidebook.session import materialize, shared_dir
@@ -91,12 +92,45 @@ def _(t):
     return as_double(regression.coefficients(regression.lasso(rows, ["l_quantity"], "target", 5.0), ["l_quantity"], rows), 4)
 
 
-@query("lasso")
+PRICES = f"SELECT l_orderkey, {', '.join(f'{c}::DOUBLE AS x{i}' for i, c in enumerate(LINE))}, l_extendedprice / 1000 AS y FROM lineitem"
+
+
+def descent_sql(moments: str, alpha: str, steps: int = 60) -> str:
+    """``w`` has the weights after some rounds of coordinate descent from ``moments`` (columns key, m0.., c00.., c0y..), whatever the number of keys."""
+    p = range(len(LINE))
+
+    def step(i: int, w: list[str]) -> str:
+        rest = f"(c{i}y" + "".join(f" - c{min(i, j)}{max(i, j)} * {w[j]}" for j in p if j != i) + ")"
+        return f"sign({rest}) * greatest(abs({rest}) - {alpha}, 0) / c{i}{i}"
+
+    new = ["v0", "v1", "v2"]
+    keep = ", ".join(["key", "alpha", "my", *(f"m{i}" for i in p), *(f"c{i}{j}" for i in p for j in p if i <= j), *(f"c{i}y" for i in p)])
+    return f"""
+w AS (
+  SELECT 0 AS step, {keep}, {", ".join(f"0.0::DOUBLE AS w{i}" for i in p)} FROM {moments}
+  UNION ALL
+  SELECT step + 1, {keep}, v0, v1, {step(2, new)} FROM (
+    SELECT *, {step(1, ["v0", "v1", "w2"])} AS v1 FROM (SELECT *, {step(0, ["w0", "w1", "w2"])} AS v0 FROM w WHERE step < {steps}))
+), fit AS (SELECT *, my - (m0 * w0 + m1 * w1 + m2 * w2) AS intercept FROM w WHERE step = {steps})"""
+
+
+MOMENTS = ", ".join(["AVG(y) AS my", *(f"AVG(x{i}) AS m{i}, covar_pop(x{i}, y) AS c{i}y" for i in range(3)), *(f"covar_pop(x{i}, x{j}) AS c{i}{j}" for i in range(3) for j in range(i, 3))])
+LASSO_SQL = f"""WITH RECURSIVE d AS ({PRICES}), mom AS (SELECT 0 AS key, {{alpha}}::DOUBLE AS alpha, {MOMENTS} FROM d), {descent_sql("mom", "alpha")}"""
+
+
+@query("lasso", LASSO_SQL.format(alpha=0.001) + " UNION ALL ".join(f" SELECT '{c}' AS feature, ROUND(w{i}, 6) AS weight FROM fit" for i, c in enumerate(LINE)) + " UNION ALL SELECT 'intercept', ROUND(intercept, 6) FROM fit")
 def _(t):
     rows = t.lineitem.withColumn("target", F.col("l_extendedprice") / 1000)
     return as_double(regression.coefficients(regression.lasso(rows, LINE, "target", 0.001), LINE, rows), 6)
 
 
+@query("lasso_optimality", LASSO_SQL.format(alpha=0.05) + " UNION ALL ".join(f" SELECT '{c}' AS feature, w{i} != 0 AS active, true AS optimal FROM fit" for i, c in enumerate(LINE)))
+def _(t):
+    rows = t.lineitem.withColumn("target", F.col("l_extendedprice") / 1000)
+    model = regression.lasso(rows, LINE, "target", 0.05)
+    return regression.subgradients(rows, LINE, "target", 0.05, model).select("feature", "active", (F.col("excess") < 1e-6).alias("optimal"))
+
+
 @query("ridge_classifier", TWO_FEATURE_SQL.format(
     rows="SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, CASE WHEN label < 5 THEN 1.0 ELSE -1.0 END::DOUBLE AS y FROM embeddings", pen="1.0", fa="x0", fb="x1"))
 def _(t):
@@ -117,37 +151,165 @@ def _scored(model, train, test, label):
     return part("train", train).union(part("test", test))
 
 
-@query("logistic")
+@query("logistic_ml")
 def _(t):
     train, test = _iris_split(t)
     return _scored(classifiers.logistic("label", train.count()).fit(train), train, test, "label")
 
 
-@query("decision_tree")
+@query("decision_tree_ml")
 def _(t):
     train, test = _iris_split(t)
     return _scored(classifiers.decision_tree("label").fit(train), train, test, "label")
 
 
-@query("bagging_trees")
+@query("bagging_trees_ml")
 def _(t):
     train, test = sampling.split(regression.assemble(_churn(t), CHURN), 0.3, 7, "id")
     return _scored(classifiers.bagged_trees("is_prolong").fit(train), train, test, "is_prolong")
 
 
-@query("random_forest")
+@query("random_forest_ml")
 def _(t):
     train, test = sampling.split(regression.assemble(_churn(t), CHURN), 0.3, 7, "id")
     return _scored(classifiers.random_forest("is_prolong").fit(train), train, test, "is_prolong")
 
 
-@query("kmeans")
+@query("kmeans_ml")
 def _(t):
     columns = ["worker_count", "fss_count", "pfr_count", "fns_count", "has_certificate", "documents_count", "cnt_users"]
     groups = classifiers.kmeans_groups(_churn(t).where("is_prolong = 0"), columns)
     return as_double(groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("cnt"), *[F.avg(c).alias(c) for c in columns]))
 
 
+COMPANIES = "SELECT id, is_prolong AS y, {columns} FROM fx_companies WHERE regdt IS NOT NULL"
+
+
+def _companies(t):
+    return t.fx_companies.where("regdt IS NOT NULL")
+
+
+def logit_sql(rows: str, a: str, b: str, penalty: float = 1.0, steps: int = 25) -> str:
+    """Newton steps on two features ``a``, ``b`` and an intercept, each solved by cofactors."""
+    c = {"00": "saa * sbb - sab * sab", "0a": "sab * s0b - s0a * sbb", "0b": "s0a * sab - saa * s0b", "aa": "s00 * sbb - s0b * s0b", "ab": "s0a * s0b - s00 * sab", "bb": "s00 * saa - s0a * s0a"}
+    det = f"(s00 * ({c['00']}) + s0a * ({c['0a']}) + s0b * ({c['0b']}))"
+    return f"""
+WITH RECURSIVE d AS ({rows}), s AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb
+  UNION ALL
+  SELECT step + 1, w0 - (({c['00']}) * g0 + ({c['0a']}) * ga + ({c['0b']}) * gb) / {det}, wa - (({c['0a']}) * g0 + ({c['aa']}) * ga + ({c['ab']}) * gb) / {det}, wb - (({c['0b']}) * g0 + ({c['ab']}) * ga + ({c['bb']}) * gb) / {det}
+  FROM (
+    SELECT step, w0, wa, wb, SUM(q - y) AS g0, SUM((q - y) * a) + {penalty} * wa AS ga, SUM((q - y) * b) + {penalty} * wb AS gb,
+      SUM(v) AS s00, SUM(v * a) AS s0a, SUM(v * b) AS s0b, SUM(v * a * a) + {penalty} AS saa, SUM(v * a * b) AS sab, SUM(v * b * b) + {penalty} AS sbb
+    FROM (SELECT *, q * (1 - q) AS v FROM (SELECT s.*, d.*, 1 / (1 + exp(-(w0 + wa * a + wb * b))) AS q FROM s CROSS JOIN d WHERE step < {steps})) GROUP BY step, w0, wa, wb)
+)
+SELECT '{a}' AS feature, ROUND(wa, 6) AS weight FROM s WHERE step = {steps} UNION ALL SELECT '{b}', ROUND(wb, 6) FROM s WHERE step = {steps} UNION ALL SELECT 'intercept', ROUND(w0, 6) FROM s WHERE step = {steps}"""
+
+
+@query("logistic", logit_sql(COMPANIES.format(columns="documents_count::DOUBLE AS a, worker_count::DOUBLE AS b"), "documents_count", "worker_count"))
+def _(t):
+    rows = _companies(t)
+    return as_double(logit.fit(rows, ["documents_count", "worker_count"], "is_prolong").table(rows))
+
+
+GROUPED = ["worker_count", "fss_count", "pfr_count", "fns_count", "has_certificate", "documents_count", "cnt_users"]
+
+
+def lloyd_sql(rows: str, columns: list[str], k: int, rounds: int, seed: int = 1) -> str:
+    """Lloyd rounds over lists; centres are a list of points, numbered from 1."""
+    z = ", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END" for c in columns)
+    gap = f"round(list_sum(list_transform(range(1, {len(columns) + 1}), lambda i: (z[i] - c[i]) * (z[i] - c[i]))), 9)"
+    gaps = f"list_transform(centres, lambda c: {gap})"
+    return f"""
+WITH RECURSIVE d AS ({rows}), m AS (SELECT {", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in columns)} FROM d),
+p AS MATERIALIZED (SELECT md5('{seed}|' || id) AS h, d.*, [{z}] AS z FROM d CROSS JOIN m),
+start AS (
+  SELECT 1 AS n, [(SELECT arg_min(z, h) FROM p)] AS centres
+  UNION ALL
+  SELECT n + 1, list_append(any_value(centres), arg_max(z, (list_min({gaps}), h))) FROM start CROSS JOIN p WHERE n < {k} GROUP BY n
+), moves AS (
+  SELECT 0 AS step, centres FROM start WHERE n = {k}
+  UNION ALL
+  SELECT step + 1, list_transform(range(1, {k + 1}), lambda i: coalesce(list_filter(news, lambda x: x.c = i)[1].z, centres[i])) FROM (
+    SELECT step, any_value(centres) AS centres, list({{'c': c, 'z': z}}) AS news FROM (
+      SELECT step, any_value(centres) AS centres, c, [{", ".join(f"AVG(z[{i}])" for i in range(1, len(columns) + 1))}] AS z
+      FROM (SELECT step, centres, z, list_position({gaps}, list_min({gaps})) AS c FROM moves CROSS JOIN p WHERE step < {rounds}) GROUP BY step, c) GROUP BY step)
+), last AS (SELECT centres FROM moves WHERE step = {rounds})
+SELECT (list_position({gaps}, list_min({gaps})) - 1)::INT AS cluster, COUNT(*) AS cnt, {", ".join(f"ROUND(AVG({c}), 6) AS {c}" for c in columns)} FROM p CROSS JOIN last GROUP BY 1"""
+
+
+@query("kmeans", lloyd_sql(f"SELECT id, {', '.join(GROUPED)} FROM fx_companies WHERE regdt IS NOT NULL AND is_prolong = 0", GROUPED, 4, 60))
+def _(t):
+    rows = _companies(t).where("is_prolong = 0")
+    return as_double(lloyd.summary(rows, lloyd.fit(rows, GROUPED, "id", 4, 60)))
+
+
+def tree_sql(features: list[str], trees: int, depth: int, min_leaf: int, sampled: bool = False, per_node: int | None = None, seed: int = 1) -> str:
+    """Common table expressions that try every value of every feature as a cut, level by level: ``n{depth}`` has every row's leaf, ``s{l}`` the cuts of a level."""
+    word = f"substr(md5('{seed}|' || tree || '|' || id), 1, 8)"
+    drawn = " + ".join(f"({word} >= '{b}')::INT" for b in tree_models.poisson_bounds()) if sampled else "1"
+    few = f"list_position(list_sort(list_transform(range(0, {len(features)}), lambda g: md5('{seed}|' || tree || '|' || node || '|' || g))), md5('{seed}|' || tree || '|' || node || '|' || f)) <= {per_node}" if per_node else "true"
+    out = [f"""d AS ({COMPANIES.format(columns="[" + ", ".join(f"{f}::DOUBLE" for f in features) + "] AS x")}),
+n0 AS MATERIALIZED (SELECT id, y, x, tree, ({drawn})::BIGINT AS w, 1 AS node FROM d CROSS JOIN (SELECT unnest(range(0, {trees})) AS tree))"""]
+    for i in range(depth):
+        out.append(f"""u{i} AS (SELECT tree, node, f, v, SUM(w)::BIGINT AS n, SUM(w * y)::BIGINT AS p FROM (SELECT *, x[f + 1] AS v FROM (SELECT *, unnest(range(0, {len(features)})) AS f FROM n{i} WHERE w > 0)) WHERE {few} GROUP BY tree, node, f, v),
+c{i} AS (SELECT *, SUM(n) OVER o AS nl, SUM(p) OVER o AS pl, SUM(n) OVER a AS nt, SUM(p) OVER a AS pt FROM u{i} WINDOW a AS (PARTITION BY tree, node, f), o AS (PARTITION BY tree, node, f ORDER BY v)),
+s{i} AS MATERIALIZED (SELECT tree, node, f, v FROM (SELECT *, ((nl - pl) * (nl - pl) + pl * pl)::DOUBLE / nl + ((nt - nl - pt + pl) * (nt - nl - pt + pl) + (pt - pl) * (pt - pl))::DOUBLE / nullif(nt - nl, 0) AS score,
+    ((nt - pt) * (nt - pt) + pt * pt)::DOUBLE / nt AS whole FROM c{i}) WHERE nl >= {min_leaf} AND nt - nl >= {min_leaf} AND score > whole * (1 + 1e-12)
+  QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY score DESC, f, v) = 1),
+n{i + 1} AS MATERIALIZED (SELECT n.* EXCLUDE (node), CASE WHEN s.f IS NULL THEN n.node ELSE 2 * n.node + (x[s.f + 1] > s.v)::INT END AS node FROM n{i} n LEFT JOIN s{i} s ON s.tree = n.tree AND s.node = n.node)""")
+    return "WITH " + ",\n".join(out)
+
+
+def nodes_sql(features: list[str], depth: int, **options) -> str:
+    cuts = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(depth))
+    return tree_sql(features, depth=depth, **options) + f""",
+part AS (SELECT tree, node, SUM(w) AS n, SUM(w * y) AS p FROM (SELECT tree, w, y, unnest(list_filter(list_transform(range(0, {depth + 1}), lambda k: node >> k), lambda m: m > 0)) AS node FROM n{depth} WHERE w > 0) GROUP BY tree, node),
+cuts AS (SELECT DISTINCT * FROM ({cuts}))
+SELECT part.tree::INT AS tree, part.node::INT AS node, [{", ".join(f"'{f}'" for f in features)}][f + 1] AS feature, v AS cut, n::BIGINT AS n, p::BIGINT AS positives FROM part LEFT JOIN cuts ON cuts.tree = part.tree AND cuts.node = part.node"""
+
+
+def bag_sql(features: list[str], trees: int, depth: int, **options) -> str:
+    return tree_sql(features, trees=trees, depth=depth, sampled=True, **options) + f""",
+said AS (SELECT tree, node, (2 * SUM(w * y) > SUM(w))::INT AS said FROM n{depth} WHERE w > 0 GROUP BY tree, node),
+votes AS (SELECT id, y, (2 * SUM(said) > COUNT(*))::INT AS said FROM n{depth} n JOIN said s ON s.tree = n.tree AND s.node = n.node WHERE w = 0 GROUP BY id, y)
+SELECT {trees} AS trees, COUNT(*) AS rows, COUNT(*) FILTER (said != y) AS wrong, ROUND(COUNT(*) FILTER (said != y) / COUNT(*), 6) AS error FROM votes"""
+
+
+TREE = ["documents_count", "worker_count", "fss_count", "pfr_count", "fns_count", "cnt_users", "has_certificate"]
+HARD = TREE[1:]  # without the column that decides most
+
+
+def _nodes(forest, rows):
+    return forest.table(rows).select("tree", "node", "feature", "cut", "n", F.col("counts")[1].alias("positives"))
+
+
+@query("decision_tree", nodes_sql(TREE, depth=3, trees=1, min_leaf=4))
+def _(t):
+    rows = _companies(t)
+    return _nodes(tree_models.grow(rows, TREE, "is_prolong", depth=3), rows)
+
+
+@query("bagging_trees", bag_sql(TREE, trees=7, depth=3, min_leaf=4))
+def _(t):
+    rows = _companies(t)
+    forest = tree_models.grow(rows, TREE, "is_prolong", "id", trees=7, depth=3, sampled=True)
+    return as_double(forest.out_of_bag(rows, "is_prolong"))
+
+
+@query("random_forest", bag_sql(TREE, trees=9, depth=3, min_leaf=1, per_node=2))
+def _(t):
+    rows = _companies(t)
+    forest = tree_models.grow(rows, TREE, "is_prolong", "id", trees=9, depth=3, min_leaf=1, sampled=True, per_node=2)
+    return as_double(forest.out_of_bag(rows, "is_prolong"))
+
+
+@query("forest_nodes", nodes_sql(HARD, depth=2, trees=3, min_leaf=2, sampled=True, per_node=3, seed=5))
+def _(t):
+    rows = _companies(t)
+    return _nodes(tree_models.grow(rows, HARD, "is_prolong", "id", trees=3, depth=2, min_leaf=2, sampled=True, per_node=3, seed=5), rows)
+
+
 FOLD_SQL = "('0x' || substr(md5('{seed}|' || l_orderkey), 1, 8))::BIGINT / 4294967296.0"
 
 
@@ -178,7 +340,15 @@ def _lines(t):
     return materialize(t.lineitem.select("l_orderkey", *LINE, (F.col("l_extendedprice") / 1000).alias("target")), "lines")
 
 
-@query("grid_search")
+GRID_SQL = f"""
+WITH RECURSIVE d AS ({PRICES}), spread AS (SELECT *, unnest(range(0, 30)) AS key FROM d),
+dealt AS MATERIALIZED (SELECT * EXCLUDE (l_orderkey), ('0x' || substr(md5((12 + key // 4) || '|' || l_orderkey), 1 + 8 * (key % 4), 8))::BIGINT / 4294967296.0 < 0.2 AS tested FROM spread),
+mom AS (SELECT m.*, a.alpha FROM (SELECT key, {MOMENTS} FROM dealt WHERE NOT tested GROUP BY key) m CROSS JOIN (SELECT unnest([{", ".join(map(repr, ALPHAS))}])::DOUBLE AS alpha) a), {descent_sql("mom", "alpha")},
+errors AS (SELECT key, alpha, AVG(abs(y - (intercept + w0 * x0 + w1 * x1 + w2 * x2))) AS mae FROM dealt JOIN fit USING (key) WHERE tested GROUP BY key, alpha)
+SELECT ROUND(alpha, 6) AS alpha, ROUND(AVG(mae), 6) AS mae, COUNT(*) AS splits FROM errors GROUP BY alpha"""
+
+
+@query("grid_search", GRID_SQL)
 def _(t):
     return as_double(regression.grid_search(_lines(t), LINE, "target", "l_orderkey", ALPHAS))
 

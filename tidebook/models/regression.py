@@ -58,6 +58,23 @@ def coefficients(model: LinearRegressionModel, features: Sequence[str], df: Data
     return df.sparkSession.createDataFrame(rows, "feature string, weight double")
 
 
+def subgradients(df: DataFrame, features: Sequence[str], label: str, alpha: float, model: LinearRegressionModel) -> DataFrame:
+    """How far a lasso fit is from its optimality conditions, per feature, in one pass.
+
+    The slope of the squared error / 2n must be alpha against the sign of an ``active`` weight and at most alpha in size
+    for a zero one; ``excess`` is what is missing, as a share of the feature's own deviation.
+    """
+    columns = [*features, label]
+    shift = moments.means(df, columns)
+    cov = moments.moments_by(df, columns, shift, F.lit(0))[0].covariance()
+    weights = np.array([float(w) for w in model.coefficients])
+    slopes = cov[:-1, -1] - cov[:-1, :-1] @ weights
+    size = np.sqrt(np.maximum(np.diag(cov)[:-1], 1e-300))
+    excess = np.where(weights != 0, np.abs(slopes - alpha * np.sign(weights)), np.maximum(np.abs(slopes) - alpha, 0.0)) / size
+    rows = [(f, float(w), bool(w != 0), float(s), float(e)) for f, w, s, e in zip(features, weights, slopes, excess)]
+    return df.sparkSession.createDataFrame(rows, "feature string, weight double, active boolean, slope double, excess double")
+
+
 def feature_rmse(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Training error of each one-feature regression, all in one aggregation."""
     def rmse(c: str) -> Column:

@@ -208,6 +208,8 @@ def oracle_text(sql: str) -> str:
     if not ctes:
         return body
     head = "WITH " + ",\n".join(ctes)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head[5:]},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"{head},\n{body[5:]}"
     return f"{head}\n{body}"
