@@ -67,7 +67,7 @@ def test_score_passes_64_bits(spark):
 
 
 def test_windows_meet_once(spark):
-    counted = spark.createDataFrame([], "lang string, w1 string, w2 string, w3 string, c long")
+    counted = spark.createDataFrame([], "lang string, w1 string, w2 string, ends string, times string")
     plan = collocations.folded(counted, 3, 10)._jdf.queryExecution().executedPlan().toString()
     # One for the windows, one for what is left of them.
     assert plan.count("Exchange hashpartitioning(") == 2 and "REPARTITION_BY_COL" in plan

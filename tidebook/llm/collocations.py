@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from tidebook.llm.common import materialize
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 NO_LANG = "und"
 # Words whose windows a task counts at a time (some 60 bytes each), and rows of an Arrow batch.
-HOLD, ROWS = 3_000_000, 50_000
+HOLD, ROWS = 4_000_000, 50_000
 # Bytes of a text that are split at a time.
 STRETCH = 1 << 23
 BREAK = b"\n"
@@ -87,15 +88,19 @@ class Counter:
                 code = np.unique(code, return_inverse=True)[1]
                 bound = len(code)
             code, bound = code * size + c, bound * size
-        _, at, times = np.unique(code, return_index=True, return_counts=True)
-        del code
+        code, at, times = np.unique(code, return_index=True, return_counts=True)
+        # Windows that differ in their last word only travel as one row.
+        heads = np.flatnonzero(np.diff(code // size, prepend=-1)).astype(np.int64)
         words = [b"" if w == BREAK else w for w in self.number]
         texts, langs = pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(self.langs), pa.string())
-        names = ["lang", *_names(self.longest), "c"]
-        for start in range(0, len(at), ROWS):
-            part = at[start : start + ROWS]
-            yield pa.RecordBatch.from_arrays(
-                [langs.take(pa.array(columns[0][part])), *[texts.take(pa.array(c[part])) for c in columns[1:]], pa.array(times[start : start + ROWS].astype(np.int64))], names=names)
+        names = ["lang", *_names(self.longest)[:-1], "ends", "times"]
+        for start in range(0, len(heads), ROWS):
+            own = heads[start : start + ROWS]
+            stop = heads[start + ROWS] if start + ROWS < len(heads) else len(at)
+            offsets = pa.array(np.append(own, stop) - own[0], pa.int32())
+            first, ends = at[own], texts.take(pa.array(columns[-1][at[own[0] : stop]]))
+            joined = [pc.binary_join(pa.ListArray.from_arrays(offsets, x), " ") for x in (ends, pa.array(times[own[0] : stop]).cast(pa.string()))]
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(columns[0][first])), *[texts.take(pa.array(c[first])) for c in columns[1:-1]], *joined], names=names)
         self.clear()
 
 
@@ -104,7 +109,10 @@ def _names(longest: int) -> list[str]:
 
 
 def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(lang, w1, .., c): windows of ``longest`` words, padded with empty words, counted within a task."""
+    """Windows of ``longest`` words, padded with empty words, counted within a task.
+
+    A row has the language, all words but the last, and blank-separated the last words and their counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counter(longest)
@@ -119,7 +127,7 @@ def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
                         yield from held.flush()
         yield from held.flush()
 
-    schema = ", ".join(["lang string", *(f"{n} string" for n in _names(longest)), "c long"])
+    schema = ", ".join(f"{n} string" for n in ("lang", *_names(longest)[:-1], "ends", "times"))
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
@@ -130,7 +138,11 @@ def folded(counted: DataFrame, longest: int, least: int) -> DataFrame:
     language and first two words; sums of all longer prefixes are local.
     """
     names = _names(longest)
-    rows = counted.repartition("lang", *names[:2])
+    first, last = ["lang", *names[:-1]], names[-1]
+    pairs = F.arrays_zip(F.split("ends", " ").alias(last), F.split("times", " ").alias("c"))
+    rows = counted if longest == 2 else counted.repartition(*first[:3])
+    rows = rows.select(*first, F.inline(pairs)).withColumn("c", F.col("c").cast("long"))
+    rows = rows.repartition("lang", *names) if longest == 2 else rows
     for j in range(longest, 1, -1):
         # ``all`` of a prefix counts the longer windows that begin with it; their own ``c`` stays with them.
         if j == longest:
@@ -178,6 +190,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, sh
     A NULL text counts as empty, a NULL language as ``und``; rows that repeat count each time; a
     language without such phrases, and an empty table, give no rows. Other columns are not read.
     """
+    if longest < 2:
+        raise ValueError("a phrase has at least two words")
     counts = materialize(phrase_counts(docs, longest, least), "phrases")
     parts = counts.where("words > 0").select("lang", "phrase", "f")
     found = counts.where("words > 1").withColumn("parts", F.split("phrase", " "))
