@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -435,11 +437,52 @@ def _(t):
     return as_double(weights.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("weight").alias("weight")))
 
 
-@query("text_classifier")
-def _(t):
+TEXT_ROUNDS, TEXT_PENALTY = 4, 1e-4
+
+
+def text_sql(rounds: int = TEXT_ROUNDS, penalty: float = TEXT_PENALTY, min_df: int = 2) -> str:
+    """The rounds written out: ``u{rounds}`` and ``b{rounds}`` have the weights and biases."""
+    side = "CASE WHEN y = c THEN 1.0::DOUBLE ELSE -1.0 END"
+    rate = repr(1.0 / (4.0 + penalty))
+    out = [f"""WITH docs AS (SELECT doc_id, lang, substr(md5('42|' || doc_id), 1, 8) < '{math.ceil(0.33 * (1 << 32)):08x}' AS tested, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS terms FROM documents),
+tf AS MATERIALIZED (SELECT doc_id, lang, tested, term, COUNT(*) AS tf FROM (SELECT doc_id, lang, tested, unnest(terms) AS term FROM docs) GROUP BY ALL),
+total AS (SELECT COUNT(*) AS total FROM docs WHERE NOT tested AND lang IS NOT NULL),
+idf AS MATERIALIZED (SELECT term, ln((1 + total) / (1 + COUNT(*))) + 1 AS idf FROM tf CROSS JOIN total WHERE NOT tested AND lang IS NOT NULL GROUP BY term, total HAVING COUNT(*) >= {min_df}),
+xs AS MATERIALIZED (SELECT doc_id, lang AS y, tested, term, tf * idf / sqrt(SUM((tf * idf) * (tf * idf)) OVER (PARTITION BY doc_id)) AS x FROM tf JOIN idf USING (term)),
+x AS MATERIALIZED (SELECT * FROM xs WHERE NOT tested AND y IS NOT NULL),
+size AS (SELECT COUNT(DISTINCT doc_id) AS n FROM x),
+classes AS (SELECT DISTINCT lang AS c FROM docs WHERE NOT tested AND lang IS NOT NULL),
+u0 AS (SELECT term, c, 0.0::DOUBLE AS w, 0.0::DOUBLE AS u FROM idf CROSS JOIN classes), b0 AS (SELECT c, 0.0::DOUBLE AS w, 0.0::DOUBLE AS u FROM classes)"""]
+    for t in range(rounds):
+        push = repr(t / (t + 3.0))
+        out.append(f"""g{t} AS MATERIALIZED (SELECT doc_id, c, -2.0 * {side} * greatest(0.0, 1.0 - {side} * m) / n AS g FROM (
+  SELECT doc_id, y, u.c, SUM(x.x * u.u) + any_value(b.u) AS m FROM x JOIN u{t} u USING (term) JOIN b{t} b ON b.c = u.c GROUP BY doc_id, y, u.c) CROSS JOIN size),
+d{t} AS (SELECT term, c, SUM(x * g) AS d FROM x JOIN g{t} USING (doc_id) GROUP BY term, c),
+u{t + 1} AS MATERIALIZED (SELECT term, c, a AS w, a + {push} * (a - w) AS u FROM (SELECT term, c, w, u - {rate} * (d + {penalty!r} * u) AS a FROM u{t} JOIN d{t} USING (term, c))),
+b{t + 1} AS MATERIALIZED (SELECT c, a AS w, a + {push} * (a - w) AS u FROM (SELECT b.c, b.w, b.u - {rate} * SUM(g) AS a FROM b{t} b JOIN g{t} g ON g.c = b.c GROUP BY b.c, b.w, b.u))""")
+    return ",\n".join(out)
+
+
+def _text_model(t):
     train, test = sampling.split(t.documents.select("doc_id", "text", "lang"), 0.33, 42, "doc_id")
-    score = text_models.fit_text_classifier(train, "text", "lang")
-    return as_double(classifiers.class_report(score(test), "lang", "predicted"))
+    return text_models.fit_text_classifier(train, "text", "lang", "doc_id", rounds=TEXT_ROUNDS, penalty=TEXT_PENALTY), test
+
+
+@query("text_classifier", text_sql() + f""",
+margins AS (SELECT doc_id, u.c, SUM(x * u.w) AS m FROM xs JOIN u{TEXT_ROUNDS} u USING (term) WHERE tested GROUP BY doc_id, u.c),
+said AS (SELECT d.doc_id, d.lang, b.c AS predicted FROM docs d CROSS JOIN b{TEXT_ROUNDS} b LEFT JOIN margins m ON m.doc_id = d.doc_id AND m.c = b.c WHERE tested
+  QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY coalesce(m, 0) + b.w DESC, b.c) = 1),
+actual AS (SELECT lang AS class, COUNT(*) AS support, COUNT(*) FILTER (lang = predicted) AS hits FROM said GROUP BY lang), spoken AS (SELECT predicted AS class, COUNT(*) AS said FROM said GROUP BY predicted),
+rates AS (SELECT class, coalesce(hits / said, 0) AS precision, hits / support AS recall, support FROM actual LEFT JOIN spoken USING (class))
+SELECT class, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall, ROUND(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1, support FROM rates""")
+def _(t):
+    model, test = _text_model(t)
+    return as_double(classifiers.class_report(model(test, "doc_id"), "lang", "predicted"))
+
+
+@query("text_weights", text_sql() + f" SELECT term, c AS class, ROUND(w, 6) + 0.0 AS weight FROM u{TEXT_ROUNDS}")
+def _(t):
+    return as_double(_text_model(t)[0].table()).withColumn("weight", F.col("weight") + 0.0)
 
 
 HOUSE = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]

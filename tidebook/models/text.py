@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StringIndexer
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.text import tokens
+from tidebook.session import materialize
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,32 +31,87 @@ def tfidf(docs: DataFrame, idf: DataFrame, key: str, text: str) -> DataFrame:
     return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
-def fit_text_classifier(train: DataFrame, text: str, label: str, min_df: int = 2, iterations: int = 20):
-    """One-vs-rest linear SVM on TF-IDF vectors; returns a function that scores documents.
-
-    The vocabulary is exact: every term in at least ``min_df`` documents. It passes through the
-    driver, as the model's weights, one per term and class, do.
+@dataclass
+class TextModel:
+    """A linear text classifier as a table of ``term, idf, w0, w1, ..`` (one weight per class) and one bias per class."""
+
+    weights: DataFrame
+    classes: list
+    bias: list[float]
+    text: str
+
+    def table(self) -> DataFrame:
+        """(term, class, weight)."""
+        cells = F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"w{i}").alias("weight")) for i, c in enumerate(self.classes)])
+        return self.weights.select("term", F.inline(cells))
+
+    def margins(self, docs: DataFrame, key: str) -> DataFrame:
+        """(key, m0, m1, ..) of the documents with a known term: one join and one group-by over their term counts."""
+        k = range(len(self.classes))
+        found = term_counts(docs, key, self.text).join(self.weights, "term").withColumn("x", F.col("tf") * F.col("idf"))
+        sums = found.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"), *[F.sum(F.col("x") * F.col(f"w{i}")).alias(f"m{i}") for i in k])
+        return sums.select(key, *[(F.col(f"m{i}") / F.col("len") + F.lit(self.bias[i])).alias(f"m{i}") for i in k])
+
+    def __call__(self, docs: DataFrame, key: str | None = None) -> DataFrame:
+        """``docs`` with ``predicted``: the class of the largest margin, the first of equal ones; a text without known terms has the biases alone."""
+        if not self.classes:
+            return docs.withColumn("predicted", F.lit(None).cast("string"))
+        docs, own = _keyed(docs, key)
+        k = range(len(self.classes))
+        joined = docs.join(self.margins(docs, own).withColumnRenamed(own, "__k"), F.col(own) == F.col("__k"), "left")
+        margins = F.array(*[F.coalesce(f"m{i}", F.lit(self.bias[i])) for i in k])
+        best = F.get(F.array(*[F.lit(c) for c in self.classes]), (F.array_position(margins, F.array_max(margins)) - 1).cast("int"))
+        return joined.withColumn("predicted", best).drop("__k", *[f"m{i}" for i in k], *([] if key else [own]))
+
+
+def _keyed(docs: DataFrame, key: str | None) -> tuple[DataFrame, str]:
+    """Documents with a unique key; without one they are numbered and stored, so that a second reading finds the same numbers."""
+    return (docs, key) if key else (materialize(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed"), "__key")
+
+
+def fit_text_classifier(
+    train: DataFrame, text: str, label: str, key: str | None = None, min_df: int = 2, rounds: int = 30, penalty: float = 1e-4, most_classes: int = 100,
+) -> TextModel:
+    """One-vs-rest linear classifier on TF-IDF vectors, trained by rounds of joins and sums.
+
+    Minimises the mean squared hinge loss + penalty / 2 * |weights|^2 by accelerated gradient
+    steps. A round joins the (document, term, weight) table with the weights, sums margins per
+    document, joins the documents' slopes back and sums them per term; the weights are a stored table of
+    every term in ``min_df`` documents. Only one bias per class and the class names are
+    in the driver. ``key`` is unique. Rows with a NULL label are left out, as are texts without known terms.
     """
-    with_tokens = train.withColumn("tokens", tokens(F.col(text)))
-    vocabulary = CountVectorizer(inputCol="tokens", outputCol="tf", minDF=float(min_df), vocabSize=2**31 - 1).fit(with_tokens)
-
-    def counted(df: DataFrame) -> DataFrame:
-        return vocabulary.transform(df.withColumn("tokens", tokens(F.col(text))))
-
-    rows = counted(train)
-    idf = IDF(inputCol="tf", outputCol="unused").fit(rows)
-    scale = Vectors.dense([math.log((1 + idf.numDocs) / (1 + df)) + 1 for df in idf.docFreq])
-    to_features = [ElementwiseProduct(scalingVec=scale, inputCol="tf", outputCol="weighted"), Normalizer(p=2.0, inputCol="weighted", outputCol="features")]
-    index = StringIndexer(inputCol=label, outputCol="label_ix", stringOrderType="alphabetAsc")
-    svm = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=1e-4), labelCol="label_ix", featuresCol="features", parallelism=4)
-    model = Pipeline(stages=[index, *to_features, svm]).fit(rows)
-    names = model.stages[0].labels
-
-    def score(docs: DataFrame) -> DataFrame:
-        out = counted(docs)
-        for stage in model.stages[1:]:
-            out = stage.transform(out)
-        named = F.get(F.array(*[F.lit(n) for n in names]), F.col("prediction").cast("int"))
-        return out.withColumn("predicted", named).drop("tokens", "tf", "weighted", "features", "rawPrediction", "prediction")
-
-    return score
+    known, key = _keyed(train.where(F.col(label).isNotNull()), key)
+    classes = [r[0] for r in known.select(label).distinct().orderBy(label).limit(most_classes + 1).collect()]
+    if len(classes) > most_classes:
+        raise ValueError(f"more than {most_classes} classes")
+    k = range(len(classes))
+    counts = materialize(term_counts(known, key, text), "terms")
+    total = known.count()
+    found = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    idf = materialize(found.select("term", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    weighted = counts.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
+    length = weighted.groupBy(F.col(key).alias("__k")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
+    labels = known.select(F.col(key).alias("__l"), F.col(label).alias("y")).join(length, F.col("__l") == F.col("__k")).drop("__l")
+    cells = weighted.join(labels, F.col(key) == F.col("__k")).select("__k", "y", "term", (F.col("x") / F.col("len")).alias("x"))
+    # Clustered by document: margins are mostly summed before they are shuffled.
+    cells = materialize(cells.repartition("__k"), "cells")
+    n = labels.count()
+    weights = idf.select("term", *[F.lit(0.0).alias(f"w{i}") for i in k], *[F.lit(0.0).alias(f"u{i}") for i in k])
+    bias, ahead = [0.0] * len(classes), [0.0] * len(classes)
+    rate = 1.0 / (4.0 + penalty)  # rows have length 1, with the bias 2
+    for t in range(rounds if n else 0):
+        margins = cells.join(weights.select("term", *[f"u{i}" for i in k]), "term").groupBy("__k", "y").agg(*[F.sum(F.col("x") * F.col(f"u{i}")).alias(f"m{i}") for i in k])
+        slopes = []
+        for i in k:
+            side = F.when(F.col("y") == F.lit(classes[i]), 1.0).otherwise(-1.0)
+            slopes.append((-2.0 * side * F.greatest(F.lit(0.0), 1.0 - side * (F.col(f"m{i}") + F.lit(ahead[i]))) / n).alias(f"g{i}"))
+        slopes = materialize(margins.select("__k", *slopes), "slopes")
+        steps = cells.select("__k", "term", "x").join(slopes, "__k").groupBy("term").agg(*[F.sum(F.col("x") * F.col(f"g{i}")).alias(f"d{i}") for i in k])
+        push = t / (t + 3.0)
+        moved = weights.join(steps, "term")
+        after = [F.col(f"u{i}") - rate * (F.col(f"d{i}") + penalty * F.col(f"u{i}")) for i in k]
+        weights = materialize(moved.select("term", *[a.alias(f"w{i}") for i, a in enumerate(after)], *[(a + push * (a - F.col(f"w{i}"))).alias(f"u{i}") for i, a in enumerate(after)]), "weights")
+        totals = slopes.agg(*[F.sum(f"g{i}") for i in k]).first()
+        now = [ahead[i] - rate * totals[i] for i in k]
+        bias, ahead = now, [now[i] + push * (now[i] - bias[i]) for i in k]
+    return TextModel(materialize(idf.join(weights, "term").select("term", "idf", *[f"w{i}" for i in k]), "text-model"), classes, bias, text)
