@@ -140,9 +140,44 @@ def test_tfidf_against_brute_force(spark):
 
 def test_text_classifier(spark):
     data = [(i, "кот пёс кошка собака" if i % 2 else "river lake sea water", "ru" if i % 2 else "en") for i in range(40)]
+    data += [(90, "кот", None), (91, None, "en"), (92, "unknown words", "en")]
     docs = spark.createDataFrame(data, "id int, t string, lang string")
-    scored = text_models.fit_text_classifier(docs, "t", "lang")(docs)
-    assert scored.where("lang != predicted").count() == 0
+    model = text_models.fit_text_classifier(docs, "t", "lang", rounds=10)
+    scored = model(docs)
+    assert scored.where("lang != predicted AND id < 90").count() == 0 and scored.count() == 43
+    rest = {r.id: r.predicted for r in scored.where("id >= 90").collect()}
+    assert rest[90] == "ru" and rest[91] == rest[92] == model.classes[int(np.argmax(model.bias))]
+    weights = {(r.term, r["class"]): r.weight for r in model.table().collect()}
+    assert len(weights) == 16 and weights["кот", "ru"] > 0 > weights["river", "ru"]
+    empty = text_models.fit_text_classifier(docs.limit(0), "t", "lang")
+    assert empty(docs).where("predicted IS NOT NULL").count() == 0
+
+
+def test_text_rounds_lower_the_loss_and_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}x" for i in range(30)]
+    data = [(i, " ".join(rng.choice(words[c * 6 : c * 6 + 18], 12)), "abc"[c]) for i, c in enumerate(rng.integers(0, 3, 150))]
+    docs = spark.createDataFrame(data, "id int, t string, c string").repartition(3)
+    rounds, penalty = 5, 1e-2
+    model = text_models.fit_text_classifier(docs, "t", "c", "id", rounds=rounds, penalty=penalty)
+    tf = np.array([[t.split().count(w) for w in words] for _, t, _ in data], float)
+    x = tf * (np.log((1 + len(data)) / (1 + (tf > 0).sum(0))) + 1)
+    x = np.c_[x / np.linalg.norm(x, axis=1)[:, None], np.ones(len(x))]
+    s = np.where(np.array([[c == k for k in "abc"] for *_, c in data]), 1.0, -1.0)
+    w = u = np.zeros((31, 3))
+    rate = 1 / (4 + penalty)
+    for t in range(rounds):
+        g = x.T @ (-2 * s * np.maximum(0, 1 - s * (x @ u))) / len(x)
+        g[:-1] += penalty * u[:-1]
+        after = u - rate * g
+        w, u = after, after + t / (t + 3) * (after - w)
+    got = {(r.term, r["class"]): r.weight for r in model.table().collect()}
+    np.testing.assert_allclose([[got[t, k] for k in "abc"] for t in words], w[:-1], atol=1e-12)
+    np.testing.assert_allclose(model.bias, w[-1], atol=1e-12)
+    said = {r.id: r.predicted for r in model(docs, "id").collect()}
+    assert [said[i] for i in range(150)] == ["abc"[k] for k in (x @ w).argmax(1)]
+    plan = model.margins(docs, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "collect_" not in plan
 
 
 def test_kmeans_separates_clear_groups(spark):

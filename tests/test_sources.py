@@ -35,13 +35,36 @@ def test_sql_file_with_parameter(spark, tmp_path):
     assert [r.id for r in got.collect()] == [0, 1, 2]
 
 
-def test_append_and_partition_pruning(spark, tmp_path):
-    path = str(tmp_path / "q")
+def test_loads_are_repeatable(spark, tmp_path):
+    path, schema = str(tmp_path / "q"), "id bigint, dt date"
     rows = spark.range(10).withColumn("dt", F.lit("2024-01-01").cast("date"))
-    sinks.append_partitioned(rows, path, "dt")
-    sinks.append_partitioned(rows.withColumn("dt", F.lit("2024-01-02").cast("date")), path, "dt")
-    back = spark.read.parquet(path).where("dt = DATE '2024-01-02'")
-    assert back.count() == 10 and "PartitionFilters: [isnotnull(dt" in back._jdf.queryExecution().executedPlan().toString()
+    sinks.append_load(rows, path, "a", ["dt"])
+    sinks.append_load(rows.withColumn("dt", F.lit("2024-01-02").cast("date")), path, "b", ["dt"])
+    back = sinks.read_loads(spark, path, schema)
+    late = back.where("dt = DATE '2024-01-02'")
+    assert late.count() == 10 and "PartitionFilters: [isnotnull(dt" in late._jdf.queryExecution().executedPlan().toString()
+    # Sent again, with other rows and another day: it replaces itself, days that it no longer has are gone.
+    sinks.append_load(rows.limit(3).withColumn("dt", F.lit("2024-01-03").cast("date")), path, "b", ["dt"])
+    attempt = sinks.write_attempt(rows, path, "c", ["dt"])  # breaks off before its commit
+
+    def counts():
+        return sorted((r["load"], str(r.dt), r["count"]) for r in sinks.read_loads(spark, path, schema).groupBy("load", "dt").count().collect())
+
+    assert counts() == [("a", "2024-01-01", 10), ("b", "2024-01-03", 3)]
+    sinks.commit_load(spark, path, "c", attempt)
+    assert counts()[-1] == ("c", "2024-01-01", 10)
+    sinks.append_load(rows.limit(0), path, "a", ["dt"])  # an empty load replaces too
+    assert [c[0] for c in counts()] == ["b", "c"]
+    with pytest.raises(ValueError):
+        sinks.append_load(rows, path, "x/y")
+
+
+def test_many_loads_are_joined_not_collected(spark, tmp_path):
+    path = str(tmp_path / "q")
+    for i in range(4):
+        sinks.append_load(spark.range(i + 1), path, f"2024-01-{i:02d}")
+    got = sinks.read_loads(spark, path, "id bigint")
+    assert got.count() == 10 and "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_named_dataset(spark):

@@ -103,9 +103,12 @@ def _(t):
     path = shared_dir(t.spark, "quotes")
     rows = t.events.select("event_id", "value", F.to_date("ts").alias("dt"))
     middle = F.lit("2024-01-15").cast("date")
-    sinks.append_partitioned(rows.where(F.col("dt") < middle), path, "dt")
-    sinks.append_partitioned(rows.where(F.col("dt") >= middle), path, "dt")
-    return t.spark.read.schema("event_id bigint, value double, dt date").parquet(path)
+    early, late = rows.where(F.col("dt") < middle), rows.where(F.coalesce(F.col("dt") >= middle, F.lit(True)))
+    sinks.append_load(early, path, "early", ["dt"])
+    sinks.write_attempt(late.limit(10), path, "late", ["dt"])  # breaks off before its commit
+    for _ in range(2):  # sent, and sent again
+        sinks.append_load(late, path, "late", ["dt"])
+    return sinks.read_loads(t.spark, path, "event_id bigint, value double, dt date").drop("load")
 
 
 @query("history_append", """
@@ -115,9 +118,10 @@ def _(t):
     path = shared_dir(t.spark, "history")
     result = t.orders.groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("cnt"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
-    for run in (1, 2):
-        sinks.append_history(result.withColumn("run", F.lit(run)), path)
-    return t.spark.read.parquet(path)
+    for run in (1, 2, 2):  # the second run is retried
+        sinks.append_load(result, path, str(run))
+    history = sinks.read_loads(t.spark, path, "o_orderstatus string, cnt bigint, total double")
+    return history.withColumn("run", F.col("load").cast("int")).drop("load")
 
 
 @query("csv_sink", "SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS id, lang AS label FROM documents")

@@ -42,9 +42,17 @@ def _(t):
 
 
 @query("stream_latest_version", """
+SELECT uid, CAST(updated AS DATE) AS updated_day, arg_max(muslim, (updated, seq)) AS muslim, arg_max(status, (updated, seq)) AS status
+FROM fx_swap_profiles GROUP BY 1, 2""")
+def _(t):
+    found = jobs.latest_per_day(projected(t, "fx_swap_profiles", "orders"), "uid", "updated", "seq", ["muslim", "status"])
+    return jobs.run_to_upserts(found, "stream-profiles", ["uid", "updated_day"])
+
+
+@query("stream_complete_days", """
 WITH top AS (SELECT MAX(updated) AS top FROM fx_swap_profiles)
 SELECT uid, CAST(updated AS DATE) AS updated_day, arg_max(muslim, (updated, seq)) AS muslim, arg_max(status, (updated, seq)) AS status
 FROM fx_swap_profiles CROSS JOIN top WHERE date_trunc('day', updated) + INTERVAL 1 DAY <= top - INTERVAL 1 DAY GROUP BY 1, 2""")
 def _(t):
     found = jobs.latest_per_day(projected(t, "fx_swap_profiles", "orders"), "uid", "updated", "seq", ["muslim", "status"])
-    return jobs.run_to_files(found, "stream-profiles")
+    return jobs.run_to_files(found, "stream-days")
