@@ -3,10 +3,11 @@
 Each word starts one window of the longest length, padded where its piece ends, so phrases of all
 lengths are prefixes of windows: a phrase's count is the sum over the windows it begins. Only
 windows are counted. A task counts those of many texts before anything is shuffled, with the
-words as numbers and the lead columns as shifted arrays. Windows then meet by language and their
-first two words. There a last word is replaced by padding wherever the prefix that it ends is too
-rare to matter, which keeps the sums of all shorter prefixes, and Spark's ROLLUP over what is
-left sums the prefixes of every length.
+words as numbers and the lead columns as shifted arrays; a word that is too rare to be in any
+phrase, by a bit table of fixed size, pads a window like the end of a piece. Windows then meet by
+language and their first two words. There a last word is replaced by padding wherever the prefix
+that it ends is too rare to matter, which keeps the sums of all shorter prefixes, and Spark's
+ROLLUP over what is left sums the prefixes of every length.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +28,12 @@ from tidebook.llm.common import materialize
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 NO_LANG = "und"
 # Words whose windows a task counts at a time (some 60 bytes each), and rows of an Arrow batch.
-HOLD, ROWS = 4_000_000, 50_000
+HOLD, ROWS = 3_000_000, 50_000
 # Bytes of a text that are split at a time.
 STRETCH = 1 << 23
-BREAK = b"\n"
+BREAK, RARE = b"\n", b"\r"
+# Places of the frequent words' bits: a power of two.
+BITS = 1 << 26
 # A-Z to a-z, the signs that end a piece to a line end, tabs to blanks.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 
@@ -45,16 +50,21 @@ def words_of(text: bytes) -> Iterator[list[bytes]]:
 
 
 class Counter:
-    """Windows of the words that are held; ``flush`` counts them."""
+    """Windows of the words that are held; ``flush`` counts them.
 
-    def __init__(self, longest: int):
-        self.longest = longest
+    With the ``known`` bits of frequent words, a window is padded from its first other word on,
+    and begins with ``RARE`` if that is its first.
+    """
+
+    def __init__(self, longest: int, known: np.ndarray | None = None):
+        self.longest, self.known = longest, known
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = defaultdict()
         self.number.default_factory = self.number.__len__
-        self.number[BREAK], self.number[b""] = 0, 1
+        for i, word in enumerate((BREAK, b"", RARE)):
+            self.number[word] = i
         self.langs: dict[str, int] = {}
         self.ids: list[np.ndarray] = []
         self.lang: list[np.ndarray] = []
@@ -72,14 +82,30 @@ class Counter:
         self.ids.append(np.zeros(1, np.int32))
         self.lang.append(np.zeros(1, np.int32))
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.ids:
-            return
-        first = np.concatenate(self.ids)
-        columns = [np.concatenate(self.lang), first]
+    def _frequent(self, lang: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether each place has a word that may be frequent in its language."""
+        if self.known is None:
+            return ids > 0
+        words, keys, size = list(self.number), [name.encode() + BREAK for name in self.langs], len(self.number)
+        out = ids > 0
+        found, back = np.unique(lang[out].astype(np.int64) * size + ids[out], return_inverse=True)
+        at = np.fromiter((xxhash.xxh64_intdigest(keys[p // size] + words[p % size], seed=42) % BITS for p in found.tolist()), np.int64, len(found))
+        out[out] = (self.known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)[back]
+        return out
+
+    def count(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Language and word columns of all places; the distinct windows' heads (all but the last word), a place of each, and their counts."""
+        lang, first = np.concatenate(self.lang), np.concatenate(self.ids)
+        self.lang, self.ids = [], []
+        fine = self._frequent(lang, first)
+        columns, goes_on = [lang, np.where((first > 0) & ~fine, 2, first)], fine
+        follows = np.where(fine, first, 0)
         for lead in range(1, self.longest):
-            ahead = np.concatenate([first[lead:], np.zeros(min(lead, len(first)), np.int32)])
-            columns.append(np.where(columns[-1] == 0, 0, ahead))
+            ahead = np.zeros_like(first)
+            ahead[: max(0, len(first) - lead)] = follows[lead:]
+            ahead[~goes_on] = 0
+            columns.append(ahead)
+            goes_on = ahead > 0
         columns = [c[first > 0] for c in columns]
         size = len(self.number)
         code, bound = columns[0].astype(np.int64), len(self.langs)
@@ -89,10 +115,22 @@ class Counter:
                 bound = len(code)
             code, bound = code * size + c, bound * size
         code, at, times = np.unique(code, return_index=True, return_counts=True)
-        # Windows that differ in their last word only travel as one row.
-        heads = np.flatnonzero(np.diff(code // size, prepend=-1)).astype(np.int64)
+        return columns, code // size, at, times
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.ids:
+            return
+        columns, head, at, times = self.count()
         words = [b"" if w == BREAK else w for w in self.number]
         texts, langs = pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(self.langs), pa.string())
+        if self.longest == 1:
+            for start in range(0, len(at), ROWS):
+                part = at[start : start + ROWS]
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(columns[0][part])), texts.take(pa.array(columns[1][part])), pa.array(times[start : start + ROWS].astype(np.int64))], names=["lang", "w1", "c"])
+            self.clear()
+            return
+        # Windows that differ in their last word only travel as one row.
+        heads = np.flatnonzero(np.diff(head, prepend=-1)).astype(np.int64)
         names = ["lang", *_names(self.longest)[:-1], "ends", "times"]
         for start in range(0, len(heads), ROWS):
             own = heads[start : start + ROWS]
@@ -108,14 +146,9 @@ def _names(longest: int) -> list[str]:
     return [f"w{i}" for i in range(1, longest + 1)]
 
 
-def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """Windows of ``longest`` words, padded with empty words, counted within a task.
-
-    A row has the language, all words but the last, and blank-separated the last words and their counts.
-    """
-
+def _count_in_tasks(docs: DataFrame, longest: int, known: Broadcast | None, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Counter(longest)
+        held = Counter(longest, None if known is None else np.frombuffer(known.value, np.uint8))
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -127,10 +160,34 @@ def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
                         yield from held.flush()
         yield from held.flush()
 
-    schema = ", ".join(f"{n} string" for n in ("lang", *_names(longest)[:-1], "ends", "times"))
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def frequent_words(docs: DataFrame, least: int) -> bytes:
+    """Bits of a hash of language and word, set for every word that occurs ``least`` times: 8 MB, whatever the data.
+
+    A clear bit proves that a word is rarer, and with it every phrase that has it. With very many
+    words more bits are set and fewer windows are cut short; counts stay the same.
+    """
+    counts = _count_in_tasks(docs, 1, None, "lang string, w1 string, c long").groupBy("lang", "w1").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    place = F.pmod(F.xxhash64(F.concat_ws("\n", "lang", "w1")), F.lit(BITS)) + 1
+    bits = counts.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = bytearray(BITS // 8)
+    for bucket, part in bits.collect():  # at most BITS / 32768 rows of 4 KB
+        out[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(part)] = part
+    return bytes(out)
+
+
+def windows(docs: DataFrame, longest: int = LONGEST, least: int = 1) -> DataFrame:
+    """Windows of ``longest`` words, padded with empty words, counted within a task.
+
+    A row has the language, all words but the last, and blank-separated the last words and their
+    counts. Windows are padded from words that occur fewer than ``least`` times.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, least)) if least > 1 else None
+    return _count_in_tasks(docs, longest, known, ", ".join(f"{n} string" for n in ("lang", *_names(longest)[:-1], "ends", "times")))
+
+
 def folded(counted: DataFrame, longest: int, least: int) -> DataFrame:
     """Windows whose words are padding from where their prefix occurs fewer than ``least`` times.
 
@@ -162,10 +219,11 @@ def folded(counted: DataFrame, longest: int, least: int) -> DataFrame:
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, words, phrase, f) of every phrase of up to ``longest`` words that occurs ``least`` times; 0 words: all words of the language."""
     names = _names(longest)
-    summed = folded(windows(docs, longest), longest, least).rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("id"))
+    summed = folded(windows(docs, longest, least), longest, least).rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("id"))
     # Columns that are summed over are ones in the grouping id, from the right.
     summed = summed.withColumn("words", F.lit(longest) - F.when(F.col("id") > 0, F.length(F.bin("id"))).otherwise(0)).where("words >= 0")
     whole = F.coalesce(F.get(F.array(*names), F.col("words") - 1) != "", F.lit(True))
+    whole = whole & ~F.col("w1").eqNullSafe(RARE.decode())
     return summed.where(whole & ((F.col("words") == 0) | (F.col("f") >= least))).select("lang", "words", F.concat_ws(" ", *names).alias("phrase"), "f")
 
 
