@@ -230,3 +230,40 @@ def test_spread_sketch_and_exact_have_the_same_rows(tables):
     for key, row in exact.items():
         other = sketch[key].asDict()
         assert set(other) == set(row.asDict()) and other["tv_sum"] == row.tv_sum and other["avg_spread_usd"] == row.avg_spread_usd
+
+
+def test_nested_elements(spark):
+    cases = {
+        "<article>a<article>b</article>c</article>d<article>e</article>": ["a<article>b</article>c", "b", "e", None],
+        "x<ARTICLE\nid='1'>a</Article >": ["a", None, None, None],
+        "<article>open<article>x</article> rest": ["open<article>x", "x", None, None],
+        "<article>never closed": [None] * 4,
+        "<articles>no</articles>": [None] * 4,
+        "<article></article><article>2</article>": [None, "2", None, None],
+        "": [None] * 4,
+        None: [None] * 4,
+        "<article>" * 60 + "deep" + "</article>" * 60: ["<article>" * 59 + "deep" + "</article>" * 59] + ["<article>" * n + "deep" + "</article>" * n for n in (58, 57, 56)],
+    }
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(cases)], "id int, page string")
+    got = df.select("id", *[html.inner(F.col("page"), "article", n).alias(f"n{n}") for n in range(4)]).orderBy("id").collect()
+    assert [list(r)[1:] for r in got] == list(cases.values())
+
+
+def test_nested_and_careless_tables(spark):
+    page = """<table id=1><thead><tr><th>h</th></tr></thead><tbody><tr><td>a &lt; b</td><td><table><tr><td>in</td></tr></table>out</td></tr>
+      <TR><TD class="x">c<td>d</tr> junk <tr></tr></tbody></table><p>text</p><table><tr><td></td></tr></table>"""
+    df = spark.createDataFrame([(1, page), (2, None), (3, "<table>"), (4, "no table")], "id int, html string")
+
+    def found(n):
+        return [(r.id, r.pos, list(r.cells)) for r in html.table_rows(df, n, "html", "id").collect()]
+
+    rows = [(i, pos, [" ".join(c.split()) for c in cells]) for i, pos, cells in found(0)]
+    assert rows == [(1, 1, ["a < b", "in out"]), (1, 2, ["c", "d"])]
+    assert found(1) == [(1, 0, ["in"])] and found(2) == [(1, 0, [""])] and found(3) == []
+
+
+def test_a_field_is_computed_once(spark, tables):
+    rows = web.articles(tables.pages)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # One cut of the page per field, and one for the depth-counting fold.
+    assert plan.count("/?article[") == 1 and plan.count("/?h1[") == 1

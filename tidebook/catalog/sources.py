@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidebook.catalog.registry import as_double, dbl, query
 from tidebook.catalog.reports import LOCKER_COLUMNS, LOCKER_CTES, RISK_CTES, _lockers
+from tidebook.functions import html
+from tidebook.functions.text import squeeze_spaces
 from tidebook.plans import portfolio, risk
 from tidebook.session import shared_dir
 from tidebook.sources import files, quotes, sinks
@@ -85,10 +87,10 @@ def _quote_pages(t):
     """A stored page per part: a table of names, then one of quotes with an empty price now and then."""
     cell = F.concat(F.lit("<td>"), F.col("p_brand"), F.lit("-"), F.col("p_partkey"), F.lit("</td>"))
     price = F.when(F.col("p_size") > 10, F.col("p_retailprice").cast("string")).otherwise("")
-    html = F.concat(
+    page = F.concat(
         F.lit("<html><table><tr><th>SECID</th></tr><tr>"), cell, F.lit("</tr></table><table class=\"data\"><tr><th>SECID</th><th>BOARD</th><th>LAST</th></tr>\n<tr>"),
         cell, F.lit("<td>TQBR</td><td><b>"), price, F.lit("</b></td></tr></table></html>"))
-    return t.part.select("p_partkey", html.alias("html"))
+    return t.part.select("p_partkey", page.alias("html"))
 
 
 @query("html_table_scan", """
@@ -97,6 +99,25 @@ def _(t):
     return quotes.quotes_from_pages(_quote_pages(t), 1, "p_partkey")
 
 
+def _nested_pages(t):
+    """A page per part whose first table has a table in a cell, with rows and cells of its own, left unclosed now and then."""
+    page = F.concat(
+        F.lit('<HTML><Table class="a"><tr><td>'), F.col("p_brand"), F.lit("<td><table><tr><td>in &amp; "), F.col("p_partkey"), F.lit("</td><td>"), F.col("p_size"),
+        F.lit("</td></tr><tr><td>more</td></tr></table> after</td></tr>\n<tr><td>"), F.col("p_type"), F.lit("</td><td></td></tr></TABLE><table><tr><td>last</table>"))
+    return t.part.select("p_partkey", page.alias("html"))
+
+
+@query("html_nested_tables", """
+SELECT p_partkey, 0 AS tab, 0 AS pos, p_brand || '|in & ' || p_partkey || ' ' || p_size || ' more after' AS cells FROM part
+UNION ALL SELECT p_partkey, 0, 1, p_type || '|' FROM part UNION ALL SELECT p_partkey, 1, 0, 'in & ' || p_partkey || '|' || p_size FROM part
+UNION ALL SELECT p_partkey, 1, 1, 'more' FROM part UNION ALL SELECT p_partkey, 2, 0, 'last' FROM part""")
+def _(t):
+    pages = _nested_pages(t)
+    found = [html.table_rows(pages, n, "html", "p_partkey").withColumn("tab", F.lit(n)) for n in range(4)]
+    rows = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    return rows.select("p_partkey", "tab", "pos", F.array_join(F.transform("cells", squeeze_spaces), "|").alias("cells"))
+
+
 @query("append_sink", """
 SELECT event_id, value, CAST(ts AS DATE) AS dt FROM events""")
 def _(t):

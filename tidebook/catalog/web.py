@@ -29,6 +29,16 @@ def _(t):
     return t.pages.select("page_id", html.plain(html.inner(F.col("html"), "h1")).alias("title"))
 
 
+@query("html_nested_field", """
+SELECT page_id, 'One ' || page_id || ' in ' || url || ' end' AS outer_text, 'in ' || url AS inner_text, CAST(NULL AS VARCHAR) AS missing FROM pages""")
+def _(t):
+    page = F.concat(
+        F.lit("<body><articles>no</articles><ARTICLE id='1'>One <b>"), F.col("page_id"), F.lit("</b><p><article>in "), F.col("url"),
+        F.lit("</article></p><article></article>end</Article><article>later</article>"))
+    pages = t.pages.select("page_id", page.alias("page"))
+    return html.computed(pages, ["page_id"], **{name: html.plain(html.inner(F.col("page"), "article", n)) for name, n in (("outer_text", 0), ("inner_text", 1), ("missing", 9))})
+
+
 @query("page_scripts", """
 SELECT page_id, CAST(z[1] AS INT) AS pos, z[2] AS script FROM (
   SELECT page_id, unnest(list_zip(range(len(x)), x)) AS z FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script[^>]*>.*?</script>') AS x FROM pages))""")

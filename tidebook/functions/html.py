@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tidebook.functions.text import squeeze_spaces
 ANCHOR = r"(?is)<a\s[^>]*?href\s*=.*?</a>"
 HREF = (r'(?i)href\s*=\s*"([^"]*)"', r"(?i)href\s*=\s*'([^']*)'", r"(?i)href\s*=\s*([^\s\"'>]+)")
 INLINE = r"(?i)</?(?:a|abbr|b|code|em|font|i|mark|s|small|span|strong|sub|sup|u)(?:\s[^>]*)?>"
+CELL_END = r"(?is)</t[dhr][\s>].*$"
 SCRIPT = r"(?s)<script[^>]*>.*?</script>"
 
 
@@ -21,6 +24,15 @@ ENTITIES = {
 }
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def non_empty(column: Column) -> Column:
+    return once(column, lambda c: F.when(c != "", c))
+
+
 def strip_tags(column: Column) -> Column:
     """Text without tags: inline tags vanish, others become a blank."""
     return F.regexp_replace(F.regexp_replace(column, INLINE, ""), "<[^>]+>", " ")
@@ -28,6 +40,10 @@ def strip_tags(column: Column) -> Column:
 
 def decode(column: Column) -> Column:
     """Named (``ENTITIES``) and numeric character references as characters."""
+    return once(column, lambda c: F.when(F.contains(c, F.lit("&")), _decoded(c)).otherwise(c))
+
+
+def _decoded(column: Column) -> Column:
     def character(number: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
@@ -42,24 +58,69 @@ def decode(column: Column) -> Column:
     return out
 
 
-def inner(column: Column, tag: str) -> Column:
-    """Text between the first ``<tag ..>`` and the next ``</tag>``, NULL when there is none."""
-    found = F.regexp_extract(column, f"(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>", 1)
-    return F.nullif(found, F.lit(""))
+def _marked(column: Column, tag: str) -> Column:
+    """The page cut before every ``<tag ..>`` and ``</tag>``: one pass over the page."""
+    return F.split(column, f"(?i)(?=</?{tag}[\\s>/])")
+
+
+def _span(pieces: Column, tag: str, number: int) -> Column:
+    """(first, last): the pieces that begin with the ``number``-th opening tag (from 0) and with the tag that closes it.
+
+    A fold over the tags that counts the depth, so elements inside the element are passed over. An
+    element that is never closed ends at the last closing tag in it; without one, ``last`` is -1.
+    """
+    opens, closes = f"(?i)^<{tag}[\\s>/]", f"(?i)^</{tag}"
+    signs = F.transform(pieces, lambda p: F.when(p.rlike(closes), -1).when(p.rlike(opens), 1).otherwise(0))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("seen"), F.lit(0).alias("depth"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def step(state: Column, sign: Column) -> Column:
+        begins = (sign == 1) & (state["seen"] == number) & (state["first"] < 0)
+        inside = state["depth"] > 0
+        return F.struct(
+            (state["at"] + 1).alias("at"), (state["seen"] + (sign == 1).cast("int")).alias("seen"),
+            F.when(begins, 1).when(inside, state["depth"] + sign).otherwise(0).alias("depth"),
+            F.when(begins, state["at"]).otherwise(state["first"]).alias("first"),
+            F.when(inside & (sign == -1), state["at"]).otherwise(state["last"]).alias("last"))
+
+    return F.aggregate(signs, start, step, lambda s: F.struct(s["first"], s["last"]))
+
+
+def _after_tag(piece: Column) -> Column:
+    return F.regexp_replace(piece, "(?s)^[^>]*>", "")
+
+
+def inner(column: Column, tag: str, number: int = 0) -> Column:
+    """What the ``number``-th ``<tag ..>`` (from 0) holds up to the ``</tag>`` that closes it, NULL when empty, missing or never closed."""
+
+    def content(pieces: Column, span: Column) -> Column:
+        own = _after_tag(F.get(pieces, span["first"]))
+        rest = F.array_join(F.slice(pieces, span["first"] + 2, span["last"] - span["first"] - 1), "")
+        return F.when((span["first"] >= 0) & (span["last"] > span["first"]), F.concat(own, rest))
+
+    return non_empty(once(_marked(column, tag), lambda pieces: once(_span(pieces, tag, number), lambda span: content(pieces, span))))
 
 
 def plain(column: Column) -> Column:
-    return F.nullif(squeeze_spaces(decode(strip_tags(column))), F.lit(""))
+    return non_empty(squeeze_spaces(decode(strip_tags(column))))
+
+
+def computed(rows: DataFrame, keep: list[str], **fields: Column) -> DataFrame:
+    """``keep`` and the fields, each computed once: filters on a field do not go below it."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))))
 
 
 def links(pages: DataFrame, html: str = "html", *keep: str) -> DataFrame:
     """One row per closed anchor with a target: its position on the page, target and text, decoded."""
     anchors = F.regexp_extract_all(F.col(html), F.lit(f"({ANCHOR})"), F.lit(1))
-    return pages.select(*keep, F.posexplode(anchors).alias("pos", "anchor")).select(
-        *keep, "pos",
-        decode(F.coalesce(*[F.nullif(F.regexp_extract("anchor", h, 1), F.lit("")) for h in HREF], F.lit(""))).alias("href"),
-        F.trim(decode(strip_tags(F.col("anchor")))).alias("text"),
-    )
+    target = F.lit("")
+    for pattern in reversed(HREF):
+        target = _first_found(pattern, target)
+    rows = pages.select(*keep, F.posexplode(anchors).alias("pos", "anchor"))
+    return computed(rows, [*keep, "pos"], href=decode(target), text=F.trim(decode(strip_tags(F.col("anchor")))))
+
+
+def _first_found(pattern: str, otherwise: Column) -> Column:
+    return once(F.regexp_extract("anchor", pattern, 1), lambda found: F.when(found != "", found).otherwise(otherwise))
 
 
 def scripts(pages: DataFrame, html: str = "html", *keep: str) -> DataFrame:
@@ -67,13 +128,39 @@ def scripts(pages: DataFrame, html: str = "html", *keep: str) -> DataFrame:
     return pages.select(*keep, F.posexplode(blocks).alias("pos", "script"))
 
 
+def table_text(column: Column, number: int) -> Column:
+    """The ``number``-th table of a page (from 0, nested ones count) without its own tag; tables inside it keep their text only.
+
+    Tags of rows and cells of the nested tables become blanks, so those that are left are the table's own.
+    """
+    names = "(?:table|caption|thead|tbody|tfoot|tr|td|th)"
+
+    def flat(pieces: Column, span: Column) -> Column:
+        own = _after_tag(F.get(pieces, span["first"]))
+        rest = F.slice(pieces, span["first"] + 2, span["last"] - span["first"] - 1)
+        # Depth within the table in front of each piece; a closing tag ends what its piece belongs to.
+        state = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+
+        def step(s: Column, piece: Column) -> Column:
+            closes = piece.rlike("(?i)^</table")
+            depth = s["depth"] + F.when(closes, -1).otherwise(1)
+            bare = F.regexp_replace(piece, f"(?i)</?{names}[^>]*>", " ")
+            return F.struct(depth.alias("depth"), F.concat(s["text"], F.when(depth > 0, bare).otherwise(F.concat(F.lit(" "), _after_tag(piece)))).alias("text"))
+
+        nested = F.aggregate(rest, state, step, lambda s: s["text"])
+        return F.when((span["first"] >= 0) & (span["last"] > span["first"]), F.concat(own, nested))
+
+    return once(_marked(column, "table"), lambda pieces: once(_span(pieces, "table", number), lambda span: flat(pieces, span)))
+
+
 def table_rows(pages: DataFrame, number: int, html: str = "html", *keep: str) -> DataFrame:
-    """Rows of the ``number``-th table (from 0) of each page, cells as an array of plain text."""
-    tables = F.regexp_extract_all(F.col(html), F.lit(r"(?s)(<table.*?</table>)"), F.lit(1))
-    rows = F.regexp_extract_all(F.get(tables, number), F.lit(r"(?s)(<tr.*?</tr>)"), F.lit(1))
-    cells = F.regexp_extract_all(F.col("row"), F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1))
-    return (
-        pages.select(*keep, F.posexplode(rows).alias("pos", "row"))
-        .select(*keep, "pos", F.transform(cells, lambda c: F.trim(decode(strip_tags(c)))).alias("cells"))
-        .where(F.size("cells") > 0)
-    )
+    """Rows of the ``number``-th table (from 0) of each page that have cells, the cells as an array of plain text.
+
+    Rows and cells end where the next one begins, so closing tags may be missing. Nested tables
+    are part of the text of their cell, and tables of their own with their own number.
+    """
+    begins = "(?i)(?=<{}[\\s>/])"
+    rows = F.split(table_text(F.col(html), number), begins.format("tr"))
+    cells = F.filter(F.split("row", begins.format("t[dh]")), lambda c: c.rlike("(?i)^<td"))
+    found = pages.select(*keep, F.posexplode(F.filter(rows, lambda r: r.rlike("(?i)^<tr"))).alias("pos", "row"))
+    return computed(found, [*keep, "pos"], cells=F.transform(cells, lambda c: F.trim(decode(strip_tags(F.regexp_replace(c, CELL_END, "")))))).where(F.size("cells") > 0)

@@ -33,10 +33,9 @@ def site_of(url: Column) -> Column:
 
 def articles(pages: DataFrame) -> DataFrame:
     """Link, title and body text of every page that has both."""
-    rows = pages.select(
-        "page_id", F.col("url").alias("link"),
-        html.plain(html.inner(F.col("html"), "h1")).alias("title"),
-        html.plain(html.inner(F.col("html"), "article")).alias("body"))
+    rows = html.computed(
+        pages.withColumnRenamed("url", "link"), ["page_id", "link"],
+        title=html.plain(html.inner(F.col("html"), "h1")), body=html.plain(html.inner(F.col("html"), "article")))
     return rows.dropna(subset=["title", "body"])
 
 
