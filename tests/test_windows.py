@@ -95,7 +95,7 @@ def test_no_task_holds_a_hot_key(spark, monkeypatch):
     """Half of all rows have one key; no (key, range) has more than a small share of them."""
     monkeypatch.setattr(windows, "ROWS_PER_RANGE", 500)
     df = spark.range(20_000).selectExpr("if(id % 2 = 0, 7, id) AS k", "id * id AS at", "id")
-    ranged, many = windows._ranged(df, "at")
+    ranged, many = windows._ranged(df, ["at"])
     sizes = [r["count"] for r in ranged.groupBy("k", windows._RANGE).count().collect()]
     assert many and max(sizes) <= 600
     got = windows.running_sums(df, {"t": (["k"], F.col("id"))}, ["at"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebook.operators.joins import null_safe
 from tidebook.operators.percentiles import exact_percentiles
+from tidebook.session import materialize
 
 
 def newest(value: str | Column, *order: str) -> Column:
@@ -122,7 +123,9 @@ def top_with_ties(df: DataFrame, score: str) -> DataFrame:
     """All rows whose ``score`` equals the maximum (none if every score is NULL).
 
     The maximum is one number, and a filter on it keeps tied rows where they are, however many.
+    Scores are stored, as both passes need them.
     """
+    df = materialize(df, "scores")
     top = df.agg(F.max(score).alias(score)).select(score).scalar()
     return df.where(F.col(score) == top)
 

@@ -54,12 +54,11 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequen
     brackets = stats.select(*keys, F.array(*[wanted(i, q) for i, q in enumerate(qs)]).alias("__want")).where(n > 0)
     joined = _attach(rows, brackets, keys).select(*keys, "__v", F.explode("__want").alias("w"))
     # One row per distinct value inside a bracket; everything below it collapses to one row.
-    counted = (
+    counted = materialize(
         joined.where(F.col("__v") <= F.col("w.hi"))
         .select(*keys, F.col("w.i").alias("i"), F.col("w.rank").alias("rank"), F.when(F.col("__v") >= F.col("w.lo"), F.col("__v")).alias("__v"))
         .groupBy(*keys, "i", "rank", "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
+        .agg(F.count(F.lit(1)).alias("__c")), "counted")
     ranked = running_sums(counted, {"__end": ([*keys, "i"], F.col("__c"))}, ["__v"])
     start = F.col("__end") - F.col("__c")
 

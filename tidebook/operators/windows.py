@@ -1,7 +1,7 @@
 """Ordered computations that stay distributed when one key holds much of the data.
 
 A plain window sends every row of a key to one task. Here all rows are cut into ranges of the
-leading order column that hold about equally many rows (``ROWS_PER_RANGE``), so no key has more
+order columns that hold at most about ``ROWS_PER_RANGE`` rows, so no key has more
 rows than that in one range, and rows are shuffled on (keys, range). One summary row per key
 and range goes through the per-key window, and comes back as an "opening" row at the head of
 its range. The way is the same for every key; a small table is a single range.
@@ -15,7 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.operators.ranges import quantile_ranges
+from tidebook.operators.joins import null_safe
+from tidebook.operators.ranges import ranges_of
+from tidebook.session import materialize
 
 _RANGE, _BODY = "__range", "__body"
 ROWS_PER_RANGE = 2_000_000
@@ -25,9 +27,9 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _ranged(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
+def _ranged(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool]:
     """Rows with their range, and whether there is more than one."""
-    number, count = quantile_ranges(df, column, ROWS_PER_RANGE)
+    number, count = ranges_of(df, order, ROWS_PER_RANGE)
     return df.withColumns({_RANGE: number, _BODY: F.lit(1)}), count > 1
 
 
@@ -36,14 +38,23 @@ def running_sums(
 ) -> DataFrame:
     """Add running sums: ``{output: (partition keys, value)}``.
 
-    ``frame="range"`` lets rows with equal order values share the total; ``"rows"`` does not,
+    ``frame="range"`` lets rows with equal order values share the total: these are summed first,
+    so any number of them is one row, and get the total by a join. ``"rows"`` does not,
     so end ``order`` in a unique key. Sums of DOUBLE depend on the order of addition, as
     always; use decimals where last digits matter. When the partition keys of one sum are
     contained in those of the others, all windows share one shuffle.
     """
+    if frame == "range":
+        result = df
+        for out, (keys, value) in sums.items():
+            at = [*keys, *order]
+            peers = materialize(df.groupBy(*at).agg(F.sum(value).alias("__peers")), "peers")
+            totals = running_sums(peers, {out: (keys, F.col("__peers"))}, order).select(*at, out)
+            result = null_safe(result, totals, at)
+        return result
     values = {out: f"__v{i}" for i, out in enumerate(sums)}
     all_keys = list(dict.fromkeys(k for keys, _ in sums.values() for k in keys))
-    result, many = _ranged(df, order[0])
+    result, many = _ranged(df, order)
     for out, (_, value) in sums.items():
         result = result.withColumn(values[out], value)
     if many:
@@ -61,9 +72,7 @@ def running_sums(
         result = _stack([result, *openings])
     for out, (keys, _) in sums.items():
         window = Window.partitionBy(*keys, *([_RANGE] if many else [])).orderBy(_BODY, *order)
-        if frame == "rows":
-            window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        result = result.withColumn(out, F.sum(values[out]).over(window))
+        result = result.withColumn(out, F.sum(values[out]).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return result.where(F.col(_BODY) == 1).drop(_RANGE, _BODY, *values.values())
 
 
@@ -75,7 +84,7 @@ def conditional_event_counter(df: DataFrame, keys: Sequence[str], order: Sequenc
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """``lag(value)`` per key; the last value of a range is handed to the next one."""
-    body, many = _ranged(df, order[0])
+    body, many = _ranged(df, order)
     if many:
         last = body.groupBy(*keys, _RANGE).agg(F.max_by(value, F.struct(*order)).alias("__last"))
         by_range = Window.partitionBy(*keys).orderBy(_RANGE)
@@ -91,7 +100,7 @@ def repeated_value_streaks(df: DataFrame, keys: Sequence[str], order: Sequence[s
     The running count of such rows never falls, so its maximum is the total; inside a range
     it needs a lag, across ranges only the first and last value of each.
     """
-    body, _ = _ranged(df, order[0])
+    body, _ = _ranged(df, order)
     window = Window.partitionBy(*keys, _RANGE).orderBy(*order)
     hit = (F.col(value) == F.lit(wanted)) & (F.col("__prev") == F.lit(wanted))
     per_range = (
@@ -119,14 +128,14 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
 
 def row_index(df: DataFrame, key: str, out: str = "id") -> DataFrame:
     """Dense position 0..n-1 in the order of a unique ``key`` (NULL last), without one global sort task."""
-    number, _ = quantile_ranges(df, key, ROWS_PER_RANGE, nulls_last=True)
+    number, _ = ranges_of(df, [key], ROWS_PER_RANGE, nulls_last=True)
     body = df.withColumn(_RANGE, number)
     before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     starts = body.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("__n")).select(_RANGE, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = F.row_number().over(Window.partitionBy(_RANGE).orderBy(F.col(key).asc_nulls_last()))
     return (
         body.withColumn("__local", inside)
-        .join(F.broadcast(starts), _RANGE)  # at most MAX_RANGES + 1 rows
+        .join(F.broadcast(starts), _RANGE)  # one row per range
         .withColumn(out, F.col("__start") + F.col("__local") - 1)
         .drop(_RANGE, "__local", "__start")
     )

@@ -263,7 +263,8 @@ def spread_by_instrument(deals: DataFrame, orders: DataFrame, start: str, end: s
     if not exact:
         sketches = {c: F.percentile_approx(c, list(qs), 10_000) for c in spreads}
         return rows.groupBy(*keys).agg(*sums, *[sketches[c][i].alias(n) for (c, i), n in names.items()]).orderBy("tv_sum")
-    # Both spreads go through one percentile pass, as (key, variable, value) rows.
+    # Both spreads go through one percentile pass, as (key, variable, value) rows; the joined rows are read three times.
+    rows = materialize(rows, "spreads")
     found = exact_percentiles(unpivot(rows, keys, list(spreads)), [*keys, "variable"], "value", qs)
     wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("variable") == c, F.col(f"p{i}"))).alias(n) for (c, i), n in names.items()])
     return joins.null_safe(rows.groupBy(*keys).agg(*sums), wide, keys, "left").orderBy("tv_sum")
