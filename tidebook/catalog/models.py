@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebook.catalog.registry import as_double, as_long, dbl, query
 from tidebook.catalog.reports import IRIS, TAX, iris
-from tidebook.models import classifiers, lloyd, logit, regression
+from tidebook.models import classifiers, lloyd, logit, regression, saved
 from tidebook.models import text as text_models
 from tidebook.models import trees as tree_models
 from tidebook.operators import aggregates, clean, sampling
@@ -503,7 +503,26 @@ def _(t):
     return as_double(regression.feature_rmse(rows, HOUSE, "target"), 4)
 
 
-@query("score_new_data")
+@query("score_new_data", f"""
+WITH n AS (SELECT id, {', '.join(GROUPED)} FROM fx_companies WHERE regdt IS NOT NULL AND substr(md5('7|' || id), 1, 8) < '{math.ceil(0.3 * (1 << 32)):08x}')
+SELECT id, true AS same_votes, true AS same_mean FROM n""")
+def _(t):
+    """Votes on later rows by a stored model that another session reads equal those of the fitted one, row by row."""
+    train, new = sampling.split(_churn(t), 0.3, 7, "id")
+    model, path = saved.fit(train, GROUPED, ["tax_class"], "is_prolong", "id", bagged=5, forest=7, depth=4), shared_dir(t.spark, "votes")
+    model.save(t.spark, path)
+    other = t.spark.newSession()
+    back = saved.load(other, path)
+    pick = ["id", *saved.VOTES, "mean_vote"]
+    before, after = (m.votes(new).select(*pick) for m in (model, back))
+    after = after.withColumnsRenamed({c: f"back_{c}" for c in pick[1:]})
+    same = F.lit(True)
+    for c in saved.VOTES:
+        same = same & (F.col(c) == F.col(f"back_{c}"))
+    return before.join(after, "id").select("id", same.alias("same_votes"), (F.col("mean_vote") == F.col("back_mean_vote")).alias("same_mean"))
+
+
+@query("score_new_data_ml")
 def _(t):
     train, new = sampling.split(_churn(t), 0.3, 7, "id")
     stages = classifiers.category_pipeline(["tax_class"], CHURN[:7], classifiers.random_forest("is_prolong"))

@@ -85,11 +85,12 @@ class Forest:
         return routed.withColumn("votes", F.array(*counts)).drop("__said", *ARRAYS)
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        """The class with most votes, the first of equals."""
+        """The class with most votes, the first of equals; NULL for a row whose NULL stops every tree."""
         return self.votes(df).withColumn(out, self._winner()).drop("votes")
 
     def _winner(self) -> Column:
-        return F.get(F.array(*[F.lit(c) for c in self.classes]), (F.array_position("votes", F.array_max("votes")) - 1).cast("int"))
+        most = F.array_max("votes")
+        return F.when(most > 0, F.get(F.array(*[F.lit(c) for c in self.classes]), (F.array_position("votes", most) - 1).cast("int")))
 
     def out_of_bag(self, df: DataFrame, label: str) -> DataFrame:
         """One row: rows that some tree did not draw, and how many of them those trees get wrong."""
