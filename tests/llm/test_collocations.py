@@ -19,7 +19,7 @@ def prose(n):
 
 
 ROWS = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, " \t. !\n", "en", "s", 0), (2, "one", None, "s", 0), (3, "no such thing", "fr", "s", 0)]
-ROWS += [(i, prose(60), ["en", "de", None, "und"][i % 4], "s", 1) for i in range(40)] + [(9, "New York City hall. " * 30, "en", "s", 1)] * 3
+ROWS += [(i, prose(60), ["en", "de\nx", None, "und"][i % 4], "s", 1) for i in range(40)] + [(9, "New York City hall. " * 30, "en", "s", 1)] * 3
 ROWS += [(10, "ha " * 500, "de", "s", 1), (11, prose(9000), "en", "s", 1), (12, "z" * 5000, "en", "s", 1), (13, "a b,a b a b c. a b c\r" * 12, "zh", "s", 1)]
 
 
@@ -67,7 +67,7 @@ def test_score_passes_64_bits(spark):
 
 
 def test_windows_meet_once(spark):
-    counted = spark.createDataFrame([], "lang string, w1 string, w2 string, ends string, times string")
+    counted = spark.createDataFrame([], "head string, ends string")
     plan = collocations.folded(counted, 3, 10)._jdf.queryExecution().executedPlan().toString()
     # One for the windows, one for what is left of them.
     assert plan.count("Exchange hashpartitioning(") == 2 and "REPARTITION_BY_COL" in plan

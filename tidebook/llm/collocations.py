@@ -28,7 +28,7 @@ from tidebook.llm.common import materialize
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 NO_LANG = "und"
 # Words whose windows a task counts at a time (some 60 bytes each), and rows of an Arrow batch.
-HOLD, ROWS = 3_000_000, 50_000
+HOLD, ROWS = 2_000_000, 50_000
 # Bytes of a text that are split at a time.
 STRETCH = 1 << 23
 BREAK, RARE = b"\n", b"\r"
@@ -129,16 +129,18 @@ class Counter:
                 yield pa.RecordBatch.from_arrays([langs.take(pa.array(columns[0][part])), texts.take(pa.array(columns[1][part])), pa.array(times[start : start + ROWS].astype(np.int64))], names=["lang", "w1", "c"])
             self.clear()
             return
-        # Windows that differ in their last word only travel as one row.
+        # Windows that differ in their last word only travel as one row; a count above one follows its word.
         heads = np.flatnonzero(np.diff(head, prepend=-1)).astype(np.int64)
-        names = ["lang", *_names(self.longest)[:-1], "ends", "times"]
+        names = ["head", *_names(self.longest)[2:-1], "ends"]
         for start in range(0, len(heads), ROWS):
             own = heads[start : start + ROWS]
             stop = heads[start + ROWS] if start + ROWS < len(heads) else len(at)
             offsets = pa.array(np.append(own, stop) - own[0], pa.int32())
-            first, ends = at[own], texts.take(pa.array(columns[-1][at[own[0] : stop]]))
-            joined = [pc.binary_join(pa.ListArray.from_arrays(offsets, x), " ") for x in (ends, pa.array(times[own[0] : stop]).cast(pa.string()))]
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(columns[0][first])), *[texts.take(pa.array(c[first])) for c in columns[1:-1]], *joined], names=names)
+            first, ends, n = at[own], texts.take(pa.array(columns[-1][at[own[0] : stop]])), pa.array(times[own[0] : stop])
+            ends = pc.if_else(pc.greater(n, 1), pc.binary_join_element_wise(ends, n.cast(pa.string()), "\t"), ends)
+            opening = [langs.take(pa.array(columns[0][first])), *[texts.take(pa.array(c[first])) for c in columns[1 : min(3, self.longest)]]]
+            between = [texts.take(pa.array(c[first])) for c in columns[3:-1]]
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(*opening, "\n"), *between, pc.binary_join(pa.ListArray.from_arrays(offsets, ends), " ")], names=names)
         self.clear()
 
 
@@ -181,11 +183,12 @@ def frequent_words(docs: DataFrame, least: int) -> bytes:
 def windows(docs: DataFrame, longest: int = LONGEST, least: int = 1) -> DataFrame:
     """Windows of ``longest`` words, padded with empty words, counted within a task.
 
-    A row has the language, all words but the last, and blank-separated the last words and their
-    counts. Windows are padded from words that occur fewer than ``least`` times.
+    A row has, on lines of ``head``, the language and the first two words (one of two), further words but the last in columns,
+    and in ``ends`` the last words, blank-separated, a count above one behind its word and a tab.
+    Windows are padded from words that occur fewer than ``least`` times.
     """
     known = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, least)) if least > 1 else None
-    return _count_in_tasks(docs, longest, known, ", ".join(f"{n} string" for n in ("lang", *_names(longest)[:-1], "ends", "times")))
+    return _count_in_tasks(docs, longest, known, ", ".join(f"{n} string" for n in ("head", *_names(longest)[2:-1], "ends")))
 
 
 def folded(counted: DataFrame, longest: int, least: int) -> DataFrame:
@@ -194,26 +197,32 @@ def folded(counted: DataFrame, longest: int, least: int) -> DataFrame:
     The sum over any prefix that occurs ``least`` times stays as it is. Rows meet once, by
     language and first two words; sums of all longer prefixes are local.
     """
-    names = _names(longest)
-    first, last = ["lang", *names[:-1]], names[-1]
-    pairs = F.arrays_zip(F.split("ends", " ").alias(last), F.split("times", " ").alias("c"))
-    rows = counted if longest == 2 else counted.repartition(*first[:3])
-    rows = rows.select(*first, F.inline(pairs)).withColumn("c", F.col("c").cast("long"))
-    rows = rows.repartition("lang", *names) if longest == 2 else rows
-    for j in range(longest, 1, -1):
+    tails, entry = _names(longest)[2:], F.col("entry")
+    rows = counted.repartition("head") if tails else counted
+    word = F.substring_index(entry, "\t", 1)
+    times = F.when(F.contains(entry, F.lit("\t")), F.substring_index(entry, "\t", -1).cast("long")).otherwise(F.lit(1).cast("long"))
+    rows = rows.select("head", *tails[:-1], F.explode(F.split("ends", " ")).alias("entry"))
+    if tails:
+        rows = rows.select("head", *tails[:-1], word.alias(tails[-1]), times.alias("c"))
+    else:
+        rows = rows.select(F.concat("head", F.lit("\n"), word).alias("head"), times.alias("c")).repartition("head")
+    rows = rows.groupBy("head", *tails).agg(F.sum("c").alias("c"))
+    rare = F.col("c") < least
+    for j in range(len(tails) - 1, -1, -1):
+        rows = rows.withColumn(tails[j], F.when(rare, "").otherwise(F.col(tails[j])))
         # ``all`` of a prefix counts the longer windows that begin with it; their own ``c`` stays with them.
-        if j == longest:
-            rows = rows.groupBy("lang", *names).agg(F.sum("c").alias("c"))
-            rare = F.col("c") < least
-        else:
-            zero, longer, tail = F.lit(0).cast("long"), F.col(names[j]) != "", names[j:]
-            own = F.struct(*tail, "c", F.when(longer, zero).otherwise(F.col("c")).alias("all"))
-            prefix = F.struct(*[F.lit("").alias(n) for n in tail], zero.alias("c"), F.col("c").alias("all"))
-            rows = rows.select("lang", *names[:j], F.inline(F.when(longer, F.array(own, prefix)).otherwise(F.array(own))))
-            rows = rows.groupBy("lang", *names).agg(F.sum("c").alias("c"), F.sum("all").alias("all"))
-            rare = ~longer & (F.col("all") < least)
-        rows = rows.withColumn(names[j - 1], F.when(rare, "").otherwise(F.col(names[j - 1]))).drop("all")
-    return rows.groupBy("lang", *names).agg(F.sum("c").alias("c"))
+        zero, longer, after = F.lit(0).cast("long"), F.col(tails[j]) != "", tails[j:]
+        own = F.struct(*after, "c", F.when(longer, zero).otherwise(F.col("c")).alias("all"))
+        prefix = F.struct(*[F.lit("").alias(n) for n in after], zero.alias("c"), F.col("c").alias("all"))
+        rows = rows.select("head", *tails[:j], F.inline(F.when(longer, F.array(own, prefix)).otherwise(F.array(own))))
+        rows = rows.groupBy("head", *tails).agg(F.sum("c").alias("c"), F.sum("all").alias("all"))
+        rare = (F.col(tails[j]) == "") & (F.col("all") < least)
+    second = F.substring_index("head", "\n", -1)
+    cut = F.left("head", F.length("head") - F.length(second))
+    rows = rows.withColumn("head", F.when(rare, cut).otherwise(F.col("head"))).groupBy("head", *tails).agg(F.sum("c").alias("c"))
+    pair = F.substring_index("head", "\n", -2)
+    lang = F.left("head", F.length("head") - F.length(pair) - 1)
+    return rows.select(lang.alias("lang"), F.substring_index(pair, "\n", 1).alias("w1"), second.alias("w2"), *tails, "c")
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
