@@ -34,7 +34,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
 COMMON = 200_000
 # Members of one verification step; a group of more is spread over several.
 MEMBERS = 512
-MEMORY = 1_000_000
+# Words and groups that a worker remembers (some 200 and 100 bytes each), and rows that it holds at a time.
+MEMORY, GROUPS, ROWS = 200_000, 100_000, 500
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -51,6 +52,12 @@ class _Words(dict):
 _words = _Words()
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text (A-Z lower-cased, split at ASCII blanks)."""
     parts = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -83,10 +90,10 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes ascending, their place at the end of the order): shingles that are frequent within batches."""
+    """(hashes ascending, their place at the end of the order): shingles that are frequent within a few thousand rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, 4 * ROWS):
             seen, sets = set(), []
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
@@ -111,7 +118,7 @@ def _describe(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for batch in batches:
+        for batch in _sliced(batches):
             out: list[tuple] = []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
@@ -127,7 +134,7 @@ def _describe(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
                 p = s[np.argsort(late, kind="stable")][: prefix_size(n)].view(np.int64)
                 group = xxhash.xxh3_64_intdigest(p.tobytes(), seed=n) - 2**63
                 out.append((n, (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, group, None if group in sent else p))
-                if len(sent) < MEMORY:
+                if len(sent) < GROUPS:
                     sent.add(group)
             columns = list(zip(*out)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
@@ -147,7 +154,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leaders = None, []
-        for batch in batches:
+        for batch in _sliced(batches):
             found = []
             for a, salt, role, i, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (a, salt) != key:
