@@ -226,7 +226,7 @@ def _(t):
     return wide.toDF("date", *[p.replace("#", "_") for p in PAPERS])
 
 
-@query("group_means", "SELECT label, " + ", ".join(f"ROUND(AVG(CAST(embedding[{i + 1}] AS DOUBLE)), 6) AS x{i}" for i in range(4)) + " FROM embeddings GROUP BY label")
+@query("group_means", "SELECT label, " + ", ".join(f"ROUND(AVG(CAST(embedding[{i + 1}] AS DOUBLE)), 6) AS x{i}" for i in range(len(IRIS))) + " FROM embeddings GROUP BY label")
 def _(t):
     return as_double(iris(t).groupBy("label").agg(*[F.avg(c).alias(c) for c in IRIS]))
 

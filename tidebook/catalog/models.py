@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidebook.catalog.registry import as_double, as_long, dbl, query
-from tidebook.catalog.reports import IRIS, TAX, iris
+from tidebook.catalog.reports import IRIS, IRIS_SQL, TAX, iris
 from tidebook.models import classifiers, lloyd, logit, regression, saved
 from tidebook.models import text as text_models
 from tidebook.models import trees as tree_models
@@ -24,11 +24,11 @@ def _churn(t):
     return materialize(churn.churn_features(t.fx_companies, TAX), "churn")
 
 
-@query("assemble_features", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS f0, CAST(embedding[2] AS DOUBLE) AS f1, 1.0::DOUBLE AS one FROM embeddings")
+@query("assemble_features", f"SELECT vec_id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}' for i in range(len(IRIS)))}, 1.0::DOUBLE AS one FROM embeddings")
 def _(t):
     vectors = regression.assemble(iris(t).withColumn("one", F.lit(1.0)), [*IRIS, "one"])
-    cells = vector_to_array("features")
-    return vectors.select("vec_id", cells[0].alias("f0"), cells[1].alias("f1"), cells[4].alias("one"))
+    cells = vectors.select("vec_id", vector_to_array("features").alias("cells"))
+    return cells.select("vec_id", *[F.col("cells")[i].alias(f"f{i}") for i in range(len(IRIS))], F.col("cells")[len(IRIS)].alias("one"))
 
 
 @query("factorize", """
@@ -59,11 +59,13 @@ def _(t):
     return as_double(clean.standardize(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice"]))
 
 
-@query("poly_features", """
-SELECT vec_id, ROUND(a * b, 6) AS p3, ROUND(a * a, 6) AS p4, ROUND(b * b, 6) AS p5 FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)""")
+@query("poly_features", f"""
+WITH v AS ({IRIS_SQL})
+SELECT vec_id, {", ".join(f"ROUND({a} * {b}, 6) AS {a}_{b}" for a, b in zip(IRIS, IRIS[1:]))}, {", ".join(f"ROUND({a} * {a}, 6) AS {a}_{a}" for a in IRIS)} FROM v""")
 def _(t):
-    a, b = F.col("x0"), F.col("x1")
-    return as_double(iris(t).select("vec_id", (a * b).alias("p3"), (a * a).alias("p4"), (b * b).alias("p5")))
+    """Products of neighbouring features and all squares."""
+    pairs = [*zip(IRIS, IRIS[1:]), *zip(IRIS, IRIS)]
+    return as_double(iris(t).select("vec_id", *[(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs]))
 
 
 # Two-feature least squares solved from the covariances; {pen} is added to the diagonal.
@@ -133,11 +135,30 @@ def _(t):
     return regression.subgradients(rows, LINE, "target", 0.05, model).select("feature", "active", (F.col("excess") < 1e-6).alias("optimal"))
 
 
-@query("ridge_classifier", TWO_FEATURE_SQL.format(
-    rows="SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, CASE WHEN label < 5 THEN 1.0 ELSE -1.0 END::DOUBLE AS y FROM embeddings", pen="1.0", fa="x0", fb="x1"))
+# Ridge by conjugate gradients over lists: a is the penalised matrix, w the weights, r what is left, p the direction.
+RIDGE_SQL = f"""
+WITH RECURSIVE d AS (SELECT [{", ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(len(IRIS)))}] AS x, CASE WHEN label < 5 THEN 1.0 ELSE -1.0 END::DOUBLE AS y FROM embeddings),
+m AS MATERIALIZED (SELECT list(m ORDER BY i) AS mx, any_value(my) AS my FROM (SELECT i, AVG(x[i]) AS m, AVG(y) AS my FROM d CROSS JOIN (SELECT unnest(range(1, {len(IRIS) + 1})) AS i) GROUP BY i)),
+c AS (SELECT i, j, covar_pop(x[i], x[j]) * COUNT(*) + CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v, covar_pop(x[i], y) * COUNT(*) AS b
+      FROM d CROSS JOIN (SELECT unnest(range(1, {len(IRIS) + 1})) AS i) CROSS JOIN (SELECT unnest(range(1, {len(IRIS) + 1})) AS j) GROUP BY i, j),
+a AS MATERIALIZED (SELECT list(row ORDER BY i) AS a, list(b ORDER BY i) AS b FROM (SELECT i, list(v ORDER BY j) AS row, any_value(b) AS b FROM c GROUP BY i)),
+cg AS (
+  SELECT 0 AS step, list_transform(b, lambda v: 0.0::DOUBLE) AS w, b AS r, b AS p FROM a
+  UNION ALL
+  SELECT step + 1, w2, r2, list_transform(r2, lambda v, i: v + list_dot_product(r2, r2) / nullif(rr, 0) * p[i]) FROM (
+    SELECT step, p, rr, list_transform(w, lambda v, i: v + rr / nullif(pap, 0) * p[i]) AS w2, list_transform(r, lambda v, i: v - rr / nullif(pap, 0) * ap[i]) AS r2 FROM (
+      SELECT step, w, r, p, ap, list_dot_product(r, r) AS rr, list_dot_product(p, ap) AS pap FROM (
+        SELECT cg.*, list_transform(a.a, lambda row: list_dot_product(row, p)) AS ap FROM cg CROSS JOIN a WHERE step < {2 * len(IRIS)} AND list_dot_product(r, r) > 1e-22))) 
+), last AS (SELECT w FROM cg ORDER BY step DESC LIMIT 1)
+SELECT 'x' || (i - 1) AS feature, ROUND(w[i], 4) + 0.0 AS weight FROM last CROSS JOIN (SELECT unnest(range(1, {len(IRIS) + 1})) AS i)
+UNION ALL SELECT 'intercept', ROUND(my - list_dot_product(w, mx), 4) + 0.0 FROM last CROSS JOIN m"""
+
+
+@query("ridge_classifier", RIDGE_SQL)
 def _(t):
     rows = iris(t).withColumn("low", (F.col("label") < 5).cast("int"))
-    return as_double(regression.coefficients(regression.ridge_classifier(rows, ["x0", "x1"], "low"), ["x0", "x1"], rows), 4)
+    out = as_double(regression.coefficients(regression.ridge_classifier(rows, IRIS, "low"), IRIS, rows), 4)
+    return out.withColumn("weight", F.col("weight") + 0.0)
 
 
 def _iris_split(t):

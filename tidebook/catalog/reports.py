@@ -521,19 +521,19 @@ def _(t):
     return out.withColumns({"invested": dbl("invested", 3), "balance": dbl("balance", 3), "score": dbl("score", 6)})
 
 
-IRIS = [f"x{i}" for i in range(4)]
+IRIS = [f"x{i}" for i in range(64)]
 
 
 def iris(t):
     return t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(IRIS)], "label")
 
 
-IRIS_SQL = "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(4)) + ", label FROM embeddings"
+IRIS_SQL = "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(len(IRIS))) + ", label FROM embeddings"
 
 
 @query("class_stats", f"""
 WITH iris AS ({IRIS_SQL}),
-long AS (SELECT CAST(label AS VARCHAR) AS class, variable, value FROM (UNPIVOT iris ON x0, x1, x2, x3 INTO NAME variable VALUE value)),
+long AS (SELECT CAST(label AS VARCHAR) AS class, variable, value FROM (UNPIVOT iris ON {', '.join(IRIS)} INTO NAME variable VALUE value)),
 both_ AS (SELECT * FROM long UNION ALL SELECT 'all', variable, value FROM long),
 s AS (SELECT class, variable, AVG(value) AS mean, MEDIAN(value) AS median, STDDEV_SAMP(value) AS std FROM both_ GROUP BY 1, 2)
 SELECT class, variable, statistic, ROUND(value, 6) AS value FROM (UNPIVOT s ON mean, median, std INTO NAME statistic VALUE value)""")

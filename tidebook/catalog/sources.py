@@ -186,9 +186,11 @@ def _(t):
 IRIS_NAMES = {i: f"species_{i}" for i in range(10)}
 
 
-@query("dataset_frame", """
-SELECT CAST(embedding[1] AS DOUBLE) AS sepal_length, CAST(embedding[2] AS DOUBLE) AS sepal_width, CAST(embedding[3] AS DOUBLE) AS petal_length,
-  CAST(embedding[4] AS DOUBLE) AS petal_width, 'species_' || label AS target FROM embeddings""")
+# The four named measures of the flower set, then the other parts of the vectors.
+MEASURES = ["sepal_length", "sepal_width", "petal_length", "petal_width", *(f"part_{i}" for i in range(4, 64))]
+
+
+@query("dataset_frame", f"SELECT {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS {n}' for i, n in enumerate(MEASURES))}, 'species_' || label AS target FROM embeddings")
 def _(t):
-    cells = t.embeddings.select(*[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(4)], "label")
-    return files.named_dataset(cells, ["sepal_length", "sepal_width", "petal_length", "petal_width"], "target", IRIS_NAMES)
+    cells = t.embeddings.select(*[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(len(MEASURES))], "label")
+    return files.named_dataset(cells, MEASURES, "target", IRIS_NAMES)
