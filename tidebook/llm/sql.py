@@ -4,36 +4,34 @@ from __future__ import annotations
 
 from tidebook.llm import collocations, lines, merkle, mixing, rollups
 
+# One row per placed block: a released block (release <= slot) with the earliest deadline goes next.
 MIXING = f"""
 WITH RECURSIVE rows_ AS (
   SELECT doc_id, source, coalesce('s' || source, '-') AS key, coalesce(length(text), 0) AS size, coalesce(md5(doc_id::VARCHAR), '') AS ord FROM documents
 ), totals AS (
-  SELECT key, pow(sum(size)::DOUBLE, {mixing.POWER}) AS weight FROM rows_ GROUP BY key
-), quota AS (
-  SELECT key, greatest(1, floor(coalesce(weight / nullif((SELECT sum(weight) FROM totals), 0), 0) * {mixing.FRAME} + 0.5))::BIGINT AS q FROM totals
-), numbered AS (
-  SELECT key, q, row_number() OVER (ORDER BY key) - 1 AS s FROM quota
+  SELECT key, sum(size)::BIGINT AS chars, pow(sum(size)::DOUBLE, {mixing.POWER}) AS weight FROM rows_ GROUP BY key
+), scaled AS (
+  SELECT key, chars // {mixing.BLOCK_CHARS} + 1 AS blocks, CASE WHEN max(weight) OVER () > 0 THEN weight / max(weight) OVER () ELSE 1.0 END AS u FROM totals
+), whole AS (
+  SELECT key, blocks, floor(u / sum(u) OVER () * {mixing.SCALE})::HUGEINT AS w FROM scaled
 ), params AS (
-  SELECT list(q ORDER BY s) AS qs, sum(q)::BIGINT AS total, count(*) AS n FROM numbered
-), choice AS (
-  SELECT 0::BIGINT AS slot, list_transform(qs, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick, qs, total, n, false AS placed FROM params
+  SELECT list(w ORDER BY key) AS ws, list(blocks ORDER BY key) AS bs, list(key ORDER BY key) AS ks, sum(w)::HUGEINT AS total, count(*) AS n FROM whole WHERE w > 0
+), placed AS (
+  SELECT -1::BIGINT AS slot, 0::BIGINT AS pick, 0::BIGINT AS block, list_transform(ws, lambda w: 0::BIGINT) AS done, false AS real, ws, bs, total, n FROM params
   UNION ALL
-  SELECT slot + placed::BIGINT, done2, pick2, qs, total, n, true FROM (
-    SELECT slot, placed, qs, total, n,
-      CASE WHEN placed THEN list_transform(done, lambda d, i: d + (i = pick + 1)::BIGINT) ELSE done END AS done2,
-      list_min(list_transform(
-        CASE WHEN placed THEN list_transform(done, lambda d, i: d + (i = pick + 1)::BIGINT) ELSE done END,
-        lambda d, i: CASE WHEN d < qs[i] AND (d * total) // qs[i] <= slot + placed::BIGINT THEN ((d + 1) * total + qs[i] - 1) // qs[i] * n + i - 1 END
-      )) % n AS pick2
-    FROM choice WHERE slot + placed::BIGINT < total
-  )
-), frame AS (
-  SELECT pick, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS nth FROM choice WHERE placed
+  SELECT slot, pick, done[pick + 1] AS block, list_transform(done, lambda d, i: d + (i = pick + 1)::BIGINT), true, ws, bs, total, n FROM (
+    SELECT * EXCLUDE (slot, pick, soonest), now_ AS slot,
+      (list_min(list_transform(done, lambda d, i: CASE WHEN d < bs[i] AND d * total // ws[i] <= now_ THEN ((d + 1) * total + ws[i] - 1) // ws[i] * n + i - 1 END)) % n)::BIGINT AS pick
+    FROM (SELECT *, greatest(slot + 1, soonest)::BIGINT AS now_ FROM (SELECT *, list_min(list_transform(done, lambda d, i: CASE WHEN d < bs[i] THEN d * total // ws[i] END)) AS soonest FROM placed) WHERE soonest IS NOT NULL))
+), slots AS (
+  SELECT ks[pick + 1] AS key, block, slot FROM placed CROSS JOIN params WHERE real
+  UNION ALL  -- sources of weight 0 come last
+  SELECT key, block, coalesce((SELECT max(slot) + 1 FROM placed WHERE real), 0) + row_number() OVER (ORDER BY key, block) - 1
+  FROM (SELECT key, unnest(range(0, blocks)) AS block FROM whole WHERE w = 0)
 ), started AS (
   SELECT doc_id, source, key, coalesce(sum(size) OVER (PARTITION BY key ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM rows_
 )
-SELECT a.doc_id, a.source, a.start // {mixing.BLOCK_CHARS} AS block, (a.start // {mixing.BLOCK_CHARS}) // b.q * p.total + f.slot AS slot, a.start
-FROM started a JOIN numbered b ON b.key = a.key CROSS JOIN params p JOIN frame f ON f.pick = b.s AND f.nth = (a.start // {mixing.BLOCK_CHARS}) % b.q
+SELECT a.doc_id, a.source, s.block::BIGINT AS block, s.slot::BIGINT AS slot, a.start FROM started a JOIN slots s ON s.key = a.key AND s.block = a.start // {mixing.BLOCK_CHARS}
 """
 
 LINES = f"""
