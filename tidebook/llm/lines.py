@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import materialize
+from tidebook.llm.common import materialize, shared_dir
 
 LEADING = 3  # tokens that lead to a leaf, after the token count
 MIN_PLACES = 10  # a recurring template has this many different places
@@ -41,12 +41,12 @@ def _tokens(line: Column) -> Column:
     return _masked(F.filter(F.split(line, _BLANKS), lambda w: w != ""))
 
 
-def _with_leaf(lines: DataFrame, min_tokens: int) -> DataFrame:
-    """Lines of at least ``min_tokens`` tokens, with their leaf; only the leading tokens are cut out. A short line is its own leaf."""
+def _with_leaf(lines: DataFrame) -> DataFrame:
+    """Lines with tokens, with their leaf; only the leading tokens are cut out. A short line is its own leaf."""
     size = F.regexp_count("line", F.lit(_TOKEN))
     leading = F.slice(F.split(F.ltrim("line", F.lit(" \t\n\u000b\f\r")), _BLANKS, LEADING + 1), 1, LEADING)
     leaf = F.when(F.col("size") >= MIN_TOKENS, F.xxhash64("size", _masked(leading))).otherwise(F.xxhash64("size", F.filter(leading, lambda w: w != "")))
-    return lines.withColumn("size", size).where(F.col("size") >= min_tokens).withColumn("leaf", leaf).drop("size")
+    return lines.withColumn("size", size).where("size > 0").withColumn("leaf", leaf).drop("size")
 
 
 def _placed_lines(docs: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def _placed_lines(docs: DataFrame) -> DataFrame:
 
 def _line_hashes(text: Column) -> Column:
     """Of the lines that are not blank."""
-    return F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(_TOKEN)), lambda x: F.xxhash64(x))
+    return F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(_TOKEN)), lambda x: F.md5(x.cast("binary")))
 
 
 def _documents(docs: DataFrame, placed: DataFrame, min_places: int) -> DataFrame:
@@ -79,21 +79,17 @@ def _documents(docs: DataFrame, placed: DataFrame, min_places: int) -> DataFrame
     return often.select("k", "leaf", "template").distinct().join(origins, "k").groupBy("leaf", "template").agg(F.count_distinct("origin").alias("documents"))
 
 
-def recurring_lines(docs: DataFrame, min_places: int = MIN_PLACES, places_only: bool = False) -> DataFrame:
-    """(k, no): the lines, by text key and number from 0, whose template recurs.
-
-    ``places_only`` counts places alone and leaves out short lines, as the comparison SQL does.
-    """
-    min_tokens = MIN_TOKENS if places_only else 1
-    plain = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    busy = _with_leaf(plain, min_tokens).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_places).select("leaf")
-    found = _with_leaf(_placed_lines(docs), min_tokens).join(busy, "leaf").withColumn("tokens", _tokens(F.col("line")))
-    if places_only:
-        found = found.withColumn("line", F.xxhash64("tokens"))
-    else:
-        short = F.size("tokens") < MIN_TOKENS
-        found = found.withColumns({"raw": F.xxhash64("line"), "chars": F.length("line")})
-        found = found.withColumn("line", F.when(short, F.col("leaf")).otherwise(F.xxhash64("tokens")))
+def recurring_lines(docs: DataFrame, min_places: int = MIN_PLACES) -> DataFrame:
+    """(k, no): the lines, by text key and number from 0, whose template recurs."""
+    # One pass cuts the texts and writes all lines; the leaves are counted and the busy ones picked from there.
+    path = shared_dir(docs.sparkSession, "cut")
+    cut = _with_leaf(_placed_lines(docs))
+    cut.write.option("compression", "zstd").parquet(path)
+    cut = docs.sparkSession.read.schema(cut.schema).parquet(path)
+    busy = cut.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_places).select("leaf")
+    found = cut.join(busy, "leaf").withColumn("tokens", _tokens(F.col("line")))
+    found = found.withColumns({"raw": F.md5(F.col("line").cast("binary")), "chars": F.length("line")})
+    found = found.withColumn("line", F.when(F.size("tokens") < MIN_TOKENS, F.col("leaf")).otherwise(F.xxhash64("tokens")))
     found = materialize(found, "lines")
     # Tokens of each different line once, weighted by how often it occurs.
     distinct = found.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.first("tokens").alias("tokens"))
@@ -104,20 +100,17 @@ def recurring_lines(docs: DataFrame, min_places: int = MIN_PLACES, places_only:
     lines_of = marked.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(piece)).alias("t"), F.count("constant").alias("c"), F.count(F.lit(1)).alias("size"))
     enough = (F.col("c") >= MIN_CONSTANT) & (F.col("c") >= CONSTANT_SHARE * F.col("size"))
     templates = lines_of.select("leaf", "line", F.when(enough, F.xxhash64("t.token")).otherwise(F.xxhash64("leaf", "line")).alias("template"))
-    placed = found.drop("tokens").join(templates, ["leaf", "line"])
-    if not places_only:
-        placed = materialize(placed, "templates")
+    placed = materialize(found.drop("tokens").join(templates, ["leaf", "line"]), "templates")
     counts = placed.groupBy("leaf", "template").agg(F.count_distinct("place").alias("places"), F.count_distinct("k").alias("texts"))
     # Half of the texts at least: edited copies of one text have a few places each.
     drop = counts.where((F.col("places") >= min_places) & (2 * F.col("places") >= F.col("texts"))).select("leaf", "template")
-    if not places_only:
-        drop = drop.union(_documents(docs, placed, min_places).where(F.col("documents") >= min_places).select("leaf", "template")).distinct()
+    drop = drop.union(_documents(docs, placed, min_places).where(F.col("documents") >= min_places).select("leaf", "template")).distinct()
     return placed.join(drop, ["leaf", "template"]).select("k", "no").distinct()
 
 
-def _without(docs: DataFrame, min_places: int, places_only: bool = False) -> DataFrame:
+def _without(docs: DataFrame, min_places: int) -> DataFrame:
     """The rows as a struct ``row``, with all lines and the kept ones."""
-    gone = recurring_lines(docs.select("text"), min_places, places_only).groupBy("k").agg(F.collect_set("no").alias("gone"))
+    gone = recurring_lines(docs.select("text"), min_places).groupBy("k").agg(F.collect_set("no").alias("gone"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(text.cast("binary"))).alias("k"))
     joined = rows.join(gone, "k", "left").withColumn("lines", F.split(F.coalesce("row.text", F.lit("")), "\n"))
@@ -125,14 +118,14 @@ def _without(docs: DataFrame, min_places: int, places_only: bool = False) -> Dat
     return joined.select("row", "lines", kept.alias("kept"))
 
 
-def line_report(docs: DataFrame, min_places: int = MIN_PLACES, places_only: bool = False) -> DataFrame:
+def line_report(docs: DataFrame, min_places: int = MIN_PLACES) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, kept_chars, kept_md5 (of the remaining text).
 
     A NULL or empty text is one empty line, which stays. An empty table gives no rows; extra
     columns are ignored; equal texts get equal results.
     """
     text = F.array_join("kept", "\n")
-    return _without(docs.select("doc_id", "text"), min_places, places_only).select(
+    return _without(docs.select("doc_id", "text"), min_places).select(
         F.col("row.doc_id").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
         F.length(text).cast("long").alias("kept_chars"), F.md5(text.cast("binary")).alias("kept_md5"),
     )

@@ -41,11 +41,12 @@ each_ AS (SELECT text, ls, unnest(range(1, len(ls) + 1)) AS no FROM split),
 raw AS (
   SELECT text, no, ls[no] AS line, CASE WHEN no > 1 THEN 'p' || ls[no - 1] ELSE '-' END || chr(10) || CASE WHEN no < len(ls) THEN 'n' || ls[no + 1] ELSE '-' END AS place FROM each_
 ), tokens AS (
-  SELECT text, no, place, list_transform(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''),
+  SELECT text, no, place, line, list_transform(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''),
     lambda w: CASE WHEN regexp_matches(w, '[0-9@]|://') THEN '{lines.WILDCARD}' ELSE w END) AS t
   FROM raw
 ), leafed AS (
-  SELECT *, len(t) AS size, t[1:{lines.LEADING}] AS lead FROM tokens WHERE len(t) >= {lines.MIN_TOKENS}
+  SELECT * EXCLUDE (r), len(t) AS size, CASE WHEN len(t) >= {lines.MIN_TOKENS} THEN t[1:{lines.LEADING}] ELSE r END AS lead
+  FROM (SELECT *, list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS r FROM tokens) WHERE len(t) > 0
 ), spread AS (
   SELECT size, lead, text, no, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS pos FROM leafed
 ), copies AS (
@@ -58,11 +59,25 @@ raw AS (
   FROM spread s LEFT JOIN constant c ON c.size = s.size AND c.lead = s.lead AND c.pos = s.pos AND c.token = s.token
   GROUP BY s.size, s.lead, s.text, s.no
 ), templates AS (
-  SELECT size, lead, text, no, CASE WHEN known >= {lines.MIN_CONSTANT} AND known >= {lines.CONSTANT_SHARE} * size THEN list_prepend('+', g) ELSE list_prepend('-', t) END AS template FROM generalised
+  SELECT size, lead, text, no, CASE WHEN size < {lines.MIN_TOKENS} THEN list_prepend('s', lead) WHEN known >= {lines.MIN_CONSTANT} AND known >= {lines.CONSTANT_SHARE} * size THEN list_prepend('+', g) ELSE list_prepend('-', t) END AS template FROM generalised
+), placed AS MATERIALIZED (
+  SELECT m.*, l.place, l.line, md5(l.line) AS raw FROM templates m JOIN leafed l ON l.text = m.text AND l.no = m.no
+), counts AS (
+  SELECT size, lead, template, count(DISTINCT place) AS places, count(DISTINCT text) AS texts FROM placed GROUP BY ALL
+), often AS MATERIALIZED (
+  SELECT p.* FROM placed p JOIN counts c ON c.size = p.size AND c.lead = p.lead AND c.template = p.template WHERE c.texts >= {lines.MIN_PLACES}
+), common AS (
+  SELECT text, list(DISTINCT raw) AS common, sum(length(line)) AS taken, min(raw) AS first FROM often GROUP BY text
+), own AS (
+  SELECT c.*, length(replace(c.text, chr(10), '')) AS len, list_min(list_filter(list_transform(list_filter(s.ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')), lambda x: md5(x)), lambda h: NOT list_contains(c.common, h))) AS own
+  FROM common c JOIN split s ON s.text = c.text
+), origins AS (
+  SELECT text, CASE WHEN own IS NOT NULL AND len - taken >= {lines.MIN_OWN} * len THEN 'own' || own ELSE 'copy' || first END AS origin FROM own
+), documents_ AS (
+  SELECT size, lead, template, count(DISTINCT origin) AS docs FROM often JOIN origins USING (text) GROUP BY ALL
 ), recurring AS (
-  SELECT m.size, m.lead, m.template FROM templates m JOIN leafed l ON l.text = m.text AND l.no = m.no
-  GROUP BY m.size, m.lead, m.template
-  HAVING count(DISTINCT l.place) >= {lines.MIN_PLACES} AND 2 * count(DISTINCT l.place) >= count(DISTINCT m.text)
+  SELECT size, lead, template FROM counts WHERE places >= {lines.MIN_PLACES} AND 2 * places >= texts
+  UNION SELECT size, lead, template FROM documents_ WHERE docs >= {lines.MIN_PLACES}
 ), gone AS (
   SELECT m.text, list(m.no) AS nos FROM templates m JOIN recurring r ON r.size = m.size AND r.lead = m.lead AND r.template = m.template GROUP BY m.text
 ), kept AS (
