@@ -135,12 +135,17 @@ def _(t):
     return regression.subgradients(rows, LINE, "target", 0.05, model).select("feature", "active", (F.col("excess") < 1e-6).alias("optimal"))
 
 
-# Ridge by conjugate gradients over lists: a is the penalised matrix, w the weights, r what is left, p the direction.
-RIDGE_SQL = f"""
-WITH RECURSIVE d AS (SELECT [{", ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(len(IRIS)))}] AS x, CASE WHEN label < 5 THEN 1.0 ELSE -1.0 END::DOUBLE AS y FROM embeddings),
-m AS MATERIALIZED (SELECT list(m ORDER BY i) AS mx, any_value(my) AS my FROM (SELECT i, AVG(x[i]) AS m, AVG(y) AS my FROM d CROSS JOIN (SELECT unnest(range(1, {len(IRIS) + 1})) AS i) GROUP BY i)),
-c AS (SELECT i, j, covar_pop(x[i], x[j]) * COUNT(*) + CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v, covar_pop(x[i], y) * COUNT(*) AS b
-      FROM d CROSS JOIN (SELECT unnest(range(1, {len(IRIS) + 1})) AS i) CROSS JOIN (SELECT unnest(range(1, {len(IRIS) + 1})) AS j) GROUP BY i, j),
+def cg_sql(rows: str, p: int, penalty: float) -> str:
+    """Least squares with a penalty by conjugate gradients over lists, from ``rows(x, y)``: ``last`` has the weights w, ``m`` the means mx and my.
+
+    a is the penalised matrix, r what is left, p the direction.
+    """
+    places = f"(SELECT unnest(range(1, {p + 1})) AS {{}})"
+    return f"""
+WITH RECURSIVE d AS ({rows}),
+m AS MATERIALIZED (SELECT list(m ORDER BY i) AS mx, any_value(my) AS my FROM (SELECT i, AVG(x[i]) AS m, AVG(y) AS my FROM d CROSS JOIN {places.format("i")} GROUP BY i)),
+c AS (SELECT i, j, covar_pop(x[i], x[j]) * COUNT(*) + CASE WHEN i = j THEN {penalty} ELSE 0.0 END AS v, covar_pop(x[i], y) * COUNT(*) AS b
+      FROM d CROSS JOIN {places.format("i")} CROSS JOIN {places.format("j")} GROUP BY i, j),
 a AS MATERIALIZED (SELECT list(row ORDER BY i) AS a, list(b ORDER BY i) AS b FROM (SELECT i, list(v ORDER BY j) AS row, any_value(b) AS b FROM c GROUP BY i)),
 cg AS (
   SELECT 0 AS step, list_transform(b, lambda v: 0.0::DOUBLE) AS w, b AS r, b AS p FROM a
@@ -148,8 +153,12 @@ cg AS (
   SELECT step + 1, w2, r2, list_transform(r2, lambda v, i: v + list_dot_product(r2, r2) / nullif(rr, 0) * p[i]) FROM (
     SELECT step, p, rr, list_transform(w, lambda v, i: v + rr / nullif(pap, 0) * p[i]) AS w2, list_transform(r, lambda v, i: v - rr / nullif(pap, 0) * ap[i]) AS r2 FROM (
       SELECT step, w, r, p, ap, list_dot_product(r, r) AS rr, list_dot_product(p, ap) AS pap FROM (
-        SELECT cg.*, list_transform(a.a, lambda row: list_dot_product(row, p)) AS ap FROM cg CROSS JOIN a WHERE step < {2 * len(IRIS)} AND list_dot_product(r, r) > 1e-22))) 
-), last AS (SELECT w FROM cg ORDER BY step DESC LIMIT 1)
+        SELECT cg.*, list_transform(a.a, lambda row: list_dot_product(row, p)) AS ap FROM cg CROSS JOIN a WHERE step < {2 * p} AND list_dot_product(r, r) > 1e-22)))
+), last AS (SELECT w FROM cg ORDER BY step DESC LIMIT 1)"""
+
+
+RIDGE_ROWS = f"SELECT [{', '.join(f'embedding[{i + 1}]::DOUBLE' for i in range(len(IRIS)))}] AS x, CASE WHEN label < 5 THEN 1.0 ELSE -1.0 END::DOUBLE AS y FROM embeddings"
+RIDGE_SQL = cg_sql(RIDGE_ROWS, len(IRIS), 1.0) + f"""
 SELECT 'x' || (i - 1) AS feature, ROUND(w[i], 4) + 0.0 AS weight FROM last CROSS JOIN (SELECT unnest(range(1, {len(IRIS) + 1})) AS i)
 UNION ALL SELECT 'intercept', ROUND(my - list_dot_product(w, mx), 4) + 0.0 FROM last CROSS JOIN m"""
 
@@ -453,8 +462,11 @@ w AS (SELECT doc_id, tf.term, tf * idf AS w FROM tf JOIN idf ON idf.term = tf.te
 len AS (SELECT doc_id, sqrt(SUM(w * w)) AS len FROM w GROUP BY doc_id)
 SELECT w.term, COUNT(*) AS docs, ROUND(SUM(w / len), 6) AS weight FROM w JOIN len ON len.doc_id = w.doc_id GROUP BY w.term""")
 def _(t):
-    train = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi")
-    weights = text_models.tfidf(t.documents, text_models.fit_idf(train, "doc_id", "text"), "doc_id", "text")
+    # The texts are cut once; the training documents are picked from their term counts.
+    ids, counts = t.labels.select("doc_id"), materialize(text_models.term_counts(t.documents, "doc_id", "text"), "terms")
+    n = t.documents.select("doc_id").join(ids, "doc_id", "left_semi").count()
+    idf = text_models.idf_of(counts.join(ids, "doc_id", "left_semi"), n)
+    weights = text_models.weights_of(counts, idf, "doc_id")
     return as_double(weights.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("weight").alias("weight")))
 
 
@@ -509,7 +521,13 @@ def _(t):
 HOUSE = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 
-@query("gd_regression")
+# Features in units of their own deviation, which keeps the conjugate gradients short; errors are the same.
+HOUSE_ROWS = f"SELECT [{', '.join(f'{c} / s{i}' for i, c in enumerate(HOUSE))}] AS x, l_extendedprice / 1000 AS y FROM lineitem CROSS JOIN (SELECT {', '.join(f'STDDEV_POP({c}) AS s{i}' for i, c in enumerate(HOUSE))} FROM lineitem)"
+
+
+@query("gd_regression", cg_sql(HOUSE_ROWS, len(HOUSE), 0.0) + """
+SELECT ROUND(AVG(abs(gap)), 6) AS mae, ROUND(AVG(gap * gap), 6) AS mse, ROUND(sqrt(AVG(gap * gap)), 6) AS rmse
+FROM (SELECT y - my - list_dot_product(w, x) + list_dot_product(w, mx) AS gap FROM d CROSS JOIN last CROSS JOIN m)""")
 def _(t):
     rows = t.lineitem.withColumn("target", F.col("l_extendedprice") / 1000)
     model = regression.linear(rows, HOUSE, "target")

@@ -16,21 +16,30 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def idf_of(counts: DataFrame, n: int, min_df: int = 2) -> DataFrame:
+    """(term, idf) of the terms that ``n`` documents with these (document, term) rows have in at least ``min_df`` of them: ln((1 + n) / (1 + df)) + 1."""
+    found = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    return found.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
 def fit_idf(docs: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
-    """(term, idf) of the terms found in at least ``min_df`` documents: ln((1 + n) / (1 + df)) + 1."""
-    n = docs.agg(F.count(F.lit(1))).scalar()
-    found = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return found.where(F.col("df") >= min_df).select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    """(term, idf) of the terms found in at least ``min_df`` documents."""
+    return idf_of(term_counts(docs, key, text), docs.count(), min_df)
 
 
-def tfidf(docs: DataFrame, idf: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, weight) with unit length per document. No vocabulary passes through the driver."""
-    weighted = term_counts(docs, key, text).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+def weights_of(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """(key, term, weight) with unit length per document, from (key, term, tf) rows."""
+    weighted = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     # A document's window holds its distinct terms only.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
+def tfidf(docs: DataFrame, idf: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, weight) with unit length per document. No vocabulary passes through the driver."""
+    return weights_of(term_counts(docs, key, text), idf, key)
+
+
 @dataclass
 class TextModel:
     """A linear text classifier as a table of ``term, idf, w0, w1, ..`` (one weight per class) and one bias per class."""
@@ -87,8 +96,7 @@ def fit_text_classifier(
     k = range(len(classes))
     counts = materialize(term_counts(known, key, text), "terms")
     total = known.count()
-    found = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    idf = materialize(found.select("term", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    idf = materialize(idf_of(counts, total, min_df), "idf")
     weighted = counts.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
     length = weighted.groupBy(F.col(key).alias("__k")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
     labels = known.select(F.col(key).alias("__l"), F.col(label).alias("y")).join(length, F.col("__l") == F.col("__k")).drop("__l")
