@@ -122,10 +122,10 @@ MOMENTS = ", ".join(["AVG(y) AS my", *(f"AVG(x{i}) AS m{i}, covar_pop(x{i}, y) A
 LASSO_SQL = f"""WITH RECURSIVE d AS ({PRICES}), mom AS (SELECT 0 AS key, {{alpha}}::DOUBLE AS alpha, {MOMENTS} FROM d), {descent_sql("mom", "alpha")}"""
 
 
-@query("lasso", LASSO_SQL.format(alpha=0.001) + " UNION ALL ".join(f" SELECT '{c}' AS feature, ROUND(w{i}, 6) AS weight FROM fit" for i, c in enumerate(LINE)) + " UNION ALL SELECT 'intercept', ROUND(intercept, 6) FROM fit")
+@query("lasso", LASSO_SQL.format(alpha=0.001) + " UNION ALL ".join(f" SELECT '{c}' AS feature, ROUND(w{i}, 4) AS weight FROM fit" for i, c in enumerate(LINE)) + " UNION ALL SELECT 'intercept', ROUND(intercept, 4) FROM fit")
 def _(t):
     rows = t.lineitem.withColumn("target", F.col("l_extendedprice") / 1000)
-    return as_double(regression.coefficients(regression.lasso(rows, LINE, "target", 0.001), LINE, rows), 6)
+    return as_double(regression.coefficients(regression.lasso(rows, LINE, "target", 0.001), LINE, rows), 4)
 
 
 @query("lasso_optimality", LASSO_SQL.format(alpha=0.05) + " UNION ALL ".join(f" SELECT '{c}' AS feature, w{i} != 0 AS active, true AS optimal FROM fit" for i, c in enumerate(LINE)))
