@@ -23,8 +23,9 @@ def idf_of(counts: DataFrame, n: int, min_df: int = 2) -> DataFrame:
 
 
 def fit_idf(docs: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
-    """(term, idf) of the terms found in at least ``min_df`` documents."""
-    return idf_of(term_counts(docs, key, text), docs.count(), min_df)
+    """(term, idf) of the terms found in at least ``min_df`` documents. A text's distinct terms are found where the row lies."""
+    found = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    return idf_of(found, docs.agg(F.count(F.lit(1))).first()[0], min_df)
 
 
 def weights_of(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
