@@ -48,5 +48,5 @@ def test_packing_follows_the_mix(spark):
 
 def test_registered():
     names = list(entry.queries())
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
