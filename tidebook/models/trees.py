@@ -9,6 +9,7 @@ draws the same ones.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -160,29 +161,34 @@ def grow(
     # A row keeps the number of its bin per feature: how many cuts lie below the value.
     binned = [_bin(F.col(f).cast("double"), cuts[f]) for f in features]
     y = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)).cast("int") - 1
-    draws = [F.col(key).cast("string").alias("key")] if sampled else []
-    rows = materialize(known.select(F.array(*binned).alias("bins"), y.alias("y"), *draws), "binned")
     all_trees = F.sequence(F.lit(0), F.lit(trees - 1))
-    weight = (lambda t: sample_weight(seed, t, F.col("key"))) if sampled else (lambda t: F.lit(1))
+    weight = (lambda t: sample_weight(seed, t, F.col(key))) if sampled else (lambda t: F.lit(1))
     drawn = F.filter(F.transform(all_trees, lambda t: F.struct(t.alias("tree"), weight(t).alias("w"))), lambda s: s["w"] > 0)
-    rows = rows.select("bins", "y", F.inline(drawn))
+    # Bins and draws are found once and stored, so that a level only routes and counts.
+    rows = materialize(known.select(F.array(*binned).alias("bins"), y.alias("y"), drawn.alias("drawn")), "binned").select("bins", "y", F.inline("drawn"))
     size = 1 << (depth + 1)
     chosen = [[-1] * size for _ in range(trees)]
     bounds = [[0] * size for _ in range(trees)]
     open_ = [[0] * size for _ in range(trees)]  # the node itself where it is still to be split, else 0
+    tried = [[[] for _ in range(size)] for _ in range(trees)]  # the features that an open node may cut at
+
+    def opens(t: int, n: int) -> None:
+        open_[t][n], tried[t][n] = n, _tried(seed, t, n, len(features), per_node)
+
     for t in range(trees):
-        open_[t][1] = 1
+        opens(t, 1)
     cut_of: dict[tuple[int, int], tuple[str, float]] = {}
     for level in range(depth):
         routed = _with_arrays(rows, chosen, bounds, open_, "int").withColumn("node", _route(F.col("bins"), F.col("tree"), level))
-        found = _best_cuts(routed.where("node > 0"), len(features), len(classes), min_leaf, per_node, seed)
+        found = _best_cuts(routed, tried, len(classes), min_leaf)
         open_ = [[0] * size for _ in range(trees)]
+        tried = [[[] for _ in range(size)] for _ in range(trees)]
         splits = found.collect()  # one row per node that splits
         for t, n, f, b in splits:
             chosen[t][n], bounds[t][n] = f, b
             cut_of[t, n] = (features[f], cuts[features[f]][b])
-            open_[t][2 * n] = 2 * n
-            open_[t][2 * n + 1] = 2 * n + 1
+            opens(t, 2 * n)
+            opens(t, 2 * n + 1)
         if not splits:
             break
     ends = [list(range(size)) for _ in range(trees)]
@@ -206,15 +212,23 @@ def _when_equal(c: int) -> Callable[[Column], Column]:
     return lambda s: F.when(s == c, s)
 
 
-def _best_cuts(rows: DataFrame, features: int, classes: int, min_leaf: int, per_node: int | None, seed: int) -> DataFrame:
-    """(tree, node, feature, bin) of the nodes that are worth a cut: rows up to the bin go left."""
-    counted = rows.select("tree", "node", "y", "w", F.posexplode("bins").alias("f", "bin")).groupBy("tree", "node", "f", "bin").agg(
+def _tried(seed: int, tree: int, node: int, features: int, per_node: int | None) -> list[int]:
+    """The ``per_node`` features whose digests are lowest for this tree and node; all of them without ``per_node``."""
+    if per_node is None or per_node >= features:
+        return list(range(features))
+    return sorted(sorted(range(features), key=lambda f: hashlib.md5(f"{seed}|{tree}|{node}|{f}".encode()).hexdigest())[:per_node])
+
+
+def _best_cuts(rows: DataFrame, tried: list[list[list[int]]], classes: int, min_leaf: int) -> DataFrame:
+    """(tree, node, feature, bin) of the nodes that are worth a cut: rows up to the bin go left.
+
+    ``tried`` has the features of each tree and node. Only these are unfolded and counted, and none at a node that is not open.
+    """
+    one = rows.sparkSession.createDataFrame([(tried,)], "t array<array<array<int>>>")
+    at = F.get(F.get(F.col("__tried"), F.col("tree")), F.col("node"))
+    cells = F.inline(F.transform(at, lambda f: F.struct(f.alias("f"), F.get("bins", f).alias("bin"))))
+    counted = rows.withColumn("__tried", one.scalar()).select("tree", "node", "y", "w", cells).groupBy("tree", "node", "f", "bin").agg(
         *[F.sum(F.when(F.col("y") == c, F.col("w")).otherwise(0)).cast("long").alias(f"c{c}") for c in range(classes)])
-    if per_node is not None and per_node < features:
-        # The features whose digests are lowest for this tree and node.
-        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("tree").cast("string"), F.col("node").cast("string"), F.col("f").cast("string")))
-        every = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda f: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("tree").cast("string"), F.col("node").cast("string"), f.cast("string"))))
-        counted = counted.where(digest <= F.get(F.array_sort(every), F.lit(per_node - 1)))
     # One row per bin: these windows hold the bins of one node and feature.
     by = Window.partitionBy("tree", "node", "f")
     up_to = by.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
