@@ -14,14 +14,14 @@ from tidebook.models import text as text_models
 from tidebook.models import trees as tree_models
 from tidebook.operators import aggregates, clean, sampling
 from tidebook.plans import churn
-from tidebook.session import materialize, shared_dir
+from tidebook.session import materialize, shared_dir, spread
 
 LINE = ["l_quantity", "l_discount", "l_tax"]
 CHURN = ["worker_count", "fss_count", "pfr_count", "fns_count", "documents_count", "cnt_users", "has_certificate", *churn.TAX_CLASSES]
 
 
 def _churn(t):
-    return materialize(churn.churn_features(t.fx_companies, TAX), "churn")
+    return spread(materialize(churn.churn_features(t.fx_companies, TAX), "churn"), "churn")
 
 
 @query("assemble_features", f"SELECT vec_id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}' for i in range(len(IRIS)))}, 1.0::DOUBLE AS one FROM embeddings")
@@ -218,7 +218,7 @@ COMPANIES = "SELECT id, is_prolong AS y, {columns} FROM fx_companies WHERE regdt
 
 
 def _companies(t):
-    return t.fx_companies.where("regdt IS NOT NULL")
+    return spread(t.fx_companies.where("regdt IS NOT NULL"), "companies")
 
 
 def logit_sql(rows: str, a: str, b: str, penalty: float = 1.0, steps: int = 25) -> str:
