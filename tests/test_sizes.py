@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook import session
-from tidebook.models import trees
+from tidebook.models import text, trees
 
 
 def test_node_features_are_drawn_once_per_node(spark, monkeypatch):
@@ -48,3 +48,20 @@ def test_company_rows_are_spread(spark, tables, monkeypatch, name):
     monkeypatch.setattr(models, "spread", lambda df, label: labels.append(label) or df)
     getattr(models, name)(tables)
     assert labels == [name[1:]]
+
+
+def test_margins_shuffle_texts_once(spark):
+    docs = spark.createDataFrame([(i, f"some words w{i % 5} and v{i % 3} here", "ab"[i % 2]) for i in range(60)], "id int, t string, c string")
+    model = text.fit_text_classifier(docs, "t", "c", "id", rounds=2)
+    plan = model.margins(docs, "id")._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_more_terms_than_are_sent_give_the_same_weights(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words w{i % 5} and v{i % 3} here", "ab"[i % 2]) for i in range(60)], "id int, t string, c string")
+    found = []
+    for most in (text.MOST_SENT, 0):
+        monkeypatch.setattr(text, "MOST_SENT", most)
+        model = text.fit_text_classifier(docs, "t", "c", "id", rounds=3)
+        found.append({(r.term, r["class"]): round(r.weight, 12) for r in model.table().collect()} | {r.id: r.predicted for r in model(docs, "id").collect()})
+    assert found[0] == found[1] and len(found[0]) > 60

@@ -11,6 +11,19 @@ from tidebook.functions.text import tokens
 from tidebook.session import materialize
 
 
+# Terms whose weights are sent to every task: about 100 MB with ten classes. More of them are joined by a shuffle.
+MOST_SENT = 500_000
+
+
+def _sent(table: DataFrame, terms: int) -> DataFrame:
+    return F.broadcast(table) if terms <= MOST_SENT else table
+
+
+def _clustered_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``term_counts`` with a document's rows together: texts are shuffled once instead of their terms, and sums per document need no other shuffle."""
+    return term_counts(docs.select(key, text).repartition(key), key, text)
+
+
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf). The terms of a text are counted where the row lies; only counts are shuffled."""
     return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -49,6 +62,7 @@ class TextModel:
     classes: list
     bias: list[float]
     text: str
+    terms: int
 
     def table(self) -> DataFrame:
         """(term, class, weight)."""
@@ -58,7 +72,7 @@ class TextModel:
     def margins(self, docs: DataFrame, key: str) -> DataFrame:
         """(key, m0, m1, ..) of the documents with a known term: one join and one group-by over their term counts."""
         k = range(len(self.classes))
-        found = term_counts(docs, key, self.text).join(self.weights, "term").withColumn("x", F.col("tf") * F.col("idf"))
+        found = _clustered_counts(docs, key, self.text).join(_sent(self.weights, self.terms), "term").withColumn("x", F.col("tf") * F.col("idf"))
         sums = found.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"), *[F.sum(F.col("x") * F.col(f"w{i}")).alias(f"m{i}") for i in k])
         return sums.select(key, *[(F.col(f"m{i}") / F.col("len") + F.lit(self.bias[i])).alias(f"m{i}") for i in k])
 
@@ -85,7 +99,7 @@ def fit_text_classifier(
     """One-vs-rest linear classifier on TF-IDF vectors, trained by rounds of joins and sums.
 
     Minimises the mean squared hinge loss + penalty / 2 * |weights|^2 by accelerated gradient
-    steps. A round joins the (document, term, weight) table with the weights, sums margins per
+    steps. A text's cells lie together, and up to ``MOST_SENT`` terms have their weights sent to them. A round joins the (document, term, weight) table with the weights, sums margins per
     document, joins the documents' slopes back and sums them per term; the weights are a stored table of
     every term in ``min_df`` documents. Only one bias per class and the class names are
     in the driver. ``key`` is unique. Rows with a NULL label are left out, as are texts without known terms.
@@ -95,21 +109,22 @@ def fit_text_classifier(
     if len(classes) > most_classes:
         raise ValueError(f"more than {most_classes} classes")
     k = range(len(classes))
-    counts = materialize(term_counts(known, key, text), "terms")
+    counts = materialize(_clustered_counts(known, key, text), "terms")
     total = known.count()
     idf = materialize(idf_of(counts, total, min_df), "idf")
-    weighted = counts.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
+    terms = idf.count()
+    weighted = counts.join(_sent(idf, terms), "term").withColumn("x", F.col("tf") * F.col("idf"))
     length = weighted.groupBy(F.col(key).alias("__k")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
     labels = known.select(F.col(key).alias("__l"), F.col(label).alias("y")).join(length, F.col("__l") == F.col("__k")).drop("__l")
     cells = weighted.join(labels, F.col(key) == F.col("__k")).select("__k", "y", "term", (F.col("x") / F.col("len")).alias("x"))
     # Clustered by document: margins are mostly summed before they are shuffled.
-    cells = materialize(cells.repartition("__k"), "cells")
+    cells = materialize(cells if terms <= MOST_SENT else cells.repartition("__k"), "cells")
     n = labels.count()
     weights = idf.select("term", *[F.lit(0.0).alias(f"w{i}") for i in k], *[F.lit(0.0).alias(f"u{i}") for i in k])
     bias, ahead = [0.0] * len(classes), [0.0] * len(classes)
     rate = 1.0 / (4.0 + penalty)  # rows have length 1, with the bias 2
     for t in range(rounds if n else 0):
-        margins = cells.join(weights.select("term", *[f"u{i}" for i in k]), "term").groupBy("__k", "y").agg(*[F.sum(F.col("x") * F.col(f"u{i}")).alias(f"m{i}") for i in k])
+        margins = cells.join(_sent(weights.select("term", *[f"u{i}" for i in k]), terms), "term").groupBy("__k", "y").agg(*[F.sum(F.col("x") * F.col(f"u{i}")).alias(f"m{i}") for i in k])
         slopes = []
         for i in k:
             side = F.when(F.col("y") == F.lit(classes[i]), 1.0).otherwise(-1.0)
@@ -123,4 +138,4 @@ def fit_text_classifier(
         totals = slopes.agg(*[F.sum(f"g{i}") for i in k]).first()
         now = [ahead[i] - rate * totals[i] for i in k]
         bias, ahead = now, [now[i] + push * (now[i] - bias[i]) for i in k]
-    return TextModel(materialize(idf.join(weights, "term").select("term", "idf", *[f"w{i}" for i in k]), "text-model"), classes, bias, text)
+    return TextModel(materialize(idf.join(weights, "term").select("term", "idf", *[f"w{i}" for i in k]), "text-model"), classes, bias, text, terms)
