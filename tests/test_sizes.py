@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidebook import session
 from tidebook.models import text, trees
+from tidebook.operators import windows
+from tidebook.plans import risk
 
 
 def test_node_features_are_drawn_once_per_node(spark, monkeypatch):
@@ -65,3 +67,26 @@ def test_more_terms_than_are_sent_give_the_same_weights(spark, monkeypatch):
         model = text.fit_text_classifier(docs, "t", "c", "id", rounds=3)
         found.append({(r.term, r["class"]): round(r.weight, 12) for r in model.table().collect()} | {r.id: r.predicted for r in model(docs, "id").collect()})
     assert found[0] == found[1] and len(found[0]) > 60
+
+
+def test_only_rows_of_large_keys_are_cut(spark, monkeypatch):
+    """A key of 5,000 rows is cut into ranges; the opening rows of 5,000 small keys are not made."""
+    monkeypatch.setattr(windows, "ROWS_PER_RANGE", 500)
+    df = spark.range(10_000).selectExpr("if(id % 2 = 0, 7, nullif(id, 9)) AS k", "id % 3 AS side", "id * 7 % 10007 AS at", "id", "if(id % 5 > 0, id % 11, NULL) AS v")
+    ranged, many = windows._ranged(df, ["at"], ["k"])
+    sizes = {(r.k, r[windows._RANGE]): r["count"] for r in ranged.groupBy("k", windows._RANGE).count().collect()}
+    small = {r for k, r in sizes if k != 7}
+    assert many and len(sizes) > 5010 and max(sizes.values()) <= 500 and -1 in small
+    assert sum(r >= 0 for k, r in sizes if k != 7) < 20
+    got = windows.running_sums(df, {"t": (["k"], F.col("v")), "ts": (["k", "side"], F.coalesce("v", F.lit(1)))}, ["at"])
+    assert "__v" not in "".join(got.columns)
+    want = df.selectExpr("id", "SUM(v) OVER (PARTITION BY k ORDER BY at ROWS UNBOUNDED PRECEDING) AS t", "SUM(coalesce(v, 1)) OVER (PARTITION BY k, side ORDER BY at ROWS UNBOUNDED PRECEDING) AS ts")
+    assert sorted(map(repr, got.select("id", "t", "ts").collect())) == sorted(map(repr, want.collect()))
+
+
+def test_small_keys_are_shuffled_once(spark, tables, monkeypatch):
+    monkeypatch.setattr(windows, "ROWS_PER_RANGE", 5_000)
+    out = risk.exposure_timeline(tables.fx_orders_mt4, tables.fx_deals_mt5, tables.fx_segments, "1995-01-01", "1997-01-01", None)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert out.count() > 5_000 and plan.count("Exchange hashpartitioning") == 1
+    assert out.columns == ["user_uid", "date_deal", "symbol", "first_deal_way", "volume_usd", "profit", "cumsum", "cumsum_way", "segment"]

@@ -15,15 +15,15 @@ MAX_RANGES = 100_000
 SAMPLED = 60
 
 
-def ranges_of(df: DataFrame, order: Sequence[str], rows_per_range: int, nulls_last: bool = False) -> tuple[Column, int]:
+def ranges_of(df: DataFrame, order: Sequence[str], rows_per_range: int, nulls_last: bool = False, n: int | None = None) -> tuple[Column, int]:
     """(number of the range from 0, how many ranges): at most about ``rows_per_range`` rows each, in the order of the columns.
 
-    Rows are counted first, and a table that fits one range needs no more. Else bounds are taken
+    Rows are counted first, unless their number ``n`` is given, and a table that fits one range needs no more. Else bounds are taken
     from a sorted sample of whole order tuples, so rows with an equal first column are split by the next ones;
     only rows that agree in all of ``order`` stay together. NULLs come first; with ``nulls_last`` those
     of the (only) order column have a range of their own at the end.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     if n <= rows_per_range:
         return F.lit(0), 1
     # Sizes vary, so ranges are aimed at a little over half of what is allowed.

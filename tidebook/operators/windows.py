@@ -1,10 +1,11 @@
 """Ordered computations that stay distributed when one key holds much of the data.
 
-A plain window sends every row of a key to one task. Here all rows are cut into ranges of the
-order columns that hold at most about ``ROWS_PER_RANGE`` rows, so no key has more
+A plain window sends every row of a key to one task. Here keys are counted in ``BUCKETS`` hash
+buckets. A bucket of at most ``ROWS_PER_RANGE`` rows is a single range. The rows of all others
+are cut into ranges of the order columns that hold at most about that many, so no key has more
 rows than that in one range, and rows are shuffled on (keys, range). One summary row per key
 and range goes through the per-key window, and comes back as an "opening" row at the head of
-its range. The way is the same for every key; a small table is a single range.
+its range. Rows whose keys are in a small bucket need none of it.
 """
 
 from __future__ import annotations
@@ -21,15 +22,28 @@ from tidebook.session import materialize
 
 _RANGE, _BODY = "__range", "__body"
 ROWS_PER_RANGE = 2_000_000
+BUCKETS = 8_192
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _ranged(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool]:
-    """Rows with their range, and whether there is more than one."""
-    number, count = ranges_of(df, order, ROWS_PER_RANGE)
+def _ranged(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> tuple[DataFrame, bool]:
+    """Rows with their range, and whether there is more than one.
+
+    With ``keys`` only the rows of large buckets are cut; the others are in range -1.
+    """
+    if not keys:
+        number, count = ranges_of(df, order, ROWS_PER_RANGE)
+        return df.withColumns({_RANGE: number, _BODY: F.lit(1)}), count > 1
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    sizes = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ROWS_PER_RANGE).collect()
+    number, count = F.lit(-1), 1
+    if sizes:
+        large = bucket.isin([r.b for r in sizes])
+        cut, count = ranges_of(df.where(large), order, ROWS_PER_RANGE, n=sum(r.n for r in sizes))
+        number = F.when(large, cut).otherwise(number)
     return df.withColumns({_RANGE: number, _BODY: F.lit(1)}), count > 1
 
 
@@ -54,12 +68,11 @@ def running_sums(
         return result
     values = {out: f"__v{i}" for i, out in enumerate(sums)}
     all_keys = list(dict.fromkeys(k for keys, _ in sums.values() for k in keys))
-    result, many = _ranged(df, order)
-    for out, (_, value) in sums.items():
-        result = result.withColumn(values[out], value)
+    result, many = _ranged(df, order, [k for k in all_keys if all(k in keys for keys, _ in sums.values())])
+    moved = {out: value for out, (_, value) in sums.items()}
     if many:
         # One map-side-combined pass gives the totals of every sum; coarser keys re-add the finer ones.
-        fine = result.groupBy(*all_keys, _RANGE).agg(*[F.sum(v).alias(v) for v in values.values()])
+        fine = result.where(F.col(_RANGE) >= 0).groupBy(*all_keys, _RANGE).agg(*[F.sum(moved[out]).alias(v) for out, v in values.items()])
         openings = []
         for out, (keys, _) in sums.items():
             before = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
@@ -70,9 +83,11 @@ def running_sums(
                 .withColumnRenamed("__t", values[out])
             )
         result = _stack([result, *openings])
+        # A row's own value is not moved beside the column that it comes from.
+        moved = {out: F.when(F.col(_BODY) == 1, value).otherwise(F.col(values[out])) for out, value in moved.items()}
     for out, (keys, _) in sums.items():
         window = Window.partitionBy(*keys, *([_RANGE] if many else [])).orderBy(_BODY, *order)
-        result = result.withColumn(out, F.sum(values[out]).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        result = result.withColumn(out, F.sum(moved[out]).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return result.where(F.col(_BODY) == 1).drop(_RANGE, _BODY, *values.values())
 
 
@@ -84,9 +99,9 @@ def conditional_event_counter(df: DataFrame, keys: Sequence[str], order: Sequenc
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """``lag(value)`` per key; the last value of a range is handed to the next one."""
-    body, many = _ranged(df, order)
+    body, many = _ranged(df, order, keys)
     if many:
-        last = body.groupBy(*keys, _RANGE).agg(F.max_by(value, F.struct(*order)).alias("__last"))
+        last = body.where(F.col(_RANGE) >= 0).groupBy(*keys, _RANGE).agg(F.max_by(value, F.struct(*order)).alias("__last"))
         by_range = Window.partitionBy(*keys).orderBy(_RANGE)
         opening = last.withColumn(value, F.lag("__last").over(by_range)).withColumn(_BODY, F.lit(0)).drop("__last")
         body = _stack([body, opening])
@@ -100,7 +115,7 @@ def repeated_value_streaks(df: DataFrame, keys: Sequence[str], order: Sequence[s
     The running count of such rows never falls, so its maximum is the total; inside a range
     it needs a lag, across ranges only the first and last value of each.
     """
-    body, _ = _ranged(df, order)
+    body, _ = _ranged(df, order, keys)
     window = Window.partitionBy(*keys, _RANGE).orderBy(*order)
     hit = (F.col(value) == F.lit(wanted)) & (F.col("__prev") == F.lit(wanted))
     per_range = (

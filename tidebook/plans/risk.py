@@ -107,7 +107,11 @@ def daily_segments(segments: DataFrame, since: str, codes: Sequence[str] = ("0",
 def exposure_timeline(orders: DataFrame, deals: DataFrame, segments: DataFrame, start: str, cut: str,
                       symbols: Sequence[str] | None = constants.EXPOSURE_SYMBOLS) -> DataFrame:
     """Running exposure per user and symbol, in total and by side, with the user's segment of the day."""
-    moves = materialize(exposure_moves(orders, deals, start, cut, symbols), "moves")  # read for the ranges, their totals and the sums
+    moves = exposure_moves(orders, deals, start, cut, symbols)
+    seg = daily_segments(segments, start).select(F.col("user_uid").alias("seg_user"), "trading_date", "segment")
+    same_day = (F.col("seg_user") == F.col("user_uid")) & (F.col("trading_date") == F.to_date("date_deal"))
+    # Segments come first, as the rows are narrower without the sums; read for the ranges, their totals and the sums.
+    moves = materialize(moves.join(seg, same_day, "left").select(*moves.columns, "segment"), "moves")
     order = ["date_deal", "first_deal_way", "volume_usd", "profit"]
     running = windows.running_sums(
         moves,
@@ -115,9 +119,7 @@ def exposure_timeline(orders: DataFrame, deals: DataFrame, segments: DataFrame,
          "cumsum_way": (["user_uid", "symbol", "first_deal_way"], F.col("volume_usd"))},
         order,
     )
-    seg = daily_segments(segments, start).select(F.col("user_uid").alias("seg_user"), "trading_date", "segment")
-    same_day = (F.col("seg_user") == F.col("user_uid")) & (F.col("trading_date") == F.to_date("date_deal"))
-    return running.join(seg, same_day, "left").drop("seg_user", "trading_date")
+    return running.select(*[c for c in running.columns if c != "segment"], "segment")
 
 
 def mirror_locker_features(orders: DataFrame, deals: DataFrame, balance: DataFrame, trade_start: str, trade_end: str,
