@@ -1,11 +1,13 @@
 """Work that must not gather in one task or be repeated for every row."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidebook import session
+from tidebook.llm import lines
 from tidebook.models import text, trees
 from tidebook.operators import windows
 from tidebook.plans import risk
@@ -90,3 +92,15 @@ def test_small_keys_are_shuffled_once(spark, tables, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert out.count() > 5_000 and plan.count("Exchange hashpartitioning") == 1
     assert out.columns == ["user_uid", "date_deal", "symbol", "first_deal_way", "volume_usd", "profit", "cumsum", "cumsum_way", "segment"]
+
+
+def test_words_are_cut_without_compiling_a_pattern_per_line(spark):
+    """A split at a pattern of more than one character compiles it for every line."""
+    text = ["a b c d e", "  a  b", "\ta\tb c 1", "x ", "", "  ", "\r", "a b\r", "a b c  ", "one@x two\x0b\x0c3 four ", "ä   é ", "x\n\ny z"]
+    df = spark.createDataFrame(list(enumerate(text)), "id int, line string")
+    leaves = lines._with_leaf(df)
+    plan = leaves._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_count" not in plan and "split(" in plan and "]+, 4)" not in plan
+    assert {r.id for r in leaves.collect()} == {i for i, t in enumerate(text) if t.strip(" \t\n\x0b\x0c\r")}
+    got = {r.id: r.w for r in leaves.select("id", lines._words(F.col("line")).alias("w")).collect()}
+    assert got == {i: re.findall(r"[^ \x09-\x0D]+", text[i]) for i in got}

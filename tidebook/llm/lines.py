@@ -30,23 +30,38 @@ MIN_OWN = 0.5  # a text with this share of characters in lines of its own is no
 MIN_CONSTANT, CONSTANT_SHARE = 4, 0.6  # of a template with variable fields
 WILDCARD = "<*>"
 
-_BLANKS, _TOKEN, _VARIABLE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+", r"[0-9@]|://"
+_BLANKS, _UNEVEN, _VARIABLE = r"[\x20\x09-\x0D]+", r"[\x09-\x0D]|\x20\x20|\x20\z", r"[0-9@]|://"
+
+
+def _mask(word: Column) -> Column:
+    return F.when(word.rlike(_VARIABLE), F.lit(WILDCARD)).otherwise(word)
 
 
 def _masked(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(w.rlike(_VARIABLE), F.lit(WILDCARD)).otherwise(w))
+    return F.transform(words, _mask)
+
+
+def _words(line: Column) -> Column:
+    """The tokens of a line that has some. Other blanks than single spaces are rare; split knows a pattern of one character without compiling it."""
+    line = _unindented(line)
+    return F.split(F.when(line.rlike(_UNEVEN), F.rtrim(F.regexp_replace(line, _BLANKS, " "))).otherwise(line), " ")
+
+
+def _unindented(line: Column) -> Column:
+    """Empty, if the line has no tokens."""
+    return F.ltrim(line, F.lit(" \t\n\u000b\f\r"))
 
 
 def _tokens(line: Column) -> Column:
-    return _masked(F.filter(F.split(line, _BLANKS), lambda w: w != ""))
+    return _masked(_words(line))
 
 
 def _with_leaf(lines: DataFrame) -> DataFrame:
-    """Lines with tokens, with their leaf; only the leading tokens are cut out. A short line is its own leaf."""
-    size = F.regexp_count("line", F.lit(_TOKEN))
-    leading = F.slice(F.split(F.ltrim("line", F.lit(" \t\n\u000b\f\r")), _BLANKS, LEADING + 1), 1, LEADING)
-    leaf = F.when(F.col("size") >= MIN_TOKENS, F.xxhash64("size", _masked(leading))).otherwise(F.xxhash64("size", F.filter(leading, lambda w: w != "")))
-    return lines.withColumn("size", size).where("size > 0").withColumn("leaf", leaf).drop("size")
+    """Lines with tokens, with their leaf, by the leading tokens. A short line is its own leaf."""
+    words = lines.where(_unindented(F.col("line")) != "").withColumn("words", _words(F.col("line")))
+    leading = [F.get("words", F.lit(i)) for i in range(LEADING)]
+    leaf = F.when(F.size("words") >= MIN_TOKENS, F.xxhash64(F.size("words"), *map(_mask, leading))).otherwise(F.xxhash64(F.size("words"), *leading))
+    return words.withColumn("leaf", leaf).drop("words")
 
 
 def _placed_lines(docs: DataFrame) -> DataFrame:
@@ -61,7 +76,7 @@ def _placed_lines(docs: DataFrame) -> DataFrame:
 
 def _line_hashes(text: Column) -> Column:
     """Of the lines that are not blank."""
-    return F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(_TOKEN)), lambda x: F.md5(x.cast("binary")))
+    return F.transform(F.filter(F.split(text, "\n"), lambda x: _unindented(x) != ""), lambda x: F.md5(x.cast("binary")))
 
 
 def _documents(docs: DataFrame, placed: DataFrame, min_places: int) -> DataFrame:
@@ -71,7 +86,7 @@ def _documents(docs: DataFrame, placed: DataFrame, min_places: int) -> DataFrame
     # A text's often found lines, and their characters.
     common = often.groupBy("k").agg(F.collect_set("raw").alias("common"), F.sum("chars").alias("taken"), F.min("raw").alias("first"))
     text = F.coalesce("text", F.lit(""))
-    hashes = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("k"), _line_hashes(text).alias("all"), F.length(F.regexp_replace(text, "\n", "")).alias("length"))
+    hashes = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("k"), _line_hashes(text).alias("all"), F.length(F.replace(text, F.lit("\n"), F.lit(""))).alias("length"))
     own = F.array_min(F.array_except("all", "common"))
     is_own = (F.col("length") - F.col("taken") >= MIN_OWN * F.col("length")) & own.isNotNull()
     origin = F.when(is_own, F.xxhash64(F.lit("own"), own)).otherwise(F.xxhash64(F.lit("copy"), F.col("first")))
