@@ -83,7 +83,8 @@ class TextModel:
         docs, own = _keyed(docs, key)
         k = range(len(self.classes))
         joined = docs.join(self.margins(docs, own).withColumnRenamed(own, "__k"), F.col(own) == F.col("__k"), "left")
-        margins = F.array(*[F.coalesce(f"m{i}", F.lit(self.bias[i])) for i in k])
+        # Sums in another order differ in their last digits, so margins are equal to twelve places; 0.0 takes the sign off a zero.
+        margins = F.array(*[F.round(F.coalesce(f"m{i}", F.lit(self.bias[i])), 12) + 0.0 for i in k])
         best = F.get(F.array(*[F.lit(c) for c in self.classes]), (F.array_position(margins, F.array_max(margins)) - 1).cast("int"))
         return joined.withColumn("predicted", best).drop("__k", *[f"m{i}" for i in k], *([] if key else [own]))
 
