@@ -239,6 +239,37 @@ def test_jaccard(spark, awkward, empty):
     assert kept == {i for i, _, c in want if i == c} and jaccard.first_of_groups(df).columns == df.columns
 
 
+def test_jaccard_pairs_need_more_than_one_shared_shingle(spark, monkeypatch):
+    """Documents that share a passage with every other one are no candidates; an edited copy of one of them is."""
+    texts = []
+    for i in range(16):
+        parts = [[f"own{i}_{j}_{k}" for k in range(60)] + [f"both{min(i, j)}_{max(i, j)}_{k}" for k in range(9)] for j in range(16) if j != i]
+        texts.append((i, " ".join(w for p in parts for w in p)))
+    made = {}
+    real = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, label: made.setdefault(label, real(df, label)))
+    columns = ["doc_id", "n_shingles", "component_id"]
+    texts.append((99, texts[3][1].replace("own3_7_", "new")))
+    assert rows(jaccard.similar_documents(frame(spark, texts)), *columns) == brute_components(texts)
+    assert [i for i, _, c in brute_components(texts) if c == 3] == [3, 99]
+    assert {r.id for r in made["texts"].collect()} == {3, 99}
+
+
+def test_jaccard_links_around_the_limit(spark):
+    """Sets of every size from 1 on, with subsets and replaced parts just above and below the limit, and frequent shingles."""
+    draw = np.random.default_rng(11)
+    texts, at = [], 0
+    for n in [*range(1, 26), 40, 61, 97]:
+        base = [f"g{n}_{k}" if draw.random() < 0.6 else f"often{k % 7}" for k in range(n + 4)]
+        for keep in (1.0, 0.8, 0.78, 0.76, 0.75, 0.74, 0.72):
+            texts.append((at, " ".join(base[: max(1, round((n + 4) * keep))])))
+            edited = list(base)
+            edited[:: max(1, round(5 / (1.001 - keep)))] = [f"e{at}"] * len(edited[:: max(1, round(5 / (1.001 - keep)))])
+            texts.append((at + 1, " ".join(edited)))
+            at += 2
+    assert rows(jaccard.similar_documents(frame(spark, texts)), "doc_id", "n_shingles", "component_id") == brute_components(texts)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 140), (140, 120), (7, 7), (None, 3)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(chain, "a long, b long")).collect())

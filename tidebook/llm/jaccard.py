@@ -1,18 +1,22 @@
 """Jaccard self-join on word shingles, by grouped prefixes.
 
 Two sets with Jaccard similarity t or more share an element among the first
-n - ceil(t n) + 1 of each, whatever the order of elements; shingles that many documents
-share come last in the order, so prefixes are rare. Equal sets are one class; classes with
-the same prefix and size are one group. Groups that share a prefix element are candidates:
+n - ceil(t n) + 1 of each, whatever the order of elements, and k of them among that many and
+k - 1 more. A prefix has these k - 1 more elements (shingles that many documents share come
+last), so a document that has fewer than k elements of its prefix in common with others is left
+out at once. Equal sets are one class; classes with the same prefix and size are one group.
+Groups that share a prefix element are candidates:
 
 1. Per (element, size class) one group leads; every group is paired with its main leader, and
    every class with the first of its group. These pairs are few, and join most of what belongs
    together.
-2. Pairs of groups that do not lie in one component after that, and pass the size and position
-   filters, are expanded to members and verified as well.
+2. Of the others only groups count that share k elements with other components. Of these
+   elements the k - 1 that most groups hold are dropped; pairs of groups that do not lie in one
+   component, share one of the rest and pass the size and position filters are expanded to
+   members and verified as well.
 
-So no link between components is lost, and groups of thousands of near copies need no pairs
-among themselves.
+So no link between components is lost, groups of thousands of near copies need no pairs
+among themselves, and a few shingles that documents share by chance make no pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from tidebook.llm.common import materialize
 from tidebook.llm.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
+# A prefix is longer by a part of the set's size, and similar sets share that many elements of it.
+EXTRA = 8
 # Most shingles that are moved to the end of the order (16 bytes each, sent to every task).
 COMMON = 200_000
 # Members of one verification step; a group of more is spread over several.
@@ -75,8 +81,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
+def least_common(n: int) -> int:
+    """How many elements the prefixes of a set of ``n`` and of a similar one that is not smaller share at least."""
+    return -(-n // EXTRA)
+
+
 def prefix_size(n: int) -> int:
-    return n - math.ceil(n * NUMERATOR / DENOMINATOR) + 1
+    return n - -(-n * NUMERATOR // DENOMINATOR) + least_common(n)
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -176,15 +187,64 @@ def _renamed(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"{c}0" for c in df.columns])
 
 
+def _up(n: Column, by: int) -> Column:
+    return F.floor((n + (by - 1)) / by)
+
+
+def _least_common(n: Column) -> Column:
+    return _up(n, EXTRA)
+
+
+def _prefix_size(n: Column) -> Column:
+    return n - _up(n * NUMERATOR, DENOMINATOR) + _least_common(n)
+
+
+def _overlap(n: Column, m: Column) -> Column:
+    """What similar sets of these sizes share at least: 6/7 of the mean size."""
+    return F.ceil((n + m) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+
+
+def _in_prefixes(n: Column, m: Column) -> Column:
+    """How many elements the prefixes of similar sets of these sizes share at least: the rest of the overlap fits behind one of them."""
+    return _overlap(n, m) - F.greatest(n - _prefix_size(n), m - _prefix_size(m))
+
+
+def _similar_size(n: Column, m: Column) -> Column:
+    return (n * NUMERATOR <= m * DENOMINATOR) & (m * NUMERATOR <= n * DENOMINATOR)
+
+
 def _fits(x: str, y: str) -> Column:
     """Whether sets of these sizes can be similar, if this is the first element that they share.
 
     What they share is then at or behind its position in both, and must be 6/7 of the mean size.
     """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    need = F.ceil((n + m) * NUMERATOR / (NUMERATOR + DENOMINATOR))
-    similar_size = (n * NUMERATOR <= m * DENOMINATOR) & (m * NUMERATOR <= n * DENOMINATOR)
-    return similar_size & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= need)
+    return _similar_size(n, m) & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= _overlap(n, m))
+
+
+def _needed(n: Column) -> Column:
+    """How many elements of its prefix a set shares with the prefix of any similar set: these are at least 3/4 as large."""
+    return _least_common(_up(n * NUMERATOR, DENOMINATOR))
+
+
+def _by_two(df: DataFrame, low: str, high: str) -> DataFrame:
+    """The rows whose element has more than one value of ``low`` to ``high``."""
+    per_element = Window.partitionBy("element")
+    return df.withColumn("__lo", F.min(low).over(per_element)).withColumn("__hi", F.max(high).over(per_element)).where("__lo <> __hi").drop("__lo", "__hi")
+
+
+def _enough(df: DataFrame) -> DataFrame:
+    """The rows of groups that have as many of them as a link needs."""
+    return df.withColumn("__s", F.count(F.lit(1)).over(Window.partitionBy("g", "n"))).where(F.col("__s") >= _needed(F.col("n"))).drop("__s")
+
+
+def _shared_elements(described: DataFrame) -> DataFrame:
+    """(element, g, n, pos): the elements of prefixes that two or more groups share, for groups that have enough of them."""
+    # Size and position travel as one number.
+    at = F.shiftleft("n", 32) + F.col("pos")
+    elements = described.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "element"), "g", "n").select("element", "g", at.alias("at"))
+    shared = _by_two(elements, "g", "g").distinct().select("element", "g", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(2**32 - 1).alias("pos"))
+    return _by_two(_enough(shared), "g", "g")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -205,12 +265,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     classes = materialize(classes, "classes")
     groups = classes.groupBy("g", "n").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members"))
 
-    # Elements of prefixes that two or more groups share.
-    elements = described.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "element"), "g", "n").select(
-        "element", "g", F.struct(F.col("n").cast("int").alias("n"), "pos").alias("np"))
-    per_element = Window.partitionBy("element")
-    shared = elements.withColumn("lo", F.min("g").over(per_element)).withColumn("hi", F.max("g").over(per_element)).where("lo <> hi")
-    shared = materialize(shared.select("element", "g", F.col("np.n").cast("long").alias("n"), F.col("np.pos").cast("long").alias("pos")).distinct(), "shared")
+    shared = materialize(_shared_elements(described), "shared")
 
     busy = shared.select("g", "n").distinct().unionByName(groups.where("members > 1").select("g", "n")).distinct()
     members = materialize(classes.join(busy, ["g", "n"]).select("g", "n", "rep"), "members")
@@ -222,7 +277,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     log_size = F.log(F.col("n").cast("double")) / math.log(DENOMINATOR / NUMERATOR)
     stars = None
     for shift in (0.0, 0.5):
-        by = shared.withColumn("s", F.floor(log_size + shift))
+        by = shared.where(F.col("pos") <= F.col("n") - _up(F.col("n") * NUMERATOR, DENOMINATOR)).withColumn("s", F.floor(log_size + shift))
         lead = by.groupBy("element", "s").agg(F.min(F.struct("pos", "g", "n")).alias("y"))
         led = by.alias("x").join(lead, ["element", "s"]).where(_fits("x", "y") & ((F.col("x.g") != F.col("y.g")) | (F.col("x.n") != F.col("y.n"))))
         pairs = led.groupBy(F.col("x.g").alias("g"), F.col("x.n").alias("n"), F.col("y.g").alias("g0"), F.col("y.n").alias("n0")).agg(F.count(F.lit(1)).alias("c"))
@@ -239,12 +294,18 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("g", "n", "rep", F.coalesce("component", "rep").alias("component")), "placed"
     )
     spread = shared.join(placed.groupBy("g", "n").agg(F.min("component").alias("c0"), F.max("component").alias("c1")), ["g", "n"])
-    open_ = spread.groupBy("element").agg(F.min("c0").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("element")
-    rest = materialize(spread.join(open_, "element").select("element", "g", "n", "pos", "c0", "c1"), "rest")
+    held = F.count(F.lit(1)).over(Window.partitionBy("element"))
+    # How many elements are left from this one on: the ones that fewest groups hold come first.
+    left = F.row_number().over(Window.partitionBy("g", "n").orderBy(F.desc("held"), F.desc("element")))
+    open_ = _enough(_by_two(_enough(_by_two(spread, "c0", "c1")), "c0", "c1")).withColumn("held", held)
+    rest = _by_two(open_.withColumn("left", left).where(F.col("left") >= _needed(F.col("n"))), "c0", "c1")
+    rest = materialize(rest.select("element", "g", "n", "left", "c0", "c1"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
     first = F.struct("x.n", "x.g") < F.struct("y.n", "y.g")
     apart = (F.col("x.c0") != F.col("y.c0")) | (F.col("x.c0") != F.col("x.c1")) | (F.col("y.c0") != F.col("y.c1"))
-    near = x.join(y, (F.col("x.element") == F.col("y.element")) & first & apart & _fits("x", "y")).select(
+    fit = _similar_size(n, m) & (F.least("x.left", "y.left") >= _in_prefixes(n, m))
+    near = x.join(y, (F.col("x.element") == F.col("y.element")) & first & apart & fit).select(
         F.col("x.g").alias("g"), F.col("x.n").alias("n"), F.col("y.g").alias("g0"), F.col("y.n").alias("n0")
     ).distinct()
     across = near.join(placed, ["g", "n"]).join(_renamed(placed), ["g0", "n0"]).where("component <> component0").select(*_ordered(F.col("rep"), F.col("rep0")))
