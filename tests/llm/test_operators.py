@@ -270,6 +270,36 @@ def test_jaccard_links_around_the_limit(spark):
     assert rows(jaccard.similar_documents(frame(spark, texts)), "doc_id", "n_shingles", "component_id") == brute_components(texts)
 
 
+def test_jaccard_pairs_meet_once_per_run(spark):
+    """Groups that share 60 elements in a row, and 20 after others, meet twice, not 80 times."""
+    row = lambda g, e, before, left: (e, before, g, 150, left, g, g)
+    runs = {1: [*range(60), 100, *range(60, 80)], 2: [*range(60), 200, *range(60, 80)]}
+    data = [row(g, e, es[i - 1] if i else None, 100 - i) for g, es in runs.items() for i, e in enumerate(es)]
+    rest = spark.createDataFrame(data, "element long, before long, g long, n long, left long, c0 long, c1 long")
+    assert [tuple(r) for r in jaccard._meetings(rest).collect()] == [(1, 150, 2, 150)] * 2
+
+
+def test_jaccard_few_texts_are_shuffled(spark, monkeypatch):
+    """Few ids are sent to the texts; of more a bitmap is, and texts without an id among them stay where they are."""
+    texts = spark.range(20_000).select("id", F.concat(F.lit("text"), "id").alias("text"))
+    ids = spark.createDataFrame([(i, i % 3) for i in [*range(0, 20_000, 199), 5, 5, 30_000, -1]], "id long, a int")
+    want = sorted((i, f"text{i}", a) for i, a in ids.collect() if 0 <= i < 20_000)
+    monkeypatch.setattr(jaccard, "BITS", 1 << 16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for sent in (1000, 10):
+            monkeypatch.setattr(jaccard, "SENT", sent)
+            got = jaccard._with_texts(ids, texts).select("id", "text", "a")
+            assert sorted(map(tuple, got.collect())) == want
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and ("SortMergeJoin" in plan) == (sent == 10)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    columns = ["doc_id", "n_shingles", "component_id"]
+    monkeypatch.setattr(jaccard, "SENT", 0)
+    assert rows(jaccard.similar_documents(frame(spark, TEXTS)), *columns) == brute_components(TEXTS)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 140), (140, 120), (7, 7), (None, 3)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(chain, "a long, b long")).collect())

@@ -40,6 +40,8 @@ EXTRA = 8
 COMMON = 200_000
 # Members of one verification step; a group of more is spread over several.
 MEMBERS = 512
+# Most rows (ids with some numbers, 64 bytes each) that are sent to every task in place of shuffling texts, and bits of the filter for more.
+SENT, BITS = 500_000, 1 << 25
 # Words and groups that a worker remembers (some 200 and 100 bytes each), and rows that it holds at a time.
 MEMORY, GROUPS, ROWS = 200_000, 100_000, 500
 
@@ -154,6 +156,25 @@ def _describe(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, g long, prefix array<bigint>")
 
 
+def _with_texts(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """``ids`` (with a column id) and the text of each, from ``texts(id, text)``. Few ids are sent to the texts.
+
+    Of more a bitmap of their hashes is sent (``BITS`` / 8 bytes, whatever their number), so that few texts without an id among them are shuffled.
+    """
+    if ids.count() <= SENT:
+        return texts.join(F.broadcast(ids), "id")
+
+    def place(df: DataFrame) -> DataFrame:
+        h = F.pmod(F.xxhash64("id"), F.lit(BITS)) + 1
+        return df.withColumn("__part", F.bitmap_bucket_number(h)).withColumn("__bit", F.bitmap_bit_position(h))
+
+    # Dealt by part first, so that each part's bits are set in one task.
+    parts = place(ids.select("id").distinct()).repartition("__part").groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, F.pmod("__bit", F.lit(8)).cast("int")) == 1
+    return place(texts).join(F.broadcast(parts), "__part").where(held).select("id", "text").join(ids, "id")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of ids that are similar. ``a``'s text is sent once per ``MEMBERS`` partners."""
     sized = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__n")), "a")
@@ -178,7 +199,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
             columns = list(zip(*found)) if found else [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-    rows = sides.join(texts, "id").select("a", "salt", "role", "id", "text")
+    rows = _with_texts(sides, texts).select("a", "salt", "role", "id", "text")
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return materialize(dealt.mapInArrow(verify, "a long, b long"), f"{name}-links")
 
@@ -247,6 +268,20 @@ def _shared_elements(described: DataFrame) -> DataFrame:
     return _by_two(_enough(shared), "g", "g")
 
 
+def _meetings(rest: DataFrame) -> DataFrame:
+    """(g, n, g0, n0): pairs of groups that do not lie in one component and share an element of ``rest``, once for each run of shared elements."""
+    x, y = rest.alias("x"), rest.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    first = F.struct("x.n", "x.g") < F.struct("y.n", "y.g")
+    apart = (F.col("x.c0") != F.col("y.c0")) | (F.col("x.c0") != F.col("x.c1")) | (F.col("y.c0") != F.col("y.c1"))
+    fit = _similar_size(n, m) & (F.least("x.left", "y.left") >= _in_prefixes(n, m))
+    # A pair that shares the element before as well has met there.
+    new = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
+    return x.join(y, (F.col("x.element") == F.col("y.element")) & first & apart & fit & new).select(
+        F.col("x.g").alias("g"), F.col("x.n").alias("n"), F.col("y.g").alias("g0"), F.col("y.n").alias("n0")
+    )
+
+
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -269,7 +304,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     busy = shared.select("g", "n").distinct().unionByName(groups.where("members > 1").select("g", "n")).distinct()
     members = materialize(classes.join(busy, ["g", "n"]).select("g", "n", "rep"), "members")
-    texts = materialize(rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text"), "texts")
+    texts = rows.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")
+    texts = materialize(_with_texts(members.select(F.col("rep").alias("id")).distinct(), texts).select("id", "text"), "texts")
 
     # Step 1: every group with the one that leads most of its (element, size class) lists, twice
     # with shifted classes. A list is led by the group in which the element comes first: it has
@@ -295,19 +331,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     )
     spread = shared.join(placed.groupBy("g", "n").agg(F.min("component").alias("c0"), F.max("component").alias("c1")), ["g", "n"])
     held = F.count(F.lit(1)).over(Window.partitionBy("element"))
+    open_ = _enough(_by_two(_enough(_by_two(spread, "c0", "c1")).withColumn("held", held), "c0", "c1"))
     # How many elements are left from this one on: the ones that fewest groups hold come first.
-    left = F.row_number().over(Window.partitionBy("g", "n").orderBy(F.desc("held"), F.desc("element")))
-    open_ = _enough(_by_two(_enough(_by_two(spread, "c0", "c1")), "c0", "c1")).withColumn("held", held)
-    rest = _by_two(open_.withColumn("left", left).where(F.col("left") >= _needed(F.col("n"))), "c0", "c1")
-    rest = materialize(rest.select("element", "g", "n", "left", "c0", "c1"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    first = F.struct("x.n", "x.g") < F.struct("y.n", "y.g")
-    apart = (F.col("x.c0") != F.col("y.c0")) | (F.col("x.c0") != F.col("x.c1")) | (F.col("y.c0") != F.col("y.c1"))
-    fit = _similar_size(n, m) & (F.least("x.left", "y.left") >= _in_prefixes(n, m))
-    near = x.join(y, (F.col("x.element") == F.col("y.element")) & first & apart & fit).select(
-        F.col("x.g").alias("g"), F.col("x.n").alias("n"), F.col("y.g").alias("g0"), F.col("y.n").alias("n0")
-    ).distinct()
+    falling = Window.partitionBy("g", "n").orderBy(F.desc("held"), F.desc("element"))
+    open_ = open_.withColumn("left", F.row_number().over(falling)).withColumn("before", F.lead("element").over(falling))
+    rest = _by_two(open_.where(F.col("left") >= _needed(F.col("n"))), "c0", "c1")
+    rest = materialize(rest.select("element", "before", "g", "n", "left", "c0", "c1"), "rest")
+    near = _meetings(rest).distinct()
     across = near.join(placed, ["g", "n"]).join(_renamed(placed), ["g0", "n0"]).where("component <> component0").select(*_ordered(F.col("rep"), F.col("rep0")))
     p, q = placed.alias("p"), placed.alias("q")
     inside = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.n") == F.col("q.n")) & (F.col("p.component") < F.col("q.component"))).select(
