@@ -1,10 +1,15 @@
+import threading
+
 import numpy as np
 import pytest
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from tidebook.models import classifiers, moments, regression
 from tidebook.models import text as text_models
+from tidebook.operators.sampling import hash_share
 
 X = ["a", "b", "c"]
 
@@ -106,6 +111,31 @@ def test_cross_validated_accuracy(sample):
     assert classifiers.cross_validate(regression.assemble(df, X), classifiers.logistic("k", 400), "k", "id", 3) > 0.85
 
 
+def test_cross_validation_passes_over_stored_folds(sample):
+    """Several folds are fitted at a time, on stored rows without a Python step, with the accuracy of Spark's own validator."""
+    df, *_ = sample
+    rows = regression.assemble(df, X)
+    logistic, plans, meet = classifiers.logistic("k", 400), [], threading.Barrier(2, timeout=60)
+
+    class Watched:
+        def copy(self):
+            return self
+
+        def fit(self, train):
+            meet.wait()
+            plans.append(train._jdf.queryExecution().executedPlan().toString())
+            return logistic.copy().fit(train)
+
+    got = classifiers.cross_validate(rows, Watched(), "k", "id", 4, at_once=2)
+    judge = MulticlassClassificationEvaluator(labelCol="k", metricName="accuracy")
+    folds = rows.withColumn("fold", F.floor(hash_share(1, "id") * 4).cast("int"))
+    want = CrossValidator(estimator=logistic, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=4, foldCol="fold").fit(folds).avgMetrics[0]
+    assert got == pytest.approx(want, abs=1e-12) and len(plans) == 4
+    assert all("Scan parquet" in p and "Python" not in p for p in plans)
+    with pytest.raises(ValueError, match="empty"):
+        classifiers.cross_validate(rows.limit(1), logistic, "k", "id", 4)
+
+
 def test_saved_pipeline_scores_unseen_categories(spark, sample, tmp_path):
     df, *_ = sample
     rows = df.withColumn("cat", F.when(F.col("id") % 2 == 0, "p").otherwise("q"))
