@@ -329,10 +329,10 @@ def _(t):
     return as_double(forest.out_of_bag(rows, "is_prolong"))
 
 
-@query("random_forest", bag_sql(TREE, trees=9, depth=3, min_leaf=1, per_node=2))
+@query("random_forest", bag_sql(TREE, trees=150, depth=10, min_leaf=1, per_node=2))
 def _(t):
     rows = _companies(t)
-    forest = tree_models.grow(rows, TREE, "is_prolong", "id", trees=9, depth=3, min_leaf=1, sampled=True, per_node=2)
+    forest = tree_models.grow(rows, TREE, "is_prolong", "id", trees=150, depth=10, min_leaf=1, sampled=True, per_node=2)
     return as_double(forest.out_of_bag(rows, "is_prolong"))
 
 
