@@ -467,7 +467,7 @@ def _(t):
     return as_double(weights.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("weight").alias("weight")))
 
 
-TEXT_ROUNDS, TEXT_PENALTY = 4, 1e-4
+TEXT_ROUNDS, TEXT_PENALTY = 30, 1e-4
 
 
 def text_sql(rounds: int = TEXT_ROUNDS, penalty: float = TEXT_PENALTY, min_df: int = 2) -> str:
