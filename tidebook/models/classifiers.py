@@ -7,18 +7,22 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.models import regression
 from tidebook.operators import clean
 from tidebook.operators.sampling import hash_share
-from tidebook.session import materialize
+from tidebook.session import materialize, shared_dir
+
+# Rows times trees of one fit of deep trees: their nodes, more with more rows, lie in the driver at some 300 bytes each.
+ROWS_AT_ONCE = 24_000_000
 
 
 def logistic(label: str, n: int, features: str = "features") -> LogisticRegression:
@@ -30,9 +34,50 @@ def decision_tree(label: str, min_leaf: int = 4, depth: int = 30) -> DecisionTre
     return DecisionTreeClassifier(labelCol=label, minInstancesPerNode=min_leaf, maxDepth=depth, seed=1)
 
 
+class BaggedTrees(RandomForestClassifier):
+    """Deep trees of many rows are fitted a few at a time and stored, so that the driver holds only these.
+
+    A fit of at most ``ROWS_AT_ONCE`` rows times trees is one of ``RandomForestClassifier``.
+    """
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        trees = self.getNumTrees()
+        at_once = max(1, ROWS_AT_ONCE // max(dataset.count(), 1))
+        if at_once >= trees:
+            return super()._fit(dataset)
+        paths = []
+        for i, start in enumerate(range(0, trees, at_once)):
+            some = self.copy({self.numTrees: min(at_once, trees - start), self.seed: self.getSeed() + 1_000_003 * i})
+            paths.append(shared_dir(dataset.sparkSession, "trees"))
+            super(BaggedTrees, some)._fit(dataset).write().save(paths[-1])
+        return StoredTrees(paths, self.getRawPredictionCol(), self.getProbabilityCol(), self.getPredictionCol())
+
+
+class StoredTrees(Model):
+    """Forests in folders that vote together. Rows are stored with their votes after each, as only one forest is in the driver at a time."""
+
+    def __init__(self, paths: Sequence[str], raw: str, probability: str, prediction: str):
+        super().__init__()
+        self.paths, self.columns = list(paths), (raw, probability, prediction)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        raw, probability, prediction = self.columns
+        out, votes = dataset, None
+        for path in self.paths:
+            forest = RandomForestClassificationModel.load(path).setProbabilityCol("").setPredictionCol("")
+            part = vector_to_array(raw)
+            voted = forest.transform(out).withColumn("__votes", part if votes is None else F.zip_with("__votes", part, lambda a, b: a + b))
+            out, votes = materialize(voted.drop(raw), "votes"), F.col("__votes")
+            del forest, voted
+        total = F.aggregate(votes, F.lit(0.0), lambda a, b: a + b)
+        return out.withColumns({
+            raw: array_to_vector(votes), probability: array_to_vector(F.transform(votes, lambda v: v / total)),
+            prediction: (F.array_position(votes, F.array_max(votes)) - 1).cast("double")}).drop("__votes")
+
+
 def bagged_trees(label: str, trees: int = 40, min_leaf: int = 4, depth: int = 30) -> RandomForestClassifier:
-    """Bagging: bootstrapped trees that may split on every feature."""
-    return RandomForestClassifier(labelCol=label, numTrees=trees, featureSubsetStrategy="all", bootstrap=True, minInstancesPerNode=min_leaf, maxDepth=depth, seed=1)
+    """Bagging: bootstrapped trees that may split on every feature. Rows keep their nodes between the passes; otherwise every task would be sent all trees."""
+    return BaggedTrees(labelCol=label, numTrees=trees, featureSubsetStrategy="all", bootstrap=True, minInstancesPerNode=min_leaf, maxDepth=depth, seed=1, cacheNodeIds=True)
 
 
 def random_forest(label: str, trees: int = 150, depth: int = 10) -> RandomForestClassifier:
