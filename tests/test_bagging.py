@@ -41,3 +41,14 @@ def test_many_rows_are_fitted_in_parts(rows, monkeypatch):
     np.testing.assert_allclose(raw, sum(x[3] for x in parts), atol=1e-12)
     np.testing.assert_allclose(p, raw / 7, atol=1e-12)
     assert (said == raw.argmax(1)).all() and (said == [int(i % 5 + i % 23 > 13) for i in range(600)]).mean() > 0.9
+
+
+def test_votes_of_parts(rows, monkeypatch):
+    """churn_votes adds the same columns whether the trees are fitted at once or in parts."""
+    plain = rows.drop("features")
+    want = classifiers.churn_votes(plain, plain, ["a", "b"], "y", 4, 3)
+    monkeypatch.setattr(classifiers, "ROWS_AT_ONCE", 1)
+    got = classifiers.churn_votes(plain, plain, ["a", "b"], "y", 4, 3)
+    assert got.columns == want.columns and got.count() == 600
+    same = got.join(want.select("id", *[F.col(c).alias(f"w_{c}") for c in ("ridge", "log_reg", "bagging", "rf")]), "id")
+    assert same.where("ridge <> w_ridge OR log_reg <> w_log_reg OR rf <> w_rf").count() == 0 and same.where("bagging <> w_bagging").count() < 60
